@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.text import glob_match, strip
 from chunkweave.functions.versions import requested_version, version_key
+from chunkweave.operators.skew import salted_join
 
 
 def with_key(versions: DataFrame) -> DataFrame:
@@ -45,14 +46,16 @@ def resolve(requests: DataFrame, versions: DataFrame, pins: DataFrame) -> DataFr
     if it is installed, else the highest.
     """
     asked = requests.withColumn("asked", requested_version(F.col("target")))
-    known = versions.select("name", F.col("version").alias("candidate")).distinct()
-    latest = latest_versions(versions).withColumnRenamed("version", "latest")
-    pinned = pins.select("name", F.col("pinned").alias("candidate")).join(known, ["name", "candidate"], "left_semi")
-    with_sources = asked.join(latest, "name", "left").join(
-        pinned.withColumnRenamed("candidate", "pin"), "name", "left"
+    known = versions.select("name", "version").distinct()
+    pinned = pins.select("name", F.col("pinned").alias("version")).join(known, ["name", "version"], "left_semi")
+    per_name = (
+        latest_versions(versions)
+        .withColumnRenamed("version", "latest")
+        .join(pinned.withColumnRenamed("version", "pin"), "name", "left")
     )
-    explicit = known.withColumnRenamed("candidate", "asked").withColumn("exists", F.lit(True))
-    joined = with_sources.join(explicit, ["name", "asked"], "left")
+    exact = known.withColumnRenamed("version", "asked").withColumn("exists", F.lit(True))
+    # Many requests may ask for one package or one version.
+    joined = salted_join(salted_join(asked, per_name, "name"), exact, ["name", "asked"])
     resolved = (
         F.when(F.col("asked").isNull(), F.coalesce("pin", "latest"))
         .when(F.col("asked") == "latest", F.col("latest"))
@@ -136,7 +139,7 @@ def describe_version(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
 def live_versions(versions: DataFrame, packages: DataFrame, include_yanked: bool = False) -> DataFrame:
     """Versions with their package name; yanked ones are hidden unless asked for."""
     shown = versions if include_yanked else versions.where(~F.col("yanked"))
-    return shown.join(packages.select(F.col("id").alias("package_id"), "name"), "package_id")
+    return salted_join(shown, packages.select(F.col("id").alias("package_id"), "name"), "package_id", "inner")
 
 
 def newest_first(versions: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def publish(current: DataFrame, incoming: DataFrame, overwrite: bool = False) ->
     """
     known = current.select("name", "version").distinct().withColumn("exists", F.lit(True))
     first = incoming.groupBy("name", "version").agg(F.min("upload_id").alias("first_id"))
-    marked = incoming.join(first, ["name", "version"]).join(known, ["name", "version"], "left")
+    marked = salted_join(incoming, first.join(known, ["name", "version"], "left"), ["name", "version"], "inner")
     return marked.withColumn(
         "outcome",
         F.when(F.col("size_bytes") == 0, F.lit("empty"))
@@ -188,49 +191,53 @@ def audit_report(log: DataFrame) -> DataFrame:
     )
 
 
-def supported_models(models: DataFrame, packets: DataFrame) -> DataFrame:
-    """First provider and model matching a supported pattern, per packet.
+MAX_PROVIDER_MODELS = 10_000
 
-    ``models(provider, pos, model)`` is the list of discovered models; ``packets(packet_id, patterns)``
-    states what each accepts, an empty list accepting all. Distinct pattern lists are few compared
-    with packets and are matched once each.
+
+def provider_table(providers: DataFrame) -> list:
+    """Configured providers ``(provider, models, default_model)``, sorted by name.
+
+    This is configuration, read with a checked bound: more entries than the bound is an error.
     """
-    lists = packets.select("patterns").distinct()
-    matched = lists.join(
-        models,
-        (F.size("patterns") == 0) | F.exists("patterns", lambda p: glob_match(F.col("model"), p)),
-    )
-    best = matched.groupBy("patterns").agg(
-        F.min_by(F.struct("provider", "model"), F.struct("provider", "pos")).alias("best")
-    )
-    return packets.join(best, "patterns", "left").select("packet_id", "best.provider", "best.model")
+    rows = providers.limit(MAX_PROVIDER_MODELS + 1).collect()
+    if sum(max(1, len(r.models or [])) for r in rows) > MAX_PROVIDER_MODELS:
+        raise ValueError(f"more than {MAX_PROVIDER_MODELS} provider models configured")
+    return sorted(rows, key=lambda r: r.provider)
 
 
 def choose_models(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """Requested model, else the recommended one, else the first supported; and who provides it.
 
-    ``requests(packet_id, requested, recommended, patterns)``, ``providers(provider, models, default_model)``.
-    A model nobody lists goes to the first provider by name.
+    ``requests(packet_id, requested, recommended, patterns)``. The provider table is a literal, so
+    this is one pass over the requests. A model nobody lists goes to the first provider by name; a
+    default model is searched only where a provider lists no models.
     """
-    listed = F.when(F.size("models") > 0, F.col("models")).otherwise(F.array_compact(F.array("default_model")))
-    candidates = providers.select("provider", F.posexplode(listed).alias("pos", "model"))
-    offers = (
-        providers.select(
-            "provider", F.explode(F.array_union("models", F.array_compact(F.array("default_model")))).alias("model")
-        )
-        .groupBy("model")
-        .agg(F.min("provider").alias("offered_by"))
-    )
-    first_provider = providers.agg(F.min("provider")).scalar()
+    table = provider_table(providers)
+    first = F.lit(table[0].provider if table else None).cast("string")
+    offers: dict[str, str] = {}
+    searched: list[tuple[str, str]] = []
+    for row in table:
+        models, default = list(row.models or []), [row.default_model] if row.default_model else []
+        for model in models + default:
+            offers.setdefault(model, row.provider)
+        searched += [(row.provider, model) for model in models or default]
+
     named = F.coalesce("requested", "recommended")
-    fixed = (
-        requests.where(named.isNotNull())
-        .select("packet_id", named.alias("model"))
-        .join(offers, "model", "left")
-        .select("packet_id", "model", F.coalesce("offered_by", first_provider).alias("provider"))
+    offered_by = (
+        F.try_element_at(F.create_map(*[F.lit(x) for pair in offers.items() for x in pair]), named)
+        if offers
+        else F.lit(None).cast("string")
+    )
+    options = F.array(
+        *[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in searched]
+    ).cast("array<struct<provider:string,model:string>>")
+    supported = F.filter(
+        options,
+        lambda o: (F.size("patterns") == 0) | F.exists("patterns", lambda p: glob_match(o["model"], p)),
     )
-    open_requests = requests.where(named.isNull()).select("packet_id", "patterns")
-    searched = supported_models(candidates, open_requests).select(
-        "packet_id", "model", F.coalesce("provider", first_provider).alias("provider")
+    best = F.get(supported, F.lit(0))
+    return requests.select(
+        "packet_id",
+        F.coalesce(named, best["model"]).alias("model"),
+        F.when(named.isNotNull(), F.coalesce(offered_by, first)).otherwise(F.coalesce(best["provider"], first)).alias("provider"),
     )
-    return fixed.unionByName(searched)

@@ -110,7 +110,7 @@ def _partial_grid(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long")
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     )
 
     def cell(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -242,8 +242,9 @@ def token_diversity(hits: DataFrame, k: int) -> DataFrame:
     fetched, so its list is small.
     """
     target = max(int(k), 1)
+    item = F.struct("rank", *[c for c in hits.columns if c not in ("query_id", "rank")])
     lists = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", *[c for c in hits.columns if c not in ("query_id", "rank")]))).alias("hits")
+        F.array_sort(F.collect_list(item), lambda a, b: a["rank"] - b["rank"]).alias("hits")
     )
     start = F.struct(F.array().cast("array<int>").alias("chosen"), F.array().cast("array<string>").alias("seen"))
 

@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkweave.functions.arrays import running_sums
 from chunkweave.functions.text import SPACE_SET, join_lines, let, lstrip, sha256, split_lines, strip
@@ -31,6 +32,9 @@ JAVA_BRACE_LINES = 30
 SEGMENT = "struct<id:string,kind:string,text:string,start_line:int,end_line:int,symbol:string>"
 NO_SEGMENTS = f"array<{SEGMENT}>"
 NO_CUTS = "array<struct<a:int,b:int>>"
+MEMBERS = T.ArrayType(
+    T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+)
 
 
 def segment(path: Column, kind: Column | str, text: Column, start: Column, end: Column, symbol: Column) -> Column:
@@ -210,7 +214,7 @@ def _member_text(key: str, value: object) -> dict:
     return {"key": str(key), "value": json.dumps(value, ensure_ascii=False, indent=2)}
 
 
-@F.pandas_udf("array<struct<key:string,value:string>>")
+@F.pandas_udf(MEMBERS)
 def json_members(content: pd.Series) -> pd.Series:
     """Members of a JSON object with indented values; null for anything else.
 

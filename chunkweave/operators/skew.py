@@ -9,31 +9,33 @@ HOT_SHARE = 1_000
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding more than 1/``share`` of all rows: fewer than ``share`` by construction."""
-    counts = rows.groupBy(key).count()
+    counts = rows.groupBy(*keys).count()
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return counts.where((F.col("count") * share > total) & (F.col("count") > 1)).select(F.col(key).alias("hot_key"))
+    return counts.where((F.col("count") * share > total) & (F.col("count") > 1)).select(
+        *keys, F.lit(True).alias("is_hot")
+    )
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", share: int = HOT_SHARE, salts: int = SALTS
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: str | list[str],
+    how: str = "left",
+    share: int = HOT_SHARE,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` with unique keys; hot keys spread over ``salts`` tasks.
 
     Only hot keys are copied on the lookup side. The hot-key list has fewer than ``share`` entries,
     so broadcasting it is safe whatever the data size. ``rows`` is read once more for its key
-    column: pass a stored table rather than a long plan.
+    columns: pass a stored table rather than a long plan.
     """
-    hot = F.broadcast(hot_keys(rows, key, share))
-    spread = F.when(F.col("hot_key").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    left = rows.join(hot, rows[key] == hot["hot_key"], "left").withColumn(
-        "salt", F.coalesce(spread, F.lit(0))
-    ).drop("hot_key")
-    copies = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        lookup.join(hot, lookup[key] == hot["hot_key"], "left")
-        .withColumn("salt", F.explode(copies))
-        .drop("hot_key")
-    )
-    return left.join(right, [key, "salt"], how).drop("salt")
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = F.broadcast(hot_keys(rows, keys, share))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    left = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("is_hot"), spread).otherwise(F.lit(0))).drop("is_hot")
+    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    return left.join(right, [*keys, "salt"], how).drop("salt")

@@ -39,9 +39,10 @@ def line_windows(
 def line_chunks(
     sources: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK, overlap_lines: int = OVERLAP_LINES
 ) -> DataFrame:
-    """``sources(path, ext, content)`` to ``chunks(path, ext, ord, text)``; no shuffle."""
+    """``sources(path, ..., content)`` to ``chunks(path, ..., ord, text)``; no shuffle."""
     return sources.select(
-        "path", "ext", F.posexplode(line_windows(F.col("content"), lines_per_chunk, overlap_lines)).alias("ord", "text")
+        *[c for c in sources.columns if c != "content"],
+        F.posexplode(line_windows(F.col("content"), lines_per_chunk, overlap_lines)).alias("ord", "text"),
     )
 
 
