@@ -444,7 +444,7 @@ def file_header(content: Column, max_chars: int = 6000) -> Column:
 
             def assemble(rows: Column) -> Column:
                 comment_ends = ~F.coalesce(
-                    F.element_at(comment, -1).rlike("package|import|@"), F.lit(True)
+                    F.try_element_at(comment, F.lit(-1)).rlike("package|import|@"), F.lit(True)
                 )
                 # Another statement ends the header only right after a comment that is no
                 # package, import or annotation text; after a header line it is passed over.

@@ -203,6 +203,7 @@ def annotation_class(spark, folder):
 
 # --- SQL --------------------------------------------------------------------------------------
 
+BRACES = "(length({0}) - length(replace({0}, '{{', ''))) - (length({0}) - length(replace({0}, '}}', '')))"
 SRC = f"WITH RECURSIVE {In.SOURCES}"
 LINES = f"""{SRC},
 doc_lines AS (SELECT path, content, {In.sql_lines('content')} AS lines FROM sources),
@@ -253,7 +254,7 @@ everything AS (
     )
 
 
-def _sql_greedy(units: str, limit: int, overlap: int) -> str:
+def _sql_greedy(units: str, limit: int, overlap: int, p: str = "") -> str:
     """Greedy packing of ``units(path, units, tokens)``, jumping from cut to cut.
 
     ``s`` is the first unit of the open part and ``m`` the first one not in it yet; the next cut is
@@ -265,17 +266,17 @@ def _sql_greedy(units: str, limit: int, overlap: int) -> str:
         else f"coalesce(list_min(list_filter(range(s, m), lambda j: cum[m + 1] - cum[j + 1] <= {overlap})), m - 1)"
     )
     return f"""
-summed AS (
+{p}summed AS (
     SELECT path, units, len(units) AS n,
            list_transform(range(0, len(tokens) + 1), lambda k: coalesce(list_sum(tokens[1 : k]), 0)) AS cum
     FROM {units} WHERE len(units) > 0),
-jumps AS (
-    SELECT path, 0 AS k, 0::BIGINT AS s, coalesce(list_min(list_filter(range(1, n), lambda j: cum[j + 2] > {limit})), n) AS m FROM summed
+{p}jumps AS (
+    SELECT path, 0 AS k, 0::BIGINT AS s, coalesce(list_min(list_filter(range(1, n), lambda j: cum[j + 2] > {limit})), n) AS m FROM {p}summed
     UNION ALL
     SELECT path, k + 1, s2, coalesce(list_min(list_filter(range(m + 1, n), lambda j: cum[j + 2] - cum[s2 + 1] > {limit})), n)
-    FROM (SELECT path, k, m, n, cum, {tail} AS s2 FROM jumps JOIN summed USING (path) WHERE m < n) t),
-parts AS (
-    SELECT path, k, s, m, {In.sql_join('units[s + 1 : m]')} AS text FROM jumps JOIN summed USING (path))
+    FROM (SELECT path, k, m, n, cum, {tail} AS s2 FROM {p}jumps JOIN {p}summed USING (path) WHERE m < n) t),
+{p}parts AS (
+    SELECT path, k, s, m, {In.sql_join('units[s + 1 : m]')} AS text FROM {p}jumps JOIN {p}summed USING (path))
 """
 
 
@@ -283,12 +284,199 @@ def _tokens_list(x: str) -> str:
     return f"list_transform({x}, lambda u: {In.sql_word_count('u')})"
 
 
+def _sql_pack_sections(sections: str, strategy: str, p: str) -> str:
+    """``sections(path, i, text)`` to micro parts (40/8), and these packed (120/20) in ``{p}parts``."""
+    if strategy == "lines":
+        units = f"list_filter(list_transform({In.sql_lines('text')}, lambda u: {In.sql_rstrip('u')}), lambda u: u <> '')"
+    else:
+        units = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda u: {In.sql_strip('u')}), lambda u: u <> '')"
+    return f"""
+{p}units AS (SELECT path || chr(1) || i AS path, {units} AS units FROM {sections}),
+{p}counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM {p}units),
+{_sql_greedy(p + 'counted', 40, 8, p + 'm_')},
+{p}blocks AS (
+    SELECT split_part(path, chr(1), 1) AS path, list(text ORDER BY CAST(split_part(path, chr(1), 2) AS INTEGER), k) AS units
+    FROM {p}m_parts GROUP BY 1),
+{p}packable AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM {p}blocks),
+{_sql_greedy(p + 'packable', 120, 20, p)}
+"""
+
+
+WORD_CHARS = r"\p{L}\p{M}\p{N}_"
+DEFINES = f"regexp_matches(line, '^{SP}*(def|class|function|fn|interface|type){SP}+[A-Za-z_]')"
+HEADERS = f"""
+header_lines AS (
+    SELECT path, i, line, CASE WHEN starts_with({In.sql_strip('line')}, 'package ') OR starts_with({In.sql_strip('line')}, 'import ')
+        OR starts_with({In.sql_strip('line')}, '@') THEN 'head'
+        WHEN regexp_matches(line, 'class |interface |enum |record ') THEN 'type' ELSE 'other' END AS kind FROM ln),
+first_types AS (SELECT path, min(i) AS t FROM header_lines WHERE kind = 'type' GROUP BY path),
+header_texts AS (
+    SELECT path, {In.sql_strip('string_agg(line, chr(10) ORDER BY i)')} AS header FROM header_lines LEFT JOIN first_types USING (path)
+    WHERE (kind = 'head' AND (t IS NULL OR i < t)) OR i = t GROUP BY path)
+"""
+LINE_PACKED = f"""
+flat_units AS (SELECT path, list_filter({In.sql_lines('content')}, lambda u: {In.sql_strip('u')} <> '') AS units FROM sources),
+flat_counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM flat_units),
+{_sql_greedy('flat_counted', 120, 20, 'flat_')}
+"""
+TEXT_PACKED = f"""{PARAGRAPHS},
+text_counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM paras),
+{_sql_greedy('text_counted', 120, 20, 'text_')}
+"""
+MARKDOWN_PACKED = f"""
+md_numbered AS (SELECT *, sum(CASE WHEN i = 1 OR starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS sec FROM ln),
+md_sections AS (SELECT path, sec AS i, {In.sql_strip('string_agg(line, chr(10) ORDER BY i)')} AS text FROM md_numbered GROUP BY path, sec),
+{_sql_pack_sections('md_sections', 'paragraphs', 'md_')}
+"""
+CODE_PACKED = f"""
+code_marks AS (SELECT path, i, n FROM ln WHERE {DEFINES}),
+code_spans AS (SELECT path, i AS first, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS last FROM code_marks),
+code_sections AS (SELECT path, first AS i, {In.sql_join('lines[first : last]')} AS text FROM code_spans JOIN doc_lines USING (path)),
+{_sql_pack_sections('code_sections', 'lines', 'code_')}
+"""
+
+
+def _sql_brace_sections(limit: int) -> str:
+    """CTE ``brace_parts(path, k, text)``."""
+    return f"""
+shaped AS (SELECT path, i - 1 AS pos, n, {In.sql_strip('line')} = '' AS blank, {BRACES.format('line')} AS delta FROM ln),
+fold AS (
+    SELECT path, 0::BIGINT AS pos, 0::BIGINT AS start, 0::BIGINT AS depth, NULL::BIGINT AS a, NULL::BIGINT AS b FROM doc_lines
+    UNION ALL
+    SELECT path, pos + 1, CASE WHEN gap OR full_ THEN pos + 1 ELSE start END, CASE WHEN gap THEN depth ELSE depth + delta END,
+           CASE WHEN gap OR full_ THEN start END, CASE WHEN gap THEN pos WHEN full_ THEN pos + 1 END
+    FROM (SELECT f.path, f.pos, f.start, f.depth, s.delta, s.blank AND f.pos > f.start AND f.depth = 0 AS gap,
+                 f.depth + s.delta = 0 AND f.pos + 1 - f.start >= {limit} AS full_
+          FROM fold f JOIN shaped s ON s.path = f.path AND s.pos = f.pos) t),
+cuts AS (SELECT path, a, b FROM fold WHERE a IS NOT NULL UNION ALL
+         SELECT path, start, len(lines) FROM fold JOIN doc_lines USING (path) WHERE pos = len(lines) AND start < len(lines)),
+brace_all AS (SELECT path, a AS k, {In.sql_join('lines[a + 1 : b]')} AS text FROM cuts JOIN doc_lines USING (path)),
+brace_parts AS (SELECT * FROM brace_all WHERE text <> '')
+"""
+
+
+def _sql_code_chunks(name: str, separator: str) -> str:
+    """CTE ``{name}_chunks``: preamble, packed symbols with header, or packed lines without symbols."""
+    return f"""
+{name}_chunks AS (
+    SELECT path, 0 AS ord, path || ':{name}:preamble' AS id, '{name}' AS chunker, 1 AS block_count, true AS preamble, header AS text
+    FROM (SELECT path, substr(header, 1, 6000) AS header FROM header_texts) JOIN (SELECT DISTINCT path FROM code_marks) USING (path) WHERE header <> ''
+    UNION ALL
+    SELECT path, CASE WHEN coalesce(header, '') <> '' THEN k + 1 ELSE k END, path || ':{name}:' || k, '{name}', m - s, false,
+           CASE WHEN coalesce(header, '') <> '' THEN substr(header, 1, 6000) || {separator} || text ELSE text END
+    FROM code_parts LEFT JOIN header_texts USING (path)
+    UNION ALL
+    SELECT path, k, path || ':code_fallback:' || k, 'code:fallback', m - s, false, text
+    FROM flat_parts WHERE path NOT IN (SELECT path FROM code_marks))
+"""
+
+
+PLAIN_SEPARATOR = "chr(10) || chr(10)"
+JAVA_SEPARATOR = "chr(10) || chr(10) || '// ... code ...' || chr(10) || chr(10)"
+PACKED_OUT = """
+SELECT path, CAST(ord AS INTEGER) AS ord, id, chunker, CAST(block_count AS INTEGER) AS block_count, preamble, sha256(text) AS digest
+"""
+
+
+def _sql_simple_chunks(parts: str, chunker: str) -> str:
+    return f"SELECT path, k AS ord, path || ':{chunker}:' || k AS id, '{chunker}' AS chunker, m - s AS block_count, false AS preamble, text FROM {parts}"
+
+
+SEGMENTS_AS_CHUNKS = f"""
+parts AS (SELECT path, lang, list_filter(list_transform(string_split_regex(content, '\\n{SP}*\\n'), lambda p: {In.sql_strip('p')}), lambda p: p <> '') AS ps FROM sources),
+each AS (SELECT path, lang, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM parts),
+sized AS (SELECT *, greatest(len({In.sql_lines('text')}), 1) AS n FROM each),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY i) AS last FROM sized),
+items AS (
+    SELECT path, CAST(i AS INTEGER) AS i, path || ':paragraph:' || CAST(last - n + 1 AS BIGINT) || ':' || substr(sha256(text), 1, 10) AS id, text, lang FROM placed)
+"""
+ESTIMATE = f"(CASE WHEN {In.sql_strip('{0}')} = '' THEN 0 ELSE greatest(1, length({In.sql_strip('{0}')}) // 4) END)"
+
+
+def _sql_split(items: str, limit: int) -> str:
+    """CTE ``split_items(path, i, part, id, text, lang)``."""
+    return f"""
+long_items AS (SELECT path, i, id, lang, {In.sql_lines('text')} AS lines FROM {items} WHERE {ESTIMATE.format('text')} > {limit}),
+splits AS (
+    SELECT path, i, 0 AS part, 0::BIGINT AS a, coalesce(list_min(list_filter(range(1, len(lines)),
+           lambda j: {ESTIMATE.format("array_to_string(lines[1 : j + 1], chr(10))")} > {limit})), len(lines)) AS b FROM long_items
+    UNION ALL
+    SELECT path, i, part + 1, b, coalesce(list_min(list_filter(range(b + 1, len(lines)),
+           lambda j: {ESTIMATE.format("array_to_string(lines[b + 1 : j + 1], chr(10))")} > {limit})), len(lines))
+    FROM splits JOIN long_items USING (path, i) WHERE b < len(lines)),
+split_texts AS (
+    SELECT path, i, part, id, lang, {In.sql_join('lines[a + 1 : b]')} AS text FROM splits JOIN long_items USING (path, i)),
+split_parts AS (
+    SELECT path, i, row_number() OVER (PARTITION BY path, i ORDER BY part) - 1 AS part, count(*) OVER (PARTITION BY path, i) AS parts, id, lang, text
+    FROM split_texts WHERE text <> ''),
+split_items AS (
+    SELECT path, i, part, CASE WHEN parts = 1 THEN id ELSE id || ':part:' || part END AS id, text, lang FROM split_parts
+    UNION ALL
+    SELECT path, i, 0, id, text, lang FROM {items} WHERE {ESTIMATE.format('text')} <= {limit})
+"""
+
+
+def _sql_merge(items: str, order: str, limit: int) -> str:
+    """CTE ``merged(path, k, id, text, lang, n)``."""
+    return f"""
+numbered_items AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {order}) AS pos, count(*) OVER (PARTITION BY path) AS total FROM {items}),
+merging AS (
+    SELECT path, pos, total, id, text, lang, 0 AS k, NULL::VARCHAR AS out_id, NULL::VARCHAR AS out_text FROM numbered_items WHERE pos = 1
+    UNION ALL
+    SELECT m.path, n.pos, n.total,
+           CASE WHEN {ESTIMATE.format('m.text')} >= {limit} THEN n.id ELSE m.id || '+' || n.id END,
+           CASE WHEN {ESTIMATE.format('m.text')} >= {limit} THEN n.text ELSE {In.sql_strip("m.text || chr(10) || chr(10) || n.text")} END,
+           m.lang, CASE WHEN {ESTIMATE.format('m.text')} >= {limit} THEN m.k + 1 ELSE m.k END,
+           CASE WHEN {ESTIMATE.format('m.text')} >= {limit} THEN m.id END, CASE WHEN {ESTIMATE.format('m.text')} >= {limit} THEN m.text END
+    FROM merging m JOIN numbered_items n ON n.path = m.path AND n.pos = m.pos + 1),
+merged AS (
+    SELECT path, k - 1 AS k, out_id AS id, out_text AS text, lang FROM merging WHERE out_id IS NOT NULL
+    UNION ALL
+    SELECT path, k, id, text, lang FROM merging WHERE pos = total)
+"""
+
+
+def _limited_out(rows: str, ord_: str, tags: str) -> str:
+    return f"SELECT path, CAST({ord_} AS INTEGER) AS ord, id, sha256(text) AS digest, {tags} AS tags FROM {rows}"
+
+
+TAGS_AS_GIVEN = "'paragraph,' || lang"
+TAGS_SORTED = "CASE WHEN contains(id, '+') THEN least('paragraph', lang) || ',' || greatest('paragraph', lang) ELSE 'paragraph,' || lang END"
+JAVA_SHAPES = f"""
+java_lines AS (
+    SELECT path, i, n, {BRACES.format("line")} AS delta,
+           regexp_extract(line, '^{SP}*(public{SP}+|private{SP}+|protected{SP}+)?(class|interface|enum){SP}+([{WORD_CHARS}]+)', 3) AS type_name,
+           regexp_extract(line, '^{SP}*(public|private|protected)?{SP}*(static{SP}+)?[{WORD_CHARS}<>\\[\\], ?]+{SP}+([{WORD_CHARS}]+){SP}*\\([^)]*\\){SP}*\\{{?{SP}*$', 3) AS method
+    FROM ln),
+java_fold AS (
+    SELECT path, 0::BIGINT AS i, 0::BIGINT AS first, ''::VARCHAR AS kind, ''::VARCHAR AS symbol, 0::BIGINT AS depth,
+           NULL::BIGINT AS a, NULL::VARCHAR AS a_kind, NULL::VARCHAR AS a_symbol FROM doc_lines
+    UNION ALL
+    SELECT path, i, CASE WHEN closes THEN 0 ELSE first END, CASE WHEN closes THEN '' ELSE kind END, CASE WHEN closes THEN '' ELSE symbol END,
+           CASE WHEN closes THEN 0 ELSE depth END, CASE WHEN closes THEN first END, CASE WHEN closes THEN kind END, CASE WHEN closes THEN symbol END
+    FROM (SELECT *, first > 0 AND depth <= 0 AS closes FROM (
+        SELECT f.path, l.i, f.depth + l.delta AS depth,
+               CASE WHEN f.first = 0 AND (type_name <> '' OR method <> '') THEN l.i ELSE f.first END AS first,
+               CASE WHEN f.first > 0 THEN f.kind WHEN type_name <> '' THEN 'class_header' WHEN method <> '' THEN 'method' ELSE '' END AS kind,
+               CASE WHEN f.first > 0 THEN f.symbol WHEN type_name <> '' THEN type_name ELSE method END AS symbol
+        FROM java_fold f JOIN java_lines l ON l.path = f.path AND l.i = f.i + 1) x) t),
+java_found AS (
+    SELECT path, a_kind AS kind, a AS first, i AS last, a_symbol AS symbol FROM java_fold WHERE a IS NOT NULL
+    UNION ALL
+    SELECT path, kind, first, i, symbol FROM java_fold JOIN doc_lines USING (path) WHERE i = len(lines) AND first > 0),
+java_spans AS (
+    SELECT * FROM java_found UNION ALL
+    SELECT path, 'java_file', 1, len(lines), NULL FROM doc_lines WHERE len(lines) > 0 AND path NOT IN (SELECT path FROM java_found)),
+"""
+
 PART_OUT = """
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS INTEGER) AS ord, sha256(text) AS digest, length(text) AS n_chars
 FROM parts WHERE text <> ''
 """
 
-BRACES = "(length({0}) - length(replace({0}, '{{', ''))) - (length({0}) - length(replace({0}, '}}', '')))"
+
+QUERIES_ROUTE = """SELECT path, CASE ext WHEN '.java' THEN 'java' WHEN '.py' THEN 'python' WHEN '.md' THEN 'markdown'
+    WHEN '.txt' THEN 'text' WHEN '.rst' THEN 'text' WHEN '.sh' THEN 'text' WHEN '.bin' THEN 'text' ELSE 'code' END AS route FROM sources"""
 
 QUERIES = {
     "chunker_route": (
@@ -329,7 +517,10 @@ QUERIES = {
             "code_block",
         ),
     ),
-    "java_segments": (java_segments, None),
+    "java_segments": (
+        java_segments,
+        LINES + f", {JAVA_SHAPES} {_sql_segment_rows('java_spans')}" + SEGMENT_OUT + " FROM segs",
+    ),
     "paragraph_segments": (
         paragraph_segments,
         f"""{SRC},
@@ -354,23 +545,7 @@ QUERIES = {
                1 AS start_line, CAST(n AS INTEGER) AS end_line, symbol, sha256(text) AS digest FROM everything""",
     ),
     "brace_sections": (
-        brace_sections,
-        LINES
-        + f""",
-        shaped AS (SELECT path, i - 1 AS at, n, {In.sql_strip('line')} = '' AS blank, {BRACES.format('line')} AS delta FROM ln),
-        fold AS (
-            SELECT path, 0::BIGINT AS at, 0::BIGINT AS start, 0::BIGINT AS depth, NULL::BIGINT AS a, NULL::BIGINT AS b FROM doc_lines
-            UNION ALL
-            SELECT path, at + 1, CASE WHEN gap OR full_ THEN at + 1 ELSE start END, CASE WHEN gap THEN depth ELSE depth + delta END,
-                   CASE WHEN gap OR full_ THEN start END, CASE WHEN gap THEN at WHEN full_ THEN at + 1 END
-            FROM (SELECT f.path, f.at, f.start, f.depth, s.delta, s.blank AND f.at > f.start AND f.depth = 0 AS gap,
-                         f.depth + s.delta = 0 AND f.at + 1 - f.start >= 12 AS full_
-                  FROM fold f JOIN shaped s ON s.path = f.path AND s.at = f.at) t),
-        cuts AS (SELECT path, a, b FROM fold WHERE a IS NOT NULL UNION ALL
-                 SELECT path, start, len(lines) FROM fold JOIN doc_lines USING (path) WHERE at = len(lines) AND start < len(lines)),
-        parts AS (SELECT path, a AS k, {In.sql_join('lines[a + 1 : b]')} AS text FROM cuts JOIN doc_lines USING (path))
-        """
-        + PART_OUT,
+        brace_sections, f"{LINES}, {_sql_brace_sections(12)}" + PART_OUT.replace("FROM parts", "FROM brace_parts")
     ),
     "line_blocks": (
         line_blocks,
@@ -406,16 +581,66 @@ QUERIES = {
         {_sql_greedy('counted', 80, 15)}
         SELECT path, CAST(k AS INTEGER) AS ord, sha256(text) AS digest, CAST(m - s AS INTEGER) AS block_count FROM parts""",
     ),
-    "text_chunks": (text_chunks, None),
-    "markdown_chunks": (markdown_chunks, None),
+    "text_chunks": (
+        text_chunks,
+        f"{SRC}, {TEXT_PACKED}" + PACKED_OUT + f" FROM ({_sql_simple_chunks('text_parts', 'text')})",
+    ),
+    "markdown_chunks": (
+        markdown_chunks,
+        f"{LINES}, {MARKDOWN_PACKED}" + PACKED_OUT + f" FROM ({_sql_simple_chunks('md_parts', 'markdown')})",
+    ),
     "parent_child": (parent_child, None),
-    "code_chunks": (code_chunks, None),
-    "file_headers": (file_headers, None),
-    "routed_chunks": (routed_chunks, None),
-    "multi_view": (multi_view, None),
-    "split_oversize": (split_oversize, None),
-    "merge_small": (merge_small, None),
-    "chunk_limits": (chunk_limits, None),
+    "code_chunks": (
+        code_chunks,
+        f"{LINES}, {HEADERS}, {CODE_PACKED}, {LINE_PACKED}, {_sql_code_chunks('java', JAVA_SEPARATOR)}" + PACKED_OUT + " FROM java_chunks",
+    ),
+    "file_headers": (
+        file_headers,
+        f"{LINES}, {HEADERS} SELECT path, sha256(substr(coalesce(header, ''), 1, 200)) AS digest FROM sources LEFT JOIN header_texts USING (path)",
+    ),
+    "routed_chunks": (
+        routed_chunks,
+        f"{LINES}, {HEADERS}, {CODE_PACKED}, {LINE_PACKED}, {TEXT_PACKED}, {MARKDOWN_PACKED}, "
+        + ", ".join(_sql_code_chunks(n, JAVA_SEPARATOR if n == "java" else PLAIN_SEPARATOR) for n in ("java", "python", "code"))
+        + f""", routes AS ({QUERIES_ROUTE}),
+        routed AS (
+            SELECT * FROM java_chunks JOIN routes USING (path) WHERE route = 'java' UNION ALL
+            SELECT * FROM python_chunks JOIN routes USING (path) WHERE route = 'python' UNION ALL
+            SELECT * FROM code_chunks JOIN routes USING (path) WHERE route = 'code' UNION ALL
+            SELECT * FROM ({_sql_simple_chunks('md_parts', 'markdown')}) JOIN routes USING (path) WHERE route = 'markdown' UNION ALL
+            SELECT * FROM ({_sql_simple_chunks('text_parts', 'text')}) JOIN routes USING (path) WHERE route = 'text')
+        SELECT path, CAST(ord AS INTEGER) AS ord, id, chunker, CASE WHEN chunker IN ('text', 'code:fallback') THEN NULL ELSE chunker END AS lang,
+               CAST(block_count AS INTEGER) AS block_count, sha256(text) AS digest FROM routed""",
+    ),
+    "multi_view": (
+        multi_view,
+        f"{LINES}, {HEADERS}, {CODE_PACKED}, {LINE_PACKED}, {TEXT_PACKED}, {_sql_brace_sections(40)}, "
+        + "brace_sections AS (SELECT path, k AS i, text FROM brace_parts), "
+        + _sql_pack_sections("brace_sections", "lines", "br_")
+        + ", "
+        + _sql_code_chunks("code", PLAIN_SEPARATOR)
+        + f""", views AS (
+            SELECT *, 1 AS view FROM code_chunks UNION ALL
+            SELECT *, 2 FROM ({_sql_simple_chunks('br_parts', 'brace')}) UNION ALL
+            SELECT *, 3 FROM ({_sql_simple_chunks('text_parts', 'text')})),
+        firsts AS (SELECT *, row_number() OVER (PARTITION BY path, chunker, substr(text, 1, 2000) ORDER BY view, ord) AS copy FROM views)
+        SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY view, ord) - 1 AS INTEGER) AS ord, id, chunker, sha256(text) AS digest
+        FROM firsts WHERE copy = 1""",
+    ),
+    "split_oversize": (
+        split_oversize,
+        f"{SRC}, {SEGMENTS_AS_CHUNKS}, {_sql_split('items', 60)}"
+        + _limited_out("split_items", "row_number() OVER (PARTITION BY path ORDER BY i, part) - 1", TAGS_AS_GIVEN),
+    ),
+    "merge_small": (
+        merge_small,
+        f"{SRC}, {SEGMENTS_AS_CHUNKS}, {_sql_merge('items', 'i', 50)}" + _limited_out("merged", "k", TAGS_SORTED),
+    ),
+    "chunk_limits": (
+        chunk_limits,
+        f"{SRC}, {SEGMENTS_AS_CHUNKS}, {_sql_split('items', 60)}, {_sql_merge('split_items', 'i, part', 50)}"
+        + _limited_out("merged", "k", TAGS_SORTED),
+    ),
     "annotation_tags": (
         annotation_tags,
         f"""{SRC},
