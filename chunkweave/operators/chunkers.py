@@ -1,7 +1,8 @@
 """Structural chunkers: sections to blocks, blocks to packed chunks, per file extension.
 
-A chunker is a function of ``(path, ext, content, options)`` giving an array column of ``CHUNK``
-structs. All chunkers stay inside the row of their document.
+A chunker is a function of ``(path, content, options)`` giving a ``SECTIONED`` struct: the sections
+of the document and how to cut and name them. Cutting and packing are one shared expression, so a
+plan that routes over many chunkers holds it once. All of it stays inside the row of the document.
 """
 
 from __future__ import annotations
@@ -12,16 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.functions.arrays import first_of_each
-from chunkweave.functions.text import is_blank, let, split_lines, strip, word_count
+from chunkweave.functions.text import is_blank, let, split_lines, word_count
 from chunkweave.operators.packing import ChunkingOptions, TokenCounter, micro_split, pack_blocks, paragraphs
 from chunkweave.operators.segments import brace_sections, code_segments, file_header, heading_sections
 
-BLOCK_META = "struct<kind:string,level:string,parent_id:string,child_index:int,symbol:string,line_start:int,line_end:int,hard_split:boolean>"
+BLOCK_META = (
+    "struct<kind:string,level:string,parent_id:string,child_index:int,symbol:string,"
+    "line_start:int,line_end:int,hard_split:boolean>"
+)
 CHUNK = (
     "struct<id:string,text:string,chunker:string,lang:string,ext:string,preamble:boolean,"
     f"block_count:int,blocks_meta:array<{BLOCK_META}>>"
 )
 CHUNKS = f"array<{CHUNK}>"
+SECTION = "struct<text:string,parent_id:string,symbol:string,start_line:int,end_line:int>"
+SECTIONED = (
+    f"struct<sections:array<{SECTION}>,split:string,parent_kind:string,child_kind:string,"
+    "chunker:string,prefix:string,lang:string,header:string,separator:string>"
+)
 REPEAT_KEY_CHARS = 2000
 
 # Extensions by chunker.
@@ -29,7 +38,7 @@ CODE_EXTENSIONS = (
     ".js .jsx .ts .tsx .html .css .scss .go .rs .c .h .cpp .hpp .cs .php .rb .kt .swift .json .yaml .yml .xml"
 ).split()
 
-Chunker = Callable[[Column, Column, Column, ChunkingOptions], Column]
+Chunker = Callable[[Column, Column, ChunkingOptions], Column]
 
 
 def pick_chunker(ext: Column) -> Column:
@@ -49,186 +58,215 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _block(text: Column, kind: str, level: str, parent_id: Column, index: Column | None, symbol=None, first=None, last=None) -> Column:
+def _sectioned(
+    sections: Column, *, split: str, kinds: tuple[str, str], chunker: str, prefix: str | None = None, lang: str | None = None, header: Column | None = None, separator: str = "\n\n"
+) -> Column:
+    """What one chunker makes of a document: its sections and how they are to be cut and named."""
+    return F.struct(
+        sections.alias("sections"),
+        F.lit(split).alias("split"),
+        F.lit(kinds[0]).alias("parent_kind"),
+        F.lit(kinds[1]).alias("child_kind"),
+        F.lit(chunker).alias("chunker"),
+        F.lit(prefix or chunker).alias("prefix"),
+        F.lit(lang).cast("string").alias("lang"),
+        (F.lit("") if header is None else header).alias("header"),
+        F.lit(separator).alias("separator"),
+    ).cast(SECTIONED)
+
+
+def _section(text: Column, parent_id: Column, symbol=None, first=None, last=None) -> Column:
     return F.struct(
         text.alias("text"),
-        F.lit(kind).alias("kind"),
-        F.lit(level).alias("level"),
         parent_id.alias("parent_id"),
-        (_null("int") if index is None else index.cast("int")).alias("child_index"),
         (_null("string") if symbol is None else symbol).alias("symbol"),
-        (_null("int") if first is None else first).alias("line_start"),
-        (_null("int") if last is None else last).alias("line_end"),
+        (_null("int") if first is None else first).alias("start_line"),
+        (_null("int") if last is None else last).alias("end_line"),
     )
 
 
-def parent_child_blocks(
-    parents: Column,
-    options: ChunkingOptions,
-    *,
-    parent_kind: str,
-    child_kind: str,
-    strategy: str,
-    parent_id: Callable[[Column, Column], Column],
-    count: TokenCounter = word_count,
-) -> Column:
-    """Sections to blocks: micro parts as children, and the section itself if parents are wanted.
+def text_chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
+    sections = F.transform(
+        paragraphs(content), lambda t, i: _section(t, F.concat_ws(":", path, F.lit("text:para"), i))
+    )
+    return _sectioned(sections, split="paragraphs", kinds=("paragraph", "paragraph_child"), chunker="text")
 
-    ``parents`` is an array of structs with ``text`` and optionally ``symbol`` and line numbers.
-    """
 
-    def expand(parent: Column, i: Column) -> Column:
-        pid = parent_id(parent, i)
-        details = {
-            "symbol": parent["symbol"], "first": parent["start_line"], "last": parent["end_line"]
-        }
-        if options.hierarchical:
-            parts = micro_split(
-                parent["text"],
-                target_tokens=options.micro_chunk_tokens,
-                overlap_tokens=options.micro_overlap_tokens,
-                hard_cap_tokens=options.micro_cap,
-                strategy=strategy,
-                count=count,
-            )
-        else:
-            parts = F.array(parent["text"])
-        children = F.transform(
-            parts, lambda part, j: _block(part, child_kind, options.child_level_name, pid, j, **details)
-        )
-        if not options.emit_parent_chunks:
-            return children
-        own = _block(parent["text"], parent_kind, options.parent_level_name, pid, None, **details)
-        return F.concat(F.array(own), children)
+def markdown_chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
+    def section(s: Column, i: Column) -> Column:
+        title = F.substring(F.when(s["title"] == "", F.lit("untitled")).otherwise(s["title"]), 1, 64)
+        return _section(s["text"], F.concat_ws(":", path, F.lit("md:section"), i, title), symbol=s["title"])
 
-    return F.flatten(F.transform(parents, expand))
+    return _sectioned(
+        F.transform(heading_sections(content), section),
+        split="paragraphs",
+        kinds=("md_section", "md_child"),
+        chunker="markdown",
+        lang="markdown",
+    )
 
 
-def _as_parents(texts: Column) -> Column:
-    return F.transform(
-        texts,
-        lambda t: F.struct(
-            t.alias("text"), _null("string").alias("symbol"), _null("int").alias("start_line"), _null("int").alias("end_line")
-        ),
+def brace_chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
+    sections = F.transform(
+        brace_sections(content), lambda t, i: _section(t, F.concat_ws(":", path, F.lit("brace:part"), i))
     )
+    return _sectioned(sections, split="lines", kinds=("brace_part", "brace_child"), chunker="brace")
 
 
-def _packed(
-    blocks: Column,
-    path: Column,
-    ext: Column,
-    options: ChunkingOptions,
-    *,
-    chunker: str,
-    prefix: str | None = None,
-    lang: Column | None = None,
-    symbol_limit: int = 999,
-    overlap: int | None = None,
-    preamble: bool = False,
-    count: TokenCounter = word_count,
-) -> Column:
-    """Blocks to chunk structs with ids ``path:prefix:n``."""
-
-    def build(bs: Column) -> Column:
-        packed = pack_blocks(
-            bs,
-            chunk_tokens=options.chunk_tokens,
-            overlap_tokens=options.overlap_tokens if overlap is None else overlap,
-            hard_cap_tokens=options.hard_cap_tokens,
-            max_symbol_blocks_per_chunk=symbol_limit,
-            count=count,
-        )
+def line_chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
+    """Every non-blank line is a block: the fallback where no structure is known."""
+    lines = F.filter(split_lines(content), lambda line: ~is_blank(line))
+    sections = F.transform(lines, lambda line: _section(line, _null("string")))
+    return _sectioned(sections, split="none", kinds=("line", "line"), chunker="code:fallback", prefix="code_fallback")
 
-        def chunk(c: Column, i: Column) -> Column:
-            meta = F.transform(
-                c["members"],
-                lambda at: let(
-                    F.get(bs, at),
-                    lambda b: F.struct(
-                        b["kind"].alias("kind"),
-                        b["level"].alias("level"),
-                        b["parent_id"].alias("parent_id"),
-                        b["child_index"].alias("child_index"),
-                        b["symbol"].alias("symbol"),
-                        b["line_start"].alias("line_start"),
-                        b["line_end"].alias("line_end"),
-                        c["hard_split"].alias("hard_split"),
-                    ),
-                ),
-            )
-            number = F.concat(F.lit("preamble"), F.when(i > 0, i.cast("string")).otherwise(F.lit(""))) if preamble else i
-            return F.struct(
-                F.concat_ws(":", path, F.lit(prefix or chunker), number).alias("id"),
-                c["text"].alias("text"),
-                F.lit(chunker).alias("chunker"),
-                (_null("string") if lang is None else lang).alias("lang"),
-                ext.alias("ext"),
-                F.lit(preamble).alias("preamble"),
-                F.size(c["members"]).alias("block_count"),
-                meta.alias("blocks_meta"),
+
+def symbol_chunker(language: str, separator: str = "\n\n") -> Chunker:
+    """Definitions as symbols, with a preamble chunk and the header repeated before children.
+
+    Segments come from line patterns. Files without any definition fall back to line blocks.
+    """
+
+    def chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
+        def section(s: Column) -> Column:
+            lines = F.concat_ws("-", s["start_line"], s["end_line"])
+            symbol = F.coalesce(s["symbol"], F.lit("anon"))
+            parent = F.concat_ws(":", path, F.lit(language), s["kind"], symbol, lines)
+            return _section(s["text"], parent, s["symbol"], s["start_line"], s["end_line"])
+
+        def build(segments: Column) -> Column:
+            symbols = _sectioned(
+                F.transform(segments, section),
+                split=options.micro_split_strategy,
+                kinds=("symbol", "symbol_child"),
+                chunker=language,
+                lang=language,
+                header=file_header(content, options.max_header_chars) if options.include_source_preamble else None,
+                separator=separator,
             )
+            known = F.coalesce(F.get(segments, F.lit(0))["kind"], F.lit("")) == "code_symbol"
+            return F.when(known, symbols).otherwise(line_chunker(path, content, options))
 
-        return F.transform(packed, chunk)
+        return let(code_segments(path, content), build)
 
-    return let(blocks, build).cast(CHUNKS)
+    return chunker
 
 
-def text_chunker(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-    blocks = parent_child_blocks(
-        _as_parents(paragraphs(content)),
-        options,
-        parent_kind="paragraph",
-        child_kind="paragraph_child",
-        strategy="paragraphs",
-        parent_id=lambda p, i: F.concat_ws(":", path, F.lit("text:para"), i),
-    )
-    return _packed(blocks, path, ext, options, chunker="text")
+CHUNKERS: dict[str, Chunker] = {
+    "java": symbol_chunker("java", "\n\n// ... code ...\n\n"),
+    "python": symbol_chunker("python"),
+    "code": symbol_chunker("code"),
+    "markdown": markdown_chunker,
+    "text": text_chunker,
+    "brace": brace_chunker,
+    "lines": line_chunker,
+}
 
 
-def markdown_chunker(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-    sections = F.transform(
-        heading_sections(content),
-        lambda s: F.struct(
-            s["text"].alias("text"), s["title"].alias("symbol"), _null("int").alias("start_line"), _null("int").alias("end_line")
-        ),
-    )
-    blocks = parent_child_blocks(
-        sections,
-        options,
-        parent_kind="md_section",
-        child_kind="md_child",
-        strategy="paragraphs",
-        parent_id=lambda p, i: F.concat_ws(
-            ":",
-            path,
-            F.lit("md:section"),
-            i,
-            F.substring(F.when(p["symbol"] == "", F.lit("untitled")).otherwise(p["symbol"]), 1, 64),
-        ),
+def register_chunker(name: str, chunker: Chunker) -> None:
+    CHUNKERS[name.strip()] = chunker
+
+
+def routed(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
+    """The sections by the chunker of the file's extension, picked per row in one pass."""
+    name = pick_chunker(ext)
+    return (
+        F.when(name == "java", CHUNKERS["java"](path, content, options))
+        .when(name == "python", CHUNKERS["python"](path, content, options))
+        .when(name == "markdown", CHUNKERS["markdown"](path, content, options))
+        .when(name == "code", CHUNKERS["code"](path, content, options))
+        .otherwise(CHUNKERS["text"](path, content, options))
     )
-    return _packed(blocks, path, ext, options, chunker="markdown", lang=F.lit("markdown"))
 
 
-def brace_chunker(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-    blocks = parent_child_blocks(
-        _as_parents(brace_sections(content)),
-        options,
-        parent_kind="brace_part",
-        child_kind="brace_child",
-        strategy="lines",
-        parent_id=lambda p, i: F.concat_ws(":", path, F.lit("brace:part"), i),
+def parent_child_blocks(plan: Column, options: ChunkingOptions, count: TokenCounter = word_count) -> Column:
+    """Sections to blocks: micro parts as children, and the section itself if parents are wanted."""
+
+    def block(text: Column, kind: Column, level: str, section: Column, index: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            kind.alias("kind"),
+            F.lit(level).alias("level"),
+            section["parent_id"].alias("parent_id"),
+            index.cast("int").alias("child_index"),
+            section["symbol"].alias("symbol"),
+            section["start_line"].alias("line_start"),
+            section["end_line"].alias("line_end"),
+        )
+
+    def expand(section: Column) -> Column:
+        whole = F.array(section["text"])
+        if options.hierarchical:
+            parts = F.when(plan["split"] == "none", whole).otherwise(
+                micro_split(
+                    section["text"],
+                    target_tokens=options.micro_chunk_tokens,
+                    overlap_tokens=options.micro_overlap_tokens,
+                    hard_cap_tokens=options.micro_cap,
+                    strategy=plan["split"],
+                    count=count,
+                )
+            )
+        else:
+            parts = whole
+        children = F.transform(
+            parts,
+            lambda part, j: block(
+                part, plan["child_kind"], options.child_level_name, section, F.when(plan["split"] != "none", j)
+            ),
+        )
+        if not options.emit_parent_chunks:
+            return children
+        own = F.array(block(section["text"], plan["parent_kind"], options.parent_level_name, section, _null("int")))
+        return F.when(plan["split"] == "none", children).otherwise(F.concat(own, children))
+
+    return F.flatten(F.transform(plan["sections"], expand))
+
+
+def _preamble_block(header: Column, options: ChunkingOptions) -> Column:
+    return F.struct(
+        header.alias("text"),
+        F.lit("preamble").alias("kind"),
+        F.lit(options.parent_level_name).alias("level"),
+        _null("string").alias("parent_id"),
+        _null("int").alias("child_index"),
+        _null("string").alias("symbol"),
+        _null("int").alias("line_start"),
+        _null("int").alias("line_end"),
     )
-    return _packed(blocks, path, ext, options, chunker="brace")
 
 
-def line_chunker(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-    """Every non-blank line is a block: the fallback where no structure is known."""
-    lines = F.filter(split_lines(content), lambda line: ~is_blank(line))
-    blocks = F.transform(lines, lambda line: _block(line, "line", options.child_level_name, _null("string"), None))
-    return _packed(blocks, path, ext, options, chunker="code:fallback", prefix="code_fallback")
+def _named(blocks: Column, packed: Column, plan: Column, path: Column, ext: Column, preamble: bool) -> Column:
+    """Packed blocks as chunk structs with ids ``path:prefix:n``."""
+
+    def meta(chunk: Column) -> Column:
+        return F.transform(
+            chunk["members"],
+            lambda at: let(
+                F.get(blocks, at),
+                lambda b: F.struct(
+                    *[b[f].alias(f) for f in ("kind", "level", "parent_id", "child_index", "symbol", "line_start", "line_end")],
+                    chunk["hard_split"].alias("hard_split"),
+                ),
+            ),
+        )
+
+    def chunk(c: Column, i: Column) -> Column:
+        number = F.concat(F.lit("preamble"), F.when(i > 0, i.cast("string")).otherwise(F.lit(""))) if preamble else i
+        return F.struct(
+            F.concat_ws(":", path, plan["prefix"], number).alias("id"),
+            c["text"].alias("text"),
+            plan["chunker"].alias("chunker"),
+            plan["lang"].alias("lang"),
+            ext.alias("ext"),
+            F.lit(preamble).alias("preamble"),
+            F.size(c["members"]).alias("block_count"),
+            meta(c).alias("blocks_meta"),
+        )
+
+    return F.transform(packed, chunk).cast(CHUNKS)
 
 
-def inject_context(chunks: Column, header: Column, child_level: str, separator: str = "\n\n") -> Column:
+def inject_context(chunks: Column, header: Column, child_level: str, separator: Column) -> Column:
     """Put the header before every chunk that holds a child block; its tokens are not counted."""
     return F.transform(
         chunks,
@@ -236,111 +274,95 @@ def inject_context(chunks: Column, header: Column, child_level: str, separator:
             "text",
             F.when(
                 (header != "") & F.exists(c["blocks_meta"], lambda b: b["level"] == child_level),
-                F.concat(header, F.lit(separator), c["text"]),
+                F.concat(header, separator, c["text"]),
             ).otherwise(c["text"]),
         ),
     )
 
 
-def symbol_chunker(language: str, separator: str = "\n\n") -> Chunker:
-    """Definitions as symbols, with a preamble chunk and the header repeated before children.
-
-    Segments come from line patterns. Files without any definition fall back to line blocks.
-    """
-
-    def chunker(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-        def build(segments: Column, header: Column) -> Column:
-            blocks = parent_child_blocks(
-                segments,
-                options,
-                parent_kind="symbol",
-                child_kind="symbol_child",
-                strategy=options.micro_split_strategy,
-                parent_id=lambda s, i: F.concat_ws(
-                    ":",
-                    path,
-                    F.lit(language),
-                    s["kind"],
-                    F.coalesce(s["symbol"], F.lit("anon")),
-                    F.concat_ws("-", s["start_line"], s["end_line"]),
+def chunks_of(plan: Column, path: Column, ext: Column, options: ChunkingOptions, count: TokenCounter = word_count) -> Column:
+    """Sections cut, packed, named and given their context: an array of ``CHUNK``."""
+    limit = max(1, options.max_symbol_blocks_per_chunk) if options.emit_parent_chunks else 999
+
+    def build(p: Column) -> Column:
+        blocks = parent_child_blocks(p, options, count)
+        lead = F.array(_preamble_block(p["header"], options))
+        if not options.separate_preamble_chunk:
+            blocks = F.when(p["header"] != "", F.concat(lead, blocks)).otherwise(blocks)
+
+        def packed(bs: Column) -> Column:
+            body = _named(
+                bs,
+                pack_blocks(
+                    bs,
+                    chunk_tokens=options.chunk_tokens,
+                    overlap_tokens=options.overlap_tokens,
+                    hard_cap_tokens=options.hard_cap_tokens,
+                    max_symbol_blocks_per_chunk=limit,
+                    count=count,
                 ),
+                p,
+                path,
+                ext,
+                False,
             )
-            limit = max(1, options.max_symbol_blocks_per_chunk)
-            common = {"chunker": language, "lang": F.lit(language), "symbol_limit": limit}
-            lead = _block(header, "preamble", options.parent_level_name, _null("string"), None)
-            own_preamble = options.include_source_preamble and options.separate_preamble_chunk
-            if options.include_source_preamble and not options.separate_preamble_chunk:
-                blocks = F.when(header != "", F.concat(F.array(lead), blocks)).otherwise(blocks)
-            chunks = _packed(blocks, path, ext, options, **common)
             if options.include_context_in_children:
-                chunks = inject_context(chunks, header, options.child_level_name, separator)
-            if not own_preamble:
-                return chunks
-            first = _packed(F.array(lead), path, ext, options, overlap=0, preamble=True, **common)
-            return F.when(header != "", F.concat(first, chunks)).otherwise(chunks)
-
-        return let(
-            F.struct(
-                code_segments(path, content).alias("segments"),
-                file_header(content, options.max_header_chars).alias("header"),
-            ),
-            lambda f: F.when(
-                F.coalesce(F.get(f["segments"], F.lit(0))["kind"], F.lit("")) == "code_symbol",
-                build(f["segments"], f["header"]),
-            ).otherwise(line_chunker(path, ext, content, options)),
-        )
-
-    return chunker
-
-
-CHUNKERS: dict[str, Chunker] = {
-    "java": symbol_chunker("java", "\n\n// ... code ...\n\n"),
-    "python": symbol_chunker("python"),
-    "code": symbol_chunker("code"),
-    "markdown": markdown_chunker,
-    "text": text_chunker,
-    "brace": brace_chunker,
-}
-
+                return inject_context(body, p["header"], options.child_level_name, p["separator"])
+            return body
+
+        chunks = let(blocks, packed)
+        if not options.separate_preamble_chunk:
+            return chunks
+        if options.hard_cap_tokens is None:
+            alone = F.array(
+                F.struct(p["header"].alias("text"), F.array(F.lit(0)).alias("members"), F.lit(False).alias("hard_split"))
+            )
+        else:
+            alone = pack_blocks(
+                lead,
+                chunk_tokens=options.chunk_tokens,
+                overlap_tokens=0,
+                hard_cap_tokens=options.hard_cap_tokens,
+                count=count,
+            )
+        first = _named(lead, alone, p, path, ext, True)
+        return F.when(p["header"] != "", F.concat(first, chunks)).otherwise(chunks)
 
-def register_chunker(name: str, chunker: Chunker) -> None:
-    CHUNKERS[name.strip()] = chunker
+    return let(plan, build)
 
 
-def multi_view(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
+def multi_view(plans: Column, path: Column, ext: Column, options: ChunkingOptions) -> Column:
     """Several chunkers over the same text; a repeat within one chunker is dropped."""
-    names = options.multi_chunkers or ("code", "brace", "text")
-    views = F.concat(*[CHUNKERS.get(n, text_chunker)(path, ext, content, options) for n in names])
+    views = F.flatten(F.transform(plans, lambda p: chunks_of(p, path, ext, options)))
     return first_of_each(
         views,
         lambda c: F.struct(
-            F.substring(c["text"], 1, REPEAT_KEY_CHARS).alias("text"), c["chunker"].alias("chunker"),
-            F.coalesce(c["lang"], F.lit("")).alias("lang"), c["ext"].alias("ext"),
+            F.substring(c["text"], 1, REPEAT_KEY_CHARS).alias("text"),
+            c["chunker"].alias("chunker"),
+            F.coalesce(c["lang"], F.lit("")).alias("lang"),
+            c["ext"].alias("ext"),
         ),
     )
 
 
-def routed(path: Column, ext: Column, content: Column, options: ChunkingOptions) -> Column:
-    """The chunker of the file's extension, picked per row in one pass."""
-    name = pick_chunker(ext)
-    return (
-        F.when(name == "java", CHUNKERS["java"](path, ext, content, options))
-        .when(name == "python", CHUNKERS["python"](path, ext, content, options))
-        .when(name == "markdown", CHUNKERS["markdown"](path, ext, content, options))
-        .when(name == "code", CHUNKERS["code"](path, ext, content, options))
-        .otherwise(CHUNKERS["text"](path, ext, content, options))
-    )
-
+def structural_chunks(sources: DataFrame, options: ChunkingOptions | None = None, chunker: str | None = None) -> DataFrame:
+    """``sources(path, ext, content)`` to one row per chunk, all within the row of each document.
 
-def structural_chunks(sources: DataFrame, options: ChunkingOptions | None = None) -> DataFrame:
-    """``sources(path, ext, content)`` to one row per chunk."""
+    ``chunker`` forces one by name; otherwise the extension decides, or ``options.mode="multi"``
+    runs several.
+    """
     options = options or ChunkingOptions()
-    make = multi_view if options.mode == "multi" else routed
-    return explode_chunks(sources, make(F.col("path"), F.col("ext"), F.col("content"), options))
-
-
-def explode_chunks(sources: DataFrame, chunks: Column) -> DataFrame:
-    return sources.select("path", F.posexplode(chunks).alias("ord", "chunk")).select("path", "ord", "chunk.*")
+    path, ext, content = F.col("path"), F.col("ext"), F.col("content")
+    if options.mode == "multi" and chunker is None:
+        names = options.multi_chunkers or ("code", "brace", "text")
+        plans = F.array(*[CHUNKERS.get(n, text_chunker)(path, content, options) for n in names])
+        planned = sources.select("path", "ext", plans.alias("plans"))
+        chunks = multi_view(F.col("plans"), path, ext, options)
+    else:
+        plan = CHUNKERS.get(chunker, text_chunker)(path, content, options) if chunker else routed(path, ext, content, options)
+        planned = sources.select("path", "ext", plan.alias("plan"))
+        chunks = chunks_of(F.col("plan"), path, ext, options)
+    return planned.select("path", F.posexplode(chunks).alias("ord", "chunk")).select("path", "ord", "chunk.*")
 
 
 # Annotation groups of Java frameworks.

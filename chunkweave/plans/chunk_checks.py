@@ -73,19 +73,16 @@ def brace_sections(spark, folder):
     return _texts(In.sources(spark, folder), G.brace_sections(F.col("content"), 12))
 
 
-def line_blocks(spark, folder):
-    rows = In.sources(spark, folder)
-    chunks = C.line_chunker(F.col("path"), F.col("ext"), F.col("content"), SMALL)
-    return _packed(rows, chunks)
-
-
-def _packed(rows, chunks):
-    found = C.explode_chunks(rows, chunks)
+def _packed(found):
     return found.select(
         "path", "ord", "id", "chunker", "block_count", "preamble", sha256(F.col("text")).alias("digest")
     )
 
 
+def line_blocks(spark, folder):
+    return _packed(C.structural_chunks(In.sources(spark, folder), SMALL, "lines"))
+
+
 def micro_split(spark, folder):
     docs = In.table(spark, folder, "documents").select(F.col("doc_id").alias("path"), "text")
     return _texts(docs, P.micro_split(F.col("text"), target_tokens=60, overlap_tokens=12))
@@ -116,18 +113,19 @@ def pack_lines(spark, folder):
 
 
 def text_chunks(spark, folder):
-    return _packed(In.sources(spark, folder), C.text_chunker(F.col("path"), F.col("ext"), F.col("content"), SMALL))
+    return _packed(C.structural_chunks(In.sources(spark, folder), SMALL, "text"))
 
 
 def markdown_chunks(spark, folder):
-    return _packed(In.sources(spark, folder), C.markdown_chunker(F.col("path"), F.col("ext"), F.col("content"), SMALL))
+    return _packed(C.structural_chunks(In.sources(spark, folder), SMALL, "markdown"))
 
 
 def parent_child(spark, folder):
     """Parents and children of every chunk, with their levels."""
-    options = P.ChunkingOptions(chunk_tokens=120, overlap_tokens=0, micro_chunk_tokens=40, micro_overlap_tokens=8, emit_parent_chunks=True)
-    rows = In.sources(spark, folder)
-    chunks = C.explode_chunks(rows, C.brace_chunker(F.col("path"), F.col("ext"), F.col("content"), options))
+    options = P.ChunkingOptions(
+        chunk_tokens=120, overlap_tokens=0, micro_chunk_tokens=40, micro_overlap_tokens=8, emit_parent_chunks=True
+    )
+    chunks = C.structural_chunks(In.sources(spark, folder), options, "brace")
     return chunks.select("path", "ord", F.posexplode("blocks_meta").alias("pos", "b")).select(
         "path", "ord", "pos", "b.kind", "b.level", "b.parent_id", "b.child_index"
     )
@@ -135,8 +133,7 @@ def parent_child(spark, folder):
 
 def code_chunks(spark, folder):
     """Symbols with preamble chunk and injected header."""
-    rows = In.sources(spark, folder)
-    return _packed(rows, C.CHUNKERS["java"](F.col("path"), F.col("ext"), F.col("content"), SMALL))
+    return _packed(C.structural_chunks(In.sources(spark, folder), SMALL, "java"))
 
 
 def file_headers(spark, folder):
