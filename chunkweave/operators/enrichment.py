@@ -433,7 +433,10 @@ def file_chunks(per_request: DataFrame) -> DataFrame:
     return per_request.groupBy("path", "ext").agg(
         F.flatten(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(first.alias("at"), F.col("chunks").alias("chunks")))),
+                F.array_sort(
+                    F.collect_list(F.struct(first.alias("at"), F.col("chunks").alias("chunks"))),
+                    lambda a, b: a["at"] - b["at"],
+                ),
                 lambda part: part["chunks"],
             )
         ).alias("chunks")
