@@ -10,6 +10,15 @@ from chunkweave.functions.text import let
 BLOCK = 1024
 
 
+def rows_of(items: Column) -> Column:
+    """``items`` as the input of ``posexplode``.
+
+    From a bare column Spark infers the filter ``size(items) > 0``, pushes it below the projection
+    that made the column, and so computes an expensive column two more times.
+    """
+    return F.transform(items, lambda item: item)
+
+
 def span(size: Column) -> Column:
     """[0, 1, ..., size-1], empty for zero (``sequence`` would count down)."""
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))

@@ -41,14 +41,15 @@ def _stages() -> Column:
 
 def _tokens(text: Column) -> Column:
     """Digit runs (kind 0) and other runs (kind 1, lower-cased), in order."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)),
-        lambda run: F.struct(
-            F.when(run.rlike(r"^\d"), F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-            F.coalesce(F.when(run.rlike(r"^\d"), run).cast(NUMBER), F.lit(0).cast(NUMBER)).alias("num"),
-            F.when(run.rlike(r"^\d"), F.lit("")).otherwise(F.lower(run)).alias("word"),
-        ),
-    )
+
+    def token(run: Column) -> Column:
+        digits = F.substring(run, 1, 1).between("0", "9")
+        return F.when(
+            digits,
+            F.struct(F.lit(0).alias("kind"), F.when(digits, run).cast(NUMBER).alias("num"), F.lit("").alias("word")),
+        ).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).cast(NUMBER).alias("num"), F.lower(run).alias("word")))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)), token)
 
 
 def _is_stage(token: Column) -> Column:

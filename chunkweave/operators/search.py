@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkweave.functions.arrays import rows_of
 from chunkweave.functions.text import display_line, let, split_words
 
 SCORE_DIGITS = 6
@@ -271,7 +272,7 @@ def token_diversity(hits: DataFrame, k: int) -> DataFrame:
         "order", F.slice(F.concat("chosen", rest), F.lit(1), F.lit(target))
     )
     return (
-        ordered.select("query_id", F.posexplode("order").alias("at", "source_rank"), "hits")
+        ordered.select("query_id", F.posexplode(rows_of(F.col("order"))).alias("at", "source_rank"), "hits")
         .select(
             "query_id",
             (F.col("at") + 1).alias("new_rank"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkweave.functions.arrays import running_sums
+from chunkweave.functions.arrays import rows_of, running_sums
 from chunkweave.functions.text import SPACE_SET, join_lines, let, lstrip, sha256, split_lines, strip
 
 # Line patterns that open a segment.
@@ -313,7 +313,7 @@ def segments_by_kind(files: DataFrame) -> DataFrame:
 def explode_segments(files: DataFrame) -> DataFrame:
     """``segments`` to rows with their position in the file."""
     kept = [c for c in files.columns if c not in ("content", "segments")]
-    return files.select(*kept, F.posexplode("segments").alias("seg_no", "segment")).select(
+    return files.select(*kept, F.posexplode(rows_of(F.col("segments"))).alias("seg_no", "segment")).select(
         *kept,
         "seg_no",
         F.col("segment.id").alias("segment_id"),

@@ -12,7 +12,7 @@ SALTS = 64
 def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding more than 1/``share`` of all rows: fewer than ``share`` by construction."""
     counts = rows.groupBy(*keys).count()
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     return counts.where((F.col("count") * share > total) & (F.col("count") > 1)).select(
         *keys, F.lit(True).alias("is_hot")
     )

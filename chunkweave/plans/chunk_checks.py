@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkweave.functions.arrays import rows_of
 from chunkweave.functions.text import sha256, split_lines
 from chunkweave.operators import chunkers as C
 from chunkweave.operators import constraints as K
@@ -126,7 +127,7 @@ def parent_child(spark, folder):
         chunk_tokens=120, overlap_tokens=0, micro_chunk_tokens=40, micro_overlap_tokens=8, emit_parent_chunks=True
     )
     chunks = C.structural_chunks(In.sources(spark, folder), options, "brace")
-    return chunks.select("path", "ord", F.posexplode("blocks_meta").alias("pos", "b")).select(
+    return chunks.select("path", "ord", F.posexplode(rows_of(F.col("blocks_meta"))).alias("pos", "b")).select(
         "path", "ord", "pos", "b.kind", "b.level", "b.parent_id", "b.child_index"
     )
 

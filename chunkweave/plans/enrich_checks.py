@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from chunkweave.functions.arrays import rows_of
 from chunkweave.functions.text import sha256
 from chunkweave.operators import enrichment as N
 from chunkweave.operators import segments as G
@@ -112,7 +113,7 @@ def cache_migration(spark, folder):
         sha256(F.col("text")).alias("source_hash"),
         F.split("text", r"\. ").alias("chunks"),
     )
-    rows = N.migrate_file_cache(old).select("path", "source_hash", "pipeline", F.explode("segments").alias("s"))
+    rows = N.migrate_file_cache(old).select("path", "source_hash", "pipeline", F.explode(rows_of(F.col("segments"))).alias("s"))
     return rows.select("path", "source_hash", "pipeline", "s.segment_id", "s.kind", sha256(F.col("s.text")).alias("digest"))
 
 
@@ -128,7 +129,7 @@ def request_batches(spark, folder):
 
 def enrich_defaults(spark, folder):
     """Answers completed: ids, anchors, summaries and tags from the segments where missing."""
-    rows = answered(spark, folder).select("path", "batch", "fallback", F.posexplode("chunks").alias("pos", "c"))
+    rows = answered(spark, folder).select("path", "batch", "fallback", F.posexplode(rows_of(F.col("chunks"))).alias("pos", "c"))
     return rows.select(
         "path", "batch", "pos", "fallback", "c.id", "c.title", "c.summary",
         F.array_join("c.tags", ",").alias("tags"),

@@ -30,7 +30,7 @@ REPLACEMENTS = [
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; those of texts and vectors, which get heavy per-row work, are spread out."""
     found = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_small(found) if name in ("documents", "embeddings", "pages") else found
+    return spread_small(found) if name in ("documents", "embeddings", "pages", "orders") else found
 
 
 def _rendered(text: Column) -> Column:
