@@ -62,9 +62,24 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
     return chunks.select("hash", "text").distinct()
 
 
-def missing_texts(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct texts whose hash has no vector yet."""
-    return distinct_texts(chunks).join(cache.select("hash"), "hash", "left_anti")
+def missing_texts(chunks: DataFrame, cache: DataFrame, key: list[str] | None = None, few: bool = False) -> DataFrame:
+    """Distinct texts whose hash has no vector yet.
+
+    With ``key``, the columns naming a chunk, the work is done on hashes: one chunk per missing hash
+    is chosen (combined on the map side) and only then are texts fetched, by a join on unique keys.
+    Texts are then shuffled once at most, and not at all if the caller has counted the missing
+    hashes and found them ``few`` enough to broadcast.
+    """
+    known = cache.select("hash")
+    if key is None:
+        return distinct_texts(chunks).join(known, "hash", "left_anti")
+    chosen = (
+        chunks.groupBy("hash")
+        .agg(F.min(F.struct(*key)).alias("chosen"))
+        .join(known, "hash", "left_anti")
+        .select(*[F.col(f"chosen.{k}").alias(k) for k in key])
+    )
+    return chunks.join(F.broadcast(chosen) if few else chosen, key, "left_semi").select("hash", "text")
 
 
 def removed_hashes(chunks: DataFrame, cache: DataFrame) -> DataFrame:
@@ -90,13 +105,15 @@ def reuse_counts(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def incremental_vectors(chunks: DataFrame, cache: DataFrame, embedder: Embedder, *, batch_texts: int = BATCH_TEXTS) -> DataFrame:
+def incremental_vectors(
+    chunks: DataFrame, cache: DataFrame, embedder: Embedder, *, key: list[str] | None = None, batch_texts: int = BATCH_TEXTS
+) -> DataFrame:
     """One stored-precision vector per distinct hash: reused where known, embedded where not.
 
     ``chunks`` should be a stored table: the reuse branch then reads its hash column only.
     """
     reused = cache.select("hash", "vec").join(chunks.select("hash").distinct(), "hash", "left_semi")
-    fresh = embed_texts(missing_texts(chunks, cache), embedder, batch_texts=batch_texts)
+    fresh = embed_texts(missing_texts(chunks, cache, key), embedder, batch_texts=batch_texts)
     return reused.withColumn("reused", F.lit(True)).unionByName(
         fresh.withColumn("reused", F.lit(False))
     ).withColumn("vec", half_precision(F.col("vec")))

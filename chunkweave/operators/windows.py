@@ -57,18 +57,17 @@ def _range_bounds(files: DataFrame, ranges: int, rows: int) -> list[list[str]]:
     return sample[step::step][: ranges - 1]
 
 
-def first_numbers(files: DataFrame, ranges: int | None = None) -> DataFrame:
+def first_numbers(files: DataFrame, ranges: int | None = None, n_files: int | None = None) -> DataFrame:
     """``files(path, n_chunks)`` to ``(path, first_number)``, counting up in path order.
 
     One build-wide counter needs a running sum over all files. Paths are cut into ranges, each range
     sums on its own, and only one total per range (at most ``MAX_RANGES`` rows) meets in one task.
     """
+    if n_files is None:
+        n_files = files.count()
     if ranges is None:
-        rows = files.count()
-        ranges = min(MAX_RANGES, rows // FILES_PER_RANGE + 1)
-    else:
-        rows = files.count() if ranges > 1 else 0
-    bounds = _range_bounds(files, ranges, rows) if ranges > 1 else []
+        ranges = min(MAX_RANGES, n_files // FILES_PER_RANGE + 1)
+    bounds = _range_bounds(files, ranges, n_files) if ranges > 1 else []
     literal = F.array(*[F.array(*[F.lit(part) for part in bound]) for bound in bounds]) if bounds else None
     parts = path_parts(F.col("path"))
     bucket = F.size(F.filter(literal, lambda b: b <= parts)) if bounds else F.lit(0)
@@ -87,11 +86,15 @@ def first_numbers(files: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
 
-def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Adds ``id = path:number`` with one number sequence over the whole build."""
+def number_chunks(chunks: DataFrame, ranges: int | None = None, n_files: int | None = None) -> DataFrame:
+    """Adds ``id = path:number`` with one number sequence over the whole build.
+
+    The rows are joined by path, so pass key columns rather than texts where texts are large. An
+    upper bound of the number of files may be given to save a pass over the chunks.
+    """
     per_file = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("n_chunks"))
     return (
-        chunks.join(first_numbers(per_file, ranges), "path")
+        chunks.join(first_numbers(per_file, ranges, n_files), "path")
         .withColumn("number", F.col("first_number") + F.col("ord"))
         .withColumn("id", F.concat_ws(":", "path", "number"))
         .drop("first_number")

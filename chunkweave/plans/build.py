@@ -38,6 +38,9 @@ from chunkweave.operators.segments import explode_segments, segments_by_kind
 from chunkweave.sources.tables import key_value_text
 
 
+FEW_TEXTS = 200_000
+
+
 @dataclass(frozen=True)
 class PacketSpec:
     """What a packet is called and how its vectors are made."""
@@ -133,7 +136,9 @@ def materialize(
     counts = E.reuse_counts(stored, cache).first()
     if counts.new_chunks == 0:
         raise ValueError("no chunks found")
-    E.embed_texts(E.missing_texts(stored, cache), embedder).write.mode("overwrite").parquet(f"{out}/fresh")
+    few = counts.to_embed <= FEW_TEXTS
+    missing = E.missing_texts(stored, cache, ["chunk_id"], few)
+    E.embed_texts(missing, embedder).write.mode("overwrite").parquet(f"{out}/fresh")
     fresh = spark.read.parquet(f"{out}/fresh")
     reused = counts.reused
     fresh_dim = _dim_of(fresh) if counts.to_embed else None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.functions import vectors as V
-from chunkweave.functions.text import is_blank, sha256, word_count
+from chunkweave.functions.text import char_estimate, is_blank, sha256, word_count
 from chunkweave.functions.wordbag import word_bag
 from chunkweave.operators import embedding as E
 from chunkweave.operators import integrity as I
@@ -87,7 +87,8 @@ def line_chunks(spark, folder):
 
 
 def chunk_ids(spark, folder):
-    return W.number_chunks(chunks(spark, folder)).select("path", "ord", "number", "id", "hash")
+    n_files = In.table(spark, folder, "documents").count()
+    return W.number_chunks(chunks(spark, folder), n_files=n_files).select("path", "ord", "number", "id", "hash")
 
 
 def chunk_ids_ranged(spark, folder):
@@ -96,8 +97,6 @@ def chunk_ids_ranged(spark, folder):
 
 def token_counts(spark, folder):
     docs = In.table(spark, folder, "documents")
-    from chunkweave.functions.text import char_estimate
-
     return docs.select(
         "doc_id", word_count(F.col("text")).alias("words"), char_estimate(F.col("text")).alias("estimate")
     )
@@ -118,7 +117,7 @@ def cache_reuse(spark, folder):
 
 def to_embed(spark, folder):
     cache = old_chunks(spark, folder).select("hash").distinct()
-    return E.missing_texts(chunks(spark, folder), cache).select("hash", F.length("text").alias("n_chars"))
+    return E.missing_texts(chunks(spark, folder), cache, ["path", "ord"]).select("hash", F.length("text").alias("n_chars"))
 
 
 def reused_chunks(spark, folder):
@@ -135,7 +134,9 @@ def reuse_counts(spark, folder):
 
 
 def incremental_embed(spark, folder):
-    vectors = E.incremental_vectors(chunks(spark, folder), old_cache(spark, folder), word_bag(DIM))
+    vectors = E.incremental_vectors(
+        chunks(spark, folder), old_cache(spark, folder), word_bag(DIM), key=["path", "ord"]
+    )
     return vectors.select(
         "hash",
         "reused",
