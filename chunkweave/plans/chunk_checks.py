@@ -570,7 +570,37 @@ QUERIES = {
         {_sql_greedy('counted', 60, 0)}"""
         + PART_OUT,
     ),
-    "micro_split_capped": (micro_split_capped, None),
+    "micro_split_capped": (
+        micro_split_capped,
+        f"""{SRC},
+        blocks AS (SELECT path, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda u: {In.sql_strip('u')}), lambda u: u <> '') AS units FROM sources),
+        units AS (SELECT path, unnest(units) AS u, generate_subscripts(units, 1) AS i, len(units) AS total FROM blocks),
+        counted AS (SELECT *, {In.sql_word_count('u')} AS n FROM units),
+        big_lines AS (
+            SELECT path || chr(1) || i AS path, list_filter(list_transform({In.sql_lines('u')}, lambda x: {In.sql_rstrip('x')}), lambda x: x <> '') AS units
+            FROM counted WHERE n > 40),
+        big_counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM big_lines),
+        {_sql_greedy('big_counted', 40, 0, 'big_')},
+        pieces AS (SELECT path, list(text ORDER BY k) AS texts FROM big_parts GROUP BY path),
+        steps AS MATERIALIZED (SELECT c.*, coalesce(p.texts, []) AS texts FROM counted c LEFT JOIN pieces p ON p.path = c.path || chr(1) || c.i),
+        fold AS (
+            SELECT DISTINCT path, 0::BIGINT AS i, total, []::VARCHAR[] AS held, []::BIGINT[] AS sizes, []::VARCHAR[] AS done FROM units
+            UNION ALL
+            SELECT path, i, total, CASE WHEN n > 40 THEN held[t:] ELSE list_append(held[t:], u) END,
+                   CASE WHEN n > 40 THEN sizes[t:] ELSE list_append(sizes[t:], n) END,
+                   CASE WHEN n > 40 THEN list_concat(closed, texts) ELSE closed END
+            FROM (
+                SELECT path, i, total, held, sizes, u, n, texts, CASE WHEN closes THEN [{In.sql_join('held')}] ELSE [] END AS closed,
+                       CASE WHEN closes THEN coalesce(list_min(list_filter(range(1, len(held) + 1), lambda j: list_sum(sizes[j:]) <= 12)), len(held)) ELSE 1 END AS t
+                FROM (SELECT f.path, s.i, s.total, f.held, f.sizes, s.u, s.n, s.texts,
+                             len(f.held) > 0 AND (s.n > 40 OR list_sum(f.sizes) + s.n > 40) AS closes
+                      FROM fold f JOIN steps s ON s.path = f.path AND s.i = f.i + 1) x) y),
+        emitted AS (
+            SELECT path, i, unnest(done) AS text, generate_subscripts(done, 1) AS j FROM fold UNION ALL
+            SELECT path, i + 1, {In.sql_join('held')}, 1 FROM fold WHERE i = total AND len(held) > 0)
+        SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i, j) - 1 AS INTEGER) AS ord, sha256(text) AS digest, length(text) AS n_chars
+        FROM emitted WHERE text <> ''""",
+    ),
     "pack_lines": (
         pack_lines,
         f"""WITH RECURSIVE kept AS (
@@ -587,7 +617,26 @@ QUERIES = {
         markdown_chunks,
         f"{LINES}, {MARKDOWN_PACKED}" + PACKED_OUT + f" FROM ({_sql_simple_chunks('md_parts', 'markdown')})",
     ),
-    "parent_child": (parent_child, None),
+    "parent_child": (
+        parent_child,
+        f"""{LINES}, {_sql_brace_sections(40)},
+        sec AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS i, text FROM brace_parts),
+        pc_units AS (
+            SELECT path || chr(1) || i AS path, list_filter(list_transform({In.sql_lines('text')}, lambda u: {In.sql_rstrip('u')}), lambda u: u <> '') AS units FROM sec),
+        pc_counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM pc_units),
+        {_sql_greedy('pc_counted', 40, 8, 'pc_')},
+        pc_blocks AS (
+            SELECT path, i, -1 AS j, text FROM sec UNION ALL
+            SELECT split_part(path, chr(1), 1), CAST(split_part(path, chr(1), 2) AS BIGINT), k, text FROM pc_parts),
+        pc_placed AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i, j) - 1 AS pos FROM pc_blocks),
+        pc_lists AS (SELECT path, list(text ORDER BY pos) AS units FROM pc_placed GROUP BY path),
+        pc_packable AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM pc_lists),
+        {_sql_greedy('pc_packable', 120, 0, 'pp_')}
+        SELECT b.path, CAST(c.k AS INTEGER) AS ord, CAST(b.pos - c.s AS INTEGER) AS pos, CASE WHEN j < 0 THEN 'brace_part' ELSE 'brace_child' END AS kind,
+               CASE WHEN j < 0 THEN 'parent' ELSE 'child' END AS level, b.path || ':brace:part:' || i AS parent_id,
+               CASE WHEN j >= 0 THEN CAST(j AS INTEGER) END AS child_index
+        FROM pc_placed b JOIN pp_jumps c ON c.path = b.path AND b.pos >= c.s AND b.pos < c.m""",
+    ),
     "code_chunks": (
         code_chunks,
         f"{LINES}, {HEADERS}, {CODE_PACKED}, {LINE_PACKED}, {_sql_code_chunks('java', JAVA_SEPARATOR)}" + PACKED_OUT + " FROM java_chunks",

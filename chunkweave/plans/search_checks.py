@@ -149,7 +149,20 @@ QUERIES = {
         CASE WHEN length(t) > 160 THEN substr(t, 1, 157) || '...' ELSE t END AS line FROM lined""",
     ),
     "rerank_none": (rerank_none, HITS + "SELECT query_id, rank, chunk_id FROM hits WHERE rank <= 3"),
-    "rerank_diversity": (rerank_diversity, None),
+    "rerank_diversity": (
+        rerank_diversity,
+        HITS.replace("WITH", "WITH RECURSIVE", 1)
+        + f""", words AS (SELECT *, list_distinct(list_filter({In.sql_words('lower(text)')}, lambda w: length(w) > 3)) AS tokens FROM hits),
+        picks AS (
+            SELECT DISTINCT query_id, 0 AS rank, 0 AS chosen, []::VARCHAR[] AS seen, false AS taken FROM hits
+            UNION ALL
+            SELECT query_id, rank, CASE WHEN takes THEN chosen + 1 ELSE chosen END, CASE WHEN takes THEN list_concat(seen, tokens) ELSE seen END, takes
+            FROM (SELECT p.query_id, w.rank, p.chosen, p.seen, w.tokens,
+                         p.chosen < {K} AND (p.chosen = 0 OR len(list_filter(w.tokens, lambda t: NOT list_contains(p.seen, t))) > 0 OR p.chosen < {K // 2}) AS takes
+                  FROM picks p JOIN words w ON w.query_id = p.query_id AND w.rank = p.rank + 1) x)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY taken DESC, rank) AS INTEGER) AS rank, chunk_id, score
+        FROM picks JOIN hits USING (query_id, rank) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY taken DESC, rank) <= {K}""",
+    ),
     "labelled_hits": (
         labelled_hits,
         _sql_topk("true")
