@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.functions.arrays import first_of_each
+from chunkweave.functions.arrays import first_of_each, rows_of
 from chunkweave.functions.text import compact_spaces, is_blank, let, lstrip, path_suffix, rstrip, sha256, strip
 from chunkweave.operators.constraints import (
     ENRICHED,
@@ -45,7 +45,10 @@ FILE_KINDS = """
 SUMMARY_CHARS = 180
 MAX_TAGS = 5
 
-SEGMENTS = "array<struct<seg_no:int,segment_id:string,kind:string,text:string,start_line:int,end_line:int,symbol:string>>"
+SEGMENTS = (
+    "array<struct<seg_no:int,segment_id:string,kind:string,text:string,start_line:int,end_line:int,"
+    "symbol:string,cache_key:string>>"
+)
 NO_MAP = "map<string,string>"
 
 
@@ -157,7 +160,8 @@ def request_batches(segments: DataFrame, per_request: int = MAX_SEGMENTS_PER_REQ
     size = max(1, per_request)
     in_file = Window.partitionBy("path").orderBy("seg_no")
     numbered = segments.withColumn("batch", F.floor((F.row_number().over(in_file) - 1) / size).cast("int"))
-    item = F.struct("seg_no", "segment_id", "kind", "text", "start_line", "end_line", "symbol")
+    key = F.col("cache_key") if "cache_key" in segments.columns else F.lit(None).cast("string").alias("cache_key")
+    item = F.struct("seg_no", "segment_id", "kind", "text", "start_line", "end_line", "symbol", key)
     return numbered.groupBy("path", "ext", "language", "mime", "batch").agg(
         F.array_sort(F.collect_list(item)).cast(SEGMENTS).alias("segments")
     )
@@ -424,23 +428,58 @@ def answered_chunks(answers: DataFrame) -> DataFrame:
     )
 
 
-def file_chunks(per_request: DataFrame) -> DataFrame:
-    """Chunks of all requests of a file in segment order: ``(path, ext, chunks)``.
+def reuse_enrichment(segments: DataFrame, cache: DataFrame) -> DataFrame:
+    """Adds ``cached``, the enriched chunk stored under the segment's ``cache_key``, else null."""
+    return segments.join(cache.select("cache_key", F.col("chunk").alias("cached")), "cache_key", "left")
+
+
+def placed_chunks(answered: DataFrame) -> DataFrame:
+    """Answered chunks as rows with the segment they stand for.
+
+    An answer with more chunks than segments puts the rest behind its last segment.
+    """
+    rows = answered.select("path", "ext", "segments", "fallback", F.posexplode(rows_of(F.col("chunks"))).alias("pos", "chunk"))
+    own = F.get("segments", F.col("pos"))
+    return rows.select(
+        "path",
+        "ext",
+        F.coalesce(own["seg_no"], F.element_at("segments", -1)["seg_no"]).alias("seg_no"),
+        "pos",
+        "chunk",
+        "fallback",
+        own["cache_key"].alias("cache_key"),
+    )
+
+
+def cached_chunks(hits: DataFrame) -> DataFrame:
+    """Segments found in the cache in the shape of ``placed_chunks``."""
+    return hits.select(
+        "path", "ext", "seg_no", F.lit(0).alias("pos"), F.col("cached").alias("chunk"), F.lit(False).alias("fallback"), "cache_key"
+    )
+
+
+def enrichment_cache(placed: DataFrame) -> DataFrame:
+    """What a later run may reuse: one chunk per key, fallbacks left out so that they are retried."""
+    kept = placed.where(~F.col("fallback") & F.col("cache_key").isNotNull())
+    return kept.groupBy("cache_key").agg(F.min_by("chunk", F.struct("path", "seg_no", "pos")).alias("chunk"))
+
+
+def gather_files(placed: DataFrame) -> DataFrame:
+    """Chunks of a file in segment order: ``(path, ext, chunks)``.
 
     The group is one source file, whose size a source row already bounds.
     """
-    first = F.get("segments", F.lit(0))["seg_no"]
-    return per_request.groupBy("path", "ext").agg(
-        F.flatten(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.struct(first.alias("at"), F.col("chunks").alias("chunks"))),
-                    lambda a, b: a["at"] - b["at"],
-                ),
-                lambda part: part["chunks"],
-            )
-        ).alias("chunks")
+    item = F.struct("seg_no", "pos", "chunk")
+    ordered = F.array_sort(
+        F.collect_list(item),
+        lambda a, b: F.when(a["seg_no"] != b["seg_no"], a["seg_no"] - b["seg_no"]).otherwise(a["pos"] - b["pos"]),
     )
+    return placed.groupBy("path", "ext").agg(F.transform(ordered, lambda i: i["chunk"]).alias("chunks"))
+
+
+def file_chunks(answered: DataFrame) -> DataFrame:
+    """Chunks of all requests of a file in segment order."""
+    return gather_files(placed_chunks(answered))
 
 
 def constrained(files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, min_tokens: int = MIN_CHUNK_TOKENS) -> DataFrame:

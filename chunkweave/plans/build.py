@@ -18,20 +18,13 @@ from pyspark.sql import functions as F
 from chunkweave.functions.text import is_blank, sha256
 from chunkweave.functions.wordbag import Embedder
 from chunkweave.operators import embedding as E
+from chunkweave.operators import enrichment as N
 from chunkweave.operators import integrity as I
 from chunkweave.operators import search as S
 from chunkweave.operators import windows as W
 from chunkweave.operators.chunkers import structural_chunks
-from chunkweave.operators.enrichment import (
-    Enricher,
-    answered_chunks,
-    call_enricher,
-    classify,
-    constrained,
-    explode_enriched,
-    file_chunks,
-    request_batches,
-)
+from chunkweave.operators.constraints import ENRICHED
+from chunkweave.operators.enrichment import Enricher
 from chunkweave.operators.packing import ChunkingOptions
 from chunkweave.operators.segments import explode_segments, segments_by_kind
 
@@ -245,25 +238,75 @@ def reembed_packet(spark: SparkSession, packet: str, out: str, spec: PacketSpec,
     return materialize(spark.read.parquet(f"{packet}/chunks"), out, spec, embedder, ext_counts=known or None)
 
 
+def _stored_or_empty(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+    except Exception:  # noqa: BLE001 - an absent table is an empty one
+        return spark.createDataFrame([], schema)
+
+
+@dataclass(frozen=True)
+class EnrichmentSpec:
+    """Settings that shape an enrichment; all of them are part of the cache key."""
+
+    model: str
+    prompt_version: str = "v1"
+    max_chunk_tokens: int = 800
+    min_chunk_tokens: int = 120
+    max_segments_per_request: int = 8
+
+
 def enrich_packet(
-    sources: DataFrame, out: str, spec: PacketSpec, embedder: Embedder, enricher: Enricher, *, previous: str | None = None
+    sources: DataFrame,
+    out: str,
+    spec: PacketSpec,
+    embedder: Embedder,
+    enricher: Enricher,
+    enrichment: EnrichmentSpec,
+    *,
+    previous: str | None = None,
 ) -> dict:
     """Sources to a packet of enriched segments.
 
-    The service's answers are written before anything uses them, so no request is sent twice.
+    Segments enriched by ``previous`` under the same settings are reused. The service's answers are
+    written before anything uses them, so no request is sent twice.
     """
     spark = sources.sparkSession
+    e = enrichment
     found = sources.where(~is_blank(F.col("content")))
     counted = _ext_counts(found)
-    files = classify(found).where("is_supported_text")
-    requests = request_batches(explode_segments(segments_by_kind(files)))
-    call_enricher(requests, enricher).write.mode("overwrite").parquet(f"{out}/answers")
-    answered = answered_chunks(spark.read.parquet(f"{out}/answers"))
-    rows = explode_enriched(constrained(file_chunks(answered)))
+    files = N.classify(found.withColumn("source_hash", sha256(F.col("content")))).where("is_supported_text")
+    key = N.segment_cache_key(
+        e.model, e.prompt_version, e.max_chunk_tokens, e.min_chunk_tokens, e.max_segments_per_request
+    )
+    segments = explode_segments(segments_by_kind(files)).withColumn("cache_key", key)
+    cache = _stored_or_empty(spark, f"{previous}/enriched" if previous else None, f"cache_key string, chunk {ENRICHED}")
+    N.reuse_enrichment(segments, cache).write.mode("overwrite").parquet(f"{out}/segments")
+    stored = spark.read.parquet(f"{out}/segments")
+    hits, misses = stored.where("cached is not null"), stored.where("cached is null").drop("cached")
+
+    requests = N.request_batches(misses, e.max_segments_per_request)
+    N.call_enricher(requests, enricher).write.mode("overwrite").parquet(f"{out}/answers")
+    answered = N.answered_chunks(spark.read.parquet(f"{out}/answers"))
+    placed = N.placed_chunks(answered).unionByName(N.cached_chunks(hits))
+    N.enrichment_cache(placed).write.mode("overwrite").parquet(f"{out}/enriched")
+    rows = N.explode_enriched(N.constrained(N.gather_files(placed), e.max_chunk_tokens, e.min_chunk_tokens))
     chunks = rows.select(
         F.col("id").alias("chunk_id"), "path", "ord", "text", sha256(F.col("text")).alias("hash"), "metadata"
     )
-    return materialize(chunks, out, spec, embedder, previous=previous, ext_counts=counted)
+
+    before = _stored_or_empty(spark, f"{previous}/segments" if previous else None, "path string, source_hash string")
+    known = stored.select("path", "source_hash").distinct().join(
+        before.select("path", "source_hash").distinct(), ["path", "source_hash"], "left_semi"
+    )
+    counters = {
+        "calls": answered.where("not fallback").count(),
+        "file_cache_hits": known.count(),
+        "segment_cache_hits": hits.count(),
+    }
+    return materialize(
+        chunks, out, spec, embedder, previous=previous, ext_counts=counted, extras={"enrichment": counters}
+    )
 
 
 def query_packet(

@@ -86,13 +86,31 @@ def test_structural_and_numbered_packets(spark, tree, tmp_path):
         B.build_packet(sources.limit(0), str(tmp_path / "e"), SPEC, word_bag(8))
 
 
-def test_enriched_packet(spark, tree, tmp_path):
+def test_enriched_packet_and_rerun(spark, tree, tmp_path):
     def service(request):
-        return json.dumps({"chunks": [{"id": s["segment_id"], "text": s["text"], "title": "T"} for s in request["segments"]]})
-
-    built = B.enrich_packet(S.read_sources(spark, tree), str(tmp_path / "e"), SPEC, word_bag(8), service)
-    rows = spark.read.parquet(str(tmp_path / "e/chunks")).collect()
-    assert built["counts"]["docs"] == len(rows) == 5 and all(r.metadata["title"] == "T" for r in rows)
+        if request["path"].endswith(".rs"):
+            raise RuntimeError("down")
+        items = [{"id": s["segment_id"], "text": s["text"], "title": "T"} for s in request["segments"]]
+        return json.dumps({"chunks": items})
+
+    def silent(request):
+        raise AssertionError("must not be asked")
+
+    settings = B.EnrichmentSpec("writer", max_segments_per_request=2)
+    sources = S.read_sources(spark, tree, S.CODE_EXTENSIONS + S.TEXT_EXTENSIONS)
+    built = B.enrich_packet(sources, str(tmp_path / "e1"), SPEC, word_bag(8), service, settings)
+    rows = {r.path: r for r in spark.read.parquet(str(tmp_path / "e1/chunks")).collect()}
+    assert built["counts"]["docs"] == len(rows) == 5
+    assert rows["intro.md"].metadata["title"] == "T" and rows["pkg/deep/utf.rs"].metadata["fallback"] == "true"
+    assert built["enrichment"] == {"calls": 4, "file_cache_hits": 0, "segment_cache_hits": 0}
+
+    again = B.enrich_packet(
+        sources, str(tmp_path / "e2"), SPEC, word_bag(8), silent, settings, previous=str(tmp_path / "e1")
+    )
+    assert again["enrichment"] == {"calls": 0, "file_cache_hits": 5, "segment_cache_hits": 4}
+    assert again["incremental"] == {"enabled": True, "reused": 5, "embedded": 0, "removed": 0}
+    same = {(r.path, r.text) for r in spark.read.parquet(str(tmp_path / "e2/chunks")).collect()}
+    assert same == {(p, r.text) for p, r in rows.items()}
 
 
 def test_chunk_lines_round_trip(spark, tmp_path):
