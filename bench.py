@@ -67,6 +67,8 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.sql.shuffle.partitions": cpus,
+            # Small data, heavy rows: do not merge shuffle partitions into one or two tasks.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -59,7 +59,7 @@ def _metadata(**fields: Column) -> Column:
 
 def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = False) -> DataFrame:
     """``(chunk_id, path, ord, text, hash, metadata)`` of fixed line windows."""
-    rows = W.line_chunks(sources.where(~is_blank(F.col("content"))), spec.lines_per_chunk, spec.overlap_lines)
+    rows = W.line_chunks(sources, spec.lines_per_chunk, spec.overlap_lines)
     rows = W.number_chunks(rows) if numbered else W.local_ids(rows)
     return rows.select(
         F.col("id").alias("chunk_id"),
@@ -72,7 +72,7 @@ def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = Fa
 
 
 def structural_chunk_rows(sources: DataFrame, options: ChunkingOptions) -> DataFrame:
-    rows = structural_chunks(sources.where(~is_blank(F.col("content"))), options)
+    rows = structural_chunks(sources, options)
     meta = _metadata(path=F.col("path"), ext=F.col("ext"), chunker=F.col("chunker"), blocks_meta=F.to_json("blocks_meta"))
     return rows.select(
         F.col("id").alias("chunk_id"), "path", "ord", "text", sha256(F.col("text")).alias("hash"), meta.alias("metadata")

@@ -35,13 +35,14 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return E.with_hash(W.line_chunks(files(spark, folder), WIDTH, OVERLAP))
+    """Blank windows are dropped anyway, so blank files need no filter of their own here."""
+    allowed = In.sources(spark, folder).where(F.col("ext").isin(*ALLOWED))
+    return E.with_hash(W.line_chunks(allowed, WIDTH, OVERLAP))
 
 
 def old_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    before = In.earlier(In.sources(spark, folder))
-    kept = before.where(F.col("ext").isin(*ALLOWED) & ~is_blank(F.col("content")))
-    return E.with_hash(W.line_chunks(kept, WIDTH, OVERLAP))
+    allowed = In.sources(spark, folder).where(F.col("ext").isin(*ALLOWED))
+    return E.with_hash(W.line_chunks(In.earlier(allowed), WIDTH, OVERLAP))
 
 
 def old_cache(spark: SparkSession, folder: str) -> DataFrame:
