@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import secret_scans, sql
+from chunkweave.llm import quality_rules, secret_scans, sql
 from chunkweave.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.digests(secret_scans.scan_secrets(table(spark, folder, "documents")))
 
 
 QUERIES = {
+    "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
 }

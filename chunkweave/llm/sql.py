@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkweave.llm import secret_scans
+from chunkweave.llm import quality_rules, secret_scans
 
 
 def _quoted(text: str) -> str:
@@ -79,3 +79,60 @@ FROM d LEFT JOIN per USING (doc_id)
 
 
 SECRET_SCANS = _secret_scans()
+
+
+def _quality_rules() -> str:
+    q = quality_rules
+    grid = ", ".join(
+        f"({_quoted(rule)}, {i}, CAST({c} AS DOUBLE))" for rule, values in q.CUTOFFS.items() for i, c in enumerate(values, 1)
+    )
+    share = q.ALPHA / len(q.CUTOFFS)
+    rules = "UNION ALL ".join(f"SELECT doc_id, {_quoted(r)} AS rule, {r} AS value FROM m " for r in q.CUTOFFS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS body FROM documents),
+w AS (SELECT doc_id, stratum, body, list_filter(string_split_regex(body, '{q.SPACES}'), lambda x: x <> '') AS words,
+             list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{q.WORD}')) AS lines FROM d),
+wins AS (SELECT doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win, i
+       FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+          SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1)
+        GROUP BY doc_id),
+c AS (SELECT doc_id, stratum, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+             length(regexp_replace(body, '{q.SYMBOLS}', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             length(array_to_string(regexp_extract_all(body, '\\p{{Lu}}{{3,}}'), '')) AS n_shouted,
+             length(array_to_string(regexp_extract_all(body, '[!?]{{2,}}'), '')) AS n_marks
+      FROM w LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
+             CASE WHEN word_chars > 0 THEN n_shouted / word_chars ELSE 0 END AS shout_ratio,
+             CASE WHEN n_words > 0 THEN n_marks / n_words ELSE 0 END AS mark_ratio,
+             CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+             CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio,
+             CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length,
+             n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
+lm AS ({rules}),
+lab AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+grid(rule, step, cutoff) AS (VALUES {grid}),
+held AS (SELECT stratum, lm.rule, value, good FROM lm JOIN lab USING (doc_id) JOIN d USING (doc_id)),
+ns AS (SELECT count(DISTINCT stratum) AS n FROM held),
+t AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad,
+             count(*) FILTER (good AND value > cutoff) AS k_good, count(*) FILTER (NOT good AND value > cutoff) AS k_bad
+      FROM held JOIN grid USING (rule) GROUP BY ALL),
+-- ln P(Binomial(n, share) <= k) from the logarithms of the terms
+p AS (SELECT *, CASE WHEN k_good >= {share!r} * n_good THEN 0 ELSE
+         (SELECT max(l) + ln(sum(exp(l - mx))) FROM (SELECT l, max(l) OVER () AS mx FROM (
+            SELECT lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share!r}) + (n_good - i) * ln(1 - {share!r}) AS l
+            FROM (SELECT unnest(range(0, k_good + 1)) AS i)))) END AS tail FROM t),
+ok AS (SELECT p.*, min(CASE WHEN tail <= ln({q.DELTA} / (ns.n * {len(q.CUTOFFS)})) AND k_good < {share!r} * n_good THEN 1 ELSE 0 END)
+              OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far,
+              k_bad / greatest(n_bad, 1) - {q.GOOD_COST} * k_good / greatest(n_good, 1) AS gain FROM p, ns),
+cut AS (SELECT stratum, rule, cutoff FROM ok WHERE so_far = 1 AND gain > 0
+        QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
+bad AS (SELECT DISTINCT doc_id FROM lm JOIN d USING (doc_id) JOIN cut USING (stratum, rule) WHERE value > cutoff)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
+"""
+
+
+QUALITY_RULES = _quality_rules()
