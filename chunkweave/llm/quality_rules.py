@@ -145,8 +145,8 @@ def certified_cutoffs(
 ) -> DataFrame:
     """``(stratum, <rule>_cutoff ...)``: the certified cutoff of each rule, null where none is used.
 
-    Each labelled document becomes one row per rule holding how many cutoffs it exceeds; all further
-    tables have strata x rules x cutoffs rows.
+    Each labelled document becomes one row per rule holding the first step whose cutoff it exceeds (and
+    with it all later ones, which are stricter); all further tables have strata x rules x cutoffs rows.
     """
     agreed = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -160,14 +160,14 @@ def certified_cutoffs(
         *[
             F.struct(
                 F.lit(rule).alias("rule"),
-                sum((F.col(rule) > c).cast("int") for c in values).alias("exceeded"),
+                (len(values) + 1 - sum((F.col(rule) > c).cast("int") for c in values)).alias("from_step"),
             )
             for rule, values in cutoffs.items()
         ]
     )
     counts = (
         held.select("stratum", "good", F.explode(rows_of(levels)).alias("level"))
-        .groupBy("stratum", "level.rule", "level.exceeded")
+        .groupBy("stratum", "level.rule", "level.from_step")
         .agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     )
     grid = F.array(
@@ -181,7 +181,6 @@ def certified_cutoffs(
     tests = strata.select("stratum", F.explode(grid).alias("t")).select("stratum", "t.*")
     share = alpha / len(cutoffs)
     cell = Window.partitionBy("stratum", "rule")
-    # A document exceeding e cutoffs exceeds the first e of them.
     rejected = (
         tests.join(
             counts.withColumnRenamed("rule", "of_rule").withColumnRenamed("stratum", "of_stratum"),
@@ -191,8 +190,8 @@ def certified_cutoffs(
         .agg(
             F.sum("good").alias("n_good"),
             F.sum("bad").alias("n_bad"),
-            F.sum(F.when(F.col("exceeded") >= F.col("step"), F.col("good")).otherwise(0)).alias("k_good"),
-            F.sum(F.when(F.col("exceeded") >= F.col("step"), F.col("bad")).otherwise(0)).alias("k_bad"),
+            F.sum(F.when(F.col("step") >= F.col("from_step"), F.col("good")).otherwise(0)).alias("k_good"),
+            F.sum(F.when(F.col("step") >= F.col("from_step"), F.col("bad")).otherwise(0)).alias("k_bad"),
         )
     )
     n_strata = F.first("n_strata").over(cell)
