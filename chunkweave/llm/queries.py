@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import quality_rules, secret_scans, sql
+from chunkweave.llm import ngram_join, quality_rules, secret_scans, sql
 from chunkweave.llm.common import table
 
 
@@ -13,11 +13,16 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.digests(secret_scans.scan_secrets(table(spark, folder, "documents")))
 
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
+    "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
 }

@@ -136,3 +136,22 @@ FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
 
 
 QUALITY_RULES = _quality_rules()
+
+
+#: Five-gram sets, exact links and their components by brute force.
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')))) END AS grams
+      FROM w),
+c AS (SELECT grams, min(doc_id) AS rep, count(*) AS copies FROM g WHERE len(grams) > 0 GROUP BY grams),
+x AS (SELECT rep, copies, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(b.copies) AS copies FROM x a JOIN x b ON a.gram = b.gram AND a.rep <> b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT rep, copies - 1 + coalesce((SELECT sum(copies) FROM p WHERE a = rep), 0) AS n_links,
+             least(rep, coalesce((SELECT min(b) FROM r WHERE a = rep), rep)) AS class_id FROM c)
+SELECT g.doc_id, coalesce(k.class_id, g.doc_id) AS class_id, coalesce(k.rep, g.doc_id) AS copy_id, coalesce(CAST(k.n_links AS BIGINT), 0) AS n_links
+FROM g LEFT JOIN c USING (grams) LEFT JOIN k ON k.rep = c.rep
+"""
