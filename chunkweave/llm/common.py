@@ -79,3 +79,10 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 NO_SPANS = "array<struct<start:int,end:int,text:string>>"
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

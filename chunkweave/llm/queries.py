@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import ngram_join, quality_rules, secret_scans, sql
-from chunkweave.llm.common import table
+from chunkweave.llm import language_id, ngram_join, quality_rules, secret_scans, sql
+from chunkweave.llm.common import table, tokenizer_path
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.digests(secret_scans.scan_secrets(table(spark, folder, "documents")))
 
@@ -24,5 +28,6 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
     "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
+    "op7_language_id": (op7_language_id, None),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
 }
