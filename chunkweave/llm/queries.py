@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import language_id, ngram_join, quality_rules, secret_scans, sql
+from chunkweave.llm import bpe, language_id, ngram_join, quality_rules, secret_scans, sql
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -27,6 +32,7 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
+    "op3_bpe": (op3_bpe, None),
     "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
     "op7_language_id": (op7_language_id, None),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
