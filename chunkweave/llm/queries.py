@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkweave.llm import bpe, language_id, ngram_join, quality_rules, secret_scans, sql
+from chunkweave.llm import bpe, language_id, mixing, ngram_join, quality_rules, secret_scans, sql
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -30,10 +31,16 @@ def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.digests(secret_scans.scan_secrets(table(spark, folder, "documents")))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, mixing.source_domain(F.col("source")), mixing.word_tokens(F.col("text")))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
     "op3_bpe": (op3_bpe, None),
     "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
     "op7_language_id": (op7_language_id, None),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
+    "op9_mixing": (op9_mixing, sql.MIXING),
 }

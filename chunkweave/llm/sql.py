@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkweave.llm import quality_rules, secret_scans
+from chunkweave.llm import mixing, quality_rules, secret_scans
 
 
 def _quoted(text: str) -> str:
@@ -155,3 +155,49 @@ k AS (SELECT rep, copies - 1 + coalesce((SELECT sum(copies) FROM p WHERE a = rep
 SELECT g.doc_id, coalesce(k.class_id, g.doc_id) AS class_id, coalesce(k.rep, g.doc_id) AS copy_id, coalesce(CAST(k.n_links AS BIGINT), 0) AS n_links
 FROM g LEFT JOIN c USING (grams) LEFT JOIN k ON k.rep = c.rep
 """
+
+
+def mixing_ctes(documents: str, share_percent: int, max_epochs: int) -> str:
+    """CTEs that end in ``taken(doc_id, domain, lang, source, tokens, epochs)``."""
+
+    def weight(level: str) -> str:
+        named = mixing.WEIGHTS.get(level, {})
+        return "CASE " + level + "".join(f" WHEN {_quoted(n)} THEN {w}" for n, w in named.items()) + " ELSE 1 END" if named else "1"
+
+    def shared(name: str, level: str, parents: str, parent: list[str]) -> str:
+        keys = ", ".join(parent)
+        by = f"PARTITION BY {keys}" if parent else ""
+        own = ", ".join([*parent, level])
+        source = f"JOIN {parents} USING ({keys})" if parent else f"CROSS JOIN {parents}"
+        return f"""
+{name}_c AS (SELECT {own}, CAST(sum(capacity) AS HUGEINT) AS capacity, CAST({weight(level)} AS HUGEINT) AS weight FROM leaf GROUP BY {own}),
+{name}_r AS (SELECT c.*, given, sum(capacity) OVER o - capacity AS used, sum(weight) OVER s - sum(weight) OVER o + weight AS rest
+    FROM {name}_c c {source}
+    WINDOW s AS ({by}), o AS ({by} ORDER BY CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE), {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name}_f AS (SELECT *, capacity * rest <= weight * (given - used) AS filled FROM {name}_r),
+{name} AS (SELECT {own}, CASE WHEN filled THEN capacity ELSE
+        (given - coalesce(sum(capacity) FILTER (filled) OVER ({by}), 0)) * weight // sum(weight) FILTER (NOT filled) OVER ({by}) END AS given
+    FROM {name}_f)"""
+
+    return f"""
+measured AS (SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4, 0) AS VARCHAR) AS domain,
+        coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        coalesce(len(list_filter(string_split_regex(text, '{mixing.SPACES}'), lambda w: w <> '')), 0) AS tokens FROM {documents}),
+leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {max_epochs} AS HUGEINT) AS capacity
+         FROM measured WHERE tokens > 0 GROUP BY ALL),
+whole_tree AS (SELECT CAST(least(sum(capacity), sum(tokens) * {share_percent} // 100) AS HUGEINT) AS given FROM leaf),
+{shared('by_domain', 'domain', 'whole_tree', [])},
+{shared('by_lang', 'lang', 'by_domain', ['domain'])},
+{shared('by_source', 'source', 'by_lang', ['domain', 'lang'])},
+plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS part FROM by_source JOIN leaf USING (domain, lang, source)),
+placed AS (SELECT m.*, whole, part, md5('{mixing.SEED}:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+           FROM measured m JOIN plan USING (domain, lang, source) WHERE m.tokens > 0),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS running FROM placed),
+taken AS (SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN running <= part THEN 1 ELSE 0 END AS INTEGER) AS epochs
+          FROM run WHERE whole > 0 OR running <= part)"""
+
+
+MIXING = f"""
+WITH {mixing_ctes('documents', mixing.SHARE_PERCENT, mixing.MAX_EPOCHS)}
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS n_tokens, epochs FROM taken
+"""
