@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import bpe, language_id, mixing, ngram_join, quality_rules, secret_scans, sql
+from chunkweave.llm import bpe, exact_topk, language_id, mixing, ngram_join, quality_rules, secret_scans, sql
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
@@ -38,6 +42,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
+    "op2_exact_topk": (op2_exact_topk, sql.EXACT_TOPK),
     "op3_bpe": (op3_bpe, None),
     "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
     "op7_language_id": (op7_language_id, None),

@@ -201,3 +201,15 @@ MIXING = f"""
 WITH {mixing_ctes('documents', mixing.SHARE_PERCENT, mixing.MAX_EPOCHS)}
 SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS n_tokens, epochs FROM taken
 """
+
+
+EXACT_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, o.vec_id AS vec_id,
+             CAST(list_sum(list_transform(list_zip(q.c, o.c), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+      FROM v q JOIN v o ON o.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
