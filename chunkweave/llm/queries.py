@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import bpe, exact_topk, language_id, mixing, ngram_join, quality_rules, secret_scans, sql, url_filters
+from chunkweave.llm import bpe, exact_topk, language_id, license_scans, mixing, ngram_join, quality_rules, secret_scans, sql, url_filters
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scans.scan_licenses(table(spark, folder, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_exact_topk": (op2_exact_topk, sql.EXACT_TOPK),
     "op3_bpe": (op3_bpe, None),
     "op4_url_filters": (op4_url_filters, None),
+    "op5_license_scans": (op5_license_scans, sql.LICENSE_SCANS),
     "op6_ngram_join": (op6_ngram_join, sql.NGRAM_JOIN),
     "op7_language_id": (op7_language_id, None),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkweave.llm import mixing, quality_rules, secret_scans
+from chunkweave.llm import license_scans, mixing, quality_rules, secret_scans
 
 
 def _quoted(text: str) -> str:
@@ -213,3 +213,40 @@ s AS (SELECT q.vec_id AS query_id, o.vec_id AS vec_id,
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
+
+
+def _license_scans() -> str:
+    li = license_scans
+    names = ", ".join(f"({_quoted(li.normal_text(s))}, {_quoted(n)})" for n, s in li.SENTENCES.items())
+    ordered = sorted(enumerate(li.RULES), key=lambda r: (-len(r[1][1]), r[0]))
+
+    def units(separator: str) -> str:
+        p = _quoted(separator)
+        return f"""SELECT doc_id, i, unit, CAST(list_sum(lens[1:i-1]) + 0 AS INTEGER) AS before FROM (
+            SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS unit,
+                   list_transform(u, lambda x, j: length(x) + coalesce(length(s[j]), 0)) AS lens
+            FROM (SELECT doc_id, string_split_regex(text, {p}) AS u, regexp_extract_all(text, {p}) AS s FROM hinted))"""
+
+    steps = [
+        f"r{i + 1} AS (SELECT doc_id, regexp_extract_all(rest, {_quoted(li._pattern(ids))}) AS found, regexp_replace(rest, {_quoted(li._pattern(ids))}, '', 'g') AS rest FROM r{i})"
+        for i, (_, (_, ids)) in enumerate(ordered)
+    ]
+    found = " UNION ALL ".join(
+        [f"SELECT doc_id, {_quoted(name)} AS license, unnest(found) AS m FROM r{i + 1}" for i, (_, (name, _)) in enumerate(ordered)]
+        + [f"SELECT doc_id, 'unknown', unnest(regexp_extract_all(rest, ' [^ :]+:\\d+:\\d+')) FROM r{len(ordered)}"]
+    )
+    return f"""
+WITH known(sentence, id) AS (VALUES {names}),
+hinted AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {_quoted(li.ANCHORS)})),
+u AS ({units(li.LINE_BREAK)} UNION ALL {units(li.SENTENCE_BREAK)}),
+k AS (SELECT doc_id, id, coalesce(before, 0) AS s, max(coalesce(before, 0) + length(unit)) AS e FROM u
+      JOIN known ON sentence = trim(regexp_replace(translate(unit, '{li.UPPER}', '{li.LOWER}'), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL),
+r0 AS (SELECT doc_id, string_agg(' ' || id || ':' || s || ':' || e, '' ORDER BY s, id) AS rest FROM k GROUP BY doc_id),
+{', '.join(steps)}
+SELECT doc_id, license, CAST(regexp_extract(m, '^ [^ :]+:(\\d+):', 1) AS INTEGER) AS start, CAST(regexp_extract(m, ':(\\d+)$', 1) AS INTEGER) AS "end",
+       regexp_replace(trim(m), ':\\d+:\\d+', '', 'g') AS sentences
+FROM ({found})
+"""
+
+
+LICENSE_SCANS = _license_scans()
