@@ -154,8 +154,8 @@ class Merger:
 class Encoder:
     """Encodes texts in a task; keeps the ids of words it has met, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: str | None):
-        self.merger, self.special = Merger(vocabulary), vocabulary.special
+    def __init__(self, vocabulary: Vocabulary, lexicon: str | None, with_special: bool = True):
+        self.merger, self.special = Merger(vocabulary), vocabulary.special if with_special else {}
         self.lexicon = Transducer(lexicon) if lexicon else None
         self.plain = regex.compile(vocabulary.pattern)
         self.newer = regex.compile(f"[{_ranges(vocabulary.newer)}]") if vocabulary.newer else None
@@ -245,6 +245,26 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         at = end
 
 
+def encode_packed(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """``packed binary``: the ids of each text as little-endian 16-bit numbers, in the order of the rows.
+    Strings of special tokens are ordinary text here."""
+    spark = docs.sparkSession
+    vocabulary = Vocabulary(path)
+    if len(vocabulary.tokens) > 1 << 16:
+        raise ValueError("ids do not fit 16 bits")
+    name = ship_lexicon(spark, vocabulary, frequent_words(docs, lexicon_words))
+    state = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        encoder = Encoder(state.value, SparkFiles.get(name), with_special=False)
+        for batch in batches:
+            for _, _, texts in _groups(batch.column(0)):
+                found = (np.frombuffer(ids, dtype="<i4").astype("<u2").tobytes() for ids in encoder.encode(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["packed"])
+
+    return docs.select("text").mapInArrow(run, "packed binary")
+
+
 def encode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``ids array<int>`` of ``text``."""
     spark = docs.sparkSession

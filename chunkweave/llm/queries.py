@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import bpe, exact_topk, language_id, license_scans, mixing, ngram_join, quality_rules, secret_scans, sql, url_filters
+from chunkweave.llm import bpe, exact_topk, language_id, license_scans, mixing, ngram_join, quality_rules, secret_scans, sql, token_counts, url_filters
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -48,6 +48,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, mixing.source_domain(F.col("source")), mixing.word_tokens(F.col("text")))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.table_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
     "op2_exact_topk": (op2_exact_topk, sql.EXACT_TOPK),
@@ -58,4 +62,5 @@ QUERIES = {
     "op7_language_id": (op7_language_id, None),
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
     "op9_mixing": (op9_mixing, sql.MIXING),
+    "op10_token_counts": (op10_token_counts, None),
 }
