@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkweave.llm.common import stored
 
@@ -210,6 +211,13 @@ class Scorer:
         return totals, n_words
 
 
+def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """The rows whose language is recognised with at least this score; all columns stay as they are."""
+    names = ("_predicted_language", "_predicted_score")
+    found = predict(docs, *learn_from(docs, vocabulary, docs_per_language), keep=docs.columns, names=names)
+    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -270,13 +278,17 @@ def learn(training: DataFrame, pieces: list[str], docs_per_language: int = DOCS_
     return languages, probability
 
 
-def predict(docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray) -> DataFrame:
-    """``(doc_id, lang_pred, score)``; the score is the language's share of the summed probabilities."""
+def predict(
+    docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray, keep=("doc_id",), names=("lang_pred", "score")
+) -> DataFrame:
+    """The kept columns, the predicted language and its score (``names``): its share of the summed
+    probabilities of all languages."""
+    wanted = docs.select(F.col("text").alias("_text"), *keep)
     state = docs.sparkSession.sparkContext.broadcast((pieces, languages, probability))
 
     def run(batches):
-        own_pieces, names, own = state.value
-        scorer = Scorer(own_pieces, own) if names else None
+        own_pieces, own_languages, own = state.value
+        scorer = Scorer(own_pieces, own) if own_languages else None
         for batch in batches:
             rows = batch.num_rows
             best, score, known = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows, dtype=bool)
@@ -284,7 +296,7 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], probabilit
             while at < rows and scorer is not None:
                 size, end, texts = 0, at, []
                 while end < rows and size < BATCH_CHARS:
-                    texts.append(batch.column(1)[end].as_py() or "")
+                    texts.append(batch.column(0)[end].as_py() or "")
                     size += len(texts[-1])
                     end += 1
                 totals, n_words = scorer.totals(texts)
@@ -293,19 +305,24 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], probabilit
                 score[at:end] = share.max(axis=1) / share.sum(axis=1)
                 known[at:end] = n_words > 0
                 at = end
-            predicted = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            predicted = [own_languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0))],
-                names=["doc_id", "lang_pred", "score"],
+                [*batch.columns[1:], pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0))],
+                names=[*keep, *names],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*wanted.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return wanted.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``; rows with ``held_out`` are never learned from."""
+def learn_from(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple:
+    """Pieces, languages and probabilities, learned from the rows that are not held out."""
     training = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     pieces = vocabulary_pieces(vocabulary)
-    languages, probability = learn(training.select("doc_id", "text", "lang"), pieces, docs_per_language)
-    predicted = predict(docs, pieces, languages, probability)
+    return pieces, *learn(training.select("doc_id", "text", "lang"), pieces, docs_per_language)
+
+
+def identify(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """``(doc_id, held_out, lang_pred, score)``; rows with ``held_out`` are never learned from."""
+    predicted = predict(docs, *learn_from(docs, vocabulary, docs_per_language))
     return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

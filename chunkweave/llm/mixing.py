@@ -171,3 +171,15 @@ def mix(docs: DataFrame, domain: Column, tokens: Column, **options) -> DataFrame
         .filter("epochs > 0")
         .select("doc_id", *LEVELS, F.col("tokens").alias("n_tokens"), "epochs")
     )
+
+
+def selected(docs: DataFrame, domain: Column, tokens: Column, **options) -> DataFrame:
+    """The rows that the plan takes at least once; all columns stay as they are. Each row meets only its
+    leaf's row of the plan."""
+    level = {"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+    measured = stored(docs.select("doc_id", *[c.alias(name) for name, c in level.items()], tokens.alias("tokens")), "mix-measured")
+    plan = plan_leaves(measured, **options).select(*[F.col(name).alias(f"_leaf_{name}") for name in LEVELS], F.col("whole").alias("_leaf_whole"), F.col("last_place").alias("_leaf_last"))
+    seed = options.get("seed", SEED)
+    taken = epochs_of(F.col("doc_id"), F.col("_leaf_whole"), F.col("_leaf_last"), seed) > 0
+    same = [level[name] == F.col(f"_leaf_{name}") for name in LEVELS]
+    return docs.filter(tokens > 0).join(plan, same[0] & same[1] & same[2] & taken, "left_semi")

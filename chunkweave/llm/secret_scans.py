@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chunkweave.functions.arrays import rows_of
+from chunkweave.functions.text import let
 from chunkweave.llm.common import NO_SPANS, spans, stored
 
 KINDS = ("assign", "access", "hex", "ident", "weak")
@@ -137,17 +138,19 @@ def link(found: DataFrame, reach: int = REACH) -> DataFrame:
     return confirmed.unionByName(named)
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int = REACH, carry: bool = False) -> DataFrame:
     """``(doc_id, assign, access, hex, linked)``: arrays of ``start, end, text`` spans per document,
-    ``linked`` with ``kind`` in place of the text."""
-    plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    ``linked`` with ``kind`` in place of the text. With ``carry``, ``row`` holds the input row."""
+    own = [F.struct("*").alias("row")] if carry else []
+    plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *own)
     based = base_spans(plain).withColumn("key", F.struct(F.col("doc_id"), F.sha2("text", 256).alias("sha")))
     found = stored(parts(based), "secret-parts")
-    by_text = (
+    by_text = stored(
         link(found, reach)
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("linked"))
-        .select(F.col("key.doc_id").alias("linked_doc"), F.col("key.sha").alias("linked_sha"), "linked")
+        .select(F.col("key.doc_id").alias("linked_doc"), F.col("key.sha").alias("linked_sha"), "linked"),
+        "secret-links",
     )
     joined = based.join(by_text, F.col("doc_id").eqNullSafe(F.col("linked_doc")) & (F.col("key.sha") == F.col("linked_sha")), "left")
     return joined.select(
@@ -156,9 +159,47 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
         "access",
         "hex",
         F.coalesce("linked", F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("linked"),
+        *(["row"] if carry else []),
     )
 
 
+def redacted(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+    """The same rows with every span of their text replaced by the mask (touching spans by one), and
+    ``n_chars`` recounted where it is a column and the text was changed."""
+
+    def place(m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"))
+
+    scanned = scan_secrets(docs, reach, carry=True)
+    every = F.sort_array(F.concat(*[F.transform(F.col(kind), place) for kind in ("assign", "access", "hex", "linked")]))
+    text = F.col("row.text")
+
+    def cut(s: Column) -> Column:
+        # What stands before each span that begins after all earlier ones have ended, then the rest.
+        ends = F.transform(s, lambda m, i: F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda x: x["end"])))
+        pieces = F.zip_with(
+            s,
+            ends,
+            lambda m, before: F.when(
+                before.isNull() | (before <= m["start"]),
+                F.concat(F.substring(text, F.coalesce(before, F.lit(0)) + 1, m["start"] - F.coalesce(before, F.lit(0))), F.lit(mask)),
+            ).otherwise(F.lit("")),
+        )
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+    changed = scanned.select("row", every.alias("every")).withColumn(
+        "clean", F.when(F.size("every") > 0, let(F.col("every"), cut)).otherwise(text)
+    )
+    fields = {name: F.col("row").getField(name).alias(name) for name in docs.columns}
+    fields["text"] = F.col("clean").alias("text")
+    if "n_chars" in fields:
+        kind = docs.schema["n_chars"].dataType
+        counted = F.when(F.size("every") > 0, F.length("clean").cast(kind)).otherwise(F.col("row.n_chars"))
+        fields["n_chars"] = counted.alias("n_chars")
+    return changed.select(*fields.values())
+
+
 def span_text(items: Column) -> Column:
     """``kind:start:end`` of ``(start, kind number, kind, end)`` structs, by start, then kind as listed."""
     return F.array_join(
