@@ -305,3 +305,14 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, threshold: Fraction = T
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links")
     )
     return found.select("doc_id", "class_id", "copy_id", "n_links").unionByName(alone)
+
+
+def deduplicated(docs: DataFrame, ngram: int = NGRAM, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """One document of each class, the one with the least ``doc_id``; all columns stay as they are.
+
+    Rows without ``doc_id`` cannot be told apart and stay; rows equal in ``doc_id`` and text are one.
+    """
+    classes = near_duplicates(docs, ngram, threshold)
+    kept = stored(classes.filter("doc_id = class_id").select("class_id").distinct(), "join-kept").hint("merge")
+    stays = docs.join(kept, docs["doc_id"] == kept["class_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return stays.unionByName(docs.filter(docs["doc_id"].isNull()))
