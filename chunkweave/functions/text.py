@@ -128,8 +128,38 @@ def optional_bool(text: Column) -> Column:
     )
 
 
+def _glob_set(token: Column) -> Column:
+    """A ``[set]`` token as a Java class in which only ``-`` between characters has a meaning."""
+    negated = F.substring(token, 2, 1) == "!"
+    inner = F.when(negated, F.substring(token, 3, F.length(token) - 3)).otherwise(F.substring(token, 2, F.length(token) - 2))
+    # A range that runs backwards holds nothing.
+    turned = F.filter(
+        F.regexp_extract_all(inner, F.lit(r"(?s).-."), F.lit(0)), lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1)
+    )
+    kept = F.aggregate(turned, inner, lambda acc, r: F.replace(acc, r, F.lit("")))
+    quoted = F.regexp_replace(kept, r"([\\\[\]^&~|#\s])", r"\\$1")
+    return (
+        F.when((kept == "") & negated, F.lit("(?s:.)"))
+        .when(kept == "", F.lit("(?!)"))
+        .otherwise(F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), quoted, F.lit("]")))
+    )
+
+
 def glob_match(value: Column, pattern: Column) -> Column:
-    """Case-sensitive shell pattern on the whole value (``*``, ``?`` and ``[set]``)."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|(){}+])", r"\\$1")
-    regex = F.replace(F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^"))
-    return F.regexp_like(value, F.concat(F.lit("(?s)^(?:"), regex, F.lit(")$")))
+    """Case-sensitive shell pattern on the whole value (``*``, ``?``, ``[set]`` and ``[!set]``).
+
+    The pattern is cut into tokens and each is translated on its own; a bracket that is never closed
+    is an ordinary character.
+    """
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?\]?[^\]]*\]|."), F.lit(0))
+    regex = F.array_join(
+        F.transform(
+            tokens,
+            lambda t: F.when(t == "*", F.lit("(?s:.*)"))
+            .when(t == "?", F.lit("(?s:.)"))
+            .when((F.length(t) > 2) & t.startswith("["), _glob_set(t))
+            .otherwise(F.regexp_replace(t, r"([\\.^$|(){}+\[\]*?])", r"\\$1")),
+        ),
+        "",
+    )
+    return F.regexp_like(value, F.concat(F.lit("^(?:"), regex, F.lit(r")\z")))

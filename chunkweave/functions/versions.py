@@ -32,7 +32,17 @@ STAGE_RANKS = {
 }
 UNKNOWN_STAGE = 50
 NO_QUALIFIER = 1000
-NUMBER = "decimal(38,0)"
+
+
+def _number(digits: Column) -> Column:
+    """A digit run of any length as (length, digits) without leading zeros, which orders by value."""
+    return let(
+        F.regexp_replace(digits, r"^0+(?=\d)", ""), lambda bare: F.struct(F.length(bare).alias("length"), bare.alias("digits"))
+    )
+
+
+def _zero() -> Column:
+    return F.struct(F.lit(1).alias("length"), F.lit("0").alias("digits"))
 
 
 def _stages() -> Column:
@@ -46,8 +56,8 @@ def _tokens(text: Column) -> Column:
         digits = F.substring(run, 1, 1).between("0", "9")
         return F.when(
             digits,
-            F.struct(F.lit(0).alias("kind"), F.when(digits, run).cast(NUMBER).alias("num"), F.lit("").alias("word")),
-        ).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).cast(NUMBER).alias("num"), F.lower(run).alias("word")))
+            F.struct(F.lit(0).alias("kind"), _number(run).alias("num"), F.lit("").alias("word")),
+        ).otherwise(F.struct(F.lit(1).alias("kind"), _zero().alias("num"), F.lower(run).alias("word")))
 
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)), token)
 
@@ -85,18 +95,18 @@ def _qualifier(words: Column) -> Column:
                 F.element_at(
                     F.transform(F.filter(head, _is_stage), lambda t: F.element_at(_stages(), t["word"])), -1
                 ).alias("rank"),
-                F.coalesce(F.get(tokens, number_at - 1)["num"], F.lit(0).cast(NUMBER)).alias("number"),
+                F.coalesce(F.get(tokens, number_at - 1)["num"], _zero()).alias("number"),
                 F.filter(head, lambda t: ~_is_stage(t)).alias("rest"),
             )
 
         none = F.struct(
-            F.lit(UNKNOWN_STAGE).alias("rank"), F.lit(0).cast(NUMBER).alias("number"), tokens.alias("rest")
+            F.lit(UNKNOWN_STAGE).alias("rank"), _zero().alias("number"), tokens.alias("rest")
         )
         return let(stage_at, lambda at: F.when(at.isNull(), none).otherwise(with_stage(at)))
 
     bare = F.struct(
         F.lit(NO_QUALIFIER).alias("rank"),
-        F.lit(0).cast(NUMBER).alias("number"),
+        _zero().alias("number"),
         F.filter(_tokens(F.lit("")), lambda t: F.lit(False)).alias("rest"),
     )
     return F.when(F.size(words) == 0, bare).otherwise(let(flat, ranked))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.text import glob_match, strip
 from chunkweave.functions.versions import requested_version, version_key
-from chunkweave.operators.skew import salted_join
 
 
 def with_key(versions: DataFrame) -> DataFrame:
@@ -43,9 +42,11 @@ def resolve(requests: DataFrame, versions: DataFrame, pins: DataFrame) -> DataFr
     """``requests(request_id, name, target)`` to the version each one means, and its status.
 
     An explicit version must exist; ``latest`` is the highest; no target means the pinned version
-    if it is installed, else the highest.
+    if it is installed, else the highest. Each distinct question is answered once (no key of those
+    is hot, however often it is asked) and the requests are joined to the answers.
     """
     asked = requests.withColumn("asked", requested_version(F.col("target")))
+    questions = asked.select("name", "asked").distinct()
     known = versions.select("name", "version").distinct()
     pinned = pins.select("name", F.col("pinned").alias("version")).join(known, ["name", "version"], "left_semi")
     per_name = (
@@ -54,22 +55,23 @@ def resolve(requests: DataFrame, versions: DataFrame, pins: DataFrame) -> DataFr
         .join(pinned.withColumnRenamed("version", "pin"), "name", "left")
     )
     exact = known.withColumnRenamed("version", "asked").withColumn("exists", F.lit(True))
-    # Many requests may ask for one package or one version.
-    joined = salted_join(salted_join(asked, per_name, "name"), exact, ["name", "asked"])
+    joined = questions.join(per_name, "name", "left").join(exact, ["name", "asked"], "left")
     resolved = (
         F.when(F.col("asked").isNull(), F.coalesce("pin", "latest"))
         .when(F.col("asked") == "latest", F.col("latest"))
         .when(F.col("exists"), F.col("asked"))
     )
-    return joined.select(
-        "request_id",
-        "name",
+    answers = joined.select(
+        F.col("name").alias("of_name"),
+        F.col("asked").alias("of_asked"),
         resolved.alias("version"),
         F.when(F.col("latest").isNull(), F.lit("no versions installed"))
         .when(resolved.isNull(), F.lit("not installed"))
         .otherwise(F.lit("ok"))
         .alias("status"),
     )
+    same = F.col("name").eqNullSafe(F.col("of_name")) & F.col("asked").eqNullSafe(F.col("of_asked"))
+    return asked.join(answers, same, "left").select("request_id", "name", "version", "status")
 
 
 def prune_plan(versions: DataFrame, pins: DataFrame, keep: int = 1) -> DataFrame:
@@ -90,8 +92,12 @@ def prune_plan(versions: DataFrame, pins: DataFrame, keep: int = 1) -> DataFrame
 
 
 def set_pins(pins: DataFrame, changes: DataFrame) -> DataFrame:
-    """The pins table after ``changes(name, pinned, active)``; packages not named stay as they are."""
-    return pins.join(changes.select("name"), "name", "left_anti").unionByName(changes)
+    """The pins table after ``changes(name, pinned, active)``; packages not named, and fields a change
+    leaves null, stay as they are."""
+    new = changes.select("name", F.col("pinned").alias("new_pinned"), F.col("active").alias("new_active"))
+    return pins.join(new, "name", "full_outer").select(
+        "name", F.coalesce("new_pinned", "pinned").alias("pinned"), F.coalesce("new_active", "active").alias("active")
+    )
 
 
 def remove_packages(table: DataFrame, names: DataFrame) -> DataFrame:
@@ -139,7 +145,7 @@ def describe_version(catalogue: DataFrame, changes: DataFrame) -> DataFrame:
 def live_versions(versions: DataFrame, packages: DataFrame, include_yanked: bool = False) -> DataFrame:
     """Versions with their package name; yanked ones are hidden unless asked for."""
     shown = versions if include_yanked else versions.where(~F.col("yanked"))
-    return salted_join(shown, packages.select(F.col("id").alias("package_id"), "name"), "package_id", "inner")
+    return shown.join(packages.select(F.col("id").alias("package_id"), "name"), "package_id")
 
 
 def newest_first(versions: DataFrame) -> DataFrame:
@@ -154,7 +160,7 @@ def publish(current: DataFrame, incoming: DataFrame, overwrite: bool = False) ->
     """
     known = current.select("name", "version").distinct().withColumn("exists", F.lit(True))
     first = incoming.groupBy("name", "version").agg(F.min("upload_id").alias("first_id"))
-    marked = salted_join(incoming, first.join(known, ["name", "version"], "left"), ["name", "version"], "inner")
+    marked = incoming.join(first.join(known, ["name", "version"], "left"), ["name", "version"])
     return marked.withColumn(
         "outcome",
         F.when(F.col("size_bytes") == 0, F.lit("empty"))
@@ -191,53 +197,44 @@ def audit_report(log: DataFrame) -> DataFrame:
     )
 
 
-MAX_PROVIDER_MODELS = 10_000
-
-
-def provider_table(providers: DataFrame) -> list:
-    """Configured providers ``(provider, models, default_model)``, sorted by name.
-
-    This is configuration, read with a checked bound: more entries than the bound is an error.
-    """
-    rows = providers.limit(MAX_PROVIDER_MODELS + 1).collect()
-    if sum(max(1, len(r.models or [])) for r in rows) > MAX_PROVIDER_MODELS:
-        raise ValueError(f"more than {MAX_PROVIDER_MODELS} provider models configured")
-    return sorted(rows, key=lambda r: r.provider)
-
-
 def choose_models(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """Requested model, else the recommended one, else the first supported; and who provides it.
 
-    ``requests(packet_id, requested, recommended, patterns)``. The provider table is a literal, so
-    this is one pass over the requests. A model nobody lists goes to the first provider by name; a
-    default model is searched only where a provider lists no models.
+    ``requests(packet_id, requested, recommended, patterns)``, ``providers(provider, models,
+    default_model)``. A model nobody lists goes to the first provider by name; a default model is
+    searched only where a provider lists no models. Patterns are matched once per distinct list, not
+    per request; only the ordered list of offers, one row, is sent to the tasks.
     """
-    table = provider_table(providers)
-    first = F.lit(table[0].provider if table else None).cast("string")
-    offers: dict[str, str] = {}
-    searched: list[tuple[str, str]] = []
-    for row in table:
-        models, default = list(row.models or []), [row.default_model] if row.default_model else []
-        for model in models + default:
-            offers.setdefault(model, row.provider)
-        searched += [(row.provider, model) for model in models or default]
-
+    default = F.when(F.col("default_model").isNotNull() & (F.col("default_model") != ""), F.array("default_model"))
+    own = F.filter(F.coalesce("models", F.array().cast("array<string>")), lambda m: m.isNotNull())
+    none = F.array().cast("array<string>")
+    named_by = providers.select("provider", own.alias("own"), F.coalesce(default, none).alias("fallback"))
+    offers = (
+        named_by.select("provider", F.explode(F.concat("own", "fallback")).alias("offered"))
+        .groupBy("offered")
+        .agg(F.min("provider").alias("offered_by"))
+    )
+    searched = F.transform(
+        F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("fallback")),
+        lambda m, i: F.struct(F.col("provider").alias("provider"), i.alias("at"), m.alias("model")),
+    )
+    options = named_by.agg(
+        F.array_sort(F.flatten(F.collect_list(searched))).alias("options"), F.min("provider").alias("first_provider")
+    )  # one row
     named = F.coalesce("requested", "recommended")
-    offered_by = (
-        F.try_element_at(F.create_map(*[F.lit(x) for pair in offers.items() for x in pair]), named)
-        if offers
-        else F.lit(None).cast("string")
-    )
-    options = F.array(
-        *[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in searched]
-    ).cast("array<struct<provider:string,model:string>>")
+    lists = requests.where(named.isNull()).select("patterns").distinct().join(F.broadcast(options.select("options")))
     supported = F.filter(
-        options,
-        lambda o: (F.size("patterns") == 0) | F.exists("patterns", lambda p: glob_match(o["model"], p)),
+        "options", lambda o: (F.size("patterns") == 0) | F.exists("patterns", lambda p: glob_match(o["model"], p))
+    )
+    matched = lists.select(F.col("patterns").alias("of_patterns"), F.get(supported, F.lit(0)).alias("best"))
+    asked = requests.withColumn("named", named).join(F.broadcast(options.select("first_provider")))
+    both = asked.join(offers, F.col("named") == F.col("offered"), "left").join(
+        matched, F.col("named").isNull() & F.col("patterns").eqNullSafe(F.col("of_patterns")), "left"
     )
-    best = F.get(supported, F.lit(0))
-    return requests.select(
+    return both.select(
         "packet_id",
-        F.coalesce(named, best["model"]).alias("model"),
-        F.when(named.isNotNull(), F.coalesce(offered_by, first)).otherwise(F.coalesce(best["provider"], first)).alias("provider"),
+        F.coalesce("named", F.col("best.model")).alias("model"),
+        F.when(F.col("named").isNotNull(), F.coalesce("offered_by", "first_provider"))
+        .otherwise(F.coalesce(F.col("best.provider"), "first_provider"))
+        .alias("provider"),
     )

@@ -31,7 +31,6 @@ SECTIONED = (
     f"struct<sections:array<{SECTION}>,split:string,parent_kind:string,child_kind:string,"
     "chunker:string,prefix:string,lang:string,header:string,separator:string>"
 )
-REPEAT_KEY_CHARS = 2000
 
 # Extensions by chunker.
 CODE_EXTENSIONS = (
@@ -282,7 +281,7 @@ def inject_context(chunks: Column, header: Column, child_level: str, separator:
 
 def chunks_of(plan: Column, path: Column, ext: Column, options: ChunkingOptions, count: TokenCounter = word_count) -> Column:
     """Sections cut, packed, named and given their context: an array of ``CHUNK``."""
-    limit = max(1, options.max_symbol_blocks_per_chunk) if options.emit_parent_chunks else 999
+    limit = max(1, options.max_symbol_blocks_per_chunk) if options.emit_parent_chunks else None
 
     def build(p: Column) -> Column:
         blocks = parent_child_blocks(p, options, count)
@@ -337,7 +336,7 @@ def multi_view(plans: Column, path: Column, ext: Column, options: ChunkingOption
     return first_of_each(
         views,
         lambda c: F.struct(
-            F.substring(c["text"], 1, REPEAT_KEY_CHARS).alias("text"),
+            F.sha2(c["text"], 256).alias("text"),
             c["chunker"].alias("chunker"),
             F.coalesce(c["lang"], F.lit("")).alias("lang"),
             c["ext"].alias("ext"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.text import path_parts, sha256
 
-FLAT_FILES = 100_000
 BUCKET_HEX = 3
 
 # Tag by extension.
@@ -66,44 +65,27 @@ def _lines(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: e["line"]), "\n")
 
 
-def tree_fingerprints(files: DataFrame, tree: str = "tree", flat_files: int = FLAT_FILES) -> DataFrame:
+def tree_fingerprints(files: DataFrame, tree: str = "tree", scheme: str = "bucketed") -> DataFrame:
     """One fingerprint per tree of ``(tree, path, digest)`` rows.
 
-    Trees of up to ``flat_files`` files get the digest of their ``path:digest`` lines in path order
-    (scheme ``flat``). One digest over a larger list would pass the whole tree through one task, so
-    larger trees are hashed in two levels (scheme ``bucketed``): files fall into buckets by the
-    digest of their path, and the tree's fingerprint covers the at most 16**BUCKET_HEX bucket lines.
-    Either changes exactly when a path or a digest changes.
+    The scheme does not depend on the size of a tree. ``bucketed`` hashes in two levels: files fall
+    into buckets by the digest of their path, and the tree's fingerprint covers the at most
+    16**BUCKET_HEX bucket lines, so no task sees a whole tree. ``flat`` is the digest of all
+    ``path:digest`` lines in path order, for exchange with tools that record it; it gathers each tree
+    in one task. Either changes exactly when a path or a digest changes.
     """
-    sizes = files.groupBy(tree).agg(F.count(F.lit(1)).alias("n_files"))
-    sized = files.join(F.broadcast(sizes.where(F.col("n_files") > flat_files)), tree, "left")
-    line = F.concat_ws(":", "path", "digest").alias("line")
-
-    flat = (
-        sized.where(F.col("n_files").isNull())
-        .groupBy(tree)
-        .agg(
-            F.count(F.lit(1)).alias("n_files"),
-            F.array_sort(F.collect_list(F.struct(path_parts(F.col("path")).alias("key"), line))).alias("entries"),
-        )
-        .select(tree, "n_files", F.lit("flat").alias("scheme"), sha256(_lines(F.col("entries"))).alias("fingerprint"))
-    )
-    bucket = F.substring(sha256(F.col("path")), 1, BUCKET_HEX).alias("bucket")
-    buckets = (
-        sized.where(F.col("n_files").isNotNull())
-        .groupBy(tree, bucket)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.array_sort(F.collect_list(F.struct(path_parts(F.col("path")).alias("key"), line))).alias("entries"),
-        )
-        .select(tree, "rows", "bucket", F.concat_ws(":", "bucket", sha256(_lines(F.col("entries")))).alias("line"))
-    )
-    bucketed = (
-        buckets.groupBy(tree)
-        .agg(F.sum("rows").alias("n_files"), F.array_sort(F.collect_list(F.struct("bucket", "line"))).alias("entries"))
-        .select(tree, "n_files", F.lit("bucketed").alias("scheme"), sha256(_lines(F.col("entries"))).alias("fingerprint"))
-    )
-    return flat.unionByName(bucketed)
+    entry = F.struct(path_parts(F.col("path")).alias("key"), F.concat_ws(":", "path", "digest").alias("line"))
+    listed = F.array_sort(F.collect_list(entry)).alias("entries")
+    if scheme == "flat":
+        whole = files.groupBy(tree).agg(F.count(F.lit(1)).alias("n_files"), listed)
+    elif scheme == "bucketed":
+        bucket = F.substring(sha256(F.col("path")), 1, BUCKET_HEX).alias("bucket")
+        buckets = files.groupBy(tree, bucket).agg(F.count(F.lit(1)).alias("rows"), listed)
+        lines = buckets.select(tree, "rows", F.struct("bucket", F.concat_ws(":", "bucket", sha256(_lines(F.col("entries")))).alias("line")).alias("entry"))
+        whole = lines.groupBy(tree).agg(F.sum("rows").alias("n_files"), F.array_sort(F.collect_list("entry")).alias("entries"))
+    else:
+        raise ValueError(f"unknown scheme {scheme!r}")
+    return whole.select(tree, "n_files", F.lit(scheme).alias("scheme"), sha256(_lines(F.col("entries"))).alias("fingerprint"))
 
 
 def artifact_drift(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

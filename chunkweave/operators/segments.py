@@ -222,11 +222,15 @@ def json_members(content: pd.Series) -> pd.Series:
     """
 
     def members(text: str | None):
+        # Whatever cannot be read, laid out or encoded (deep nesting, lone surrogates) is no object here.
         try:
             parsed = json.loads(text)
-        except (ValueError, TypeError):
+            found = [_member_text(k, v) for k, v in parsed.items()] if isinstance(parsed, dict) else None
+            for member in found or ():
+                member["key"].encode(), member["value"].encode()
+        except (ValueError, TypeError, RecursionError):
             return None
-        return [_member_text(k, v) for k, v in parsed.items()] if isinstance(parsed, dict) else None
+        return found
 
     return content.map(members)
 

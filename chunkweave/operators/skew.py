@@ -34,7 +34,9 @@ def salted_join(
     """
     keys = [keys] if isinstance(keys, str) else keys
     hot = F.broadcast(hot_keys(rows, keys, share))
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # A function of the row, so that a task that runs again deals its rows out as before.
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     left = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("is_hot"), spread).otherwise(F.lit(0))).drop("is_hot")
     copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("is_hot")

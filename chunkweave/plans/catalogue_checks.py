@@ -252,14 +252,14 @@ def tree_hash(spark, folder):
     """One fingerprint per source directory, of the path and digest of every file."""
     files = In.sources(spark, folder)
     rows = files.select(F.col("source").alias("tree"), "path", sha256(F.col("content")).alias("digest"))
-    return I.tree_fingerprints(rows)
+    return I.tree_fingerprints(rows, scheme="flat")
 
 
 def tree_hash_bucketed(spark, folder):
-    """The scheme of large trees, applied to all."""
+    """The two-level scheme, in which no task sees a whole tree."""
     files = In.sources(spark, folder)
     rows = files.select(F.col("source").alias("tree"), "path", sha256(F.col("content")).alias("digest"))
-    return I.tree_fingerprints(rows, flat_files=0)
+    return I.tree_fingerprints(rows)
 
 
 def drift_report(spark, folder):

@@ -670,7 +670,7 @@ QUERIES = {
             SELECT *, 1 AS view FROM code_chunks UNION ALL
             SELECT *, 2 FROM ({_sql_simple_chunks('br_parts', 'brace')}) UNION ALL
             SELECT *, 3 FROM ({_sql_simple_chunks('text_parts', 'text')})),
-        firsts AS (SELECT *, row_number() OVER (PARTITION BY path, chunker, substr(text, 1, 2000) ORDER BY view, ord) AS copy FROM views)
+        firsts AS (SELECT *, row_number() OVER (PARTITION BY path, chunker, text ORDER BY view, ord) AS copy FROM views)
         SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY view, ord) - 1 AS INTEGER) AS ord, id, chunker, sha256(text) AS digest
         FROM firsts WHERE copy = 1""",
     ),

@@ -30,23 +30,6 @@ def build_session(app: str = "chunkweave", master: str | None = None, **extra: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    target = shared or tempfile.mkdtemp(prefix="chunkweave-checkpoint-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
-
-
-def cut_lineage(df):
-    """Reliable checkpoint, so that lost executors do not re-run everything before it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 _shipped: set[str] = set()
 
 

@@ -27,19 +27,23 @@ def _glob(extensions: list[str]) -> str:
     return "*.{" + ",".join(any_case) + "}"
 
 
-def _relative(root: str) -> Column:
-    """Path below ``root``, without scheme and with forward slashes."""
-    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    prefix = root.rstrip("/").split("://", 1)[-1]
-    prefix = prefix if prefix.startswith("/") else "/" + prefix.split("/", 1)[-1]
-    return F.ltrim(F.replace(bare, F.lit(prefix + "/"), F.lit("")), F.lit("/"))
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as Spark's sources spell it, resolved by the file system it belongs to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
-def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+def _relative(spark: SparkSession, root: str) -> Column:
+    """Path below ``root``: what follows the qualified root, cut by length."""
+    return F.substr(F.col("path"), F.lit(len(_qualified(spark, root)) + 2))
+
+
+def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, hidden: bool = True) -> DataFrame:
     """``(path, ext, size, raw)`` of the files with the given extensions below ``root``.
 
     Plain names are listed and read by Spark's own binary source; names starting with ``_`` or
-    ``.``, which it skips, come from ``hidden_files``.
+    ``.``, which it skips, come from ``hidden_files``, unless ``hidden`` is false: that way trees of
+    every file system known to Spark can be read, also of those that ``hidden_files`` cannot list.
     """
     from chunkweave.sources.hidden import hidden_files
 
@@ -49,15 +53,15 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = No
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _glob(wanted))
         .load(root)
-        .select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
+        .select(_relative(spark, root).alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
     )
-    both = plain.unionByName(hidden_files(spark, root, wanted))
+    both = plain.unionByName(hidden_files(spark, _qualified(spark, root), wanted)) if hidden else plain
     return both.withColumn("ext", path_suffix(F.col("path"))).where(F.col("ext").isin(*wanted))
 
 
-def read_sources(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, extensions: list[str] | None = None, hidden: bool = True) -> DataFrame:
     """``(path, ext, content)`` of the indexed files, blank ones included."""
-    return scan_files(spark, root, extensions).select("path", "ext", decode_text(F.col("raw")).alias("content"))
+    return scan_files(spark, root, extensions, hidden).select("path", "ext", decode_text(F.col("raw")).alias("content"))
 
 
 def non_blank(files: DataFrame) -> DataFrame:

@@ -98,15 +98,40 @@ def test_tree_fingerprint_schemes(spark):
 
     rows = [("t", p, f"d{p}") for p in ("a-b", "a/b", "c")] + [("u", "x", "1")]
     files = spark.createDataFrame(rows, "tree string, path string, digest string")
-    got = {r.tree: r for r in I.tree_fingerprints(files, flat_files=2).collect()}
-    assert got["u"].scheme == "flat" and got["u"].fingerprint == hashlib.sha256(b"x:1").hexdigest()
-    assert got["t"].scheme == "bucketed" and got["t"].n_files == 3
-    flat = {r.tree: r for r in I.tree_fingerprints(files).collect()}
+    got = {r.tree: r for r in I.tree_fingerprints(files).collect()}
+    assert {r.scheme for r in got.values()} == {"bucketed"} and got["t"].n_files == 3
+    flat = {r.tree: r for r in I.tree_fingerprints(files, scheme="flat").collect()}
+    assert flat["u"].fingerprint == hashlib.sha256(b"x:1").hexdigest()
     assert flat["t"].fingerprint == hashlib.sha256(b"a/b:da/b\na-b:da-b\nc:dc").hexdigest()
     moved = files.withColumn("digest", F.when(F.col("path") == "c", F.lit("new")).otherwise(F.col("digest")))
-    assert {r.tree: r for r in I.tree_fingerprints(moved, flat_files=2).collect()}["t"].fingerprint != got["t"].fingerprint
+    assert {r.tree: r for r in I.tree_fingerprints(moved).collect()}["t"].fingerprint != got["t"].fingerprint
 
 
 def test_tags(spark):
     counts = spark.createDataFrame([(".ts", 2), (".tsx", 1), (".md", 1), (".json", 4), (".py", 0)], "ext string, files long")
     assert I.infer_tags(counts, "corpus").first().tags == ["corpus", "docs", "typescript"]
+
+
+def test_numbers_of_any_length_order_by_value(spark):
+    texts = ["1." + "9" * 38, "1.1" + "0" * 38, "1.0" + "9" * 45, "2.0", "1.00007", "1.8"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").orderBy(version_key(F.col("v"))).collect()
+    assert [r.v for r in rows] == sorted(texts, key=lambda t: [int(x) for x in t.split(".")])
+
+
+def test_pins_change_field_by_field(spark):
+    pins = spark.createDataFrame([("a", "1", "2"), ("b", "1", None)], "name string, pinned string, active string")
+    changes = spark.createDataFrame([("a", "3", None), ("c", None, "9")], "name string, pinned string, active string")
+    assert {tuple(r) for r in C.set_pins(pins, changes).collect()} == {("a", "3", "2"), ("b", "1", None), ("c", None, "9")}
+
+
+def test_models_of_many_providers(spark):
+    providers = spark.createDataFrame(
+        [(f"p{i:05d}", [f"m{i}", f"n{i}"], None) for i in range(12_000)] + [("a", [], "solo"), ("b", None, None)],
+        "provider string, models array<string>, default_model string",
+    )
+    requests = spark.createDataFrame(
+        [(1, "m7", None, []), (2, None, "unknown", []), (3, None, None, ["n11999", "zz*"]), (4, None, None, []), (5, None, None, ["none*"])],
+        "packet_id int, requested string, recommended string, patterns array<string>",
+    )
+    got = {r.packet_id: (r.model, r.provider) for r in C.choose_models(requests, providers).collect()}
+    assert got == {1: ("m7", "p00007"), 2: ("unknown", "a"), 3: ("n11999", "p11999"), 4: ("solo", "a"), 5: (None, "a")}

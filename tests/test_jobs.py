@@ -195,3 +195,16 @@ def test_stream_embeds_only_new_texts(spark, tmp_path):
     assert batch["counts"]["docs"] == 5
     as_set = lambda path: {(r.hash, tuple(r.vec)) for r in spark.read.parquet(path).collect()}
     assert as_set(f"{out}/vectors") == as_set(str(tmp_path / "batch/vectors"))
+
+
+def test_scan_paths_are_cut_below_the_root_only(spark, tmp_path, monkeypatch):
+    inner = str(tmp_path).lstrip("/")
+    names = ["x.py", f"{inner}/src/y.py", "src/src/z.py", "a b/é.py", ".hid/src/w.py", "d1/d2/d3/.e/q.py"]
+    for name in names:
+        path = tmp_path / "src" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("1")
+    monkeypatch.chdir(tmp_path)
+    for root in (str(tmp_path / "src"), f"file://{tmp_path}/src/", f"file:{tmp_path}/src"):
+        assert sorted(r.path for r in S.read_sources(spark, root).collect()) == sorted(names)
+    assert sorted(r.path for r in S.read_sources(spark, str(tmp_path / "src"), hidden=False).collect()) == sorted(names[:4])

@@ -146,3 +146,10 @@ def test_annotations(value):
     kind = lambda c: C.annotation_class(C.annotations(c), F.lit("class"))
     assert value(kind, "c string", text) == "controller"
     assert value(kind, "c string", "plain") == "class"
+
+
+def test_hostile_json_is_one_blob(spark):
+    texts = ['{"a": "\\ud800"}', '{"\\udc00": 1}', '{"a":' * 30_000, "[" * 100_000, '{"a": [1, {"b": null}]}', "NaN"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.json_members(F.col("t")).alias("m")).collect()
+    assert [r.i for r in rows if r.m is not None] == [4]
+    assert [r for r in rows if r.i == 4][0].m[0].value == '[\n  1,\n  {\n    "b": null\n  }\n]'

@@ -95,3 +95,16 @@ def test_small_projections(value):
     assert value(T.glob_match, "a string, b string", "jina/base.v2", "jina/*.v?") is True
     assert value(T.glob_match, "a string, b string", "jina/baseXv2", "jina/*.v?") is False
     assert value(T.glob_match, "a string, b string", "m-b", "m-[!a]") is True
+
+
+def test_globs_equal_the_standard_library(spark):
+    import random
+    from fnmatch import fnmatchcase
+
+    random.seed(11)
+    alphabet = "ab-[]!*?^.\\&z1"
+    pairs = [("".join(random.choices(alphabet, k=random.randint(0, 5))), "".join(random.choices(alphabet, k=random.randint(0, 6)))) for _ in range(4000)]
+    pairs += [(v, p) for v in ("a", ".", "[", "gpt[", "a?", "-", "&", "b&c", "ab", "\n") for p in ("[*]", "a[?]", "gpt[", "[[]", "[a-c]", "[!a-c]", "[z-a]", "[!z-a]", "[&&a]", "[a&&b]", "[]-a]", "[!]]", "*", "?")]
+    rows = spark.createDataFrame(pairs, "v string, p string").select("v", "p", T.glob_match(F.col("v"), F.col("p")).alias("m")).collect()
+    wrong = [(r.v, r.p, r.m) for r in rows if r.m != fnmatchcase(r.v, r.p)]
+    assert not wrong, wrong[:10]
