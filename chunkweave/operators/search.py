@@ -285,7 +285,8 @@ def token_diversity(hits: DataFrame, k: int) -> DataFrame:
 Indexer = Callable[[DataFrame, DataFrame, int], DataFrame]
 Reranker = Callable[[DataFrame, int], DataFrame]
 
-INDEXERS: dict[str, Indexer] = {"flat-ip": lambda vectors, queries, k: top_k(vectors, queries, k)}
+#: ``(vectors(hash, vec), queries(query_id, vec), k)`` to ``(query_id, rank, hash, score)``.
+INDEXERS: dict[str, Indexer] = {"flat-ip": lambda vectors, queries, k: top_k(vectors, queries, k, key="hash")}
 RERANKERS: dict[str, Reranker] = {"none": first_k, "token-diversity": token_diversity}
 
 

@@ -1,21 +1,20 @@
 """Whole jobs: build a packet from sources, re-embed one, search one, enrich sources.
 
-A packet is a folder with three tables: ``chunks`` (one row per chunk), ``vectors`` (one row per
-distinct text hash) and ``manifest`` (one row). Each stage is written before the next one reads it:
-that cuts the lineage at shared storage, lets later stages read only the columns they need, and
-makes a re-run after lost executors cheap.
+A packet is a folder of runs, and a manifest that names the tables of the current one: ``docs`` (one
+row per chunk), ``vectors`` (one row per distinct text hash) and more. Each stage is written before
+the next one reads it: that cuts the lineage at shared storage, lets later stages read only the
+columns they need, and makes a re-run after lost executors cheap. The manifest comes last.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.functions.text import is_blank, sha256
+from chunkweave.functions.text import is_blank, path_suffix, sha256
 from chunkweave.functions.wordbag import Embedder
 from chunkweave.operators import embedding as E
 from chunkweave.operators import enrichment as N
@@ -27,10 +26,9 @@ from chunkweave.operators.constraints import ENRICHED
 from chunkweave.operators.enrichment import Enricher
 from chunkweave.operators.packing import ChunkingOptions
 from chunkweave.operators.segments import explode_segments, segments_by_kind
-
+from chunkweave.sources import packets as P
 from chunkweave.sources.tables import key_value_text
 
-
 FEW_TEXTS = 200_000
 
 
@@ -79,24 +77,19 @@ def structural_chunk_rows(sources: DataFrame, options: ChunkingOptions) -> DataF
     )
 
 
-def _read_manifest(spark: SparkSession, packet: str) -> dict | None:
-    """The manifest row of an earlier build, or None if there is none."""
-    try:
-        row = spark.read.parquet(f"{packet}/manifest").limit(1).collect()
-    except Exception:  # noqa: BLE001 - an absent or unreadable packet is no packet
-        return None
-    return json.loads(row[0].manifest) if row else None
-
-
 def usable_cache(spark: SparkSession, packet: str, spec: PacketSpec) -> DataFrame | None:
-    """Vectors of an earlier build by hash, if it was made with the same model and is complete."""
-    manifest = _read_manifest(spark, packet)
+    """Vectors of an earlier build by hash, if it was made with the same model and no chunk lacks one."""
+    manifest = P.read_manifest(spark, packet)
     if manifest is None:
         return None
-    counts = manifest.get("counts") or {}
-    if not E.cache_matches(manifest, spec.model, spec.max_seq_length, counts.get("docs", 0), counts.get("vectors", 0)):
+    hashes = P.table_of(spark, packet, manifest, "docs").select("hash").distinct()
+    vectors = P.table_of(spark, packet, manifest, "vectors").select("hash", "vec")
+    found = hashes.join(vectors.select("hash", F.lit(1).alias("known")), "hash", "left").agg(
+        F.count(F.lit(1)).alias("hashes"), F.count("known").alias("known")
+    ).first()
+    if not E.cache_matches(manifest, spec.model, spec.max_seq_length, found.hashes, found.known):
         return None
-    return spark.read.parquet(f"{packet}/vectors").select("hash", "vec")
+    return vectors
 
 
 def _dim_of(vectors: DataFrame) -> int | None:
@@ -104,6 +97,16 @@ def _dim_of(vectors: DataFrame) -> int | None:
     return shape.max_dim if shape.vectors and shape.min_dim == shape.max_dim else None
 
 
+def _extensions(chunks: DataFrame, folder: str, fixed_tag: str) -> tuple[dict[str, int], list[str]]:
+    """Files per extension as a table of the run; the counts of known extensions and the tags."""
+    spark = chunks.sparkSession
+    files = chunks.select("path").distinct().select(path_suffix(F.col("path")).alias("ext")).where("ext <> ''")
+    I.extension_counts(files).write.parquet(folder)
+    counts = spark.read.parquet(folder)
+    known = counts.where(F.col("ext").isin(*I.EXTENSION_TAGS)).collect()
+    return {r.ext: r["files"] for r in known}, list(I.infer_tags(counts, fixed_tag).first().tags)
+
+
 def materialize(
     chunks: DataFrame,
     out: str,
@@ -111,17 +114,21 @@ def materialize(
     embedder: Embedder,
     *,
     previous: str | None = None,
-    ext_counts: dict[str, int] | None = None,
+    run: str | None = None,
     extras: dict | None = None,
+    extra_files: dict[str, str] | None = None,
 ) -> dict:
     """Write the packet of ``chunks`` below ``out`` and return its manifest.
 
     Vectors of ``previous`` are reused by hash when that build is compatible and of the same
-    dimension; otherwise everything is embedded.
+    dimension; otherwise everything is embedded. ``previous`` may be ``out``: a build has a folder of
+    its own and replaces the former one only when its manifest is put in place.
     """
     spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{out}/chunks")
-    stored = spark.read.parquet(f"{out}/chunks")
+    run = run or P.new_run(out)
+    folder = f"{out}/{run}"
+    chunks.write.parquet(f"{folder}/chunks")
+    stored = spark.read.parquet(f"{folder}/chunks")
     nothing = spark.createDataFrame([], "hash string, vec array<float>")
     found = usable_cache(spark, previous, spec) if previous else None
     cache = found if found is not None else nothing
@@ -131,29 +138,26 @@ def materialize(
         raise ValueError("no chunks found")
     few = counts.to_embed <= FEW_TEXTS
     missing = E.missing_texts(stored, cache, ["chunk_id"], few)
-    E.embed_texts(missing, embedder).write.mode("overwrite").parquet(f"{out}/fresh")
-    fresh = spark.read.parquet(f"{out}/fresh")
+    E.embed_texts(missing, embedder).write.parquet(f"{folder}/fresh")
+    fresh = spark.read.parquet(f"{folder}/fresh")
     reused = counts.reused
     fresh_dim = _dim_of(fresh) if counts.to_embed else None
     cache_dim = _dim_of(cache) if found is not None else None
     if fresh_dim and cache_dim and fresh_dim != cache_dim:
         # Another dimension: nothing can be reused, although ``removed`` still tells what went.
         cache, reused = nothing, 0
-        E.embed_texts(E.distinct_texts(stored), embedder).write.mode("overwrite").parquet(f"{out}/fresh")
-        fresh = spark.read.parquet(f"{out}/fresh")
+        E.embed_texts(E.distinct_texts(stored), embedder).write.parquet(f"{folder}/fresh_all")
+        fresh = spark.read.parquet(f"{folder}/fresh_all")
     dim = fresh_dim or cache_dim
     if dim is None:
         raise ValueError("vectors of different dimensions")
 
     kept = cache.join(stored.select("hash").distinct(), "hash", "left_semi")
     vectors = E.normalize_table(E.checked_vectors(fresh, dim), spec.normalization).unionByName(kept)
-    vectors.withColumn("vec", E.half_precision(F.col("vec"))).write.mode("overwrite").parquet(f"{out}/vectors")
-    complete = E.unit_check(spark.read.parquet(f"{out}/vectors")).first()
-
-    if ext_counts is None:
-        by_ext = stored.groupBy(F.lower(F.col("metadata")["ext"]).alias("ext")).agg(F.count(F.lit(1)).alias("files"))
-        ext_counts = {r.ext: r["files"] for r in by_ext.where("ext <> ''").limit(10_000).collect()}
-    tags = sorted({I.EXTENSION_TAGS[e] for e in ext_counts if e in I.EXTENSION_TAGS} | {spec.fixed_tag})
+    vectors.withColumn("vec", E.half_precision(F.col("vec"))).write.parquet(f"{folder}/vectors")
+    written = spark.read.parquet(f"{folder}/vectors")
+    complete = E.unit_check(written).first()
+    ext_counts, tags = _extensions(stored, f"{folder}/extensions", spec.fixed_tag)
     manifest = {
         "schema_version": "1.0",
         "packet_id": spec.name,
@@ -165,8 +169,13 @@ def materialize(
             "max_seq_length": spec.max_seq_length,
         },
         "similarity": {"space": "cosine", "index_type": "flat-ip"},
-        "files": {"docs": "chunks", "vectors": "vectors"},
-        "counts": {"docs": counts.new_chunks, "vectors": counts.new_chunks},
+        "files": {
+            "docs": f"{run}/chunks",
+            "vectors": f"{run}/vectors",
+            "extensions": f"{run}/extensions",
+            **{name: f"{run}/{place}" for name, place in (extra_files or {}).items()},
+        },
+        "counts": {"docs": counts.new_chunks, "vectors": written.count()},
         "source": {"file_ext_counts": ext_counts},
         "package": {"name": spec.name, "version": spec.version, "description": spec.description, "tags": tags},
         "incremental": {
@@ -177,7 +186,8 @@ def materialize(
         },
         **(extras or {}),
     }
-    write_manifest_row(spark, manifest, out)
+    write_descriptor(spark, manifest, f"{folder}/descriptor")
+    P.publish_manifest(spark, out, manifest)
     return manifest
 
 
@@ -197,19 +207,9 @@ def descriptor_text(manifest: dict) -> Column:
     return key_value_text(F.create_map(*[F.lit(x) for pair in fields.items() for x in pair]))
 
 
-def write_manifest_row(spark: SparkSession, manifest: dict, out: str) -> None:
-    row = spark.range(1).select(
-        F.lit(manifest["package"]["name"]).alias("name"),
-        F.lit(manifest["package"]["version"]).alias("version"),
-        F.lit(json.dumps(manifest, ensure_ascii=False)).alias("manifest"),
-        descriptor_text(manifest).alias("descriptor"),
-    )
-    row.write.mode("overwrite").parquet(f"{out}/manifest")
-
-
-def _ext_counts(files: DataFrame) -> dict[str, int]:
-    """Files per extension, for the manifest; there are far fewer extensions than the limit."""
-    return {r.ext: r["files"] for r in I.extension_counts(files.select("ext")).limit(10_000).collect()}
+def write_descriptor(spark: SparkSession, manifest: dict, folder: str) -> None:
+    """The descriptor as a key-value text file."""
+    spark.range(1).select(descriptor_text(manifest).alias("value")).coalesce(1).write.text(folder)
 
 
 def build_packet(
@@ -224,25 +224,19 @@ def build_packet(
 ) -> dict:
     """Sources to a packet of line windows, or of structural chunks when ``options`` are given."""
     chunks = structural_chunk_rows(sources, options) if options else line_window_chunks(sources, spec, numbered)
-    counted = _ext_counts(sources.where(~is_blank(F.col("content"))))
-    return materialize(chunks, out, spec, embedder, previous=previous, ext_counts=counted)
+    return materialize(chunks, out, spec, embedder, previous=previous)
 
 
 def reembed_packet(spark: SparkSession, packet: str, out: str, spec: PacketSpec, embedder: Embedder) -> dict:
-    """A new packet with another model from the chunks of an existing one; sources are not read.
-
-    Extension counts come from its manifest where present, else from the chunks (one per chunk).
-    """
-    manifest = _read_manifest(spark, packet) or {}
-    known = {e: int(n) for e, n in ((manifest.get("source") or {}).get("file_ext_counts") or {}).items() if int(n) > 0}
-    return materialize(spark.read.parquet(f"{packet}/chunks"), out, spec, embedder, ext_counts=known or None)
+    """A packet with another model from the chunks of an existing one, which it may replace; sources
+    are not read."""
+    return materialize(P.packet_table(spark, packet, "docs"), out, spec, embedder)
 
 
-def _stored_or_empty(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
-    except Exception:  # noqa: BLE001 - an absent table is an empty one
-        return spark.createDataFrame([], schema)
+def _previous_table(spark: SparkSession, packet: str | None, name: str, schema: str) -> DataFrame:
+    """A table of an earlier build; empty if there is no such build or table."""
+    manifest = P.read_manifest(spark, packet) if packet else None
+    return P.table_of(spark, packet, manifest or {}, name, schema)
 
 
 @dataclass(frozen=True)
@@ -273,29 +267,30 @@ def enrich_packet(
     """
     spark = sources.sparkSession
     e = enrichment
+    run = P.new_run(out)
+    folder = f"{out}/{run}"
     found = sources.where(~is_blank(F.col("content")))
-    counted = _ext_counts(found)
     files = N.classify(found.withColumn("source_hash", sha256(F.col("content")))).where("is_supported_text")
     key = N.segment_cache_key(
         e.model, e.prompt_version, e.max_chunk_tokens, e.min_chunk_tokens, e.max_segments_per_request
     )
     segments = explode_segments(segments_by_kind(files)).withColumn("cache_key", key)
-    cache = _stored_or_empty(spark, f"{previous}/enriched" if previous else None, f"cache_key string, chunk {ENRICHED}")
-    N.reuse_enrichment(segments, cache).write.mode("overwrite").parquet(f"{out}/segments")
-    stored = spark.read.parquet(f"{out}/segments")
+    cache = _previous_table(spark, previous, "enriched", f"cache_key string, chunk {ENRICHED}")
+    N.reuse_enrichment(segments, cache).write.parquet(f"{folder}/segments")
+    stored = spark.read.parquet(f"{folder}/segments")
     hits, misses = stored.where("cached is not null"), stored.where("cached is null").drop("cached")
 
     requests = N.request_batches(misses, e.max_segments_per_request)
-    N.call_enricher(requests, enricher).write.mode("overwrite").parquet(f"{out}/answers")
-    answered = N.answered_chunks(spark.read.parquet(f"{out}/answers"))
+    N.call_enricher(requests, enricher).write.parquet(f"{folder}/answers")
+    answered = N.answered_chunks(spark.read.parquet(f"{folder}/answers"))
     placed = N.placed_chunks(answered).unionByName(N.cached_chunks(hits))
-    N.enrichment_cache(placed).write.mode("overwrite").parquet(f"{out}/enriched")
+    N.enrichment_cache(placed).write.parquet(f"{folder}/enriched")
     rows = N.explode_enriched(N.constrained(N.gather_files(placed), e.max_chunk_tokens, e.min_chunk_tokens))
     chunks = rows.select(
         F.col("id").alias("chunk_id"), "path", "ord", "text", sha256(F.col("text")).alias("hash"), "metadata"
     )
 
-    before = _stored_or_empty(spark, f"{previous}/segments" if previous else None, "path string, source_hash string")
+    before = _previous_table(spark, previous, "segments", "path string, source_hash string")
     known = stored.select("path", "source_hash").distinct().join(
         before.select("path", "source_hash").distinct(), ["path", "source_hash"], "left_semi"
     )
@@ -305,7 +300,14 @@ def enrich_packet(
         "segment_cache_hits": hits.count(),
     }
     return materialize(
-        chunks, out, spec, embedder, previous=previous, ext_counts=counted, extras={"enrichment": counters}
+        chunks,
+        out,
+        spec,
+        embedder,
+        previous=previous,
+        run=run,
+        extras={"enrichment": counters},
+        extra_files={"segments": "segments", "enriched": "enriched"},
     )
 
 
@@ -319,15 +321,29 @@ def query_packet(
     reranker: str = "none",
     fetch_k: int | None = None,
     metadata: dict[str, str] | None = None,
+    indexer: str = "flat-ip",
+    model: str | None = None,
 ) -> DataFrame:
     """``queries(query_id, text)`` to hits ``(query_id, rank, score, chunk_id, text, metadata)``.
 
     The reranker sees ``fetch_k`` hits (default ``k``); a metadata filter applies to its result.
+    ``indexer`` names a registered search. Query vectors must have the packet's dimension, and
+    ``model``, if given, must be the packet's.
     """
     rerank = S.pick(S.RERANKERS, reranker, "reranker")
+    search = S.pick(S.INDEXERS, indexer, "indexer")
+    manifest = P.read_manifest(spark, packet)
+    if manifest is None:
+        raise ValueError(f"no packet at {packet}")
+    known = manifest["embedding"]
+    if model is not None and model != known["model"]:
+        raise ValueError(f"the packet was made with {known['model']!r}, not {model!r}")
     wanted = max(fetch_k or k, k, 1)
-    asked = E.embed_texts(queries, embedder, key="query_id")
-    by_hash, few = S.top_k_bounded(spark.read.parquet(f"{packet}/vectors"), asked, wanted, key="hash")
-    hits = S.normalize_hits(S.chunk_hits(by_hash, spark.read.parquet(f"{packet}/chunks"), wanted, few))
+    wrong = F.concat(F.lit(f"the packet's vectors have {known['dim']} dimensions, the query's "), F.size("vec").cast("string"))
+    asked = E.embed_texts(queries, embedder, key="query_id").withColumn(
+        "vec", F.when(F.size("vec") == known["dim"], F.col("vec")).otherwise(F.raise_error(wrong))
+    )
+    by_hash = search(P.table_of(spark, packet, manifest, "vectors"), asked, wanted)
+    hits = S.normalize_hits(S.chunk_hits(by_hash, P.table_of(spark, packet, manifest, "docs"), wanted, False))
     ranked = rerank(hits, k)
     return S.filter_metadata(ranked, metadata) if metadata else ranked

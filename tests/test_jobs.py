@@ -11,9 +11,15 @@ from chunkweave.functions.wordbag import word_bag
 from chunkweave.operators.packing import ChunkingOptions
 from chunkweave.plans import build as B
 from chunkweave.sources import files as S
+from chunkweave.sources import packets as P
 from chunkweave.sources import tables as T
 from chunkweave.streaming.incremental import ingest_stream
 
+
+def table(spark, folder, packet, name):
+    return P.packet_table(spark, str(folder / packet), name)
+
+
 SPEC = B.PacketSpec("demo", "1.0", "bag", description="a: b")
 
 
@@ -65,7 +71,7 @@ def test_build_query_rebuild(spark, tree, tmp_path):
     edited = sources.withColumn("content", F.when(F.col("path") == "code.py", F.lit("new text")).otherwise(F.col("content")))
     again = B.build_packet(edited, str(tmp_path / "p2"), SPEC, word_bag(16), previous=str(tmp_path / "p1"))
     assert again["incremental"] == {"enabled": True, "reused": 4, "embedded": 1, "removed": 1}
-    assert spark.read.parquet(str(tmp_path / "p2/vectors")).count() == 5
+    assert table(spark, tmp_path, "p2", "vectors").count() == 5
 
     wider = B.build_packet(edited, str(tmp_path / "p3"), SPEC, word_bag(8), previous=str(tmp_path / "p1"))
     assert wider["embedding"]["dim"] == 8 and wider["incremental"]["reused"] == 0 and wider["incremental"]["removed"] == 1
@@ -80,7 +86,7 @@ def test_structural_and_numbered_packets(spark, tree, tmp_path):
     built = B.build_packet(sources, str(tmp_path / "s"), SPEC, word_bag(8), options=ChunkingOptions())
     assert built["counts"]["docs"] == 5
     B.build_packet(sources, str(tmp_path / "n"), SPEC, word_bag(8), numbered=True)
-    ids = [r.chunk_id for r in spark.read.parquet(str(tmp_path / "n/chunks")).collect()]
+    ids = [r.chunk_id for r in table(spark, tmp_path, "n", "docs").collect()]
     assert sorted(ids) == [".cfg/note.TXT:0", "code.py:1", "intro.md:2", "pkg/__init__.py:3", "pkg/deep/utf.rs:4"]
     with pytest.raises(ValueError, match="no chunks"):
         B.build_packet(sources.limit(0), str(tmp_path / "e"), SPEC, word_bag(8))
@@ -99,7 +105,7 @@ def test_enriched_packet_and_rerun(spark, tree, tmp_path):
     settings = B.EnrichmentSpec("writer", max_segments_per_request=2)
     sources = S.read_sources(spark, tree, S.CODE_EXTENSIONS + S.TEXT_EXTENSIONS)
     built = B.enrich_packet(sources, str(tmp_path / "e1"), SPEC, word_bag(8), service, settings)
-    rows = {r.path: r for r in spark.read.parquet(str(tmp_path / "e1/chunks")).collect()}
+    rows = {r.path: r for r in table(spark, tmp_path, "e1", "docs").collect()}
     assert built["counts"]["docs"] == len(rows) == 5
     assert rows["intro.md"].metadata["title"] == "T" and rows["pkg/deep/utf.rs"].metadata["fallback"] == "true"
     assert built["enrichment"] == {"calls": 4, "file_cache_hits": 0, "segment_cache_hits": 0}
@@ -109,7 +115,7 @@ def test_enriched_packet_and_rerun(spark, tree, tmp_path):
     )
     assert again["enrichment"] == {"calls": 0, "file_cache_hits": 5, "segment_cache_hits": 4}
     assert again["incremental"] == {"enabled": True, "reused": 5, "embedded": 0, "removed": 0}
-    same = {(r.path, r.text) for r in spark.read.parquet(str(tmp_path / "e2/chunks")).collect()}
+    same = {(r.path, r.text) for r in table(spark, tmp_path, "e2", "docs").collect()}
     assert same == {(p, r.text) for p, r in rows.items()}
 
 
@@ -193,8 +199,8 @@ def test_stream_embeds_only_new_texts(spark, tmp_path):
     assert spark.read.parquet(f"{out}/chunks").count() == 5
     batch = B.build_packet(spark.read.parquet(str(inbox)), str(tmp_path / "batch"), SPEC, word_bag(8))
     assert batch["counts"]["docs"] == 5
-    as_set = lambda path: {(r.hash, tuple(r.vec)) for r in spark.read.parquet(path).collect()}
-    assert as_set(f"{out}/vectors") == as_set(str(tmp_path / "batch/vectors"))
+    as_set = lambda rows: {(r.hash, tuple(r.vec)) for r in rows.collect()}
+    assert as_set(spark.read.parquet(f"{out}/vectors")) == as_set(table(spark, tmp_path, "batch", "vectors"))
 
 
 def test_scan_paths_are_cut_below_the_root_only(spark, tmp_path, monkeypatch):
@@ -208,3 +214,49 @@ def test_scan_paths_are_cut_below_the_root_only(spark, tmp_path, monkeypatch):
     for root in (str(tmp_path / "src"), f"file://{tmp_path}/src/", f"file:{tmp_path}/src"):
         assert sorted(r.path for r in S.read_sources(spark, root).collect()) == sorted(names)
     assert sorted(r.path for r in S.read_sources(spark, str(tmp_path / "src"), hidden=False).collect()) == sorted(names[:4])
+
+
+def test_packets_are_rebuilt_in_place_and_survive_failures(spark, tree, tmp_path):
+    packet, sources = str(tmp_path / "p"), S.read_sources(spark, tree)
+    B.build_packet(sources.unionByName(sources.withColumn("path", F.concat(F.lit("copy/"), "path"))), packet, SPEC, word_bag(8))
+    first = P.read_manifest(spark, packet)
+    assert first["counts"] == {"docs": 10, "vectors": 5}
+
+    def silent(texts):
+        raise AssertionError("must not be asked")
+
+    edited = sources.where("path <> 'code.py'")
+    again = B.build_packet(edited, packet, SPEC, silent, previous=packet)
+    assert again["incremental"] == {"enabled": True, "reused": 4, "embedded": 0, "removed": 1}
+    assert table(spark, tmp_path, "p", "vectors").count() == 4
+
+    with pytest.raises(Exception):  # noqa: B017
+        B.build_packet(sources, packet, SPEC, silent, previous=packet)
+    assert P.read_manifest(spark, packet) == again and table(spark, tmp_path, "p", "docs").count() == 4
+
+    redone = B.reembed_packet(spark, packet, packet, B.PacketSpec("demo", "1.0", "new"), word_bag(4))
+    assert redone["embedding"] | {"normalized": True} == again["embedding"] | {"model": "new", "dim": 4, "normalized": True}
+    assert table(spark, tmp_path, "p", "docs").count() == 4
+    queries = spark.createDataFrame([(1, "sample project")], "query_id int, text string")
+    with pytest.raises(Exception, match="dimensions"):
+        B.query_packet(spark, packet, queries, word_bag(8)).collect()
+    with pytest.raises(ValueError, match="made with"):
+        B.query_packet(spark, packet, queries, word_bag(4), model="bag")
+    with pytest.raises(ValueError, match="unknown indexer"):
+        B.query_packet(spark, packet, queries, word_bag(4), indexer="tree")
+    assert B.query_packet(spark, packet, queries, word_bag(4), model="new").count() == 4
+    assert P.drop_former_runs(spark, packet) == 3 and table(spark, tmp_path, "p", "docs").count() == 4
+
+    # vectors lost: nothing is taken from an incomplete build
+    broken = P.read_manifest(spark, packet)
+    table(spark, tmp_path, "p", "vectors").limit(2).write.parquet(packet + "/runs/half/vectors")
+    P.publish_manifest(spark, packet, broken | {"files": broken["files"] | {"vectors": "runs/half/vectors"}})
+    assert not B.build_packet(sources, packet, B.PacketSpec("demo", "1.0", "new"), word_bag(4), previous=packet)["incremental"]["enabled"]
+
+
+def test_built_packets_are_listed(spark, tree, tmp_path):
+    sources = S.read_sources(spark, tree)
+    for version in ("1.0", "1.1"):
+        B.build_packet(sources, str(tmp_path / f"cat/demo/{version}"), B.PacketSpec("demo", version, "bag"), word_bag(4))
+    rows = {r.dir_version: r for r in T.read_manifests(spark, str(tmp_path / "cat")).collect()}
+    assert set(rows) == {"1.0", "1.1"} and rows["1.1"].package["version"] == "1.1" and rows["1.0"].counts == {"docs": 5, "vectors": 5}
