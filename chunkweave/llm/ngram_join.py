@@ -204,7 +204,7 @@ def _with_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, ngram: in
 
     texts = docs.select(F.col("doc_id").alias("own_id"), "text")
     fetched = (
-        texts.join(wanted, F.col("own_id") == F.col("rep"))
+        texts.join(wanted.hint("merge"), F.col("own_id") == F.col("rep"))  # members grow with the corpus: never broadcast
         .select("node", "root", "copies", "text")
         .mapInArrow(sets, "node binary, root binary, copies long, items array<long>")
     )
