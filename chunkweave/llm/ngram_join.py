@@ -120,8 +120,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     keep = often[number]
     number, owner = (np.cumsum(often) - 1)[number[keep]], owner[keep]
     common = np.zeros((n, n), dtype=np.int64)
-    height = max(1, (1 << 22) // n)
-    cuts = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + height, height))
+    shared = int(number[-1]) + 1 if len(number) else 0
+    height = max(1, min(shared, (1 << 22) // n))
+    cuts = np.searchsorted(number, np.arange(0, shared + height, height))
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         slab = np.zeros((height, n), dtype=np.float32)
         slab[number[a:b] - i * height, owner[a:b]] = 1
