@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.functions.arrays import first_of_each, rows_of
+from chunkweave.functions.arrays import first_of_each, rows_of, span
 from chunkweave.functions.text import compact_spaces, is_blank, let, lstrip, path_suffix, rstrip, sha256, strip
 from chunkweave.operators.constraints import (
     ENRICHED,
@@ -167,6 +167,35 @@ def request_batches(segments: DataFrame, per_request: int = MAX_SEGMENTS_PER_REQ
     )
 
 
+def file_requests(files: DataFrame, per_request: int = MAX_SEGMENTS_PER_REQUEST) -> DataFrame:
+    """As ``request_batches``, of files that still hold their ``segments``: the array is cut inside the
+    row, so no text is shuffled."""
+    size = max(1, per_request)
+    item = F.transform(
+        "segments",
+        lambda s, i: F.struct(
+            i.alias("seg_no"),
+            s["id"].alias("segment_id"),
+            s["kind"].alias("kind"),
+            s["text"].alias("text"),
+            s["start_line"].alias("start_line"),
+            s["end_line"].alias("end_line"),
+            s["symbol"].alias("symbol"),
+            F.lit(None).cast("string").alias("cache_key"),
+        ),
+    )
+    batches = let(
+        item,
+        lambda all_items: F.transform(
+            span(F.ceil(F.size(all_items) / F.lit(size)).cast("int")), lambda b: F.slice(all_items, b * size + 1, F.lit(size))
+        ),
+    )
+    kept = ("path", "ext", "language", "mime")
+    return files.select(*kept, F.posexplode(rows_of(batches)).alias("batch", "segments")).select(
+        *kept, "batch", F.col("segments").cast(SEGMENTS).alias("segments")
+    )
+
+
 Enricher = Callable[[dict], str]
 
 
@@ -340,14 +369,25 @@ def default_tags(language: Column, kind: Column, mime: Column) -> Column:
     )
 
 
-def with_defaults(chunks: Column, segments: Column, path: Column, language: Column, mime: Column) -> Column:
-    """Answered chunks completed from their segments: matched by id, else by position."""
+def matched_segments(chunks: Column, segments: Column) -> Column:
+    """Place of the segment each answered chunk stands for: by id, else by position, else null."""
 
-    def complete(chunk: Column, at: Column) -> Column:
-        by_id = F.get(
-            F.filter(segments, lambda s: (chunk["id"] != "") & (s["segment_id"] == chunk["id"])), F.lit(0)
+    def place(names: Column) -> Column:
+        return F.transform(
+            chunks,
+            lambda chunk, at: let(
+                F.when(chunk["id"] != "", F.array_position(names, chunk["id"]).cast("int")).otherwise(F.lit(0)),
+                lambda found: F.when(found > 0, found - 1).when(at < F.size(names), at),
+            ),
         )
 
+    return let(F.transform(segments, lambda s: s["segment_id"]), place)
+
+
+def with_defaults(chunks: Column, owners: Column, segments: Column, path: Column, language: Column, mime: Column) -> Column:
+    """Answered chunks completed from the segments they stand for."""
+
+    def complete(chunk: Column, at: Column) -> Column:
         def filled(segment: Column) -> Column:
             text = let(
                 strip(chunk["text"]),
@@ -380,7 +420,7 @@ def with_defaults(chunks: Column, segments: Column, path: Column, language: Colu
                 chunk["metadata"].alias("metadata"),
             )
 
-        return let(F.coalesce(by_id, F.get(segments, at)), filled)
+        return let(F.get(segments, F.get(owners, at)), filled)
 
     return F.transform(chunks, complete).cast(f"array<{ENRICHED}>")
 
@@ -410,21 +450,28 @@ def fallback_chunks(segments: Column, path: Column) -> Column:
 
 
 def answered_chunks(answers: DataFrame) -> DataFrame:
-    """Requests with ``raw`` answers to ``chunks`` per request, and whether the fallback was used."""
+    """Requests with ``raw`` answers to ``chunks`` per request, and whether the fallback was used.
+
+    ``owners`` holds the place of each chunk's segment. Segments that a usable answer leaves out
+    follow as fallbacks; ``left_out`` is their number.
+    """
     parsed = answers.withColumn("payload", recover_json(F.col("raw"))).withColumn(
         "parsed", response_chunks(F.coalesce(recover_json(chat_text(F.col("payload"))), F.col("payload")))
     )
     usable = F.coalesce(F.size("parsed") > 0, F.lit(False))
+    places = span(F.size("segments"))
+    matched = parsed.withColumn("fallback", ~usable).withColumn(
+        "matched", F.when(usable, matched_segments(F.col("parsed"), F.col("segments"))).otherwise(F.array().cast("array<int>"))
+    ).withColumn("missed", F.filter(places, lambda i: ~F.coalesce(F.array_contains("matched", i), F.lit(False))))
+    completed = with_defaults(
+        F.col("parsed"), F.col("matched"), F.col("segments"), F.col("path"), F.col("language"), F.col("mime")
+    )
+    missed = fallback_chunks(F.transform("missed", lambda i: F.get("segments", i)), F.col("path"))
     return (
-        parsed.withColumn("fallback", ~usable)
-        .withColumn(
-            "chunks",
-            F.when(
-                usable,
-                with_defaults(F.col("parsed"), F.col("segments"), F.col("path"), F.col("language"), F.col("mime")),
-            ).otherwise(fallback_chunks(F.col("segments"), F.col("path"))),
-        )
-        .drop("payload", "parsed", "raw")
+        matched.withColumn("chunks", F.when(usable, F.concat(completed, missed)).otherwise(missed))
+        .withColumn("owners", F.concat("matched", "missed"))
+        .withColumn("left_out", F.size("missed"))
+        .drop("payload", "parsed", "raw", "matched", "missed")
     )
 
 
@@ -434,19 +481,21 @@ def reuse_enrichment(segments: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def placed_chunks(answered: DataFrame) -> DataFrame:
-    """Answered chunks as rows with the segment they stand for.
+    """Answered chunks as rows at the segment they stand for, under that segment's cache key.
 
-    An answer with more chunks than segments puts the rest behind its last segment.
+    Chunks that stand for none are put behind the last segment and are not cached.
     """
-    rows = answered.select("path", "ext", "segments", "fallback", F.posexplode(rows_of(F.col("chunks"))).alias("pos", "chunk"))
-    own = F.get("segments", F.col("pos"))
+    rows = answered.select(
+        "path", "ext", "segments", "owners", "left_out", F.posexplode(rows_of(F.col("chunks"))).alias("pos", "chunk")
+    )
+    own = F.get("segments", F.get("owners", F.col("pos")))
     return rows.select(
         "path",
         "ext",
         F.coalesce(own["seg_no"], F.element_at("segments", -1)["seg_no"]).alias("seg_no"),
         "pos",
         "chunk",
-        "fallback",
+        (F.col("pos") >= F.size("owners") - F.col("left_out")).alias("fallback"),
         own["cache_key"].alias("cache_key"),
     )
 

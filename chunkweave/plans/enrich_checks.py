@@ -64,7 +64,8 @@ def demo_service(request: dict) -> str:
 
 
 def answered(spark, folder):
-    requests = N.request_batches(segments(spark, folder), PER_REQUEST)
+    files = G.segments_by_kind(classified(spark, folder).where("is_supported_text"))
+    requests = N.file_requests(files, PER_REQUEST)
     return N.answered_chunks(N.call_enricher(requests, demo_service))
 
 

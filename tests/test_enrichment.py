@@ -151,3 +151,29 @@ def test_summary_is_cut_with_an_ellipsis(value):
     assert value(N.default_summary, "t string", " a\n b ") == "a b"
     long = value(N.default_summary, "t string", "word " * 60)
     assert len(long) <= 180 and long.endswith("…") and not long.endswith(" …")
+
+
+def test_reordered_and_shortened_answers_stay_with_their_segments(spark):
+    def service(request):
+        items = [{"id": s["segment_id"], "text": "new " + s["segment_id"]} for s in reversed(request["segments"])]
+        return json.dumps({"chunks": items[:-1]})
+
+    rows = segments(spark, 3).withColumn("cache_key", F.concat(F.lit("key"), F.col("seg_no").cast("string")))
+    answers = N.answered_chunks(N.call_enricher(N.request_batches(rows), service))
+    placed = {r.seg_no: (r.chunk.text, r.cache_key, r.fallback) for r in N.placed_chunks(answers).collect()}
+    assert placed == {0: ("text 0", "key0", True), 1: ("new s1", "key1", False), 2: ("new s2", "key2", False)}
+    assert {r.cache_key: r.chunk.text for r in N.enrichment_cache(N.placed_chunks(answers)).collect()} == {"key1": "new s1", "key2": "new s2"}
+    assert [c.id for c in N.file_chunks(answers).first().chunks] == ["s0", "s1", "s2"]
+
+
+def test_requests_cut_inside_the_row_equal_those_of_rows(spark):
+    item = "struct<id:string,kind:string,text:string,start_line:int,end_line:int,symbol:string>"
+    files = spark.createDataFrame(
+        [(f"f{n}", ".x", "l", "m", [(f"s{i}", "k", f"t{i}", i, i, None) for i in range(n)]) for n in (0, 1, 4, 5, 11)],
+        f"path string, ext string, language string, mime string, segments array<{item}>",
+    )
+    exploded = files.select("path", "ext", "language", "mime", F.posexplode("segments").alias("seg_no", "s")).select(
+        "path", "ext", "language", "mime", "seg_no", F.col("s.id").alias("segment_id"), "s.kind", "s.text", "s.start_line", "s.end_line", "s.symbol"
+    )
+    order = lambda frame: sorted(map(tuple, frame.select("path", "ext", "language", "mime", "batch", "segments").collect()), key=str)
+    assert order(N.file_requests(files, 4)) == order(N.request_batches(exploded, 4))
