@@ -34,8 +34,9 @@ SECTIONED = (
 
 # Extensions by chunker.
 CODE_EXTENSIONS = (
-    ".js .jsx .ts .tsx .html .css .scss .go .rs .c .h .cpp .hpp .cs .php .rb .kt .swift .json .yaml .yml .xml"
-).split()
+    ".js", ".jsx", ".ts", ".tsx", ".html", ".css", ".scss", ".go", ".rs", ".c", ".h", ".cpp", ".hpp", ".cs",
+    ".php", ".rb", ".kt", ".swift", ".json", ".yaml", ".yml", ".xml",
+)
 
 Chunker = Callable[[Column, Column, ChunkingOptions], Column]
 
@@ -330,9 +331,9 @@ def chunks_of(plan: Column, path: Column, ext: Column, options: ChunkingOptions,
     return let(plan, build)
 
 
-def multi_view(plans: Column, path: Column, ext: Column, options: ChunkingOptions) -> Column:
+def multi_view(plans: Column, path: Column, ext: Column, options: ChunkingOptions, count: TokenCounter = word_count) -> Column:
     """Several chunkers over the same text; a repeat within one chunker is dropped."""
-    views = F.flatten(F.transform(plans, lambda p: chunks_of(p, path, ext, options)))
+    views = F.flatten(F.transform(plans, lambda p: chunks_of(p, path, ext, options, count)))
     return first_of_each(
         views,
         lambda c: F.struct(
@@ -344,11 +345,13 @@ def multi_view(plans: Column, path: Column, ext: Column, options: ChunkingOption
     )
 
 
-def structural_chunks(sources: DataFrame, options: ChunkingOptions | None = None, chunker: str | None = None) -> DataFrame:
+def structural_chunks(
+    sources: DataFrame, options: ChunkingOptions | None = None, chunker: str | None = None, count: TokenCounter = word_count
+) -> DataFrame:
     """``sources(path, ext, content)`` to one row per chunk, all within the row of each document.
 
     ``chunker`` forces one by name; otherwise the extension decides, or ``options.mode="multi"``
-    runs several.
+    runs several. ``count`` measures texts against the sizes of the options.
     """
     options = options or ChunkingOptions()
     path, ext, content = F.col("path"), F.col("ext"), F.col("content")
@@ -356,54 +359,63 @@ def structural_chunks(sources: DataFrame, options: ChunkingOptions | None = None
         names = options.multi_chunkers or ("code", "brace", "text")
         plans = F.array(*[CHUNKERS.get(n, text_chunker)(path, content, options) for n in names])
         planned = sources.select("path", "ext", plans.alias("plans"))
-        chunks = multi_view(F.col("plans"), path, ext, options)
+        chunks = multi_view(F.col("plans"), path, ext, options, count)
     else:
         plan = CHUNKERS.get(chunker, text_chunker)(path, content, options) if chunker else routed(path, ext, content, options)
         planned = sources.select("path", "ext", plan.alias("plan"))
-        chunks = chunks_of(F.col("plan"), path, ext, options)
+        chunks = chunks_of(F.col("plan"), path, ext, options, count)
     return planned.select("path", F.posexplode(chunks).alias("ord", "chunk")).select("path", "ord", "chunk.*")
 
 
 # Annotation groups of Java frameworks.
 ANNOTATION_GROUPS = {
-    "spring_core.stereotype": "@Component @Service @Repository @Controller @RestController @Configuration",
-    "spring_core.injection": "@Autowired @Inject @Value @Qualifier @Primary @Lazy",
-    "spring_core.lifecycle": "@PostConstruct @PreDestroy @Bean @Scope",
-    "spring_core.aop": "@Aspect @Before @After @Around @Pointcut",
-    "spring_web.mapping": "@RequestMapping @GetMapping @PostMapping @PutMapping @DeleteMapping @PatchMapping",
-    "spring_web.params": "@RequestBody @ResponseBody @PathVariable @RequestParam @RequestHeader @CookieValue",
-    "spring_web.response": "@ResponseStatus @ExceptionHandler @ControllerAdvice @RestControllerAdvice",
-    "spring_web.validation": "@Valid @Validated",
-    "spring_data.repository": "@Repository @Query @Modifying @Param",
-    "spring_data.transaction": "@Transactional @EnableTransactionManagement",
-    "jpa_jakarta.entity": "@Entity @Table @MappedSuperclass @Embeddable @Embedded",
-    "jpa_jakarta.id": "@Id @GeneratedValue @SequenceGenerator @TableGenerator @EmbeddedId @IdClass",
-    "jpa_jakarta.mapping": "@Column @JoinColumn @JoinTable @OrderBy @OrderColumn",
-    "jpa_jakarta.relations": "@OneToOne @OneToMany @ManyToOne @ManyToMany @ElementCollection",
-    "jpa_jakarta.fetch": "@Fetch @BatchSize @LazyCollection",
-    "jpa_jakarta.lifecycle": "@PrePersist @PostPersist @PreUpdate @PostUpdate @PreRemove @PostRemove",
-    "lombok.data": "@Data @Value @Builder @SuperBuilder @NoArgsConstructor @AllArgsConstructor @RequiredArgsConstructor",
-    "lombok.accessors": "@Getter @Setter @ToString @EqualsAndHashCode",
-    "lombok.utility": "@Slf4j @Log @Log4j @Log4j2 @CommonsLog @Cleanup @SneakyThrows",
+    "spring_core.stereotype": ("@Component", "@Service", "@Repository", "@Controller", "@RestController", "@Configuration"),
+    "spring_core.injection": ("@Autowired", "@Inject", "@Value", "@Qualifier", "@Primary", "@Lazy"),
+    "spring_core.lifecycle": ("@PostConstruct", "@PreDestroy", "@Bean", "@Scope"),
+    "spring_core.aop": ("@Aspect", "@Before", "@After", "@Around", "@Pointcut"),
+    "spring_web.mapping": ("@RequestMapping", "@GetMapping", "@PostMapping", "@PutMapping", "@DeleteMapping", "@PatchMapping"),
+    "spring_web.params": (
+        "@RequestBody", "@ResponseBody", "@PathVariable", "@RequestParam", "@RequestHeader", "@CookieValue",
+    ),
+    "spring_web.response": ("@ResponseStatus", "@ExceptionHandler", "@ControllerAdvice", "@RestControllerAdvice"),
+    "spring_web.validation": ("@Valid", "@Validated"),
+    "spring_data.repository": ("@Repository", "@Query", "@Modifying", "@Param"),
+    "spring_data.transaction": ("@Transactional", "@EnableTransactionManagement"),
+    "jpa_jakarta.entity": ("@Entity", "@Table", "@MappedSuperclass", "@Embeddable", "@Embedded"),
+    "jpa_jakarta.id": ("@Id", "@GeneratedValue", "@SequenceGenerator", "@TableGenerator", "@EmbeddedId", "@IdClass"),
+    "jpa_jakarta.mapping": ("@Column", "@JoinColumn", "@JoinTable", "@OrderBy", "@OrderColumn"),
+    "jpa_jakarta.relations": ("@OneToOne", "@OneToMany", "@ManyToOne", "@ManyToMany", "@ElementCollection"),
+    "jpa_jakarta.fetch": ("@Fetch", "@BatchSize", "@LazyCollection"),
+    "jpa_jakarta.lifecycle": ("@PrePersist", "@PostPersist", "@PreUpdate", "@PostUpdate", "@PreRemove", "@PostRemove"),
+    "lombok.data": (
+        "@Data", "@Value", "@Builder", "@SuperBuilder", "@NoArgsConstructor", "@AllArgsConstructor",
+        "@RequiredArgsConstructor",
+    ),
+    "lombok.accessors": ("@Getter", "@Setter", "@ToString", "@EqualsAndHashCode"),
+    "lombok.utility": ("@Slf4j", "@Log", "@Log4j", "@Log4j2", "@CommonsLog", "@Cleanup", "@SneakyThrows"),
     "validation.constraints": (
-        "@NotNull @NotBlank @NotEmpty @Size @Min @Max @Pattern @Email @Past @Future @Positive @Negative"
+        "@NotNull", "@NotBlank", "@NotEmpty", "@Size", "@Min", "@Max", "@Pattern", "@Email", "@Past", "@Future",
+        "@Positive", "@Negative",
+    ),
+    "jackson.serialization": (
+        "@JsonProperty", "@JsonIgnore", "@JsonInclude", "@JsonFormat", "@JsonSerialize", "@JsonDeserialize",
     ),
-    "jackson.serialization": "@JsonProperty @JsonIgnore @JsonInclude @JsonFormat @JsonSerialize @JsonDeserialize",
-    "jackson.type": "@JsonTypeInfo @JsonSubTypes @JsonTypeName",
+    "jackson.type": ("@JsonTypeInfo", "@JsonSubTypes", "@JsonTypeName"),
     "testing.junit": (
-        "@Test @BeforeEach @AfterEach @BeforeAll @AfterAll @Disabled @DisplayName @Nested @ParameterizedTest"
+        "@Test", "@BeforeEach", "@AfterEach", "@BeforeAll", "@AfterAll", "@Disabled", "@DisplayName", "@Nested",
+        "@ParameterizedTest",
     ),
-    "testing.mockito": "@Mock @InjectMocks @Spy @Captor @MockBean @SpyBean",
-    "testing.spring_test": "@SpringBootTest @WebMvcTest @DataJpaTest @MockMvc @AutoConfigureMockMvc",
+    "testing.mockito": ("@Mock", "@InjectMocks", "@Spy", "@Captor", "@MockBean", "@SpyBean"),
+    "testing.spring_test": ("@SpringBootTest", "@WebMvcTest", "@DataJpaTest", "@MockMvc", "@AutoConfigureMockMvc"),
 }
 ANNOTATION_CLASSES = {
-    "controller": "@Controller @RestController",
-    "service": "@Service",
-    "repository": "@Repository",
-    "configuration": "@Configuration",
-    "entity": "@Entity @MappedSuperclass",
-    "component": "@Component",
-    "test": "@SpringBootTest @WebMvcTest @DataJpaTest @Test",
+    "controller": ("@Controller", "@RestController"),
+    "service": ("@Service",),
+    "repository": ("@Repository",),
+    "configuration": ("@Configuration",),
+    "entity": ("@Entity", "@MappedSuperclass"),
+    "component": ("@Component",),
+    "test": ("@SpringBootTest", "@WebMvcTest", "@DataJpaTest", "@Test"),
 }
 TYPE_WORD_CLASSES = ("class", "interface", "enum", "record")
 
@@ -423,7 +435,7 @@ def annotation_tags(found: Column) -> Column:
                 F.struct(
                     F.lit(name).alias("tag"),
                     F.array_sort(
-                        F.array_intersect(found, F.array(*[F.lit(a) for a in members.split()]))
+                        F.array_intersect(found, F.array(*[F.lit(a) for a in members]))
                     ).alias("matched"),
                 )
                 for name, members in ANNOTATION_GROUPS.items()
@@ -438,6 +450,6 @@ def annotation_class(found: Column, fallback: Column) -> Column:
     """First class whose annotations are present, in fixed order; else the given fallback."""
     chain = None
     for name, members in ANNOTATION_CLASSES.items():
-        test = F.arrays_overlap(found, F.array(*[F.lit(a) for a in members.split()]))
+        test = F.arrays_overlap(found, F.array(*[F.lit(a) for a in members]))
         chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
     return chain.otherwise(fallback)

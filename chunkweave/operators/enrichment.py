@@ -19,29 +19,29 @@ from chunkweave.operators.constraints import (
 )
 
 # Extension, pipeline, language, mime type.
-FILE_KINDS = """
-.java      java          java        text/x-java
-.md        markdown      markdown    text/markdown
-.markdown  markdown      markdown    text/markdown
-.html      html          html        text/html
-.htm       html          html        text/html
-.json      json          json        application/json
-.yml       yaml          yaml        application/yaml
-.yaml      yaml          yaml        application/yaml
-.txt       text          text        text/plain
-.rst       text          rst         text/plain
-.py        code_generic  python      text/x-python
-.js        code_generic  javascript  text/javascript
-.ts        code_generic  typescript  text/typescript
-.tsx       code_generic  typescript  text/typescript
-.go        code_generic  go          text/x-go
-.rs        code_generic  rust        text/x-rust
-.c         code_generic  c           text/x-c
-.cpp       code_generic  cpp         text/x-c++
-.h         code_generic  c           text/x-c
-.cs        code_generic  csharp      text/x-csharp
-.kt        code_generic  kotlin      text/x-kotlin
-"""
+FILE_KINDS = {
+    ".java": ("java", "java", "text/x-java"),
+    ".md": ("markdown", "markdown", "text/markdown"),
+    ".markdown": ("markdown", "markdown", "text/markdown"),
+    ".html": ("html", "html", "text/html"),
+    ".htm": ("html", "html", "text/html"),
+    ".json": ("json", "json", "application/json"),
+    ".yml": ("yaml", "yaml", "application/yaml"),
+    ".yaml": ("yaml", "yaml", "application/yaml"),
+    ".txt": ("text", "text", "text/plain"),
+    ".rst": ("text", "rst", "text/plain"),
+    ".py": ("code_generic", "python", "text/x-python"),
+    ".js": ("code_generic", "javascript", "text/javascript"),
+    ".ts": ("code_generic", "typescript", "text/typescript"),
+    ".tsx": ("code_generic", "typescript", "text/typescript"),
+    ".go": ("code_generic", "go", "text/x-go"),
+    ".rs": ("code_generic", "rust", "text/x-rust"),
+    ".c": ("code_generic", "c", "text/x-c"),
+    ".cpp": ("code_generic", "cpp", "text/x-c++"),
+    ".h": ("code_generic", "c", "text/x-c"),
+    ".cs": ("code_generic", "csharp", "text/x-csharp"),
+    ".kt": ("code_generic", "kotlin", "text/x-kotlin"),
+}
 SUMMARY_CHARS = 180
 MAX_TAGS = 5
 
@@ -64,7 +64,7 @@ def _kind(pipeline: str, language: str, mime: str, supported: bool = True) -> Co
 def file_kind(path: Column, content: Column) -> Column:
     """Known extension, else the interpreter line, else binary if it holds a NUL, else text."""
     table = F.create_map(
-        *[x for row in FILE_KINDS.split("\n") if row for ext, *kind in [row.split()] for x in (F.lit(ext), _kind(*kind))]
+        *[x for ext, kind in FILE_KINDS.items() for x in (F.lit(ext), _kind(*kind))]
     )
     head = F.substring(lstrip(content), 1, 128)
     script = head.startswith("#!")

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.functions.text import is_blank, path_suffix, sha256
+from chunkweave.functions.text import is_blank, path_suffix, sha256, word_count
 from chunkweave.functions.wordbag import Embedder
 from chunkweave.operators import embedding as E
 from chunkweave.operators import enrichment as N
@@ -24,7 +24,7 @@ from chunkweave.operators import windows as W
 from chunkweave.operators.chunkers import structural_chunks
 from chunkweave.operators.constraints import ENRICHED
 from chunkweave.operators.enrichment import Enricher
-from chunkweave.operators.packing import ChunkingOptions
+from chunkweave.operators.packing import ChunkingOptions, TokenCounter
 from chunkweave.operators.segments import explode_segments, segments_by_kind
 from chunkweave.sources import packets as P
 from chunkweave.sources.tables import key_value_text
@@ -69,8 +69,8 @@ def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = Fa
     )
 
 
-def structural_chunk_rows(sources: DataFrame, options: ChunkingOptions) -> DataFrame:
-    rows = structural_chunks(sources, options)
+def structural_chunk_rows(sources: DataFrame, options: ChunkingOptions, count: TokenCounter = word_count) -> DataFrame:
+    rows = structural_chunks(sources, options, count=count)
     meta = _metadata(path=F.col("path"), ext=F.col("ext"), chunker=F.col("chunker"), blocks_meta=F.to_json("blocks_meta"))
     return rows.select(
         F.col("id").alias("chunk_id"), "path", "ord", "text", sha256(F.col("text")).alias("hash"), meta.alias("metadata")
@@ -221,9 +221,11 @@ def build_packet(
     previous: str | None = None,
     options: ChunkingOptions | None = None,
     numbered: bool = False,
+    count: TokenCounter = word_count,
 ) -> dict:
-    """Sources to a packet of line windows, or of structural chunks when ``options`` are given."""
-    chunks = structural_chunk_rows(sources, options) if options else line_window_chunks(sources, spec, numbered)
+    """Sources to a packet of line windows, or of structural chunks, measured by ``count``, when
+    ``options`` are given."""
+    chunks = structural_chunk_rows(sources, options, count) if options else line_window_chunks(sources, spec, numbered)
     return materialize(chunks, out, spec, embedder, previous=previous)
 
 

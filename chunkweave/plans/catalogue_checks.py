@@ -63,7 +63,7 @@ def version_order(spark, folder):
         "version",
         F.size("vkey").alias("parts"),
         part["rank"].alias("rank"),
-        part["number"].cast("bigint").alias("number"),
+        part["number"]["digits"].cast("bigint").alias("number"),
         F.size(part["rest"]).alias("rest"),
     )
 

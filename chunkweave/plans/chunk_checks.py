@@ -691,7 +691,7 @@ QUERIES = {
     "annotation_tags": (
         annotation_tags,
         f"""{SRC},
-        rules AS (SELECT unnest({[k for k in C.ANNOTATION_GROUPS]!r}) AS tag, unnest({[v.split() for v in C.ANNOTATION_GROUPS.values()]!r}) AS members),
+        rules AS (SELECT unnest({[k for k in C.ANNOTATION_GROUPS]!r}) AS tag, unnest({[list(v) for v in C.ANNOTATION_GROUPS.values()]!r}) AS members),
         rule_rows AS (SELECT tag, unnest(members) AS annotation FROM rules),
         found AS (SELECT DISTINCT path, unnest(regexp_extract_all(content, '(@\\w+)', 1)) AS annotation FROM sources)
         SELECT path, tag, string_agg(annotation, ',' ORDER BY annotation) AS matched FROM found JOIN rule_rows USING (annotation) GROUP BY path, tag""",
@@ -700,6 +700,6 @@ QUERIES = {
         annotation_class,
         f"""{SRC},
         found AS (SELECT path, regexp_extract_all(content, '(@\\w+)', 1) AS a FROM sources)
-        SELECT path, CASE {' '.join(f"WHEN list_has_any(a, {v.split()!r}) THEN '{k}'" for k, v in C.ANNOTATION_CLASSES.items())} ELSE 'unknown' END AS symbol_class FROM found""",
+        SELECT path, CASE {' '.join(f"WHEN list_has_any(a, {list(v)!r}) THEN '{k}'" for k, v in C.ANNOTATION_CLASSES.items())} ELSE 'unknown' END AS symbol_class FROM found""",
     ),
 }

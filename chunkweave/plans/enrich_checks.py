@@ -241,7 +241,7 @@ def coerced_maps(spark, folder):
 
 
 def _sql_kinds() -> str:
-    rows = [line.split() for line in N.FILE_KINDS.split("\n") if line]
+    rows = [[ext, *kind] for ext, kind in N.FILE_KINDS.items()]
     cells = ", ".join("(" + ", ".join(In.text_literal(c) for c in row) + ")" for row in rows)
     return f"kinds(ext, pipeline, language, mime) AS (VALUES {cells})"
 

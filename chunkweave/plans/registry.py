@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkweave.plans import build_checks, catalogue_checks, chunk_checks, enrich_checks, search_checks
+from chunkweave.plans import build_checks, catalogue_checks, chunk_checks, enrich_checks, packet_checks, search_checks
 
-MODULES = (build_checks, search_checks, chunk_checks, enrich_checks, catalogue_checks)
+MODULES = (build_checks, search_checks, chunk_checks, enrich_checks, catalogue_checks, packet_checks)
 
 
 def registered() -> dict:

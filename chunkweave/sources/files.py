@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chunkweave.functions.text import is_blank, path_suffix
 
 # Extensions that are indexed, and those the enrichment build adds.
-CODE_EXTENSIONS = ".py .js .ts .tsx .java .kt .go .rs .cpp .c .h .cs".split()
-TEXT_EXTENSIONS = ".md .txt .rst".split()
-MARKUP_EXTENSIONS = ".markdown .html .htm .json .yml .yaml".split()
+CODE_EXTENSIONS = [".py", ".js", ".ts", ".tsx", ".java", ".kt", ".go", ".rs", ".cpp", ".c", ".h", ".cs"]
+TEXT_EXTENSIONS = [".md", ".txt", ".rst"]
+MARKUP_EXTENSIONS = [".markdown", ".html", ".htm", ".json", ".yml", ".yaml"]
 
 
 def decode_text(content: Column) -> Column:

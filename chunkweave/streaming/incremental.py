@@ -1,13 +1,14 @@
 """Incremental builds as a stream of arriving documents.
 
 The only state is the packet itself: each micro-batch is chunked, hashed, and only texts whose hash
-has no stored vector are embedded. A batch writes its own folder, so a replayed batch overwrites
-what it wrote before and nothing is stored twice.
+has no stored vector are embedded. A batch writes its own folders, so a replayed batch overwrites
+what it wrote before and nothing is stored twice. A path that arrives again replaces its former
+chunks: ``current_chunks`` reads those of each path's last batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -18,6 +19,7 @@ from chunkweave.plans.build import PacketSpec, line_window_chunks
 
 CHUNKS = "chunk_id string, path string, ord int, text string, hash string, metadata map<string,string>, batch_id bigint"
 VECTORS = "hash string, vec array<float>, batch_id bigint"
+PATHS = "path string, batch_id bigint"
 
 
 def _stored(spark, path: str, schema: str) -> DataFrame:
@@ -27,22 +29,46 @@ def _stored(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def _checked(fresh: DataFrame, known: DataFrame, spec: PacketSpec) -> DataFrame:
+    """Vectors that may be stored: of the stored dimension, finite, and of unit length unless the
+    server normalises. A batch cannot see the whole table, so ``auto`` normalises every vector, which
+    leaves unit vectors as they are."""
+    shape = E.vector_shape(known.limit(1)).first()
+    dim = shape.max_dim if shape.vectors else E.vector_shape(fresh).first().max_dim
+    if dim is None:
+        return fresh
+    return E.normalize_table(E.checked_vectors(fresh, dim), "client" if spec.normalization == "auto" else spec.normalization)
+
+
 def ingest_stream(
     documents: DataFrame, out: str, spec: PacketSpec, embedder: Embedder, checkpoint: str, **trigger: object
 ) -> StreamingQuery:
-    """``documents(path, ext, content)`` as a stream into ``out/chunks`` and ``out/vectors``."""
+    """``documents(path, ext, content)`` as a stream into ``out/paths``, ``out/chunks`` and ``out/vectors``.
+
+    Of several rows for one path in a batch the one with the greatest content counts.
+    """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        chunks = line_window_chunks(batch, spec)
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}")
+        once = batch.groupBy("path").agg(F.max(F.struct("content", "ext")).alias("last")).select("path", "last.ext", "last.content")
+        line_window_chunks(once, spec).write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}")
         stored = spark.read.parquet(f"{out}/chunks/batch_id={batch_id}")
         # A replay must not count what this very batch stored before it failed.
         known = _stored(spark, f"{out}/vectors", VECTORS).where(F.col("batch_id") != batch_id)
-        fresh = E.embed_texts(E.missing_texts(stored, known), embedder)
-        fresh.withColumn("vec", half_precision(F.col("vec"))).write.mode("overwrite").parquet(
+        E.embed_texts(E.missing_texts(stored, known), embedder).write.mode("overwrite").parquet(f"{out}/fresh/batch_id={batch_id}")
+        fresh = spark.read.parquet(f"{out}/fresh/batch_id={batch_id}")
+        _checked(fresh, known, spec).withColumn("vec", half_precision(F.col("vec"))).write.mode("overwrite").parquet(
             f"{out}/vectors/batch_id={batch_id}"
         )
+        # Last: a path is current only when its chunks and vectors are there.
+        batch.select("path").distinct().write.mode("overwrite").parquet(f"{out}/paths/batch_id={batch_id}")
 
     writer = documents.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of each path's last batch; a path that is blank now has none."""
+    last = _stored(spark, f"{out}/paths", PATHS).groupBy("path").agg(F.max("batch_id").alias("last_batch"))
+    chunks = _stored(spark, f"{out}/chunks", CHUNKS)
+    return chunks.join(last, "path").where(F.col("batch_id") == F.col("last_batch")).drop("last_batch")

@@ -13,7 +13,7 @@ from chunkweave.plans import build as B
 from chunkweave.sources import files as S
 from chunkweave.sources import packets as P
 from chunkweave.sources import tables as T
-from chunkweave.streaming.incremental import ingest_stream
+from chunkweave.streaming.incremental import current_chunks, ingest_stream
 
 
 def table(spark, folder, packet, name):
@@ -260,3 +260,26 @@ def test_built_packets_are_listed(spark, tree, tmp_path):
         B.build_packet(sources, str(tmp_path / f"cat/demo/{version}"), B.PacketSpec("demo", version, "bag"), word_bag(4))
     rows = {r.dir_version: r for r in T.read_manifests(spark, str(tmp_path / "cat")).collect()}
     assert set(rows) == {"1.0", "1.1"} and rows["1.1"].package["version"] == "1.1" and rows["1.0"].counts == {"docs": 5, "vectors": 5}
+
+
+def test_a_path_that_arrives_again_replaces_its_chunks(spark, tmp_path):
+    out, inbox = str(tmp_path / "out"), str(tmp_path / "inbox")
+    schema = "path string, ext string, content string"
+
+    def long_vectors(texts):
+        return [[3.0, 4.0] for _ in texts]
+
+    for rows in ([("a", ".md", "one"), ("b", ".md", "two")], [("a", ".md", "three"), ("a", ".md", "three"), ("b", ".md", " ")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        ingest_stream(stream, out, SPEC, long_vectors, str(tmp_path / "ck")).awaitTermination(120)
+    assert [(r.path, r.text) for r in current_chunks(spark, out).collect()] == [("a", "three")]
+    assert {tuple(round(x, 2) for x in r.vec) for r in spark.read.parquet(f"{out}/vectors").collect()} == {(0.6, 0.8)}
+
+
+def test_the_token_counter_of_a_build(spark, tmp_path):
+    source = spark.createDataFrame([("a.txt", ".txt", "one two three four\n\nfive six seven eight\n\nnine ten")], "path string, ext string, content string")
+    sizes = ChunkingOptions(chunk_tokens=20, overlap_tokens=0)
+    by_words = B.build_packet(source, str(tmp_path / "w"), SPEC, word_bag(4), options=sizes)
+    by_letters = B.build_packet(source, str(tmp_path / "l"), SPEC, word_bag(4), options=sizes, count=F.length)
+    assert by_words["counts"]["docs"] == 1 < by_letters["counts"]["docs"]
