@@ -1,14 +1,17 @@
 """Exact inner-product search for batches of queries, and reranking of hits.
 
-Nothing here pairs rows in a join. Vectors are scored block by block as matrix products inside
-Arrow tasks, each task keeps the best ``k`` per query, and one window picks the final ``k``:
-what is shuffled is ``k`` rows per query and task, whatever the number of vectors.
+Nothing here pairs rows in a join, and vectors stay where they are. Queries come in blocks of bounded
+size in bytes; a block is sent to all tasks, which score their vectors against it as matrix products
+and keep the best ``k`` per query, and one window picks the final ``k``: what is shuffled is ``k``
+rows per query and task, whatever the number of vectors. More queries are more passes, not more copies.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +20,13 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.arrays import rows_of
 from chunkweave.functions.text import display_line, let, split_words
+from chunkweave.session import shared_folder
 
+#: Digits of a score as shown, and as compared: few enough for the order of summation not to matter.
 SCORE_DIGITS = 6
-BROADCAST_QUERIES = 4_096
-SHARD_ROWS = 50_000
-QUERY_BLOCK = 2_048
+RANK_DIGITS = 10
+QUERY_BYTES = 16 * 1024 * 1024
+BROADCAST_HITS = 100_000
 
 
 class _Best:
@@ -36,7 +41,7 @@ class _Best:
             rows = np.concatenate([self.rows, rows])
             ids = np.concatenate([self.ids, ids])
             scores = np.concatenate([self.scores, scores])
-        order = np.lexsort((ids, -scores, rows))
+        order = np.lexsort((ids, -np.round(scores, RANK_DIGITS), rows))
         rows, ids, scores = rows[order], ids[order], scores[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         position = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
@@ -52,10 +57,11 @@ def _ids_array(values: pd.Series) -> np.ndarray:
 def _score_block(best: _Best, queries: np.ndarray, positions: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> None:
     for start in range(0, len(positions), 512):
         chosen = positions[start : start + 512]
-        scores = np.round(queries[chosen] @ matrix.T, SCORE_DIGITS) + 0.0
+        scores = queries[chosen] @ matrix.T
         if scores.shape[1] > best.k:
-            floor = np.partition(scores, scores.shape[1] - best.k, axis=1)[:, scores.shape[1] - best.k]
-            row, col = np.nonzero(scores >= floor[:, None])
+            compared = np.round(scores, RANK_DIGITS)
+            floor = np.partition(compared, scores.shape[1] - best.k, axis=1)[:, scores.shape[1] - best.k]
+            row, col = np.nonzero(compared >= floor[:, None])
         else:
             row, col = np.nonzero(np.ones_like(scores, dtype=bool))
         best.add(chosen[row], ids[col], scores[row, col])
@@ -77,7 +83,8 @@ def _score_frame(best: _Best, frame: pd.DataFrame, matrix_q: np.ndarray, groups:
 def _result(best: _Best, query_ids: np.ndarray, key: str) -> pd.DataFrame | None:
     if best.rows is None:
         return None
-    return pd.DataFrame({"query_id": query_ids[best.rows], key: best.ids, "score": best.scores})
+    shown, compared = np.round(best.scores, SCORE_DIGITS) + 0.0, np.round(best.scores, RANK_DIGITS) + 0.0
+    return pd.DataFrame({"query_id": query_ids[best.rows], key: best.ids, "score": shown, "rank_score": compared})
 
 
 def _groups(frame: pd.DataFrame, group: str | None) -> dict | None:
@@ -101,28 +108,26 @@ def _partial_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int, key: s
     return vectors.mapInPandas(scan, schema)
 
 
-def _partial_grid(
-    vectors: DataFrame, queries: DataFrame, k: int, key: str, group: str | None, schema: str, shard_rows: int, query_block: int
-) -> DataFrame:
-    """Vector shards against query blocks; every cell of the grid is one bounded group."""
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
-    blocks = max(1, math.ceil(queries.count() / query_block))
-    left = vectors.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    )
-
-    def cell(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        if len(asked) and len(part):
-            matrix_q = np.stack(asked["vec"].to_numpy()).astype(np.float64)
-            _score_frame(best, part, matrix_q, _groups(asked, group), key, group)
-        found = _result(best, asked["query_id"].to_numpy(), key)
-        return part[[key]].iloc[:0].assign(query_id=[], score=[])[["query_id", key, "score"]] if found is None else found
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, schema)
+def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of about ``query_bytes`` of vectors, one block on the driver at a time."""
+    width = queries.select(F.max(F.size("vec"))).first()[0]
+    if width is None:
+        return
+    size = max(1, query_bytes // (8 * max(1, width)))
+    first = queries.limit(size + 1).toPandas()
+    if len(first) <= size:
+        yield first
+        return
+    # Written once: a block must not compute the queries again.
+    folder = f"{shared_folder(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
+    queries.write.parquet(folder)
+    stored = queries.sparkSession.read.schema(queries.schema).parquet(folder)
+    blocks = math.ceil(stored.count() / size)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for number in range(blocks):
+        own = stored.where(block == number).toPandas()
+        if len(own):
+            yield own
 
 
 def top_k(
@@ -132,21 +137,16 @@ def top_k(
     *,
     key: str = "chunk_id",
     packet: str | None = None,
-    broadcast_queries: int = BROADCAST_QUERIES,
-    shard_rows: int = SHARD_ROWS,
-    query_block: int = QUERY_BLOCK,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """Best ``k`` of ``vectors(key, vec)`` for each of ``queries(query_id, vec)``.
 
-    Result: ``(query_id, rank, key, score)``. Scores are rounded to ``SCORE_DIGITS`` before ranking
-    and ties go to the smaller key, so the result does not depend on the order of summation. With
-    ``packet`` a query meets only the vectors of its own packet. Up to ``broadcast_queries`` queries
-    are sent to every task; more are met in a grid of bounded blocks.
+    Result: ``(query_id, rank, key, score)``. Scores are compared to ``RANK_DIGITS`` digits, beyond
+    which the order of summation shows, and ties go to the smaller key; they are shown rounded to
+    ``SCORE_DIGITS``. With ``packet`` a query meets only the vectors of its own packet.
     """
-    hits, _ = top_k_bounded(
-        vectors, queries, k, key=key, packet=packet, broadcast_queries=broadcast_queries, shard_rows=shard_rows, query_block=query_block
-    )
-    return hits
+    hits, _ = top_k_bounded(vectors, queries, k, key=key, packet=packet, query_bytes=query_bytes)
+    return hits.drop("rank_score")
 
 
 def top_k_bounded(
@@ -156,29 +156,26 @@ def top_k_bounded(
     *,
     key: str = "chunk_id",
     packet: str | None = None,
-    broadcast_queries: int = BROADCAST_QUERIES,
-    shard_rows: int = SHARD_ROWS,
-    query_block: int = QUERY_BLOCK,
+    query_bytes: int = QUERY_BYTES,
 ) -> tuple[DataFrame, bool]:
-    """As ``top_k``, and whether the hits are few enough to broadcast (few queries were asked)."""
+    """As ``top_k`` with the compared ``rank_score``, and whether queries x k is few enough to broadcast."""
     k = max(int(k), 1)
     extra = [packet] if packet else []
     vectors = vectors.select(key, "vec", *extra)
     queries = queries.select("query_id", "vec", *extra)
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields + queries.schema.fields}
-    schema = f"query_id {types['query_id']}, {key} {types[key]}, score double"
+    schema = f"query_id {types['query_id']}, {key} {types[key]}, score double, rank_score double"
 
-    asked = queries.limit(broadcast_queries + 1).toPandas()
-    few = len(asked) <= broadcast_queries
-    if asked.empty:
-        return vectors.sparkSession.createDataFrame([], f"query_id {types['query_id']}, rank int, {key} {types[key]}, score double"), True
-    if few:
-        partial = _partial_broadcast(vectors, asked, k, key, packet, schema)
-    else:
-        partial = _partial_grid(vectors, queries, k, key, packet, schema, shard_rows, query_block)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", key, "score"), few
+    found, asked = [], 0
+    for block in _query_blocks(queries, query_bytes):
+        asked += len(block)
+        found.append(_partial_broadcast(vectors, block, k, key, packet, schema))
+    if not found:
+        empty = f"query_id {types['query_id']}, rank int, {key} {types[key]}, score double, rank_score double"
+        return vectors.sparkSession.createDataFrame([], empty), True
+    order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), key)
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", key, "score", "rank_score"), asked * k <= BROADCAST_HITS
 
 
 def chunk_hits(hash_hits: DataFrame, chunks: DataFrame, k: int, few: bool) -> DataFrame:
@@ -192,7 +189,8 @@ def chunk_hits(hash_hits: DataFrame, chunks: DataFrame, k: int, few: bool) -> Da
     found = chunks.join(F.broadcast(wanted) if few else wanted, "hash", "left_semi")
     per_hash = Window.partitionBy("hash").orderBy("chunk_id")
     firsts = found.withColumn("copy_no", F.row_number().over(per_hash)).where(F.col("copy_no") <= k).drop("copy_no")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    compared = "rank_score" if "rank_score" in hash_hits.columns else "score"
+    order = Window.partitionBy("query_id").orderBy(F.desc(compared), "chunk_id")
     joined = (F.broadcast(hash_hits.drop("rank")) if few else hash_hits.drop("rank")).join(firsts, "hash")
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -285,8 +283,9 @@ def token_diversity(hits: DataFrame, k: int) -> DataFrame:
 Indexer = Callable[[DataFrame, DataFrame, int], DataFrame]
 Reranker = Callable[[DataFrame, int], DataFrame]
 
-#: ``(vectors(hash, vec), queries(query_id, vec), k)`` to ``(query_id, rank, hash, score)``.
-INDEXERS: dict[str, Indexer] = {"flat-ip": lambda vectors, queries, k: top_k(vectors, queries, k, key="hash")}
+#: ``(vectors(hash, vec), queries(query_id, vec), k)`` to ``(query_id, rank, hash, score)``; a further
+#: column ``rank_score`` is what hits are ordered by.
+INDEXERS: dict[str, Indexer] = {"flat-ip": lambda vectors, queries, k: top_k_bounded(vectors, queries, k, key="hash")[0]}
 RERANKERS: dict[str, Reranker] = {"none": first_k, "token-diversity": token_diversity}
 
 

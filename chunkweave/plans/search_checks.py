@@ -32,9 +32,9 @@ def topk_exact(spark, folder):
 
 
 def topk_grid(spark, folder):
-    """The same with more queries than may be broadcast: shards against query blocks."""
+    """The same with more queries than one block holds."""
     vectors = _vectors(spark, folder)
-    return S.top_k(vectors, _as_queries(vectors), K, broadcast_queries=64, shard_rows=512, query_block=256)
+    return S.top_k(vectors, _as_queries(vectors), K, query_bytes=256 * 64 * 8)
 
 
 def topk_by_packet(spark, folder):
@@ -108,9 +108,10 @@ DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.
 def _sql_topk(on: str) -> str:
     return f"""
 WITH scored AS (
-    SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round({DOT}, 6) + 0.0 AS score FROM embeddings q JOIN embeddings v ON {on}),
+    SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {DOT} AS dot FROM embeddings q JOIN embeddings v ON {on}),
 ranked AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 10) DESC, chunk_id) AS INTEGER) AS rank, chunk_id,
+           round(dot, 6) + 0.0 AS score
     FROM scored QUALIFY rank <= {K})
 """
 
@@ -126,11 +127,11 @@ scored AS (
     SELECT item_id, hash, sum(CAST(a.value AS DOUBLE) * {In.sql_half('b.value')}) AS score
     FROM asked a JOIN bag b USING (slot) GROUP BY item_id, hash),
 all_scored AS (
-    SELECT b.item_id, h.hash, round(coalesce(score, 0), 6) + 0.0 AS score
+    SELECT b.item_id, h.hash, round(coalesce(score, 0), 6) + 0.0 AS score, round(coalesce(score, 0), 10) AS compared
     FROM benchmark b CROSS JOIN (SELECT hash FROM all_texts) h LEFT JOIN scored s ON s.item_id = b.item_id AND s.hash = h.hash),
 hits AS (
     SELECT item_id AS query_id, path || ':' || ord AS chunk_id, path, ext, lang, text, score,
-           CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path || ':' || ord) AS INTEGER) AS rank
+           CAST(row_number() OVER (PARTITION BY item_id ORDER BY compared DESC, path || ':' || ord) AS INTEGER) AS rank
     FROM all_scored JOIN chunks USING (hash) QUALIFY rank <= {K})
 """
 )
