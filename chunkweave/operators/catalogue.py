@@ -171,6 +171,23 @@ def publish(current: DataFrame, incoming: DataFrame, overwrite: bool = False) ->
     ).drop("first_id", "exists")
 
 
+def published(current: DataFrame, incoming: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The versions table after publishing: accepted rows are added, those they replace leave."""
+    outcome = publish(current, incoming, overwrite)
+    accepted = outcome.where(F.col("outcome").isin("created", "replaced")).withColumnRenamed("upload_id", "id")
+    kept = current.join(accepted.select("name", "version"), ["name", "version"], "left_anti")
+    return kept.select(*current.columns).unionByName(accepted.select(*current.columns))
+
+
+def use(pins: DataFrame, specs: DataFrame, versions: DataFrame) -> DataFrame:
+    """The pins table after ``specs(spec)`` of ``name@version`` (no version: the pinned or the latest one)
+    were made active. What is not installed changes nothing."""
+    name, target = parse_spec(F.col("spec"))
+    found = resolve(specs.select(F.col("spec").alias("request_id"), name.alias("name"), target.alias("target")), versions, pins)
+    chosen = found.where("status = 'ok'").groupBy("name").agg(F.max_by("version", "request_id").alias("active"))
+    return set_pins(pins, chosen.select("name", F.lit(None).cast("string").alias("pinned"), "active"))
+
+
 def new_blobs(stored: DataFrame, accepted: DataFrame) -> DataFrame:
     """Content to upload: one row per fingerprint not stored yet."""
     return (

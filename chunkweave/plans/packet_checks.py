@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.text import sha256
 from chunkweave.functions.wordbag import word_bag
+from chunkweave.operators import catalogue as C
 from chunkweave.plans import build as B
+from chunkweave.plans import catalogue_checks as V
 from chunkweave.plans import inputs as In
 from chunkweave.plans.build_checks import BOTH, CHUNKED, OVERLAP, WIDTH, files
+from chunkweave.plans.catalogue_checks import VERSIONS
 from chunkweave.session import shared_folder
 from chunkweave.sources import packets as P
 from chunkweave.sources.files import scan_files
@@ -67,7 +70,34 @@ def stream_ingest(spark, folder):
     return current_chunks(spark, out).join(vectors, "hash", "left").select("path", "ord", "hash", "vectors")
 
 
+def catalogue_store(spark, folder):
+    """A stored catalogue: later versions are published into the earlier ones, one version of each package
+    is made active, old versions are pruned; then the tables are read back."""
+    root, rows = _folder(spark, "catalogue"), V.versions(spark, folder)
+    early = F.col("published_at") < F.to_timestamp(F.lit("1998-01-01"))
+    P.replace_table(rows.where(early), root, "versions")
+    P.replace_table(V.pins(spark, folder), root, "pins")
+    stored = P.read_table(spark, root, "versions")
+    P.replace_table(C.published(stored, rows.where(~early).withColumnRenamed("id", "upload_id")), root, "versions")
+    stored, pins = P.read_table(spark, root, "versions"), P.read_table(spark, root, "pins")
+    P.replace_table(C.use(pins, stored.select(F.concat("name", F.lit("@latest")).alias("spec")).distinct(), stored), root, "pins")
+    pins = P.read_table(spark, root, "pins")
+    P.replace_table(C.delete_versions(stored, C.prune_plan(stored, pins, keep=1)), root, "versions")
+    return P.read_table(spark, root, "versions").select("name", "version").distinct().join(P.read_table(spark, root, "pins"), "name", "left")
+
+
 QUERIES = {
+    "catalogue_store": (
+        catalogue_store,
+        VERSIONS
+        + """, old AS (SELECT DISTINCT name, version FROM versions WHERE published_at < TIMESTAMP '1998-01-01'),
+        later AS (SELECT name, version FROM versions WHERE published_at >= TIMESTAMP '1998-01-01'
+                  GROUP BY name, version HAVING arg_min(size_bytes, id) > 0),
+        listed AS (SELECT k.* FROM known k JOIN (SELECT * FROM old UNION SELECT * FROM later) USING (name, version)),
+        newest AS (SELECT name, arg_max(version, vkey) AS version FROM listed GROUP BY name),
+        held AS (SELECT p.name, p.pinned, coalesce(n.version, p.active) AS active FROM pins p LEFT JOIN newest n USING (name))
+        SELECT l.name, l.version, pinned, active FROM listed l JOIN held h USING (name) WHERE l.version IN (pinned, active)""",
+    ),
     "packet_rebuild": (
         packet_rebuild,
         BOTH + "SELECT path, ord, hash, true AS complete, hash IN (SELECT hash FROM old_chunks) AS reused FROM chunks",

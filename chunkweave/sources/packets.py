@@ -68,6 +68,24 @@ def table_of(spark: SparkSession, packet: str, manifest: dict, name: str, schema
     return reader.parquet(f"{packet}/{place}")
 
 
+def replace_table(rows: DataFrame, root: str, name: str) -> None:
+    """Make ``rows`` the table ``root/name``, in one step when all of it is written; the rows may be
+    derived from the table they replace."""
+    spark, folder = rows.sparkSession, f"{root}/{name}"
+    run = new_run(folder)
+    rows.write.parquet(f"{folder}/{run}")
+    publish_manifest(spark, folder, {"files": {"table": run}})
+
+
+def read_table(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table written by ``replace_table``; an empty one, of the given schema, before the first."""
+    folder = f"{root}/{name}"
+    manifest = read_manifest(spark, folder)
+    if manifest is None and schema is None:
+        raise ValueError(f"no table at {folder}")
+    return table_of(spark, folder, manifest or {}, "table", schema)
+
+
 def drop_former_runs(spark: SparkSession, packet: str) -> int:
     """Delete the run folders that the manifest does not name; how many. Not while others read them."""
     manifest = read_manifest(spark, packet) or {}

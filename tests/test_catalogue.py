@@ -135,3 +135,20 @@ def test_models_of_many_providers(spark):
     )
     got = {r.packet_id: (r.model, r.provider) for r in C.choose_models(requests, providers).collect()}
     assert got == {1: ("m7", "p00007"), 2: ("unknown", "a"), 3: ("n11999", "p11999"), 4: ("solo", "a"), 5: (None, "a")}
+
+
+def test_publishing_and_use_through_stored_tables(spark, tmp_path):
+    from chunkweave.sources import packets as P
+
+    root = str(tmp_path)
+    schema = "id long, name string, version string, size_bytes long"
+    P.replace_table(spark.createDataFrame([(1, "a", "1.0", 5), (2, "a", "2.0", 5)], schema), root, "versions")
+    new = spark.createDataFrame([(7, "a", "2.0", 9), (8, "a", "3.0", 0), (9, "b", "1.0", 4), (10, "b", "1.0", 6)], schema).withColumnRenamed("id", "upload_id")
+    for overwrite, size in ((False, 5), (True, 9)):
+        P.replace_table(C.published(P.read_table(spark, root, "versions"), new, overwrite), root, "versions")
+        rows = {(r.name, r.version): r.size_bytes for r in P.read_table(spark, root, "versions").collect()}
+        assert rows == {("a", "1.0"): 5, ("a", "2.0"): size, ("b", "1.0"): 4}
+    pins = P.read_table(spark, root, "pins", "name string, pinned string, active string")
+    specs = spark.createDataFrame([("a@1.0",), ("b",), ("c@1",), ("b@9",)], "spec string")
+    P.replace_table(C.use(pins, specs, P.read_table(spark, root, "versions")), root, "pins")
+    assert {tuple(r) for r in P.read_table(spark, root, "pins").collect()} == {("a", None, "1.0"), ("b", None, "1.0")}
