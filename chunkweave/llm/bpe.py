@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm.automaton import Transducer, build
+from chunkweave.llm.common import stored
 
 LEXICON_WORDS = 100_000
 SLICE = 1 << 20
-BATCH_CHARS = 1 << 22
-CACHED_WORDS = 300_000
+BATCH_CHARS = 1 << 20
+CACHED_WORDS = 200_000
+DECODE_IDS = 1 << 17
 SHORT = 48
 #: Words for counting, close to the exact pattern; a difference only moves the choice of the lexicon.
 COUNT_PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -214,10 +216,19 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int) -> list[str]:
-    """The most frequent words of all texts; a fixed number, ties by the word."""
+    """At most ``n`` of the most frequent words of all texts. A histogram over classes of frequency (16 per
+    doubling, about a thousand rows) gives the least class that still fits; only its words and more
+    frequent ones reach the driver."""
     words = docs.filter("text IS NOT NULL").select(F.explode(F.regexp_extract_all("text", F.lit(COUNT_PATTERN), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1 AND length(word) <= 40")
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).select("word").collect()]
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 2 AND length(word) <= 40")
+    classed = stored(counts.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")), "bpe-words")
+    total, least = 0, None
+    for row in sorted(classed.groupBy("class").count().collect(), reverse=True):
+        total += row["count"]
+        if total > n:
+            break
+        least = row["class"]
+    return [] if least is None else [r.word for r in classed.filter(F.col("class") >= least).select("word").collect()]
 
 
 def ship_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
@@ -300,9 +311,9 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id", "ids"
             column = batch.column(batch.schema.get_field_index("ids"))
             at = 0
             while at < batch.num_rows:
-                # Rows of about a million ids at a time: index arrays take 8 bytes per byte of text.
+                # Some rows at a time: index arrays take 8 bytes per byte of text.
                 end, size = at, 0
-                while end < batch.num_rows and size < SLICE:
+                while end < batch.num_rows and size < DECODE_IDS:
                     size += len(column[end]) if column[end].is_valid else 0
                     end += 1
                 rows = column.slice(at, end - at).fill_null([])
@@ -320,10 +331,10 @@ def _decoded(kept: pa.RecordBatch, rows: pa.ListArray, lengths: np.ndarray, plac
     ends = np.zeros(len(ids) + 1, dtype=np.int64)
     np.cumsum(sizes, out=ends[1:])
     pieces = []
-    for a in range(0, len(ids), SLICE):
-        own, base = sizes[a : a + SLICE], ends[a]
-        inside = np.arange(ends[min(a + SLICE, len(ids))] - base) - np.repeat(ends[a : a + len(own)] - base, own)
-        pieces.append(data[np.repeat(places[ids[a : a + SLICE]], own) + inside])
+    for a in range(0, len(ids), DECODE_IDS):
+        own, base = sizes[a : a + DECODE_IDS], ends[a]
+        inside = np.arange(ends[min(a + DECODE_IDS, len(ids))] - base) - np.repeat(ends[a : a + len(own)] - base, own)
+        pieces.append(data[np.repeat(places[ids[a : a + DECODE_IDS]], own) + inside])
     content = b"".join(p.tobytes() for p in pieces)
     offsets = rows.offsets.to_numpy()
     cuts = ends[offsets - offsets[0]]
