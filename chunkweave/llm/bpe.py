@@ -35,6 +35,7 @@ from chunkweave.llm.automaton import Transducer, build
 from chunkweave.llm.common import stored
 
 LEXICON_WORDS = 100_000
+LEXICON_CHARS = 12
 SLICE = 1 << 20
 BATCH_CHARS = 1 << 20
 CACHED_WORDS = 200_000
@@ -220,7 +221,8 @@ def frequent_words(docs: DataFrame, n: int) -> list[str]:
     doubling, about a thousand rows) gives the least class that still fits; only its words and more
     frequent ones reach the driver."""
     words = docs.filter("text IS NOT NULL").select(F.explode(F.regexp_extract_all("text", F.lit(COUNT_PATTERN), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 2 AND length(word) <= 40")
+    # Long words are rare ones; left out before the shuffle they take no part of it.
+    counts = words.filter(F.length("word") <= LEXICON_CHARS).groupBy("word").agg(F.count("*").alias("n")).filter("n > 2")
     classed = stored(counts.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")), "bpe-words")
     total, least = 0, None
     for row in sorted(classed.groupBy("class").count().collect(), reverse=True):
