@@ -1,7 +1,8 @@
 """Licence recognition by sentences.
 
-A text is cut into units (its lines, and its sentences across line breaks), each unit is normalised, and
-units equal to a known licence sentence get that sentence's identifier. The identifiers in text order are
+A text is cut into units (its lines, its sentences across line breaks, and its sentences within paragraphs,
+where a blank line or a copyright line ends a sentence too), each unit is normalised, and units equal to a
+known licence sentence get that sentence's identifier. The identifiers in text order are
 matched against ordered rules, longer rules first; sentences used by a rule are not used again. What no
 rule explains is reported as ``unknown`` when a known sentence stands alone.
 
@@ -85,11 +86,17 @@ RULES = [
 ANCHORS = "(?i)licen[sc]|permission|redistribut|warrant|copyright|liable|free software"
 LINE_BREAK = r"\n+"
 SENTENCE_BREAK = r"[.!?;:]+[\x20\x09-\x0D]+"
+#: Also lines without a letter or digit (blank, comment marks, rules), and the rest of a copyright line.
+PARAGRAPH_BREAK = (
+    SENTENCE_BREAK
+    + r"|\n[^\p{L}\p{N}]*\n"
+    + r"|(?i:copyright)\x20+(?:\([cC]\)|\x{A9}|[0-9]{4})(?:[^\n.!?;:]|[.!?;:](?![\x20\x09-\x0D])){0,200}\n"
+)
 #: Most other known sentences between two of a rule.
 GAP = 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_UNIT = "array<struct<start:int,end:int,id:string>>"
+_UNIT = "array<struct<start:int,end:int,id:string,at:int,again:boolean>>"
 
 
 def normal(text: Column) -> Column:
@@ -101,8 +108,9 @@ def normal_text(text: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
 
 
-def _known_units(text: Column, separator: str) -> Column:
-    """Known units of the text between separators, with code point offsets."""
+def _known_units(text: Column, separator: str, again: bool = False) -> Column:
+    """Known units of the text between separators, with code point offsets; ``at`` is the first letter or
+    digit, ``again`` marks the units of a cut that gives way to other cuts."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (normal_text(sentence), name)])
 
     def placed(breaks: Column) -> Column:
@@ -111,14 +119,31 @@ def _known_units(text: Column, separator: str) -> Column:
             units,
             lambda unit, i: let(
                 F.when(i == 0, F.lit(0)).otherwise(F.get(breaks, i - 1)["end"]),
-                lambda start: F.struct(start.alias("start"), (start + F.length(unit)).alias("end"), known[normal(unit)].alias("id")),
+                lambda start: F.struct(start.alias("start"), (start + F.length(unit)).alias("end"), known[normal(unit)].alias("id"), unit.alias("unit")),
             ),
         )
-        return F.filter(marked, lambda u: u["id"].isNotNull())
+
+        def begun(u: Column) -> Column:
+            at = u["end"] - F.length(F.regexp_replace(u["unit"], "^[^A-Za-z0-9]+", ""))
+            return F.struct(u["start"].alias("start"), u["end"].alias("end"), u["id"].alias("id"), at.alias("at"), F.lit(again).alias("again"))
+
+        return F.transform(F.filter(marked, lambda u: u["id"].isNotNull()), begun)
 
     return let(spans(text, separator), placed)
 
 
+def _distinct(units: Column) -> Column:
+    """The units without those of the third cut that another cut found at the same first letter."""
+
+    def once(s: Column) -> Column:
+        return F.filter(s, lambda u, i: ~(u["again"] & F.coalesce((u["at"] == F.get(s, i - 1)["at"]) & (u["id"] == F.get(s, i - 1)["id"]), F.lit(False))))
+
+    ordered = F.array_sort(
+        F.transform(units, lambda u: F.struct(*[u[name].alias(name) for name in ("at", "id", "again", "start", "end")]))
+    )
+    return let(ordered, once)
+
+
 def _sequence(units: Column) -> Column:
     """`` id:start:end`` of the units in text order. A line and a sentence at one place are one unit."""
 
@@ -141,8 +166,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """``(doc_id, license, start, end, sentences)``, one row per finding; offsets in code points, end exclusive."""
     text = F.col("text")
     hinted = docs.select("doc_id", "text").filter(text.rlike(ANCHORS))
-    units = F.concat(_known_units(text, LINE_BREAK), _known_units(text, SENTENCE_BREAK))
-    rest = hinted.select("doc_id", units.cast(_UNIT).alias("units")).filter(F.size("units") > 0).select("doc_id", _sequence(F.col("units")).alias("rest0"))
+    units = F.concat(_known_units(text, LINE_BREAK), _known_units(text, SENTENCE_BREAK), _known_units(text, PARAGRAPH_BREAK, again=True))
+    rest = hinted.select("doc_id", units.cast(_UNIT).alias("units")).filter(F.size("units") > 0).select("doc_id", _sequence(_distinct(F.col("units"))).alias("rest0"))
     ordered = sorted(enumerate(RULES), key=lambda r: (-len(r[1][1]), r[0]))
     for i, (_, (_, ids)) in enumerate(ordered):
         rest = rest.withColumns(

@@ -227,6 +227,89 @@ def test_rules_follow_sentence_order(spark):
     assert (whole.start, whole.end) == (0, len(texts[0]))
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """Copyright (C) 2020 Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_wrapped_licence_files_are_found_whole(spark):
+    files = [("MIT", MIT, 4), ("BSD-3-Clause", BSD, 4), ("GPL-3.0-or-later", GPL, 4), ("Apache-2.0", APACHE, 4)]
+    texts = []
+    for name, text, n in files:
+        hashed = "".join(f"# {line}".rstrip() + "\n" for line in text.split("\n"))
+        starred = "/*\n" + "".join(f" * {line}".rstrip() + "\n" for line in text.split("\n")) + " */\ncode();"
+        joined = text.replace("Jane Doe\n\n", "Jane Doe\n")
+        texts += [(name, n, t) for t in (text, hashed, starred, joined, text.replace("\n", "\r\n"))]
+    frame = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    rows = license_scans.scan_licenses(frame).collect()
+    for i, (name, n, text) in enumerate(texts):
+        own = [r for r in rows if r.doc_id == i]
+        assert [(r.license, len(set(r.sentences.split()))) for r in own] == [(name, n)], (text, own)
+
+
 def test_every_known_sentence_holds_an_anchor_and_normalises_alike(spark):
     rows = spark.createDataFrame(list(license_scans.SENTENCES.items()), "id string, s string")
     for row in rows.select("id", "s", license_scans.normal(F.col("s")).alias("n"), F.col("s").rlike(license_scans.ANCHORS).alias("a")).collect():
