@@ -1,8 +1,9 @@
 """URL filters: a list of host and path rules, and association rules mined from labelled URLs.
 
-A URL becomes a small set of tokens (scheme, host and its parts, first directories, file extension, first
-parameter, fragment; never more than one of each kind, so sets stay small). Spark's FP-growth finds
-the token combinations that are frequent among labelled URLs, the label being one more item. Combinations
+A URL becomes a set of tokens (scheme, host and all its labels, all directories, file stem and extension,
+all parameter names, fragment; each in full and once per URL). Spark's FP-growth finds the token
+combinations that are frequent among labelled URLs, the label being one more item; only the support bounds
+them, and a URL of many frequent tokens has many frequent combinations. Combinations
 that predict a label with enough confidence and support are the rules. They are matched by an inverted
 index: each rule is filed under its rarest token, a token set looks up its own tokens there and checks
 the remaining ones. Distinct token sets are matched, not URLs, so hosts with many pages cost nothing extra.
@@ -65,26 +66,40 @@ def listed(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = R
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Sorted set of at most eleven tokens; numbers are alike."""
+    """Sorted set of tokens; numbers are alike.
+
+    ``dir`` is the first directory, ``subdir`` any deeper one; ``label`` is a host label before ``under``.
+    """
 
     def named(kind: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(kind + "="), F.regexp_replace(value, "[0-9]+", "#")))
 
+    def each(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda value: named(kind, value))
+
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
+    directories = F.when(path.endswith("/"), parts).otherwise(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
+    file = F.regexp_extract(path, "([^/]*)$", 1)
+    extension = F.regexp_extract(file, r"\.([A-Za-z0-9]+)$", 1)
     behind = F.coalesce(_rest(url), F.lit(""))
-    every = F.array(
+    parameters = F.split(F.regexp_extract(behind, r"^[^?#]*\?([^#]*)", 1), "&")
+    single = F.array(
         named("scheme", F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]{0,30})://", 1))),
         named("host", host),
         named("tld", F.element_at(labels, -1)),
         named("site", F.when(F.size(labels) > 1, F.get(labels, F.size(labels) - 2))),
         named("under", F.when(F.size(labels) > 2, F.get(labels, F.size(labels) - 3))),
-        named("first", F.when(F.size(labels) > 3, F.get(labels, F.lit(0)))),
-        named("dir", F.when((F.size(parts) > 1) | path.endswith("/"), F.get(parts, F.lit(0)))),
-        named("subdir", F.when((F.size(parts) > 2), F.get(parts, F.lit(1)))),
-        named("ext", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)),
-        named("param", F.regexp_extract(behind, r"\?([^=&#]{1,30})", 1)),
+        named("dir", F.get(directories, F.lit(0))),
+        named("stem", F.when(extension != "", F.regexp_replace(file, r"\.[A-Za-z0-9]+$", "")).otherwise(file)),
+        named("ext", extension),
         named("fragment", F.when(behind.contains("#"), F.lit("yes"))),
     )
+    every = F.concat(
+        single,
+        each("label", F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 3, F.lit(0)))),
+        each("subdir", F.slice(directories, F.lit(2), F.size(directories))),
+        each("param", F.transform(parameters, lambda p: F.regexp_extract(p, "^([^=]*)", 1))),
+    )
     return F.when(url.contains("://"), F.array_sort(F.array_distinct(F.array_compact(every)))).otherwise(F.array().cast("array<string>"))
 
 

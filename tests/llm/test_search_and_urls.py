@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chunkweave.llm.exact_topk import Shard, index_shard, top
 from chunkweave.llm.queries import op2_exact_topk
-from chunkweave.llm.url_filters import RULES, judge, match, mined_rules
+from chunkweave.llm.url_filters import RULES, host_of, judge, match, mined_rules, path_of, tokens_of
 
 
 @pytest.mark.parametrize("spread", [1, 40, 3000, 1 << 40])
@@ -94,3 +95,26 @@ def test_mined_rules_equal_brute_force(spark):
     for row in match(sets, rules).collect():
         fitting = [(c, s, len(p), list(p), v) for (p, v), (c, s) in found.items() if set(p) <= set(row.tokens)]
         assert row.mined.verdict == max(fitting)[4]
+
+
+def test_tokens_cover_the_whole_url(spark):
+    urls = [
+        ("http://a.b.c.x.org/d1/e/ads/deep/banner.jsonld?page=2&ref=x&" + "n" * 40 + "=1&ref=y#top", "label=a label=b subdir=e subdir=ads subdir=deep dir=d# stem=banner ext=jsonld param=page param=ref fragment=yes param=" + "n" * 40),
+        ("http://x.org/a/b/ads/1", "dir=a subdir=b subdir=ads stem=#"),
+        ("http://x.org/a/b/news/", "dir=a subdir=b subdir=news"),
+        ("http://x.org/#a?b=1", "fragment=yes"),
+    ]
+    frame = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "i int, url string")
+    url = F.col("url")
+    found = {r.i: r.t for r in frame.select("i", tokens_of(url, host_of(url), path_of(url)).alias("t")).collect()}
+    for i, (_, expected) in enumerate(urls):
+        own = [t for t in found[i] if t.split("=")[0] in ("label", "dir", "subdir", "stem", "ext", "param", "fragment")]
+        assert sorted(own) == sorted(expected.split()) and len(set(found[i])) == len(found[i])
+
+
+def test_rules_tell_deep_directories_and_later_parameters_apart(spark):
+    rows = [(i, f"http://x.net/es/q/ads/{i}") for i in range(20)] + [(50 + i, f"http://x.com/q/q/news/{i}?page=1&ref=x") for i in range(20)]
+    rows += [(100, "http://y.org/a/b/ads/1"), (101, "http://y.org/a/b/news/1"), (102, "http://y.org/a?ref=1")]
+    found = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (found[100].verdict, found[101].verdict) == ("block", "allow")
+    assert found[100].mined_rule == "subdir=ads" and found[101].mined_rule == "subdir=news" and found[102].mined_rule == "param=ref"
