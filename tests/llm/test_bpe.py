@@ -5,13 +5,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chunkweave.llm import automaton
 from chunkweave.llm.bpe import Encoder, Merger, Vocabulary, decode, encode
 from chunkweave.llm.common import tokenizer_path
 from chunkweave.llm.queries import op3_bpe, op10_token_counts
-from chunkweave.llm.token_counts import count_tokens, stitched
+from chunkweave.llm.token_counts import count_tokens, scan_blocks, stitched
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 PARTS = ["a", "b", " ", "  ", "\n", "é", "the", "ing", "'s", "'ll", "1", "23", "!", "<|endoftext|>", "　", "\xa0", "漢", "😀", "ᲊ", "\U00016ea0", "\x1c", "\x85", "ſ", "'", "\t", "\r\n"]
@@ -113,6 +114,25 @@ def test_blocks_are_stitched(spark, tmp_path):
         assert own == [(n, *e) for n, e in enumerate(expected_counts(ids, 9))]
 
 
+def test_a_file_beyond_two_gigabytes_is_split_over_tasks(spark, tmp_path):
+    size, ends = (1 << 30) + 5000, [0, 1 << 20, (1 << 30) + 7]  # ids; a sparse file of zeros
+    with open(tmp_path / "part-00000 a%20b.bin", "wb") as file:
+        file.truncate(2 * size)
+        for at in ends:
+            file.seek(2 * at)
+            file.write((9).to_bytes(2, "little"))
+    blocks = scan_blocks(spark, str(tmp_path), 9, "<u2", 1 << 20).select("block", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.block for r in blocks) == list(range(1025)) and len({r.task for r in blocks}) > 1
+    rows = sorted((r.doc_no, r.n_tokens, r.ended) for r in count_tokens(spark, str(tmp_path), end_id=9).collect())
+    assert rows == [(0, 0, True), (1, (1 << 20) - 1, True), (2, (1 << 30) + 6 - (1 << 20), True), (3, 4992, False)]
+
+
+def test_ranges_give_the_same_blocks(spark, tmp_path):
+    np.random.default_rng(1).integers(0, 10, 1000).astype("<u2").tofile(tmp_path / "part-0.bin")
+    one, many = (sorted(map(tuple, scan_blocks(spark, str(tmp_path), 9, "<u2", 7, n).collect())) for n in (1000, 3))
+    assert one == many and len(one) == 143
+
+
 def test_a_cut_file_is_an_error(spark, tmp_path):
     (tmp_path / "part-0.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="ends inside an id"):
