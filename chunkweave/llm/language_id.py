@@ -4,6 +4,10 @@ A fixed public vocabulary gives the pieces. For each language, probabilities of
 by expectation maximisation. The probability of a word is the sum over all ways to cut it into pieces
 (forward algorithm); a text's is the product over its words. No decision on a segmentation is ever made.
 
+The score compares the learned languages with one another and says nothing about texts in none of them.
+``with_language`` therefore asks for a least level as well: the logarithm of the text's probability under
+its best language per letter, against what that language's training rows reach.
+
 Words are runs of letters, lower-cased, with a mark for the word start; runs of more than 32 letters are
 scored in parts of 32. Word probabilities are computed once per distinct word and batch for all
 languages together, in numpy; texts of any length are taken in slices.
@@ -40,6 +44,11 @@ UNKNOWN = 1e-9
 SMOOTHING = 0.05
 ROUNDS = 4
 DOCS_PER_LANGUAGE = 1000
+#: The least level of a language: this quantile of its training rows, less a margin, less a slack over the
+#: number of letters (short texts vary more).
+LEVEL_QUANTILE = 0.01
+LEVEL_MARGIN = 1.0
+LEVEL_SLACK = 10.0
 
 _LETTERS = regex.compile(r"\p{L}{1,%d}" % PART)
 _NO_LETTER = regex.compile(r"\P{L}")
@@ -186,8 +195,8 @@ class Scorer:
             self.scores[first + at : first + at + len(part)] = word_scores(part, self.pieces, self.probability)
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Score per text and language, and number of words per text."""
-        totals, n_words = np.zeros((len(texts), self.probability.shape[1])), np.zeros(len(texts), dtype=np.int64)
+        """Score per text and language, and number of letters per text."""
+        totals, n_letters = np.zeros((len(texts), self.probability.shape[1])), np.zeros(len(texts), dtype=np.int64)
         waiting: list[tuple[int, list[str]]] = []
         size = 0
 
@@ -198,7 +207,7 @@ class Scorer:
             self._learn([w for w in new if w not in self.number])
             for i, words in waiting:
                 totals[i] += self.scores[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                n_words[i] += len(words)
+                n_letters[i] += sum(map(len, words))
 
         for i, text in enumerate(texts):
             for part in slices(text):
@@ -208,28 +217,57 @@ class Scorer:
                     settle()
                     waiting, size = [], 0
         settle()
-        return totals, n_words
+        return totals, n_letters
 
 
 def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """The rows whose language is recognised with at least this score; all columns stay as they are."""
-    names = ("_predicted_language", "_predicted_score")
-    found = predict(docs, *learn_from(docs, vocabulary, docs_per_language), keep=docs.columns, names=names)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)
+    """The rows whose language is recognised with at least this score and is likely enough in itself; all
+    columns stay as they are."""
+    names = ("_predicted_language", "_predicted_score", "_predicted_level", "_predicted_letters")
+    learned = learn_from(docs, vocabulary, docs_per_language)
+    least = least_levels(docs, *learned, docs_per_language)
+    found = predict(docs, *learned, keep=docs.columns, names=names)
+    language, score, level, letters = map(F.col, names)
+    recognised = (language != "und") & (score >= min_score)
+    if least:
+        bound = F.create_map(*[F.lit(x) for item in least.items() for x in item])[language] - LEVEL_SLACK / letters
+        recognised &= F.coalesce(level >= bound, F.lit(True))
+    return found.filter(recognised).drop(*names)
+
+
+def least_levels(docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray, docs_per_language: int) -> dict[str, float]:
+    """The least level of each language by the training rows that are recognised as theirs."""
+    if not languages:
+        return {}
+    chosen = sampled(training_rows(docs), docs_per_language)
+    found = predict(chosen, pieces, languages, probability, keep=("lang",), names=("found", "score", "level", "letters"))
+    own = found.filter("letters > 0 AND found = lang").groupBy("lang").agg(F.percentile("level", LEVEL_QUANTILE).alias("low"))
+    return {row["lang"]: row["low"] - LEVEL_MARGIN for row in own.collect()}  # a row per language
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_words(training: DataFrame, docs_per_language: int) -> DataFrame:
-    """``(language, word, n)`` of the sampled rows of ``training(doc_id, text, lang)``."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, lang)`` of the rows that are learned from."""
+    usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return docs.filter(usable).select("doc_id", "text", "lang")
+
+
+def sampled(training: DataFrame, docs_per_language: int) -> DataFrame:
+    """About so many rows of each language, chosen by hash."""
     sizes = training.groupBy("lang").count().collect()  # a row per language, as the model has a column
     if not sizes:
-        return training.select(F.col("lang").alias("language"), F.col("text").alias("word"), F.lit(0).cast("long").alias("n"))
+        return training
     number = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], row["count"])])
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = training.filter(share * number[F.col("lang")] < docs_per_language)
+    return training.filter(share * number[F.col("lang")] < docs_per_language)
+
+
+def training_words(training: DataFrame, docs_per_language: int) -> DataFrame:
+    """``(language, word, n)`` of the sampled rows of ``training(doc_id, text, lang)``."""
+    chosen = sampled(training, docs_per_language)
 
     def count(batches):
         for batch in batches:
@@ -282,7 +320,8 @@ def predict(
     docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray, keep=("doc_id",), names=("lang_pred", "score")
 ) -> DataFrame:
     """The kept columns, the predicted language and its score (``names``): its share of the summed
-    probabilities of all languages."""
+    probabilities of all languages. Two more names ask for the level (logarithm of the text's probability in
+    that language per letter) and the number of letters."""
     wanted = docs.select(F.col("text").alias("_text"), *keep)
     state = docs.sparkSession.sparkContext.broadcast((pieces, languages, probability))
 
@@ -291,7 +330,7 @@ def predict(
         scorer = Scorer(own_pieces, own) if own_languages else None
         for batch in batches:
             rows = batch.num_rows
-            best, score, known = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows, dtype=bool)
+            best, score, level, letters = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows), np.zeros(rows, dtype=np.int64)
             at = 0
             while at < rows and scorer is not None:
                 size, end, texts = 0, at, []
@@ -299,27 +338,28 @@ def predict(
                     texts.append(batch.column(0)[end].as_py() or "")
                     size += len(texts[-1])
                     end += 1
-                totals, n_words = scorer.totals(texts)
+                totals, letters[at:end] = scorer.totals(texts)
+                level[at:end] = totals.max(axis=1) / np.maximum(letters[at:end], 1)
                 share = np.exp(totals - totals.max(axis=1, keepdims=True))
                 best[at:end] = share.argmax(axis=1)
                 score[at:end] = share.max(axis=1) / share.sum(axis=1)
-                known[at:end] = n_words > 0
                 at = end
+            known = letters > 0
             predicted = [own_languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0))],
+                [*batch.columns[1:], *[pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(level), pa.array(letters)][: len(names)]],
                 names=[*keep, *names],
             )
 
-    schema = T.StructType([*wanted.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType())
+    schema = T.StructType([*wanted.schema.fields[1:], *[T.StructField(name, kind) for name, kind in zip(names, kinds, strict=False)]])
     return wanted.mapInArrow(run, schema)
 
 
 def learn_from(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple:
     """Pieces, languages and probabilities, learned from the rows that are not held out."""
-    training = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     pieces = vocabulary_pieces(vocabulary)
-    return pieces, *learn(training.select("doc_id", "text", "lang"), pieces, docs_per_language)
+    return pieces, *learn(training_rows(docs), pieces, docs_per_language)
 
 
 def identify(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:

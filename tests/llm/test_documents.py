@@ -171,6 +171,20 @@ def test_texts_without_letters_and_rows_without_language(spark, edges):
     assert {r.lang_pred for r in L.identify(unlabelled, tokenizer_path("piece_bpe_32k.model")).collect()} == {"und"}
 
 
+def test_other_languages_and_random_letters_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    random.seed(5)
+    strange = [
+        "Kissa istuu pöydällä ja katselee ulos ikkunasta, kun sade alkaa hiljalleen pudota kaupungin kaduille. " * 3,
+        "Кошка сидит на столе и смотрит в окно, пока начинается дождь.",
+        "".join(random.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)),
+        "漢字かな交じり文",
+    ]
+    added = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)] + [(-10, "The cat is in the house.", None)], docs.schema)
+    kept = {r.doc_id for r in L.with_language(docs.unionByName(added), tokenizer_path("piece_bpe_32k.model"), 0.5).collect()}
+    assert kept == {r.doc_id for r in docs.filter("text rlike '\\\\p{L}'").collect()} | {-10}
+
+
 # --- secrets ----------------------------------------------------------------------------------
 
 
