@@ -2,7 +2,8 @@
 
 A long random-looking string or a user name alone is no finding. Parts (access identifiers, user
 identifiers, secrets, endpoints) are intervals of a text; an interval join within scopes
-(paragraphs) reports a weak part only where the parts that complete it lie near.
+(paragraphs) reports a weak part only where the parts that complete it lie near: at most ``reach`` code
+points away, or anywhere in the scope if ``reach`` is None.
 
 Everything is DataFrame code. Only parts travel, never texts.
 
@@ -96,13 +97,16 @@ def parts(based: DataFrame) -> DataFrame:
     return scoped.filter(F.col("kind") != "break")
 
 
-def near(left: DataFrame, right: DataFrame, reach: int, width: int = REACH) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, reach: int | None, width: int = REACH) -> DataFrame:
     """Rows of ``left`` with a row of ``right`` in their scope at most ``reach`` code points away
-    (-1: overlapping it).
+    (-1: overlapping it; None: anywhere).
 
     An interval join on cells of ``width`` code points: the left interval, widened by the reach,
     meets the right one in a cell they share. Existence is asked for, so no pairs come out.
     """
+    if reach is None:
+        b = right.select(F.col("key").alias("other_key"), F.col("scope").alias("other_scope")).distinct()
+        return left.join(b, (F.col("key") == F.col("other_key")) & (F.col("scope") == F.col("other_scope")), "left_semi").distinct()
 
     def cells(start: Column, end: Column) -> Column:
         return F.sequence(F.floor(start / width), F.floor(end / width))
@@ -121,7 +125,7 @@ def near(left: DataFrame, right: DataFrame, reach: int, width: int = REACH) -> D
     return a.join(b, same & close, "left_semi").drop("cell").distinct()
 
 
-def link(found: DataFrame, reach: int = REACH) -> DataFrame:
+def link(found: DataFrame, reach: int | None = REACH) -> DataFrame:
     """Weak parts that their complements confirm.
 
     * ``weak`` (20 characters or more of mixed classes, outside the base spans): near an access
@@ -138,7 +142,7 @@ def link(found: DataFrame, reach: int = REACH) -> DataFrame:
     return confirmed.unionByName(named)
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH, carry: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = REACH, carry: bool = False) -> DataFrame:
     """``(doc_id, assign, access, hex, linked)``: arrays of ``start, end, text`` spans per document,
     ``linked`` with ``kind`` in place of the text. With ``carry``, ``row`` holds the input row."""
     own = [F.struct("*").alias("row")] if carry else []
@@ -163,8 +167,9 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, carry: bool = False) -> Da
     )
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """The same rows with every span of their text replaced by the mask (touching spans by one), and
+def redacted(docs: DataFrame, mask: str = "[SECRET]", reach: int | None = None) -> DataFrame:
+    """The same rows with every span of their text replaced by the mask (touching spans by one; parts are
+    linked over their whole scope unless a reach is given), and
     ``n_chars`` recounted where it is a column and the text was changed."""
 
     def place(m: Column) -> Column:
