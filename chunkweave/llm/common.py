@@ -29,6 +29,21 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str, number: str) -> DataFrame:
+    """``rows`` with the columns of ``by_key``, which has one row per key, none of them null, and says in
+    ``number`` how many rows that key has.
+
+    Keys with more than a thousandth of all rows are fewer than a thousand: they are broadcast, so their
+    rows stay where they are. The others meet in a shuffle. Both inputs are read twice.
+    """
+    total = by_key.agg(F.sum(number)).first()[0] or 0
+    hot = by_key.filter(F.col(number) * 1000 > total).drop(number)
+    cold = by_key.filter(F.col(number) * 1000 <= total).drop(number)
+    spread = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return spread.unionByName(others)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, text>>`` of the leftmost non-overlapping matches, in code points.
 

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import bpe, exact_topk, language_id, license_scans, mixing, ngram_join, quality_rules, secret_scans, sql, token_counts, url_filters
+from chunkweave.llm import (
+    ball_hashing,
+    bpe,
+    exact_topk,
+    language_id,
+    license_scans,
+    mixing,
+    ngram_join,
+    quality_rules,
+    secret_scans,
+    sql,
+    target_resampling,
+    token_counts,
+    url_filters,
+    zone_clusters,
+)
 from chunkweave.llm.common import table, tokenizer_path
 
 
@@ -52,6 +67,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.table_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_hashing.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_zone_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return zone_clusters.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY_RULES),
     "op2_exact_topk": (op2_exact_topk, sql.EXACT_TOPK),
@@ -63,4 +90,7 @@ QUERIES = {
     "op8_secret_scans": (op8_secret_scans, sql.SECRET_SCANS),
     "op9_mixing": (op9_mixing, sql.MIXING),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_simhash": (op11_simhash, None),
+    "op12_zone_clusters": (op12_zone_clusters, sql.ZONE_CLUSTERS),
+    "op13_resampling": (op13_resampling, sql.RESAMPLING),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkweave.llm import license_scans, mixing, quality_rules, secret_scans
+from chunkweave.llm import license_scans, mixing, quality_rules, secret_scans, target_resampling, zone_clusters
 
 
 def _quoted(text: str) -> str:
@@ -250,3 +250,65 @@ FROM ({found})
 
 
 LICENSE_SCANS = _license_scans()
+
+
+def _zone_clusters() -> str:
+    z = zone_clusters
+    rounds = ""
+    for i in range(z.ROUNDS + 1):
+        rounds += f"""
+a{i} AS MATERIALIZED (SELECT rid, k, d FROM (
+        SELECT rid, k, CAST(list_sum(list_transform(list_zip(v.c, z.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i} z)
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)"""
+        if i < z.ROUNDS:
+            rounds += f""",
+m{i} AS (SELECT k, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+         FROM (SELECT k, unnest(c) AS x, unnest(range({z.DIMS})) AS pos FROM a{i} JOIN v USING (rid)) GROUP BY k, pos),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(n.c, o.c) AS c FROM c{i} o
+    LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM m{i} GROUP BY k) n USING (k)),"""
+    last = z.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+                 list_transform(embedding, lambda x: CAST(floor({z.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = {z.DIMS}
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, c) - 1 AS k, c FROM (
+        SELECT sha256('{z.SEED}:' || CAST(vec_id AS VARCHAR)) AS h, c FROM v WHERE vec_id IS NOT NULL ORDER BY h, c LIMIT {z.CLUSTERS})),{rounds}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{last}.c, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (rid) JOIN c{last} USING (k)
+"""
+
+
+ZONE_CLUSTERS = _zone_clusters()
+
+
+def _resampling() -> str:
+    r = target_resampling
+    # CRC-32 byte by byte, with the table of its polynomial worked out by eight shifts for each byte value
+    shifts = "list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END)"
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, {shifts} AS c FROM range(256) g(i))),
+dw AS (SELECT doc_id, rid, unnest(words) AS word FROM (SELECT doc_id, row_number() OVER () AS rid, {words} AS words FROM documents)),
+bw AS (SELECT unnest({words}) AS word FROM benchmark),
+b AS MATERIALIZED (SELECT word, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+          list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS UBIGINT))),
+          lambda a, x: xor(a >> 8, tab[CAST(xor(a, x) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % {r.BUCKETS} AS INTEGER) AS bucket
+      FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)), tab),
+dc AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (word) GROUP BY bucket),
+bc AS (SELECT bucket, count(*) AS n FROM bw JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT i AS bucket, CAST(floor(1000 * ln(CAST(coalesce(bc.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM dc) + {r.BUCKETS} AS DOUBLE)
+          / (CAST(coalesce(dc.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM bc) + {r.BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain
+      FROM range({r.BUCKETS}) x(i) LEFT JOIN dc ON dc.bucket = i LEFT JOIN bc ON bc.bucket = i),
+w AS (SELECT rid, count(*) AS n, sum(gain) AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY rid),
+s AS (SELECT doc_id, coalesce(w.n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{r.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) LEFT JOIN w USING (rid)),
+e AS (SELECT *, n_features >= {r.MIN_WORDS} AND doc_id IS NOT NULL AS eligible FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id, n_features) AS place, sum(CASE WHEN eligible THEN 1 ELSE 0 END) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= {r.DRAW_PERCENT} * n // 100 THEN place END AS rank FROM o
+"""
+
+
+RESAMPLING = _resampling()
