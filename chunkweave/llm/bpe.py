@@ -39,6 +39,7 @@ LEXICON_CHARS = 12
 SLICE = 1 << 20
 BATCH_CHARS = 1 << 20
 CACHED_WORDS = 200_000
+CHECKED_CACHE = 50_000  # where decoding shares the worker
 DECODE_IDS = 1 << 17
 SHORT = 48
 #: Words for counting, close to the exact pattern; a difference only moves the choice of the lexicon.
@@ -157,7 +158,8 @@ class Merger:
 class Encoder:
     """Encodes texts in a task; keeps the ids of words it has met, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: str | None, with_special: bool = True):
+    def __init__(self, vocabulary: Vocabulary, lexicon: str | None, with_special: bool = True, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         self.merger, self.special = Merger(vocabulary), vocabulary.special if with_special else {}
         self.lexicon = Transducer(lexicon) if lexicon else None
         self.plain = regex.compile(vocabulary.pattern)
@@ -205,7 +207,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self.known = {}
         split = [list(self.words(text)) for text in texts]
         new = dict.fromkeys(w for parts in split for part in parts if not isinstance(part, int) for w in part)
@@ -301,6 +303,32 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, keep:
     return wanted.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>"]))
 
 
+def encode_checked(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The kept columns, ``ids array<int>`` of ``text``, and ``round_trip``: whether they decode to the text
+    again. Texts pass through one Python worker once."""
+    spark = docs.sparkSession
+    vocabulary = Vocabulary(path)
+    name = ship_lexicon(spark, vocabulary, frequent_words(docs, lexicon_words))
+    state = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        vocabulary = state.value
+        encoder, token = Encoder(vocabulary, SparkFiles.get(name), cached_words=CHECKED_CACHE), vocabulary.tokens.__getitem__
+        for batch in batches:
+            kept, column = batch.select(list(keep)), batch.column(batch.schema.get_field_index("text"))
+            for start, end, texts in _groups(column):
+                found = [np.frombuffer(ids, dtype=np.int32) for ids in encoder.encode(texts)]
+                same = [b"".join(map(token, ids.tolist())).decode("utf-8", "replace") == text for ids, text in zip(found, texts, strict=True)]
+                offsets = np.zeros(len(found) + 1, dtype=np.int32)
+                np.cumsum([len(x) for x in found], out=offsets[1:])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*kept.slice(start, end - start).columns, ids, pa.array(same)], names=[*keep, "ids", "round_trip"])
+
+    kinds = dict(docs.dtypes)
+    wanted = docs.select(*dict.fromkeys([*keep, "text"]))
+    return wanted.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "round_trip boolean"]))
+
+
 def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
     """The kept columns and ``decoded string`` of ``ids``."""
     state = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).tokens)

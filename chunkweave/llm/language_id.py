@@ -222,17 +222,56 @@ class Scorer:
 
 def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """The rows whose language is recognised with at least this score and is likely enough in itself; all
-    columns stay as they are."""
-    names = ("_predicted_language", "_predicted_score", "_predicted_level", "_predicted_letters")
+    columns stay as they are. Only the texts go to the Python workers, once; the rows stay with Spark."""
     learned = learn_from(docs, vocabulary, docs_per_language)
     least = least_levels(docs, *learned, docs_per_language)
-    found = predict(docs, *learned, keep=docs.columns, names=names)
-    language, score, level, letters = map(F.col, names)
+    state = docs.sparkSession.sparkContext.broadcast(learned)
+
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = TextJudge(*state.value)
+        for column in texts:
+            yield pa.StructArray.from_arrays(scorer.judge(column), names=["language", "score", "level", "letters"])
+
+    name = "_judged"
+    while name in docs.columns:
+        name += "_"
+    judged = F.arrow_udf(judge, "language string, score double, level double, letters long").asNondeterministic()
+    found = docs.withColumn(name, judged("text"))
+    language, score, level, letters = (F.col(f"{name}.{part}") for part in ("language", "score", "level", "letters"))
     recognised = (language != "und") & (score >= min_score)
     if least:
         bound = F.create_map(*[F.lit(x) for item in least.items() for x in item])[language] - LEVEL_SLACK / letters
         recognised &= F.coalesce(level >= bound, F.lit(True))
-    return found.filter(recognised).drop(*names)
+    return found.filter(recognised).drop(name)
+
+
+class TextJudge:
+    """Predicts the languages of texts in a task."""
+
+    def __init__(self, pieces: list[str], languages: list[str], probability: np.ndarray):
+        self.languages = languages
+        self.scorer = Scorer(pieces, probability) if languages else None
+
+    def judge(self, column: pa.Array) -> list[pa.Array]:
+        """Language, score, level and number of letters of each text, in groups of bounded size."""
+        rows = len(column)
+        best, score, level, letters = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows), np.zeros(rows, dtype=np.int64)
+        at = 0
+        while at < rows and self.scorer is not None:
+            size, end, texts = 0, at, []
+            while end < rows and size < BATCH_CHARS:
+                texts.append(column[end].as_py() or "")
+                size += len(texts[-1])
+                end += 1
+            totals, letters[at:end] = self.scorer.totals(texts)
+            level[at:end] = totals.max(axis=1) / np.maximum(letters[at:end], 1)
+            share = np.exp(totals - totals.max(axis=1, keepdims=True))
+            best[at:end] = share.argmax(axis=1)
+            score[at:end] = share.max(axis=1) / share.sum(axis=1)
+            at = end
+        known = letters > 0
+        predicted = [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        return [pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(level), pa.array(letters)]
 
 
 def least_levels(docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray, docs_per_language: int) -> dict[str, float]:
@@ -326,30 +365,10 @@ def predict(
     state = docs.sparkSession.sparkContext.broadcast((pieces, languages, probability))
 
     def run(batches):
-        own_pieces, own_languages, own = state.value
-        scorer = Scorer(own_pieces, own) if own_languages else None
+        judge = TextJudge(*state.value)
         for batch in batches:
-            rows = batch.num_rows
-            best, score, level, letters = np.zeros(rows, dtype=np.int64), np.zeros(rows), np.zeros(rows), np.zeros(rows, dtype=np.int64)
-            at = 0
-            while at < rows and scorer is not None:
-                size, end, texts = 0, at, []
-                while end < rows and size < BATCH_CHARS:
-                    texts.append(batch.column(0)[end].as_py() or "")
-                    size += len(texts[-1])
-                    end += 1
-                totals, letters[at:end] = scorer.totals(texts)
-                level[at:end] = totals.max(axis=1) / np.maximum(letters[at:end], 1)
-                share = np.exp(totals - totals.max(axis=1, keepdims=True))
-                best[at:end] = share.argmax(axis=1)
-                score[at:end] = share.max(axis=1) / share.sum(axis=1)
-                at = end
-            known = letters > 0
-            predicted = [own_languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *[pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(level), pa.array(letters)][: len(names)]],
-                names=[*keep, *names],
-            )
+            found = judge.judge(batch.column(0))[: len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=[*keep, *names])
 
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType())
     schema = T.StructType([*wanted.schema.fields[1:], *[T.StructField(name, kind) for name, kind in zip(names, kinds, strict=False)]])

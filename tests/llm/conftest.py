@@ -48,9 +48,14 @@ def fill(spark, folder, documents: list[tuple], vectors: list[tuple], pages: lis
     write(spark.createDataFrame(vectors, f"vec_id long, embedding array<float>, label int, {EXTRA}"), folder, "embeddings")
     write(spark.createDataFrame(pages, "page_id long, url string, html string, verdict string, tokens string"), folder, "pages")
     write(spark.createDataFrame(labels, "doc_id long, quality int, toxic int, good string"), folder, "labels")
+    write(spark.createDataFrame(edge_targets() if documents else [], "item_id long, text string, weight long, bucket int"), folder, "benchmark")
     return str(folder)
 
 
+def edge_targets() -> list[tuple]:
+    return [(1, prose(60, 9), 1, 1), (2, None, 1, 1), (3, "", 1, 1), (4, "\u00c9t\u00e9 stra\u00dfe THE the", 1, 1), (None, prose(60, 9), 1, 1)]
+
+
 def edge_vectors() -> list[tuple]:
     random.seed(3)
     found = [(i, [random.gauss(0, 1) for _ in range(8)], 0) for i in range(60)]

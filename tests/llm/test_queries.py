@@ -13,12 +13,12 @@ from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 WITH_SQL = sorted(name for name, (_, sql) in QUERIES.items() if sql)
-PER_DOCUMENT = ["op1_quality_rules", "op3_bpe", "op6_ngram_join", "op7_language_id", "op8_secret_scans", "op10_token_counts"]
+PER_DOCUMENT = ["op1_quality_rules", "op3_bpe", "op6_ngram_join", "op7_language_id", "op8_secret_scans", "op10_token_counts", "op11_simhash"]
 
 
 def tables_of(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "labels"):
+    for name in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
     return con
 
