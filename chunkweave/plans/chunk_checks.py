@@ -9,6 +9,7 @@ from chunkweave.functions.text import sha256, split_lines
 from chunkweave.operators import chunkers as C
 from chunkweave.operators import constraints as K
 from chunkweave.operators import enrichment as N
+from chunkweave.operators import long_documents as L
 from chunkweave.operators import packing as P
 from chunkweave.operators import segments as G
 from chunkweave.plans import inputs as In
@@ -89,6 +90,25 @@ def micro_split(spark, folder):
     return _texts(docs, P.micro_split(F.col("text"), target_tokens=60, overlap_tokens=12))
 
 
+def _lines_of(spark, folder, doc: str):
+    """Lines as rows: all documents with one value of ``doc`` are one document, in the order of their ids."""
+    docs = In.table(spark, folder, "documents").select(F.col(doc).cast("string").alias("doc"), "doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "text"))
+    return docs.select("doc", F.struct("doc_id", "at").alias("position"), "text")
+
+
+def _long_parts(parts):
+    return parts.select(F.col("doc").alias("path"), F.col("ord").cast("int").alias("ord"), sha256(F.col("text")).alias("digest"), F.length("text").alias("n_chars"))
+
+
+def long_pack(spark, folder):
+    """The texts of a whole source packed as one document, which is no row anywhere."""
+    return _long_parts(L.pack_long_lines(_lines_of(spark, folder, "source"), target_tokens=400, overlap_tokens=60))
+
+
+def long_split(spark, folder):
+    return _long_parts(L.split_long_lines(_lines_of(spark, folder, "doc_id"), 60))
+
+
 def micro_split_paragraphs(spark, folder):
     rows = In.sources(spark, folder)
     return _texts(rows, P.micro_split(F.col("content"), target_tokens=60, overlap_tokens=0, strategy="paragraphs"))
@@ -562,6 +582,21 @@ QUERIES = {
         {_sql_greedy('counted', 60, 12)}"""
         + PART_OUT,
     ),
+    "long_pack": (
+        long_pack,
+        f"""WITH RECURSIVE units_of AS (
+            SELECT source, doc_id, unnest({In.sql_lines('text')}) AS u, generate_subscripts({In.sql_lines('text')}, 1) AS i FROM documents),
+        kept AS (SELECT source AS path, list({In.sql_rstrip('u')} ORDER BY doc_id, i) AS units FROM units_of WHERE {In.sql_rstrip('u')} <> '' GROUP BY source),
+        counted AS (SELECT path, units, {_tokens_list('units')} AS tokens FROM kept),
+        {_sql_greedy('counted', 400, 60)}"""
+        + PART_OUT,
+    ),
+    "long_split": (
+        long_split,
+        f"""WITH RECURSIVE items AS (SELECT CAST(doc_id AS VARCHAR) AS path, 0 AS i, '' AS id, '' AS lang, text FROM documents), {_sql_split('items', 60)}
+        SELECT path, CAST(part AS INTEGER) AS ord, sha256({In.sql_strip('text')}) AS digest, length({In.sql_strip('text')}) AS n_chars FROM split_items
+        WHERE {In.sql_strip('text')} <> ''""",
+    ),
     "micro_split_paragraphs": (
         micro_split_paragraphs,
         f"""{SRC},

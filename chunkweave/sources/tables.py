@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.functions.text import sha256, split_lines, strip
 from chunkweave.functions.vectors import half_precision
+from chunkweave.session import shared_folder
+
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written once to the shared folder and read from there: neither computed again nor lost
+    with an executor."""
+    folder = new_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
 
 BYTES_PER_CORE = 32 * 1024 * 1024
 
