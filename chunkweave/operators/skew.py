@@ -6,38 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1_000
-SALTS = 64
 
 
-def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys holding more than 1/``share`` of all rows: fewer than ``share`` by construction."""
-    counts = rows.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).scalar()
-    return counts.where((F.col("count") * share > total) & (F.col("count") > 1)).select(
-        *keys, F.lit(True).alias("is_hot")
-    )
-
-
-def salted_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: str | list[str],
-    how: str = "left",
-    share: int = HOT_SHARE,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join many ``rows`` to a ``lookup`` with unique keys; hot keys spread over ``salts`` tasks.
-
-    Only hot keys are copied on the lookup side. The hot-key list has fewer than ``share`` entries,
-    so broadcasting it is safe whatever the data size. ``rows`` is read once more for its key
-    columns: pass a stored table rather than a long plan.
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    total = counts.agg(F.sum("rows_of_key")).scalar()
+    return counts.where((F.col("rows_of_key") * share > total) & (F.col("rows_of_key") > 1)).select(key)
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
+    """Join many ``rows`` to a ``lookup`` with unique keys (``left`` or ``inner``).
+
+    Rows of hot keys stay where they are: the lookup's fewer than ``share`` rows for them are broadcast.
+    The others meet in a merge join, in which a lookup that is stored by hash of the key does not move.
+    ``rows`` is read three times, once for its key column only: pass a stored table.
     """
-    keys = [keys] if isinstance(keys, str) else keys
-    hot = F.broadcast(hot_keys(rows, keys, share))
-    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    # A function of the row, so that a task that runs again deals its rows out as before.
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
-    left = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("is_hot"), spread).otherwise(F.lit(0))).drop("is_hot")
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, keys, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
-    return left.join(right, [*keys, "salt"], how).drop("salt")
+    if how not in ("left", "inner"):
+        raise ValueError(f"a join of kind {how!r} would repeat rows of the lookup")
+    hot = F.broadcast(hot_keys(rows, key, share))
+    spread = rows.join(hot, key, "left_semi").join(F.broadcast(lookup.join(hot, key, "left_semi")), key, how)
+    others = rows.join(hot, key, "left_anti").join(lookup.hint("merge"), key, how)
+    return spread.unionByName(others)

@@ -27,9 +27,10 @@ from chunkweave.operators.enrichment import Enricher
 from chunkweave.operators.packing import ChunkingOptions, TokenCounter
 from chunkweave.operators.segments import explode_segments, segments_by_kind
 from chunkweave.sources import packets as P
-from chunkweave.sources.tables import key_value_text
+from chunkweave.sources.tables import buckets_for, key_value_text, read_by_hash, write_by_hash
 
 FEW_TEXTS = 200_000
+VECTORS = "hash string, vec array<float>"
 
 
 @dataclass(frozen=True)
@@ -154,8 +155,10 @@ def materialize(
 
     kept = cache.join(stored.select("hash").distinct(), "hash", "left_semi")
     vectors = E.normalize_table(E.checked_vectors(fresh, dim), spec.normalization).unionByName(kept)
-    vectors.withColumn("vec", E.half_precision(F.col("vec"))).write.parquet(f"{folder}/vectors")
-    written = spark.read.parquet(f"{folder}/vectors")
+    # Laid out by hash, so that the next build's hashes come to the vectors and not the other way round.
+    layout = {"place": f"{run}/vectors", "key": "hash", "buckets": buckets_for(spark, counts.new_chunks, 4 * dim + 64), "schema": VECTORS}
+    write_by_hash(vectors.withColumn("vec", E.half_precision(F.col("vec"))), f"{folder}/vectors", layout["key"], layout["buckets"])
+    written = read_by_hash(spark, f"{folder}/vectors", VECTORS, layout["key"], layout["buckets"])
     complete = E.unit_check(written).first()
     ext_counts, tags = _extensions(stored, f"{folder}/extensions", spec.fixed_tag)
     manifest = {
@@ -175,6 +178,7 @@ def materialize(
             "extensions": f"{run}/extensions",
             **{name: f"{run}/{place}" for name, place in (extra_files or {}).items()},
         },
+        "layout": {"vectors": layout},
         "counts": {"docs": counts.new_chunks, "vectors": written.count()},
         "source": {"file_ext_counts": ext_counts},
         "package": {"name": spec.name, "version": spec.version, "description": spec.description, "tags": tags},

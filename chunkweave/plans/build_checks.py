@@ -11,9 +11,10 @@ from chunkweave.functions.wordbag import word_bag
 from chunkweave.operators import embedding as E
 from chunkweave.operators import integrity as I
 from chunkweave.operators import windows as W
-from chunkweave.operators.skew import salted_join
+from chunkweave.operators.skew import spread_join
 from chunkweave.plans import inputs as In
 from chunkweave.sources.files import CODE_EXTENSIONS, TEXT_EXTENSIONS, decode_text
+from chunkweave.sources.tables import new_folder, read_by_hash, stored, write_by_hash
 
 WIDTH, OVERLAP, DIM = 12, 3, 32
 ALLOWED = CODE_EXTENSIONS + TEXT_EXTENSIONS
@@ -109,11 +110,18 @@ def cache_first_wins(spark, folder):
     return E.first_by_hash(marked).select("hash", F.col("vec").alias("first_id"))
 
 
+def stored_cache(spark, folder):
+    """The hashes of the earlier build, laid out by hash as a packet's vectors are."""
+    path, buckets = new_folder(spark, "cache"), spark.sparkContext.defaultParallelism
+    write_by_hash(old_chunks(spark, folder).select("hash").distinct(), path, "hash", buckets)
+    return read_by_hash(spark, path, "hash string", "hash", buckets)
+
+
 def cache_reuse(spark, folder):
-    """Every chunk with whether its vector is known; the lookup is salted for hot hashes."""
-    known = old_chunks(spark, folder).select("hash").distinct().withColumn("known", F.lit(True))
-    rows = chunks(spark, folder).select("path", "ord", "hash")
-    return salted_join(rows, known, "hash").select("path", "ord", "hash", F.col("known").isNotNull().alias("reused"))
+    """Every chunk with whether its vector is known. The cache stays as it lies, hot hashes stay too."""
+    known = stored_cache(spark, folder).withColumn("known", F.lit(True))
+    rows = stored(chunks(spark, folder).select("path", "ord", "hash"), "cache-chunks")
+    return spread_join(rows, known, "hash").select("path", "ord", "hash", F.col("known").isNotNull().alias("reused"))
 
 
 def to_embed(spark, folder):

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkweave.sources.tables import read_by_hash
+
 MANIFEST = "manifest.json"
 
 
@@ -64,6 +66,9 @@ def table_of(spark: SparkSession, packet: str, manifest: dict, name: str, schema
         return spark.createDataFrame([], schema)
     if place is None:
         raise ValueError(f"the packet at {packet} has no {name}")
+    layout = (manifest.get("layout") or {}).get(name)
+    if layout is not None and layout["place"] == place:
+        return read_by_hash(spark, f"{packet}/{place}", layout["schema"], layout["key"], layout["buckets"])
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(f"{packet}/{place}")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,35 @@ def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return vectors.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(wrong)))
 
 
+BUCKET_BYTES = 128 * 1024 * 1024
+
+
+def buckets_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
+    """Number of buckets of a table: none larger than ``BUCKET_BYTES``, and work for every core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows * row_bytes // BUCKET_BYTES))
+
+
+def _bucketed_name(path: str) -> str:
+    return f"chunkweave_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write_by_hash(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """``rows`` as files laid out by hash of ``key`` and sorted by it: joins and groupings on the key read
+    them as they lie."""
+    dealt = rows.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(_bucketed_name(path))
+
+
+def read_by_hash(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A table written by ``write_by_hash``, maybe in another session. The files carry their layout in
+    their names; the session's catalogue only learns of it here."""
+    name = _bucketed_name(path)
+    if not spark.catalog.tableExists(name):
+        place = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
 def key_values(lines: DataFrame) -> DataFrame:
     """``(file, line_no, value)`` lines to ``(file, key, value)``; the last line of a key wins.
 

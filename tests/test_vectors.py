@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from chunkweave.functions import vectors as V
 from chunkweave.functions.wordbag import word_bag
 from chunkweave.operators import embedding as E
-from chunkweave.operators.skew import salted_join
+from chunkweave.operators.skew import spread_join
+from chunkweave.plans import build_checks
+from chunkweave.sources import tables as T
 
 
 def test_l2_normalize(value):
@@ -95,11 +97,36 @@ def test_cache_rules():
     assert E.cache_matches({"embedding": {"model": "m"}}, "m", 9, 3, 3)
 
 
-def test_salted_join_equals_plain_join_on_a_hot_key(spark):
-    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)], "i int, k string")
+def test_spread_join_equals_plain_join_on_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 == 7 else "hot" if i % 3 else f"k{i}") for i in range(3000)], "i int, k string")
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
-    plain = {(r.i, r.k, r.v) for r in rows.join(lookup, "k", "left").collect()}
-    salted = salted_join(rows, lookup, "k", salts=8).collect()
-    assert len(salted) == 3000 and {(r.i, r.k, r.v) for r in salted} == plain
-    inner = salted_join(rows, lookup, ["k"], "inner").count()
-    assert inner == sum(1 for i in range(3000) if i % 3 or i == 3)
+    for how in ("left", "inner"):
+        plain = sorted(rows.join(lookup, "k", how).select("i", "k", "v").collect(), key=lambda r: r.i)
+        assert sorted(spread_join(rows, lookup, "k", how).select("i", "k", "v").collect(), key=lambda r: r.i) == plain
+    with pytest.raises(ValueError, match="repeat"):
+        spread_join(rows, lookup, "k", "right")
+
+
+def test_a_cache_laid_out_by_hash_does_not_move(spark, tmp_path):
+    """Neither a join nor a grouping on the hash shuffles the cache; another session finds the layout, too."""
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.array(F.lit(0.5).cast("float")).alias("vec"))
+    path = str(tmp_path / "cache")
+    T.write_by_hash(rows, path, "hash", 6)
+    new = spark.range(4000, 6000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    for session in (spark, spark.newSession()):
+        session.sql(f"DROP TABLE IF EXISTS {T._bucketed_name(path)}")
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            cache = T.read_by_hash(session, path, "hash string, vec array<float>", "hash", 6)
+            found = cache.join(session.createDataFrame(new.collect(), "hash string"), "hash", "left_semi")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 1000
+            assert cache.count() == 5000 and "Exchange hash" not in cache.groupBy("hash").count()._jdf.queryExecution().executedPlan().toString()
+        finally:
+            session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cache_reuse_moves_only_chunks(spark):
+    plan = build_checks.cache_reuse(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "SelectedBucketsCount" in line or "Bucketed: true" in line]
+    assert scans  # the merge join reads the cache as it lies
