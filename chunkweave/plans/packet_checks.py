@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chunkweave.functions.text import sha256
 from chunkweave.functions.wordbag import word_bag
 from chunkweave.operators import catalogue as C
+from chunkweave.operators import merkle as M
 from chunkweave.plans import build as B
 from chunkweave.plans import catalogue_checks as V
 from chunkweave.plans import inputs as In
@@ -70,6 +71,26 @@ def stream_ingest(spark, folder):
     return current_chunks(spark, out).join(vectors, "hash", "left").select("path", "ord", "hash", "vectors")
 
 
+def _tree(files):
+    return files.select(F.col("source").alias("tree"), "path", sha256(F.col("content")).alias("digest"))
+
+
+def tree_nodes(spark, folder):
+    """All nodes of the stored fingerprint trees of the sources."""
+    root = _folder(spark, "nodes")
+    M.write_tree(_tree(In.sources(spark, folder)), root)
+    return spark.read.schema(M.NODES).parquet(f"{root}/nodes").select("tree", "prefix", "n_files", "digest")
+
+
+def tree_drift(spark, folder):
+    """Stored trees of the earlier build and of now, where scripts have gone missing, compared from the roots down."""
+    before, after = _folder(spark, "tree-before"), _folder(spark, "tree-after")
+    now = In.sources(spark, folder)
+    M.write_tree(_tree(In.earlier(now)), before)
+    M.write_tree(_tree(now.where(F.col("ext") != ".sh")), after)
+    return M.tree_drift(spark, before, after)
+
+
 def catalogue_store(spark, folder):
     """A stored catalogue: later versions are published into the earlier ones, one version of each package
     is made active, old versions are pruned; then the tables are read back."""
@@ -86,7 +107,27 @@ def catalogue_store(spark, folder):
     return P.read_table(spark, root, "versions").select("name", "version").distinct().join(P.read_table(spark, root, "pins"), "name", "left")
 
 
+LANE_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(line, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(M.LANES))
+UPPER = ", ".join(
+    f"""n{d} AS (SELECT tree, substr(prefix, 1, {d}) AS prefix, CAST(sum(n_files) AS BIGINT) AS n_files,
+        sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM n{d + 1} GROUP BY ALL)"""
+    for d in range(M.DEPTH - 1, -1, -1)
+)
+
 QUERIES = {
+    "tree_nodes": (
+        tree_nodes,
+        f"""WITH {In.SOURCES}, lines AS (SELECT source AS tree, substr(sha256(path), 1, {M.DEPTH}) AS prefix, sha256(path || ':' || sha256(content)) AS line FROM sources),
+        n{M.DEPTH} AS (SELECT tree, prefix, count(*) AS n_files, sha256(concat_ws(':', count(*), {LANE_SUMS})) AS digest FROM lines GROUP BY tree, prefix),
+        {UPPER} {" UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(M.DEPTH + 1))}""",
+    ),
+    "tree_drift": (
+        tree_drift,
+        f"""WITH {In.SOURCES}, {In.EARLIER}
+        SELECT e.source AS tree, e.path, sha256(e.content) AS expected, CASE WHEN e.ext <> '.sh' THEN sha256(s.content) END AS actual,
+               CASE WHEN e.ext = '.sh' THEN 'missing' ELSE 'mismatch' END AS problem
+        FROM earlier e JOIN sources s USING (path) WHERE e.ext = '.sh' OR e.content <> s.content""",
+    ),
     "catalogue_store": (
         catalogue_store,
         VERSIONS
