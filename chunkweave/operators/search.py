@@ -9,7 +9,6 @@ rows per query and task, whatever the number of vectors. More queries are more p
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -20,13 +19,16 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.arrays import rows_of
 from chunkweave.functions.text import display_line, let, split_words
-from chunkweave.session import shared_folder
+from chunkweave.sources.tables import new_folder, stored
 
 #: Digits of a score as shown, and as compared: few enough for the order of summation not to matter.
 SCORE_DIGITS = 6
 RANK_DIGITS = 10
 QUERY_BYTES = 16 * 1024 * 1024
 BROADCAST_HITS = 100_000
+#: So many hits are looked up by a filter; and so many values of a list Parquet compares one by one.
+FILTERED_HITS = 1_000
+PUSHED_VALUES = 10
 
 
 class _Best:
@@ -119,13 +121,11 @@ def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[pd.DataFrame
         yield first
         return
     # Written once: a block must not compute the queries again.
-    folder = f"{shared_folder(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
-    queries.write.parquet(folder)
-    stored = queries.sparkSession.read.schema(queries.schema).parquet(folder)
-    blocks = math.ceil(stored.count() / size)
+    written = stored(queries, "queries")
+    blocks = math.ceil(written.count() / size)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     for number in range(blocks):
-        own = stored.where(block == number).toPandas()
+        own = written.where(block == number).toPandas()
         if len(own):
             yield own
 
@@ -166,18 +166,47 @@ def top_k_bounded(
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields + queries.schema.fields}
     schema = f"query_id {types['query_id']}, {key} {types[key]}, score double, rank_score double"
 
-    found, asked = [], 0
+    spark, folder, waiting, asked = vectors.sparkSession, None, None, 0
     for block in _query_blocks(queries, query_bytes):
         asked += len(block)
-        found.append(_partial_broadcast(vectors, block, k, key, packet, schema))
-    if not found:
+        if waiting is not None:  # more than one block: each is written before the next one is sent out
+            folder = folder or new_folder(spark, "hits")
+            waiting.write.mode("append").parquet(folder)
+        waiting = _partial_broadcast(vectors, block, k, key, packet, schema)
+    if waiting is None:
         empty = f"query_id {types['query_id']}, rank int, {key} {types[key]}, score double, rank_score double"
-        return vectors.sparkSession.createDataFrame([], empty), True
+        return spark.createDataFrame([], empty), True
+    if folder is not None:
+        waiting.write.mode("append").parquet(folder)
+        waiting = spark.read.schema(schema).parquet(folder)
     order = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), key)
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score", "rank_score"), asked * k <= BROADCAST_HITS
 
 
+def any_of(column: str, values: list) -> Column:
+    """Whether the column has one of the values, in lists short enough for Parquet to skip row groups by."""
+    parts = [F.col(column).isin(values[at : at + PUSHED_VALUES]) for at in range(0, len(values), PUSHED_VALUES)]
+    return reduce(Column.__or__, parts, F.lit(False)) if parts else F.lit(False)
+
+
+def packet_hits(hash_hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """As ``chunk_hits`` on stored hits and a stored chunk table in order of its hashes.
+
+    The hashes of few hits become a filter that skips files and row groups, and no text is shuffled;
+    hits that may be broadcast leave all texts in place, too. For more, chunks are chosen by their narrow
+    columns first, and texts are fetched once for those chosen.
+    """
+    rows = hash_hits.count()
+    if rows <= FILTERED_HITS:
+        wanted = sorted(r.hash for r in hash_hits.select("hash").distinct().collect())
+        return chunk_hits(hash_hits, chunks.where(any_of("hash", wanted)), k, True)
+    if rows <= BROADCAST_HITS:
+        return chunk_hits(hash_hits, chunks, k, True)
+    chosen = stored(chunk_hits(hash_hits, chunks.select("hash", "chunk_id"), k, False), "chosen-hits")
+    return chosen.join(chunks, ["hash", "chunk_id"])
+
+
 def chunk_hits(hash_hits: DataFrame, chunks: DataFrame, k: int, few: bool) -> DataFrame:
     """Hits on distinct texts to hits on chunks, ``k`` per query.
 

@@ -28,6 +28,7 @@ from chunkweave.operators.packing import ChunkingOptions, TokenCounter
 from chunkweave.operators.segments import explode_segments, segments_by_kind
 from chunkweave.sources import packets as P
 from chunkweave.sources.tables import buckets_for, key_value_text, read_by_hash, write_by_hash
+from chunkweave.sources.tables import stored as stored_once
 
 FEW_TEXTS = 200_000
 VECTORS = "hash string, vec array<float>"
@@ -93,6 +94,14 @@ def usable_cache(spark: SparkSession, packet: str, spec: PacketSpec) -> DataFram
     return vectors
 
 
+def write_in_hash_order(chunks: DataFrame, folder: str) -> None:
+    """Chunks so that a few hashes are found in few files and row groups. Rows are dealt by the leading
+    digits of the hash; Spark joins small parts and splits large ones, so a text copied often fills more
+    than one."""
+    dealt = chunks.withColumn("part_", F.substring("hash", 1, 2)).hint("rebalance", F.col("part_"))
+    dealt.sortWithinPartitions("hash").drop("part_").write.parquet(folder)
+
+
 def _dim_of(vectors: DataFrame) -> int | None:
     shape = E.vector_shape(vectors).first()
     return shape.max_dim if shape.vectors and shape.min_dim == shape.max_dim else None
@@ -128,7 +137,7 @@ def materialize(
     spark = chunks.sparkSession
     run = run or P.new_run(out)
     folder = f"{out}/{run}"
-    chunks.write.parquet(f"{folder}/chunks")
+    write_in_hash_order(chunks, f"{folder}/chunks")
     stored = spark.read.parquet(f"{folder}/chunks")
     nothing = spark.createDataFrame([], "hash string, vec array<float>")
     found = usable_cache(spark, previous, spec) if previous else None
@@ -349,7 +358,8 @@ def query_packet(
     asked = E.embed_texts(queries, embedder, key="query_id").withColumn(
         "vec", F.when(F.size("vec") == known["dim"], F.col("vec")).otherwise(F.raise_error(wrong))
     )
-    by_hash = search(P.table_of(spark, packet, manifest, "vectors"), asked, wanted)
-    hits = S.normalize_hits(S.chunk_hits(by_hash, P.table_of(spark, packet, manifest, "docs"), wanted, False))
+    # The embedder may be a paid service, and the hits are used more than once: both are stored first.
+    by_hash = stored_once(search(P.table_of(spark, packet, manifest, "vectors"), stored_once(asked, "asked"), wanted), "hash-hits")
+    hits = S.normalize_hits(S.packet_hits(by_hash, P.table_of(spark, packet, manifest, "docs"), wanted))
     ranked = rerank(hits, k)
     return S.filter_metadata(ranked, metadata) if metadata else ranked

@@ -14,7 +14,9 @@ from chunkweave.plans import build as B
 from chunkweave.plans import catalogue_checks as V
 from chunkweave.plans import inputs as In
 from chunkweave.plans.build_checks import BOTH, CHUNKED, OVERLAP, WIDTH, files
+from chunkweave.plans.build_checks import DIM as SEARCH_DIM
 from chunkweave.plans.catalogue_checks import VERSIONS
+from chunkweave.plans.search_checks import HITS, K
 from chunkweave.session import shared_folder
 from chunkweave.sources import packets as P
 from chunkweave.sources.files import scan_files
@@ -48,6 +50,14 @@ def packet_reembed(spark, folder):
     return P.packet_table(spark, packet, "vectors").select("hash", F.size("vec").alias("dim"))
 
 
+def packet_query(spark, folder):
+    """The benchmark's texts asked of a packet that was built from the files."""
+    packet = _folder(spark, "packet")
+    B.build_packet(files(spark, folder), packet, SPEC, word_bag(SEARCH_DIM))
+    items = In.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return B.query_packet(spark, packet, items, word_bag(SEARCH_DIM), K).select("query_id", "rank", "chunk_id", "score")
+
+
 def tree_scan(spark, folder):
     """Documents written as text files, a folder per source, and the tree scanned."""
     root = _folder(spark, "tree")
@@ -143,6 +153,7 @@ QUERIES = {
         packet_rebuild,
         BOTH + "SELECT path, ord, hash, true AS complete, hash IN (SELECT hash FROM old_chunks) AS reused FROM chunks",
     ),
+    "packet_query": (packet_query, HITS + "SELECT query_id, rank, chunk_id, score FROM hits"),
     "packet_reembed": (packet_reembed, CHUNKED + f"SELECT DISTINCT hash, {OTHER_DIM} AS dim FROM chunks"),
     "tree_scan": (
         tree_scan,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from chunkweave.functions.wordbag import word_bag
+from chunkweave.operators import search
 from chunkweave.operators.packing import ChunkingOptions
 from chunkweave.plans import build as B
 from chunkweave.sources import files as S
@@ -16,6 +18,10 @@ from chunkweave.sources import tables as T
 from chunkweave.streaming.incremental import current_chunks, ingest_stream
 
 
+def as_set(frame):
+    return {tuple(r) for r in frame.collect()}
+
+
 def table(spark, folder, packet, name):
     return P.packet_table(spark, str(folder / packet), name)
 
@@ -283,3 +289,36 @@ def test_the_token_counter_of_a_build(spark, tmp_path):
     by_words = B.build_packet(source, str(tmp_path / "w"), SPEC, word_bag(4), options=sizes)
     by_letters = B.build_packet(source, str(tmp_path / "l"), SPEC, word_bag(4), options=sizes, count=F.length)
     assert by_words["counts"]["docs"] == 1 < by_letters["counts"]["docs"]
+
+
+def test_queries_are_embedded_once_and_hits_are_fetched_by_filter(spark, tree, tmp_path, monkeypatch):
+    packet, asked = str(tmp_path / "p"), tmp_path / "asked"
+    asked.mkdir()
+    B.build_packet(S.read_sources(spark, tree), packet, SPEC, word_bag(16))
+    bag = word_bag(16)
+
+    def counted(texts):
+        for text in texts:
+            (asked / uuid.uuid4().hex).write_text(text)
+        return bag(texts)
+
+    texts = [f"sample project {i}" for i in range(10)]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    expected = None
+    limits = [(1_000, 100_000), (0, 100_000), (0, 0)]  # by filter, by broadcast, in two steps
+    for filtered, broadcast in limits:
+        monkeypatch.setattr(search, "FILTERED_HITS", filtered)
+        monkeypatch.setattr(search, "BROADCAST_HITS", broadcast)
+        found = B.query_packet(spark, packet, queries, counted, 3)
+        rows = as_set(found.select("query_id", "rank", "chunk_id", "score", "text"))
+        assert len(rows) == 30 and rows == (expected := expected or rows)
+        if filtered:
+            assert "In(hash" in found._jdf.queryExecution().executedPlan().toString().split("PushedFilters", 1)[1]
+    assert sorted(p.read_text() for p in asked.iterdir()) == sorted(texts * len(limits))
+
+
+def test_many_query_blocks_equal_one(spark):
+    vectors = spark.range(300).select(F.col("id").alias("chunk_id"), F.array(*[F.sin(F.col("id") * i).cast("float") for i in range(1, 9)]).alias("vec"))
+    queries = vectors.select(F.col("chunk_id").alias("query_id"), "vec")
+    one = search.top_k(vectors, queries, 4)
+    assert as_set(search.top_k(vectors, queries, 4, query_bytes=40 * 8 * 8)) == as_set(one) and one.count() == 1200
