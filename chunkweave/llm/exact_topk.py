@@ -12,8 +12,8 @@ each sent to all tasks; a task keeps k rows per query over all its shards, so wh
 queries x tasks x k. Vectors stay where they are.
 
 Defined results: rows with a null id, and vectors that are null or hold a null or non-finite component,
-take no part; of several vectors of one id the least takes part; shorter vectors count as filled up with
-zeros; equal scores go to the smaller id; scores beyond 64 bits saturate. Other columns are ignored.
+take no part; several vectors of one id are candidates each, and as queries share one list of hits; no
+vector of the query's own id is a hit; shorter vectors count as filled up with zeros; equal scores go to the smaller id; scores beyond 64 bits saturate. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def usable(embedding: Column) -> Column:
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """``(vec_id, v)`` of the rows that take part."""
     valid = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    return valid.select("vec_id", scaled(F.col("embedding")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return valid.select("vec_id", scaled(F.col("embedding")).alias("v"))
 
 
 def _matrix(rows: list[np.ndarray]) -> np.ndarray:
@@ -90,13 +90,14 @@ def index_shard(shard: int, ids: np.ndarray, matrix: np.ndarray) -> dict:
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """The stored index of ``vectors(vec_id, v)``, one row per shard."""
+    """The stored index of ``vectors(vec_id, v)``, a stored table, one row per shard."""
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([index_shard(int(group["shard"].iloc[0]), group["vec_id"].to_numpy(), _matrix(list(group["v"])))])
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # By the place of a stored row, so that many rows of one id or one vector are dealt out as well.
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     return stored(dealt.groupBy("shard").applyInPandas(build, _SHARD), "topk-index")
 
 
@@ -200,7 +201,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     index = build_index(integers)
     queries = integers.filter(is_query)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    dealt = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int")), "topk-queries")
+    dealt = stored(queries.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "topk-queries")
     folder = new_folder(spark, "topk-hits")
     for block in range(blocks):
         own = [(r.vec_id, r.v) for r in dealt.filter(F.col("block") == block).select("vec_id", "v").collect()]

@@ -2,8 +2,8 @@
 
 A long random-looking string or a user name alone is no finding. Parts (access identifiers, user
 identifiers, secrets, endpoints) are intervals of a text; an interval join within scopes
-(paragraphs) reports a weak part only where the parts that complete it lie near: at most ``reach`` code
-points away, or anywhere in the scope if ``reach`` is None.
+(paragraphs) reports a weak part only where the parts that complete it stand in its scope, or, if a
+``reach`` is given, at most so many code points away there.
 
 Everything is DataFrame code. Only parts travel, never texts.
 
@@ -37,7 +37,7 @@ WEAK = r"[A-Za-z0-9+/=_-]{20,}"
 ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x00-\x20"'<>]+"""
 SCOPE_BREAK = r"\n[\x20\t\r]*\n"
 
-REACH = 200
+CELL = 200  # code points; how finely intervals are cut for the join
 
 
 def _found(text: Column, pattern: str, condition: Column | None = None) -> Column:
@@ -97,7 +97,7 @@ def parts(based: DataFrame) -> DataFrame:
     return scoped.filter(F.col("kind") != "break")
 
 
-def near(left: DataFrame, right: DataFrame, reach: int | None, width: int = REACH) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, reach: int | None, width: int = CELL) -> DataFrame:
     """Rows of ``left`` with a row of ``right`` in their scope at most ``reach`` code points away
     (-1: overlapping it; None: anywhere).
 
@@ -125,7 +125,7 @@ def near(left: DataFrame, right: DataFrame, reach: int | None, width: int = REAC
     return a.join(b, same & close, "left_semi").drop("cell").distinct()
 
 
-def link(found: DataFrame, reach: int | None = REACH) -> DataFrame:
+def link(found: DataFrame, reach: int | None = None) -> DataFrame:
     """Weak parts that their complements confirm.
 
     * ``weak`` (20 characters or more of mixed classes, outside the base spans): near an access
@@ -142,7 +142,7 @@ def link(found: DataFrame, reach: int | None = REACH) -> DataFrame:
     return confirmed.unionByName(named)
 
 
-def scan_secrets(docs: DataFrame, reach: int | None = REACH, carry: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None, carry: bool = False) -> DataFrame:
     """``(doc_id, assign, access, hex, linked)``: arrays of ``start, end, text`` spans per document,
     ``linked`` with ``kind`` in place of the text. With ``carry``, ``row`` holds the input row."""
     own = [F.struct("*").alias("row")] if carry else []

@@ -47,23 +47,25 @@ def _secret_scans() -> str:
         f"(SELECT doc_id, unnest({_spans(pattern)}) AS m FROM d WHERE regexp_matches(body, {_quoted(pattern)})) WHERE {keep}"
         for number, (kind, (pattern, keep)) in enumerate(found.items(), 1)
     )
-    reach = secret_scans.REACH
 
-    def close(a: str, b: str, within: int) -> str:
-        return f"{a}.doc_id = {b}.doc_id AND {a}.scope = {b}.scope AND {b}.s - {a}.e <= {within} AND {a}.s - {b}.e <= {within}"
+    def scoped(a: str, b: str) -> str:
+        return f"{a}.doc_id = {b}.doc_id AND {a}.scope = {b}.scope"
+
+    def overlapping(a: str, b: str) -> str:
+        return f"{scoped(a, b)} AND {b}.s < {a}.e AND {a}.s < {b}.e"
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 p AS ({parts}),
 q AS (SELECT *, sum(CASE WHEN kind = 'break' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS scope FROM p),
 free AS (SELECT * FROM q w WHERE kind = 'weak' AND NOT EXISTS (
-    SELECT 1 FROM q b WHERE b.kind IN ('assign', 'access', 'hex') AND {close('w', 'b', -1)})),
+    SELECT 1 FROM q b WHERE b.kind IN ('assign', 'access', 'hex') AND {overlapping('w', 'b')})),
 placed AS (SELECT * FROM q i WHERE kind = 'ident' AND EXISTS (
-    SELECT 1 FROM q o WHERE o.kind = 'endpoint' AND {close('i', 'o', reach)})),
+    SELECT 1 FROM q o WHERE o.kind = 'endpoint' AND {scoped('i', 'o')})),
 confirmed AS (SELECT * FROM free w WHERE EXISTS (
-    SELECT 1 FROM (SELECT * FROM q WHERE kind = 'access' UNION ALL SELECT * FROM placed) o WHERE {close('w', 'o', reach)})),
+    SELECT 1 FROM (SELECT * FROM q WHERE kind = 'access' UNION ALL SELECT * FROM placed) o WHERE {scoped('w', 'o')})),
 named AS (SELECT * FROM placed i WHERE EXISTS (
-    SELECT 1 FROM (SELECT * FROM q WHERE kind IN ('assign', 'hex') UNION ALL SELECT * FROM free) o WHERE {close('i', 'o', reach)})),
+    SELECT 1 FROM (SELECT * FROM q WHERE kind IN ('assign', 'hex') UNION ALL SELECT * FROM free) o WHERE {scoped('i', 'o')})),
 kept AS (SELECT *, kind || ':' || s || ':' || e AS label FROM q WHERE kind IN ('assign', 'access', 'hex')
          UNION ALL SELECT *, kind || ':' || s || ':' || e FROM confirmed
          UNION ALL SELECT *, kind || ':' || s || ':' || e FROM named),

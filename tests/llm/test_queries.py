@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
 from chunkweave.llm.queries import QUERIES
+from tests.llm.conftest import EXTRA_VALUES, edge_documents, edge_pages, fill
 from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,3 +58,15 @@ def test_repeated_rows_and_missing_ids(spark, repeated, name):
 @pytest.mark.parametrize("name", ["op2_exact_topk", "op4_url_filters", "op5_license_scans", "op9_mixing"])
 def test_other_queries_on_repeated_rows(spark, repeated, name):
     assert QUERIES[name][0](spark, repeated).count() > 0
+
+
+def test_search_and_clusters_of_repeated_rows_equal_sql(spark, tmp_path):
+    """Rows given twice and different vectors under one id: every row counts."""
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], 0, *EXTRA_VALUES) for i in range(0, 600, 5)]
+    rows += rows[:25] + [(5 * i, [rng.gauss(0, 1) for _ in range(64)], 1, *EXTRA_VALUES) for i in range(40)] + [rows[3]] * 60
+    folder = fill(spark, tmp_path, edge_documents()[:2], rows, edge_pages()[:2], [])
+    for name in ("op2_exact_topk", "op12_zone_clusters"):
+        query, sql = QUERIES[name]
+        result = compare(spark, tables_of(folder), name, query, sql, folder)
+        assert result.startswith("ok"), result
