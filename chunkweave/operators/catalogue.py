@@ -156,10 +156,11 @@ def publish(current: DataFrame, incoming: DataFrame, overwrite: bool = False) ->
     """Outcome per incoming version: ``created``, ``replaced``, ``conflict``, ``empty`` or ``repeated``.
 
     A conflict is any existing row of the same name and version, yanked or not. Of several incoming
-    rows for one version the first counts.
+    rows for one version the first that is not empty counts; an empty one is refused and changes nothing.
     """
     known = current.select("name", "version").distinct().withColumn("exists", F.lit(True))
-    first = incoming.groupBy("name", "version").agg(F.min("upload_id").alias("first_id"))
+    filled = F.when(F.coalesce(F.col("size_bytes") != 0, F.lit(True)), F.col("upload_id"))
+    first = incoming.groupBy("name", "version").agg(F.min(filled).alias("first_id"))
     marked = incoming.join(first.join(known, ["name", "version"], "left"), ["name", "version"])
     return marked.withColumn(
         "outcome",

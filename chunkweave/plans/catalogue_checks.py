@@ -416,7 +416,7 @@ QUERIES = {
         publish_outcome,
         VERSIONS
         + """, old AS (SELECT DISTINCT name, version FROM versions WHERE published_at < TIMESTAMP '1998-01-01'),
-        incoming AS (SELECT *, min(id) OVER (PARTITION BY name, version) AS first_id FROM versions WHERE published_at >= TIMESTAMP '1998-01-01')
+        incoming AS (SELECT *, min(CASE WHEN size_bytes <> 0 THEN id END) OVER (PARTITION BY name, version) AS first_id FROM versions WHERE published_at >= TIMESTAMP '1998-01-01')
         SELECT id AS upload_id, i.name, i.version, CASE WHEN size_bytes = 0 THEN 'empty' WHEN id <> first_id THEN 'repeated'
             WHEN o.name IS NOT NULL THEN 'conflict' ELSE 'created' END AS outcome FROM incoming i LEFT JOIN old o ON o.name = i.name AND o.version = i.version""",
     ),

@@ -142,8 +142,7 @@ QUERIES = {
         catalogue_store,
         VERSIONS
         + """, old AS (SELECT DISTINCT name, version FROM versions WHERE published_at < TIMESTAMP '1998-01-01'),
-        later AS (SELECT name, version FROM versions WHERE published_at >= TIMESTAMP '1998-01-01'
-                  GROUP BY name, version HAVING arg_min(size_bytes, id) > 0),
+        later AS (SELECT DISTINCT name, version FROM versions WHERE published_at >= TIMESTAMP '1998-01-01' AND size_bytes > 0),
         listed AS (SELECT k.* FROM known k JOIN (SELECT * FROM old UNION SELECT * FROM later) USING (name, version)),
         newest AS (SELECT name, arg_max(version, vkey) AS version FROM listed GROUP BY name),
         held AS (SELECT p.name, p.pinned, coalesce(n.version, p.active) AS active FROM pins p LEFT JOIN newest n USING (name))

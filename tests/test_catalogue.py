@@ -152,3 +152,10 @@ def test_publishing_and_use_through_stored_tables(spark, tmp_path):
     specs = spark.createDataFrame([("a@1.0",), ("b",), ("c@1",), ("b@9",)], "spec string")
     P.replace_table(C.use(pins, specs, P.read_table(spark, root, "versions")), root, "pins")
     assert {tuple(r) for r in P.read_table(spark, root, "pins").collect()} == {("a", None, "1.0"), ("b", None, "1.0")}
+
+
+def test_an_empty_first_upload_does_not_use_up_the_version(spark):
+    current = spark.createDataFrame([("a", "1.0")], "name string, version string")
+    rows = [(1, "a", "2.0", 0), (2, "a", "2.0", 5), (3, "a", "2.0", 7), (4, "a", "1.0", 3), (5, "b", "1.0", 0), (6, "c", "1.0", None)]
+    found = C.publish(current, spark.createDataFrame(rows, "upload_id int, name string, version string, size_bytes int"))
+    assert {r.upload_id: r.outcome for r in found.collect()} == {1: "empty", 2: "created", 3: "repeated", 4: "conflict", 5: "empty", 6: "created"}
