@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -85,3 +86,9 @@ def test_hostile_tables(spark, request, which):
         docs = stored(stage(spark, docs, folder), name)
         assert docs.columns == columns
     assert stored(corpus_pipeline.STAGES[-1][1](spark, docs, folder), "bpe").count() == docs.count()
+
+
+def test_language_stage_with_columns_named_as_its_own(spark, steps):
+    docs = steps[0].withColumn("_judged", F.lit(1)).withColumn("_judged_", F.lit("x"))
+    found = corpus_pipeline.STAGES[0][1](spark, docs, FOLDER)
+    assert found.columns == docs.columns and found.where("_judged = 1 AND _judged_ = 'x'").count() == steps[1].count()
