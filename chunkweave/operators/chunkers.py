@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chunkweave.functions.arrays import first_of_each
 from chunkweave.functions.text import is_blank, let, split_lines, word_count
 from chunkweave.operators.packing import ChunkingOptions, TokenCounter, micro_split, pack_blocks, paragraphs
-from chunkweave.operators.segments import brace_sections, code_segments, file_header, heading_sections
+from chunkweave.operators.segments import CODE_LEAD, brace_sections, code_segments, file_header, heading_sections, is_header_line
 
 BLOCK_META = (
     "struct<kind:string,level:string,parent_id:string,child_index:int,symbol:string,"
@@ -123,7 +123,8 @@ def line_chunker(path: Column, content: Column, options: ChunkingOptions) -> Col
 def symbol_chunker(language: str, separator: str = "\n\n") -> Chunker:
     """Definitions as symbols, with a preamble chunk and the header repeated before children.
 
-    Segments come from line patterns. Files without any definition fall back to line blocks.
+    Segments come from line patterns. Lines above the first definition are a section of their own, unless the
+    preamble holds all of them. Files without any definition fall back to line blocks.
     """
 
     def chunker(path: Column, content: Column, options: ChunkingOptions) -> Column:
@@ -133,9 +134,15 @@ def symbol_chunker(language: str, separator: str = "\n\n") -> Chunker:
             parent = F.concat_ws(":", path, F.lit(language), s["kind"], symbol, lines)
             return _section(s["text"], parent, s["symbol"], s["start_line"], s["end_line"])
 
+        def told(s: Column) -> Column:
+            """Whether the preamble says all that the lead does."""
+            short = (s["kind"] == CODE_LEAD) & (F.length(s["text"]) <= options.max_header_chars)
+            return short & F.forall(split_lines(s["text"]), lambda line: is_blank(line) | is_header_line(line))
+
         def build(segments: Column) -> Column:
+            shown = F.filter(segments, lambda s: ~told(s)) if options.include_source_preamble else segments
             symbols = _sectioned(
-                F.transform(segments, section),
+                F.transform(shown, section),
                 split=options.micro_split_strategy,
                 kinds=("symbol", "symbol_child"),
                 chunker=language,
@@ -143,7 +150,7 @@ def symbol_chunker(language: str, separator: str = "\n\n") -> Chunker:
                 header=file_header(content, options.max_header_chars) if options.include_source_preamble else None,
                 separator=separator,
             )
-            known = F.coalesce(F.get(segments, F.lit(0))["kind"], F.lit("")) == "code_symbol"
+            known = F.coalesce(F.get(segments, F.lit(0))["kind"], F.lit("")).isin("code_symbol", CODE_LEAD)
             return F.when(known, symbols).otherwise(line_chunker(path, content, options))
 
         return let(code_segments(path, content), build)

@@ -28,6 +28,8 @@ JAVA_METHOD = (
 TYPE_WORDS = ("class ", "interface ", "enum ", "record ", "@interface ")
 CODE_BRACE_LINES = 40
 JAVA_BRACE_LINES = 30
+#: Kind of the lines above the first definition.
+CODE_LEAD = "code_lead"
 
 SEGMENT = "struct<id:string,kind:string,text:string,start_line:int,end_line:int,symbol:string>"
 NO_SEGMENTS = f"array<{SEGMENT}>"
@@ -87,13 +89,24 @@ def _between(marks: Column, n_lines: Column, kind: str) -> Column:
     )
 
 
-def _marked(path: Column, content: Column, mark, kind: str, whole_kind: str) -> Column:
+def _marked(path: Column, content: Column, mark, kind: str, whole_kind: str, lead_kind: str | None) -> Column:
+    """A segment per mark, before them the lead (lines above the first mark) if it has a kind; without any
+    mark one segment."""
+
+    def spans(marks: Column, lines: Column) -> Column:
+        between = _between(marks, F.size(lines), kind)
+        if lead_kind is None:
+            return between
+        above = F.get(marks, F.lit(0))["at"] - 1
+        lead = F.struct(F.lit(lead_kind).alias("kind"), F.lit(1).alias("first"), above.alias("last"), _no_symbol().alias("symbol"))
+        return F.when(above > 0, F.concat(F.array(lead), between)).otherwise(between)
+
     def build(lines: Column) -> Column:
         marks = F.filter(F.transform(lines, mark), lambda m: m["found"])
         return let(
             marks,
             lambda found: F.when(F.size(found) == 0, _whole(path, content, lines, whole_kind)).otherwise(
-                _from_spans(path, lines, _between(found, F.size(lines), kind))
+                _from_spans(path, lines, spans(found, lines))
             ),
         )
 
@@ -103,8 +116,9 @@ def _marked(path: Column, content: Column, mark, kind: str, whole_kind: str) ->
     )
 
 
-def code_segments(path: Column, content: Column) -> Column:
-    """One segment per definition line; text before the first one is not part of any."""
+def code_segments(path: Column, content: Column, lead: bool = True) -> Column:
+    """One segment per definition line. What stands above the first one is a segment ``code_lead`` of its own
+    unless it is blank; with ``lead=False`` it is part of none."""
 
     def mark(line: Column, i: Column) -> Column:
         return let(
@@ -112,11 +126,12 @@ def code_segments(path: Column, content: Column) -> Column:
             lambda name: F.struct((name != "").alias("found"), (i + 1).alias("at"), name.alias("symbol")),
         )
 
-    return _marked(path, content, mark, "code_symbol", "code_block")
+    return _marked(path, content, mark, "code_symbol", "code_block", CODE_LEAD if lead else None)
 
 
-def heading_segments(path: Column, content: Column) -> Column:
-    """One segment per ``#`` heading (levels 1-6), named by its title."""
+def heading_segments(path: Column, content: Column, lead: bool = True) -> Column:
+    """One segment per ``#`` heading (levels 1-6), named by its title. What stands above the first one is a
+    segment ``markdown_lead`` unless it is blank; with ``lead=False`` it is part of none."""
 
     def mark(line: Column, i: Column) -> Column:
         return F.struct(
@@ -125,7 +140,7 @@ def heading_segments(path: Column, content: Column) -> Column:
             strip(F.regexp_extract(line, HEADING, 2)).alias("symbol"),
         )
 
-    return _marked(path, content, mark, "heading_section", "markdown_section")
+    return _marked(path, content, mark, "heading_section", "markdown_section", "markdown_lead" if lead else None)
 
 
 def _braces(text: Column) -> Column:
@@ -402,6 +417,12 @@ def brace_sections(content: Column, max_lines: int = CODE_BRACE_LINES) -> Column
     return let(split_lines(content), build)
 
 
+def is_header_line(line: Column) -> Column:
+    """Whether a line is a package, import or annotation line."""
+    s = strip(line)
+    return s.startswith("package ") | s.startswith("import ") | s.startswith("@")
+
+
 def file_header(content: Column, max_chars: int = 6000) -> Column:
     """Leading block comment, then package, import and annotation lines up to the first type line.
 
@@ -416,7 +437,7 @@ def file_header(content: Column, max_chars: int = 6000) -> Column:
             test = F.contains(s, F.lit(word))
             holds_type = test if holds_type is None else holds_type | test
         return (
-            F.when(s.startswith("package ") | s.startswith("import ") | s.startswith("@"), F.lit("head"))
+            F.when(is_header_line(s), F.lit("head"))
             .when(holds_type, F.lit("type"))
             .when((s != "") & ~s.startswith("//"), F.lit("other"))
             .otherwise(F.lit("skip"))

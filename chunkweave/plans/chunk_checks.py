@@ -254,13 +254,14 @@ SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY first) - 1 AS IN
 """
 
 
-def _sql_marked(test: str, symbol: str, kind: str, whole: str) -> str:
+def _sql_marked(test: str, symbol: str, kind: str, whole: str, lead_kind: str) -> str:
     return (
         LINES
         + f""",
 marks AS (SELECT path, i, n, {symbol} AS symbol FROM ln WHERE {test}),
 spans AS (
-    SELECT path, '{kind}' AS kind, i AS first, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS last, symbol FROM marks),
+    SELECT path, '{kind}' AS kind, i AS first, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS last, symbol FROM marks
+    UNION ALL SELECT path, '{lead_kind}', 1, min(i) - 1, NULL FROM marks GROUP BY path HAVING min(i) > 1),
 {_sql_segment_rows('spans')},
 everything AS (
     SELECT * FROM segs UNION ALL
@@ -349,7 +350,12 @@ md_sections AS (SELECT path, sec AS i, {In.sql_strip('string_agg(line, chr(10) O
 CODE_PACKED = f"""
 code_marks AS (SELECT path, i, n FROM ln WHERE {DEFINES}),
 code_spans AS (SELECT path, i AS first, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS last FROM code_marks),
-code_sections AS (SELECT path, first AS i, {In.sql_join('lines[first : last]')} AS text FROM code_spans JOIN doc_lines USING (path)),
+code_sections AS (
+    SELECT path, first AS i, {In.sql_join('lines[first : last]')} AS text FROM code_spans JOIN doc_lines USING (path)
+    UNION ALL SELECT path, 1, {In.sql_join('lines[1 : first - 1]')} FROM (
+        SELECT path, min(i) AS first FROM code_marks GROUP BY path HAVING min(i) > 1) JOIN doc_lines USING (path)
+    WHERE len(list_filter(lines[1 : first - 1], lambda l: {In.sql_strip('l')} <> '' AND NOT regexp_matches({In.sql_strip('l')}, '^(package |import |@)'))) > 0
+       OR length({In.sql_join('lines[1 : first - 1]')}) > 6000),
 {_sql_pack_sections('code_sections', 'lines', 'code_')}
 """
 
@@ -524,6 +530,7 @@ QUERIES = {
             In.sql_strip(f"regexp_extract(line, '^(#{{1,6}}){SP}+(.+)$', 2)"),
             "heading_section",
             "markdown_section",
+            "markdown_lead",
         ),
     ),
     "code_segments": (
@@ -533,6 +540,7 @@ QUERIES = {
             rf"regexp_extract(line, '^{SP}*(def|class|function|fn|interface|type){SP}+([A-Za-z_][\p{{L}}\p{{M}}\p{{Nd}}_]*)', 2)",
             "code_symbol",
             "code_block",
+            "code_lead",
         ),
     ),
     "java_segments": (

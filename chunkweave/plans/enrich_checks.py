@@ -283,7 +283,9 @@ def _dispatch(p: str, files: str) -> str:
     SELECT path, i, n, 'code_symbol', regexp_extract(line, '{define}', 2) FROM {p}ln WHERE pipeline = 'code_generic' AND regexp_matches(line, '{define}')),
 {p}spans AS (
     SELECT * FROM {p}java_spans UNION ALL
-    SELECT path, kind, i, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n), symbol FROM {p}marks),
+    SELECT path, kind, i, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n), symbol FROM {p}marks
+    UNION ALL
+    SELECT path, CASE kind WHEN 'code_symbol' THEN 'code_lead' ELSE 'markdown_lead' END, 1, min(i) - 1, NULL FROM {p}marks GROUP BY path, kind HAVING min(i) > 1),
 {p}cut AS (
     SELECT s.path, s.kind, s.first, s.last, s.symbol, {In.sql_join('lines[s.first : s.last]')} AS text FROM {p}spans s JOIN {p}doc_lines USING (path)),
 {p}json_rows AS (

@@ -45,6 +45,7 @@ def test_java_segments_close_with_their_braces(value):
 def test_code_and_heading_segments(value):
     code = "import x\n\ndef one():\n  pass\n\nclass Two:\n  y = 1\n"
     assert spans(value(G.code_segments, "p string, c string", "m.py", code)) == [
+        ("code_lead", 1, 2, None),
         ("code_symbol", 3, 5, "one"),
         ("code_symbol", 6, 7, "Two"),
     ]
@@ -52,10 +53,13 @@ def test_code_and_heading_segments(value):
     assert spans(whole) == [("code_block", 1, 1, None)]
     assert whole[0].id.endswith(hashlib.sha256(b"x = 1\n").hexdigest()[:10])
     text = "lead\n# One #\ntext\n####### no\n## Two\n"
-    assert spans(value(G.heading_segments, "p string, c string", "d.md", text)) == [
-        ("heading_section", 2, 4, "One #"),
-        ("heading_section", 5, 5, "Two"),
-    ]
+    found = value(G.heading_segments, "p string, c string", "d.md", text)
+    assert spans(found) == [("markdown_lead", 1, 1, None), ("heading_section", 2, 4, "One #"), ("heading_section", 5, 5, "Two")]
+    assert found[0].text == "lead" and found[0].id.endswith(hashlib.sha256(b"lead").hexdigest()[:10])
+    blank = value(G.code_segments, "p string, c string", "m.py", "\n  \ndef one():\n")
+    assert spans(blank) == [("code_symbol", 3, 3, "one")]
+    without = value(lambda p, c: G.heading_segments(p, c, lead=False), "p string, c string", "d.md", text)
+    assert spans(without) == spans(found)[1:]
 
 
 def test_sections_keep_the_lead(value):
@@ -153,3 +157,21 @@ def test_hostile_json_is_one_blob(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.json_members(F.col("t")).alias("m")).collect()
     assert [r.i for r in rows if r.m is not None] == [4]
     assert [r for r in rows if r.i == 4][0].m[0].value == '[\n  1,\n  {\n    "b": null\n  }\n]'
+
+
+def test_code_chunks_keep_what_the_preamble_does_not(spark):
+    from chunkweave.operators.chunkers import structural_chunks
+    from chunkweave.operators.packing import ChunkingOptions
+
+    rows = [
+        ("a.py", ".py", "import x\nLIMIT = 3\n\ndef one():\n  pass\n"),
+        ("b.py", ".py", "import x\n\ndef one():\n  pass\n"),
+        ("c.py", ".py", "LIMIT = 3\n"),
+    ]
+    files = spark.createDataFrame(rows, "path string, ext string, content string")
+    texts = {}
+    for row in structural_chunks(files, ChunkingOptions(), "python").orderBy("path", "ord").collect():
+        texts.setdefault(row.path, []).append(row.text)
+    assert texts["a.py"][0] == texts["b.py"][0] == "import x"  # the preamble
+    assert any("LIMIT = 3" in t for t in texts["a.py"]) and any("def one" in t for t in texts["a.py"])
+    assert sum("LIMIT" in t for t in texts["a.py"]) == 1 and len(texts["b.py"]) == 2 and texts["c.py"] == ["LIMIT = 3"]
