@@ -1,10 +1,10 @@
 """Licence recognition by sentences.
 
 A text is cut into units (its lines, its sentences across line breaks, and its sentences within paragraphs,
-where a blank line or a copyright line ends a sentence too), each unit is normalised, and units equal to a
+where a blank line or a copyright notice ends a sentence too), each unit is normalised, and units equal to a
 known licence sentence get that sentence's identifier. The identifiers in text order are
-matched against ordered rules, longer rules first; sentences used by a rule are not used again. What no
-rule explains is reported as ``unknown`` when a known sentence stands alone.
+matched against ordered rules, longer rules first, of equal length the one listed first; sentences used by a
+rule are not used again. What no rule explains is reported as ``unknown`` when a known sentence stands alone.
 
 All of it happens inside the row of one document with DataFrame expressions: nothing is shuffled or
 broadcast, and only texts that hold a word of the known sentences are cut at all.
@@ -86,13 +86,14 @@ RULES = [
 ANCHORS = "(?i)licen[sc]|permission|redistribut|warrant|copyright|liable|free software"
 LINE_BREAK = r"\n+"
 SENTENCE_BREAK = r"[.!?;:]+[\x20\x09-\x0D]+"
-#: Also lines without a letter or digit (blank, comment marks, rules), and the rest of a copyright line.
+#: Also lines without a letter or digit (blank, comment marks, rules), and copyright notices up to the end of
+#: their line or sentence, however long. A notice always ends, so no position is searched twice.
 PARAGRAPH_BREAK = (
-    SENTENCE_BREAK
-    + r"|\n[^\p{L}\p{N}]*\n"
-    + r"|(?i:copyright)\x20+(?:\([cC]\)|\x{A9}|[0-9]{4})(?:[^\n.!?;:]|[.!?;:](?![\x20\x09-\x0D])){0,200}\n"
+    r"(?i:copyright)\x20+(?:\([cC]\)|\x{A9}|[0-9]{4})[^\n]*?(?:\n|[.!?;:]+[\x20\x09-\x0D]+|\z)"
+    + r"|\n[^\p{L}\p{N}]*\n|"
+    + SENTENCE_BREAK
 )
-#: Most other known sentences between two of a rule.
+#: Most other known sentences between two of a rule, unless a caller sets another number.
 GAP = 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,13 +158,17 @@ def _sequence(units: Column) -> Column:
     return let(ordered, once)
 
 
-def _pattern(ids: list[str]) -> str:
-    between = r"(?: [^ :]+:\d+:\d+){0,%d}?" % GAP
+def _pattern(ids: list[str], gap: int | None = GAP) -> str:
+    between = ".*?" if gap is None else r"(?: [^ :]+:\d+:\d+){0,%d}?" % gap
     return between.join(rf" {name}:\d+:\d+" for name in ids)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """``(doc_id, license, start, end, sentences)``, one row per finding; offsets in code points, end exclusive."""
+def scan_licenses(docs: DataFrame, gap: int | None = GAP) -> DataFrame:
+    """``(doc_id, license, start, end, sentences)``, one row per finding; offsets in code points, end exclusive.
+
+    ``gap``: how many other known sentences may stand between two sentences of a rule; None: any number, at
+    a cost that grows with the square of a text's known sentences.
+    """
     text = F.col("text")
     hinted = docs.select("doc_id", "text").filter(text.rlike(ANCHORS))
     units = F.concat(_known_units(text, LINE_BREAK), _known_units(text, SENTENCE_BREAK), _known_units(text, PARAGRAPH_BREAK, again=True))
@@ -172,8 +177,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for i, (_, (_, ids)) in enumerate(ordered):
         rest = rest.withColumns(
             {
-                f"found{i}": F.regexp_extract_all(f"rest{i}", F.lit(_pattern(ids)), F.lit(0)),
-                f"rest{i + 1}": F.regexp_replace(f"rest{i}", _pattern(ids), ""),
+                f"found{i}": F.regexp_extract_all(f"rest{i}", F.lit(_pattern(ids, gap)), F.lit(0)),
+                f"rest{i + 1}": F.regexp_replace(f"rest{i}", _pattern(ids, gap), ""),
             }
         )
 
