@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chunkweave.functions.arrays import rows_of
+from chunkweave.functions.arrays import rows_of, span
 from chunkweave.functions.text import let
 from chunkweave.llm.common import NO_SPANS, spans, stored
 
@@ -38,6 +38,8 @@ ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x00-\x20"'<>]+"""
 SCOPE_BREAK = r"\n[\x20\t\r]*\n"
 
 CELL = 200  # code points; how finely intervals are cut for the join
+BLOCK = 1024  # code points of a text that masking handles as one piece
+GROUP = 256  # spans whose ends are compared one by one
 
 
 def _found(text: Column, pattern: str, condition: Column | None = None) -> Column:
@@ -167,6 +169,37 @@ def scan_secrets(docs: DataFrame, reach: int | None = None, carry: bool = False)
     )
 
 
+def _blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points, found in one pass."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from one code point to another; only the blocks that hold it are touched."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.ceil(end / BLOCK).cast("int") - first), "")
+    return F.when(end > start, F.substring(held, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
+def _reached(ordered: Column) -> Column:
+    """The greatest end of the spans before each one, null for the first. Within groups of ``GROUP`` spans, then
+    over the groups, so the work stays close to linear."""
+
+    def of_groups(groups: Column, tops: Column) -> Column:
+        def within(group: Column, g: Column) -> Column:
+            before = F.array_max(F.slice(tops, F.lit(1), g))
+            return F.transform(group, lambda _, i: F.greatest(before, F.array_max(F.slice(group, F.lit(1), i))))
+
+        return F.flatten(F.transform(groups, within))
+
+    def grouped(ends: Column) -> Column:
+        n = F.ceil(F.size(ends) / GROUP).cast("int")
+        groups = F.transform(span(n), lambda g: F.slice(ends, g * GROUP + 1, F.lit(GROUP)))
+        return let(groups, lambda gs: let(F.transform(gs, F.array_max), lambda tops: of_groups(gs, tops)))
+
+    return let(F.transform(ordered, lambda m: m["end"]), grouped)
+
+
 def redacted(docs: DataFrame, mask: str = "[SECRET]", reach: int | None = None) -> DataFrame:
     """The same rows with every span of their text replaced by the mask (touching spans by one; parts are
     linked over their whole scope unless a reach is given), and
@@ -179,22 +212,21 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", reach: int | None = None)
     every = F.sort_array(F.concat(*[F.transform(F.col(kind), place) for kind in ("assign", "access", "hex", "linked")]))
     text = F.col("row.text")
 
-    def cut(s: Column) -> Column:
+    def cut(s: Column, blocks: Column) -> Column:
         # What stands before each span that begins after all earlier ones have ended, then the rest.
-        ends = F.transform(s, lambda m, i: F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda x: x["end"])))
         pieces = F.zip_with(
             s,
-            ends,
+            _reached(s),
             lambda m, before: F.when(
                 before.isNull() | (before <= m["start"]),
-                F.concat(F.substring(text, F.coalesce(before, F.lit(0)) + 1, m["start"] - F.coalesce(before, F.lit(0))), F.lit(mask)),
+                F.concat(_between(blocks, F.coalesce(before, F.lit(0)), m["start"]), F.lit(mask)),
             ).otherwise(F.lit("")),
         )
         last = F.array_max(F.transform(s, lambda x: x["end"]))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+        return F.concat(F.array_join(pieces, ""), _between(blocks, last, F.length(text)))
 
     changed = scanned.select("row", every.alias("every")).withColumn(
-        "clean", F.when(F.size("every") > 0, let(F.col("every"), cut)).otherwise(text)
+        "clean", F.when(F.size("every") > 0, let(F.col("every"), lambda s: let(_blocks(text), lambda b: cut(s, b)))).otherwise(text)
     )
     fields = {name: F.col("row").getField(name).alias(name) for name in docs.columns}
     fields["text"] = F.col("clean").alias("text")
