@@ -19,6 +19,7 @@ from chunkweave.plans.catalogue_checks import VERSIONS
 from chunkweave.plans.search_checks import HITS, K
 from chunkweave.session import shared_folder
 from chunkweave.sources import packets as P
+from chunkweave.sources import versioned as T
 from chunkweave.sources.files import scan_files
 from chunkweave.streaming.incremental import current_chunks, ingest_stream
 
@@ -103,18 +104,23 @@ def tree_drift(spark, folder):
 
 def catalogue_store(spark, folder):
     """A stored catalogue: later versions are published into the earlier ones, one version of each package
-    is made active, old versions are pruned; then the tables are read back."""
-    root, rows = _folder(spark, "catalogue"), V.versions(spark, folder)
+    is made active, old versions are pruned; then the tables are read back. Every step is a change of the
+    newest version of its table that concurrent writers would survive."""
+    root, rows, first_pins = _folder(spark, "catalogue"), V.versions(spark, folder), V.pins(spark, folder)
     early = F.col("published_at") < F.to_timestamp(F.lit("1998-01-01"))
-    P.replace_table(rows.where(early), root, "versions")
-    P.replace_table(V.pins(spark, folder), root, "pins")
-    stored = P.read_table(spark, root, "versions")
-    P.replace_table(C.published(stored, rows.where(~early).withColumnRenamed("id", "upload_id")), root, "versions")
-    stored, pins = P.read_table(spark, root, "versions"), P.read_table(spark, root, "pins")
-    P.replace_table(C.use(pins, stored.select(F.concat("name", F.lit("@latest")).alias("spec")).distinct(), stored), root, "pins")
-    pins = P.read_table(spark, root, "pins")
-    P.replace_table(C.delete_versions(stored, C.prune_plan(stored, pins, keep=1)), root, "versions")
-    return P.read_table(spark, root, "versions").select("name", "version").distinct().join(P.read_table(spark, root, "pins"), "name", "left")
+
+    def changed(name, schema, change):
+        T.change_table(spark, f"{root}/{name}", schema, change)
+        return T.read_version(spark, f"{root}/{name}", schema)
+
+    changed("versions", rows.schema, lambda _: rows.where(early))
+    changed("pins", first_pins.schema, lambda _: first_pins)
+    later = rows.where(~early).withColumnRenamed("id", "upload_id")
+    stored = changed("versions", rows.schema, lambda known: C.published(known, later))
+    latest = stored.select(F.concat("name", F.lit("@latest")).alias("spec")).distinct()
+    pins = changed("pins", first_pins.schema, lambda known: C.use(known, latest, stored))
+    left = changed("versions", rows.schema, lambda known: C.delete_versions(known, C.prune_plan(known, pins, keep=1)))
+    return left.select("name", "version").distinct().join(pins, "name", "left")
 
 
 LANE_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(line, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(M.LANES))
