@@ -57,8 +57,8 @@ def _metadata(**fields: Column) -> Column:
     return F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
 
 
-def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = False) -> DataFrame:
-    """``(chunk_id, path, ord, text, hash, metadata)`` of fixed line windows."""
+def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(chunk_id, path, ord, text, hash, metadata)`` of fixed line windows, and the source columns to ``keep``."""
     rows = W.line_chunks(sources, spec.lines_per_chunk, spec.overlap_lines)
     rows = W.number_chunks(rows) if numbered else W.local_ids(rows)
     return rows.select(
@@ -68,6 +68,7 @@ def line_window_chunks(sources: DataFrame, spec: PacketSpec, numbered: bool = Fa
         "text",
         sha256(F.col("text")).alias("hash"),
         _metadata(path=F.col("path"), ext=F.col("ext")).alias("metadata"),
+        *keep,
     )
 
 
