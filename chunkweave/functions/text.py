@@ -163,3 +163,11 @@ def glob_match(value: Column, pattern: Column) -> Column:
         "",
     )
     return F.regexp_like(value, F.concat(F.lit("^(?:"), regex, F.lit(r")\z")))
+
+
+def glob_ends(pattern: Column) -> tuple[Column, Column]:
+    """The literal text that whatever a shell pattern matches begins and ends with; both may be empty.
+
+    A set begins with ``[`` and ends with ``]``, so neither end reaches into one.
+    """
+    return F.regexp_extract(pattern, r"^[^*?\[]*", 0), F.regexp_extract(pattern, r"[^*?\[\]]*\z", 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkweave.functions.text import glob_match, strip
+from chunkweave.functions.text import glob_ends, glob_match, strip
 from chunkweave.functions.versions import requested_version, version_key
 
 
@@ -215,13 +215,40 @@ def audit_report(log: DataFrame) -> DataFrame:
     )
 
 
+KEY_LENGTH = 16  # code points of a pattern's literal end that choose the values it is tried on
+
+
+def glob_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(pattern, value, ...)`` for every match of ``patterns(pattern)`` on ``values(value, ...)``; both distinct.
+
+    A pattern is filed under its literal beginning or its literal end, whichever is longer, and a value
+    looks under each of its own beginnings and ends, so a pattern meets only values that share that text.
+    The keys are cut at ``KEY_LENGTH``, which bounds the rows of a long value; the whole pattern decides.
+    Patterns without such text (``*x*``) meet every distinct value. Null matches nothing.
+    """
+    head, tail = glob_ends(F.col("pattern"))
+    by_tail = F.length(tail) > F.length(head)
+    filed = patterns.where("pattern IS NOT NULL").select(
+        "pattern",
+        by_tail.alias("at_end"),
+        F.when(by_tail, F.right(tail, F.lit(KEY_LENGTH))).otherwise(F.left(head, F.lit(KEY_LENGTH))).alias("key"),
+    )
+    lengths = F.sequence(F.lit(0), F.least(F.length("value"), F.lit(KEY_LENGTH)))
+    begins = F.transform(lengths, lambda n: F.struct(F.lit(False).alias("at_end"), F.left("value", n).alias("key")))
+    ends = F.transform(F.filter(lengths, lambda n: n > 0), lambda n: F.struct(F.lit(True).alias("at_end"), F.right("value", n).alias("key")))
+    looked = values.where("value IS NOT NULL").select("*", F.inline(F.concat(begins, ends)))
+    return filed.join(looked, ["at_end", "key"]).where(glob_match(F.col("value"), F.col("pattern"))).drop("at_end", "key")
+
+
 def choose_models(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """Requested model, else the recommended one, else the first supported; and who provides it.
 
     ``requests(packet_id, requested, recommended, patterns)``, ``providers(provider, models,
     default_model)``. A model nobody lists goes to the first provider by name; a default model is
-    searched only where a provider lists no models. Patterns are matched once per distinct list, not
-    per request; only the ordered list of offers, one row, is sent to the tasks.
+    searched only where a provider lists no models. Of the supported models the first one of the first
+    provider counts; an empty list supports all, a null list none. Distinct patterns meet distinct
+    models (``glob_pairs``) and lists take the least of what their patterns found, so no row holds all
+    offers; only one row, the first offer and the first provider, is sent to the tasks.
     """
     default = F.when(F.col("default_model").isNotNull() & (F.col("default_model") != ""), F.array("default_model"))
     own = F.filter(F.coalesce("models", F.array().cast("array<string>")), lambda m: m.isNotNull())
@@ -232,27 +259,26 @@ def choose_models(requests: DataFrame, providers: DataFrame) -> DataFrame:
         .groupBy("offered")
         .agg(F.min("provider").alias("offered_by"))
     )
-    searched = F.transform(
-        F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("fallback")),
-        lambda m, i: F.struct(F.col("provider").alias("provider"), i.alias("at"), m.alias("model")),
+    searched = (
+        named_by.select("provider", F.posexplode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("fallback"))).alias("at", "value"))
+        .groupBy("value")
+        .agg(F.min(F.struct("provider", "at", F.col("value").alias("model"))).alias("offer"))
     )
-    options = named_by.agg(
-        F.array_sort(F.flatten(F.collect_list(searched))).alias("options"), F.min("provider").alias("first_provider")
-    )  # one row
+    everywhere = searched.agg(F.min("offer").alias("first_offer")).join(F.broadcast(providers.agg(F.min("provider").alias("first_provider"))))
     named = F.coalesce("requested", "recommended")
-    lists = requests.where(named.isNull()).select("patterns").distinct().join(F.broadcast(options.select("options")))
-    supported = F.filter(
-        "options", lambda o: (F.size("patterns") == 0) | F.exists("patterns", lambda p: glob_match(o["model"], p))
-    )
-    matched = lists.select(F.col("patterns").alias("of_patterns"), F.get(supported, F.lit(0)).alias("best"))
-    asked = requests.withColumn("named", named).join(F.broadcast(options.select("first_provider")))
+    lists = requests.where(named.isNull() & (F.size("patterns") > 0)).select("patterns").distinct()
+    of_lists = lists.select("patterns", F.explode(F.array_distinct("patterns")).alias("pattern"))
+    found = glob_pairs(searched, of_lists.select("pattern").distinct()).groupBy("pattern").agg(F.min("offer").alias("offer"))
+    matched = of_lists.join(found, "pattern").groupBy(F.col("patterns").alias("of_patterns")).agg(F.min("offer").alias("best"))
+    asked = requests.withColumn("named", named).join(F.broadcast(everywhere))
     both = asked.join(offers, F.col("named") == F.col("offered"), "left").join(
-        matched, F.col("named").isNull() & F.col("patterns").eqNullSafe(F.col("of_patterns")), "left"
+        matched, F.col("named").isNull() & (F.col("patterns") == F.col("of_patterns")), "left"
     )
+    best = F.when(F.size("patterns") == 0, F.col("first_offer")).otherwise(F.col("best"))
     return both.select(
         "packet_id",
-        F.coalesce("named", F.col("best.model")).alias("model"),
+        F.coalesce("named", best["model"]).alias("model"),
         F.when(F.col("named").isNotNull(), F.coalesce("offered_by", "first_provider"))
-        .otherwise(F.coalesce(F.col("best.provider"), "first_provider"))
+        .otherwise(F.coalesce(best["provider"], "first_provider"))
         .alias("provider"),
     )

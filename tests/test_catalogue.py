@@ -82,6 +82,36 @@ def test_model_choice(spark):
     assert got == {1: ("model-c", "p2"), 2: ("unknown", "p1"), 3: ("model-b", "p2"), 4: ("model-a", "p1"), 5: (None, "p1"), 6: ("model-z", "p1"), 7: ("only", "p3")}
 
 
+def test_patterns_meet_values_by_their_literal_ends(spark):
+    import random
+    from fnmatch import fnmatchcase
+
+    draw = random.Random(5)
+    word = lambda letters, n: "".join(draw.choice(letters) for _ in range(draw.randrange(n)))
+    values = sorted({word("ab-1]", 7) for _ in range(120)} | {"", "m" * 40, "m" * 39 + "x", "é-large", "x" * 5000})
+    patterns = sorted({word("ab-1*?[]!", 6) for _ in range(150)} | {"", "*", "m" * 20 + "*x", "*" + "m" * 39 + "x", "é*", "*-large", "*x*", "a[b"})
+    patterns = [p for p in patterns if "[!]" not in p and "[]" not in p and "-" not in p[1:-1]] + ["*-large"]  # sets are tested with the matcher
+    got = C.glob_pairs(
+        spark.createDataFrame([(v,) for v in values] + [(None,)], "value string"), spark.createDataFrame([(p,) for p in {*patterns, None}], "pattern string")
+    )
+    pairs = sorted((r.pattern, r.value) for r in got.collect())
+    assert pairs == sorted((p, v) for p in set(patterns) for v in values if fnmatchcase(v, p))
+
+
+def test_model_choice_without_offers_and_with_odd_lists(spark):
+    providers = "provider string, models array<string>, default_model string"
+    requests = spark.createDataFrame(
+        [(1, None, None, None), (2, None, None, []), (3, None, None, [None, "m*", "m*"]), (4, "r", None, None), (5, None, None, ["*2"])],
+        "packet_id int, requested string, recommended string, patterns array<string>",
+    )
+    choose = lambda rows: {r.packet_id: (r.model, r.provider) for r in C.choose_models(requests, spark.createDataFrame(rows, providers)).collect()}
+    nobody = dict.fromkeys((1, 2, 3, 5), (None, None))
+    assert choose([]) == nobody | {4: ("r", None)}
+    assert choose([("p", None, ""), ("o", [None], None)]) == dict.fromkeys((1, 2, 3, 5), (None, "o")) | {4: ("r", "o")}
+    offers = [("p", ["z", "m2", "m1", "m2"], "d"), ("q", ["m1", "a2"], None)]
+    assert choose(offers) == {1: (None, "p"), 2: ("z", "p"), 3: ("m2", "p"), 4: ("r", "p"), 5: ("m2", "p")}
+
+
 def test_drift(spark):
     expected = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, digest string")
     actual = spark.createDataFrame([("a", "1"), ("b", "x"), ("extra", "9")], "path string, digest string")
