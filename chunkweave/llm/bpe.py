@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -101,6 +102,24 @@ def _ranges(characters: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
 
 
+def _narrow_pattern(pattern: str) -> re.Pattern:
+    """The word pattern for texts of characters below U+0100, with classes that ``re`` looks up in a bitmap."""
+    below = "".join(map(chr, range(256)))
+    letter, number, space = (_ranges("".join(regex.findall(kind, below))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\S", f"[^{space}]")
+    return re.compile(spelt.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\s", f"[{space}]"))
+
+
+def _is_narrow(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merger:
     """Exact merging of words."""
 
@@ -163,7 +182,8 @@ class Encoder:
         self.merger, self.special = Merger(vocabulary), vocabulary.special if with_special else {}
         self.lexicon = Transducer(lexicon) if lexicon else None
         self.plain = regex.compile(vocabulary.pattern)
-        self.newer = regex.compile(f"[{_ranges(vocabulary.newer)}]") if vocabulary.newer else None
+        self.narrow = _narrow_pattern(vocabulary.pattern)
+        self.newer = re.compile(f"[{_ranges(vocabulary.newer)}]") if vocabulary.newer else None
         if vocabulary.newer:
             letter, number = (rf"[\p{{{x}}}--[{_ranges(vocabulary.newer)}]]" for x in "LN")
             exact = vocabulary.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letter}{number}]")
@@ -193,9 +213,12 @@ class Encoder:
         yield from self._plain_words(text[at:] if at else text)
 
     def _plain_words(self, text: str) -> Iterator[list[str]]:
-        exact = self.newer is not None and not text.isascii() and self.newer.search(text) is not None
+        if _is_narrow(text):
+            pattern = self.narrow
+        else:
+            pattern = self.exact if self.newer is not None and self.newer.search(text) else self.plain
         for part in self._slices(text):
-            yield (self.exact if exact else self.plain).findall(part)
+            yield pattern.findall(part)
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words: from the lexicon, all at once; of the others by merging."""
@@ -210,7 +233,7 @@ class Encoder:
         if len(self.known) > self.cached_words:
             self.known = {}
         split = [list(self.words(text)) for text in texts]
-        new = dict.fromkeys(w for parts in split for part in parts if not isinstance(part, int) for w in part)
+        new = set().union(*(part for parts in split for part in parts if not isinstance(part, int)))
         self.learn([w for w in new if w not in self.known])
         get = self.known.__getitem__
         return [

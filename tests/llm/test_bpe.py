@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chunkweave.llm import automaton
-from chunkweave.llm.bpe import Encoder, Merger, Vocabulary, decode, encode
+from chunkweave.llm.bpe import Encoder, Merger, Vocabulary, _is_narrow, decode, encode
 from chunkweave.llm.common import tokenizer_path
 from chunkweave.llm.queries import op3_bpe, op10_token_counts
 from chunkweave.llm.token_counts import count_tokens, scan_blocks, stitched
@@ -141,3 +141,13 @@ def test_a_cut_file_is_an_error(spark, tmp_path):
 
 def test_no_blocks(spark):
     assert stitched(spark.createDataFrame([], "file string, block long, ends long, head long, tail long, inner array<long>")).collect() == []
+
+
+def test_narrow_texts_split_as_the_whole_pattern_does():
+    """Texts below U+0100 have a pattern of their own; every pair of such characters must split alike."""
+    encoder = Encoder(Vocabulary(PATH), None)
+    below = [chr(c) for c in range(256)]
+    text = "".join(a + b + "x 's" for a in below for b in below) + " "
+    assert encoder.narrow.findall(text) == encoder.plain.findall(text)
+    assert all(_is_narrow(t) == (not t or max(t) < "Ā") for t in ("", "a", "\xff\xa0", "aĀ", "\U0001f600"))
+    assert encoder.newer.search("a\xffĀ漢") is None
