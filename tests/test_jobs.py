@@ -322,3 +322,24 @@ def test_many_query_blocks_equal_one(spark):
     queries = vectors.select(F.col("chunk_id").alias("query_id"), "vec")
     one = search.top_k(vectors, queries, 4)
     assert as_set(search.top_k(vectors, queries, 4, query_bytes=40 * 8 * 8)) == as_set(one) and one.count() == 1200
+
+
+@pytest.mark.parametrize("rising", [False, True])
+def test_small_query_blocks_share_passes_over_the_vectors(spark, monkeypatch, rising):
+    """38 blocks are 3 passes; parts of few rows, ties and scores that rise to the last row miss nothing."""
+    passes, partial = [], search._partial_broadcast
+    monkeypatch.setattr(search, "_partial_broadcast", lambda *a: passes.append(len(a[1])) or partial(*a))
+    monkeypatch.setattr(search, "PASS_BYTES", 104 * 8 * 8)
+    monkeypatch.setattr(search, "SCORED_ROWS", 16)
+    size = F.col("id") if rising else F.col("id") % 7
+    vectors = spark.range(0, 300, 1, 2).select(F.col("id").alias("chunk_id"), F.array(*[(size * i).cast("float") for i in range(1, 9)]).alias("vec"))
+    queries = vectors.select(F.col("chunk_id").alias("query_id"), "vec")
+    found = search.top_k(vectors, queries, 4, query_bytes=8 * 8 * 8)
+    value = (lambda i: i) if rising else (lambda i: i % 7)
+    expected = {
+        (q, rank, c)
+        for q in range(300)
+        for rank, c in enumerate(sorted(range(300), key=lambda c: (-value(q) * value(c), c))[:4], 1)
+    }
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in found.collect()} == expected
+    assert len(passes) == 3 and sum(passes) <= 42
