@@ -12,9 +12,10 @@ Words are runs of letters, lower-cased, with a mark for the word start; runs of
 scored in parts of 32. Word probabilities are computed once per distinct word and batch for all
 languages together, in numpy; texts of any length are taken in slices.
 
-Learning takes a bounded sample: of each language's training rows, those whose hash falls below a share
-that makes ``docs_per_language`` rows expected. Their words are counted in Spark, and each round's
-expected counts are summed in Spark; only pieces x languages numbers reach the driver.
+The words of the training rows are counted in Spark, and each round's expected counts are summed in Spark;
+only pieces x languages numbers reach the driver. ``with_language`` learns from all training rows, and its
+least levels are quantiles over all of them. ``identify`` learns from a bounded sample: of each language's
+training rows, those whose hash falls below a share that makes ``docs_per_language`` rows expected.
 
 Defined results: ``und`` with score 0 for a null or empty text or one without a letter, and for every
 text if no language could be learned; equal scores go to the alphabetically first language; rows with a
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,7 @@ DOCS_PER_LANGUAGE = 1000
 LEVEL_QUANTILE = 0.01
 LEVEL_MARGIN = 1.0
 LEVEL_SLACK = 10.0
+LEVEL_DIGITS = 3
 
 _LETTERS = regex.compile(r"\p{L}{1,%d}" % PART)
 _NO_LETTER = regex.compile(r"\P{L}")
@@ -155,10 +157,13 @@ def expected_counts(words: list[str], language: np.ndarray, number: np.ndarray,
         for start, end, ids in reversed(steps):
             backward[start] += backward[end] * weight(start, end, ids)
         whole = np.maximum(forward[length + 1], 1e-300)
+        places, uses = [], []
         for start, end, ids in steps:
             known = ids >= 0
             use = times * forward[start] * weight(start, end, ids) * backward[end] / whole
-            counts += np.bincount(ids[known] * n_languages + own[known], use[known], len(counts))
+            places.append(ids[known] * n_languages + own[known])
+            uses.append(use[known])
+        counts += np.bincount(np.concatenate(places), np.concatenate(uses), len(counts))
     return counts.reshape(probability.shape)
 
 
@@ -220,11 +225,12 @@ class Scorer:
         return totals, n_letters
 
 
-def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_language: int | None = None) -> DataFrame:
     """The rows whose language is recognised with at least this score and is likely enough in itself; all
-    columns stay as they are. Only the texts go to the Python workers, once; the rows stay with Spark."""
+    columns stay as they are. All training rows are learned from, unless ``docs_per_language`` asks for a
+    sample. Texts are judged once, and the rows stored with what was found: the least levels come from all
+    of them."""
     learned = learn_from(docs, vocabulary, docs_per_language)
-    least = least_levels(docs, *learned, docs_per_language)
     state = docs.sparkSession.sparkContext.broadcast(learned)
 
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -236,7 +242,8 @@ def with_language(docs: DataFrame, vocabulary: str, min_score: float, docs_per_l
     while name in docs.columns:
         name += "_"
     judged = F.arrow_udf(judge, "language string, score double, level double, letters long").asNondeterministic()
-    found = docs.withColumn(name, judged("text"))
+    found = stored(docs.withColumn(name, judged("text")), "language-judged")
+    least = least_levels(found, name)
     language, score, level, letters = (F.col(f"{name}.{part}") for part in ("language", "score", "level", "letters"))
     recognised = (language != "und") & (score >= min_score)
     if least:
@@ -274,14 +281,17 @@ class TextJudge:
         return [pa.array(predicted, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(level), pa.array(letters)]
 
 
-def least_levels(docs: DataFrame, pieces: list[str], languages: list[str], probability: np.ndarray, docs_per_language: int) -> dict[str, float]:
-    """The least level of each language by the training rows that are recognised as theirs."""
-    if not languages:
-        return {}
-    chosen = sampled(training_rows(docs), docs_per_language)
-    found = predict(chosen, pieces, languages, probability, keep=("lang",), names=("found", "score", "level", "letters"))
-    own = found.filter("letters > 0 AND found = lang").groupBy("lang").agg(F.percentile("level", LEVEL_QUANTILE).alias("low"))
-    return {row["lang"]: row["low"] - LEVEL_MARGIN for row in own.collect()}  # a row per language
+def least_levels(judged: DataFrame, name: str) -> dict[str, float]:
+    """The least level of each language by all training rows that are recognised as theirs, from rows with
+    what was found in the column ``name``. Levels are counted to ``LEVEL_DIGITS`` digits, so the counts are
+    few, whatever the number of rows."""
+    language, level, letters = (F.col(f"{name}.{part}") for part in ("language", "level", "letters"))
+    own = judged.filter(_is_training() & (letters > 0) & (language == F.col("lang")))
+    counts = own.groupBy("lang", F.round(level, LEVEL_DIGITS).alias("level")).agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("level"))
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    low = counts.select("lang", "level", below.alias("below"), total.alias("total")).filter(F.col("below") >= LEVEL_QUANTILE * F.col("total"))
+    return {row["lang"]: row["low"] - LEVEL_MARGIN for row in low.groupBy("lang").agg(F.min("level").alias("low")).collect()}  # a row per language
 
 
 def held_out(doc_id: Column) -> Column:
@@ -290,12 +300,17 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, lang)`` of the rows that are learned from."""
-    usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    return docs.filter(usable).select("doc_id", "text", "lang")
+    return docs.filter(_is_training()).select("doc_id", "text", "lang")
 
 
-def sampled(training: DataFrame, docs_per_language: int) -> DataFrame:
-    """About so many rows of each language, chosen by hash."""
+def _is_training() -> Column:
+    return F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+
+
+def sampled(training: DataFrame, docs_per_language: int | None) -> DataFrame:
+    """About so many rows of each language, chosen by hash; all rows without a number."""
+    if docs_per_language is None:
+        return training
     sizes = training.groupBy("lang").count().collect()  # a row per language, as the model has a column
     if not sizes:
         return training
@@ -304,7 +319,7 @@ def sampled(training: DataFrame, docs_per_language: int) -> DataFrame:
     return training.filter(share * number[F.col("lang")] < docs_per_language)
 
 
-def training_words(training: DataFrame, docs_per_language: int) -> DataFrame:
+def training_words(training: DataFrame, docs_per_language: int | None) -> DataFrame:
     """``(language, word, n)`` of the sampled rows of ``training(doc_id, text, lang)``."""
     chosen = sampled(training, docs_per_language)
 
@@ -327,7 +342,7 @@ def training_words(training: DataFrame, docs_per_language: int) -> DataFrame:
     return counted.groupBy("language", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(training: DataFrame, pieces: list[str], docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS):
+def learn(training: DataFrame, pieces: list[str], docs_per_language: int | None = DOCS_PER_LANGUAGE, rounds: int = ROUNDS):
     """``(languages, probabilities of pieces x languages)``; the languages are sorted."""
     spark = training.sparkSession
     words = stored(training_words(training, docs_per_language), "language-words")
@@ -375,7 +390,7 @@ def predict(
     return wanted.mapInArrow(run, schema)
 
 
-def learn_from(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple:
+def learn_from(docs: DataFrame, vocabulary: str, docs_per_language: int | None = DOCS_PER_LANGUAGE) -> tuple:
     """Pieces, languages and probabilities, learned from the rows that are not held out."""
     pieces = vocabulary_pieces(vocabulary)
     return pieces, *learn(training_rows(docs), pieces, docs_per_language)

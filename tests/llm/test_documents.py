@@ -185,6 +185,26 @@ def test_other_languages_and_random_letters_are_rejected(spark):
     assert kept == {r.doc_id for r in docs.filter("text rlike '\\\\p{L}'").collect()} | {-10}
 
 
+def test_least_levels_and_model_take_all_training_rows(spark, monkeypatch):
+    """No sample: a level that few of very many rows have moves the quantile, and every row is learned from."""
+    n = 400
+    levels = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"),
+        F.struct(F.lit("en").alias("language"), F.lit(1.0).alias("score"), (-F.col("id") / 100).alias("level"), F.lit(1).cast("long").alias("letters")).alias("found"),
+    )
+    used = sorted(-r.doc_id / 100 for r in levels.filter(~L.held_out(F.col("doc_id"))).collect())
+    expected = used[-(-len(used) // 100) - 1]
+    assert L.least_levels(levels, "found") == {"en": pytest.approx(expected - L.LEVEL_MARGIN, abs=1e-3)}
+    monkeypatch.setattr(L, "DOCS_PER_LANGUAGE", 1)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    training = L.training_rows(docs)
+    assert L.training_words(training, None).count() == training.count() > 200
+    seen, learn_from = [], L.learn_from
+    monkeypatch.setattr(L, "learn_from", lambda docs, path, n: seen.append(n) or learn_from(docs, path, n))
+    assert L.with_language(docs, tokenizer_path("piece_bpe_32k.model"), 0.5).count() == 300
+    assert seen == [None]
+
+
 # --- secrets ----------------------------------------------------------------------------------
 
 
