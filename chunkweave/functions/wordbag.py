@@ -15,7 +15,7 @@ import numpy as np
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 15)
 def _slot(word: str) -> int:
     return int(md5(word.encode("utf-8")).hexdigest()[:4], 16)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +44,7 @@ FILE_KINDS = {
 }
 SUMMARY_CHARS = 180
 MAX_TAGS = 5
+REQUESTS_AT_ONCE = 64
 
 SEGMENTS = (
     "array<struct<seg_no:int,segment_id:string,kind:string,text:string,start_line:int,end_line:int,"
@@ -209,11 +210,15 @@ def call_enricher(requests: DataFrame, enricher: Enricher) -> DataFrame:
         except Exception:  # noqa: BLE001 - any service failure means the fallback
             return None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(raw=[ask(row) for row in frame.to_dict("records")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Some requests at a time: as Python objects they take many times the room of their texts.
+            for start in range(0, batch.num_rows, REQUESTS_AT_ONCE):
+                part = batch.slice(start, REQUESTS_AT_ONCE)
+                raw = pa.array([ask(row) for row in part.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, raw], names=[*part.schema.names, "raw"])
 
-    return requests.mapInPandas(run, ", ".join([*columns, "raw string"]))
+    return requests.mapInArrow(run, ", ".join([*columns, "raw string"]))
 
 
 def recover_json(text: Column) -> Column:

@@ -177,3 +177,24 @@ def test_requests_cut_inside_the_row_equal_those_of_rows(spark):
     )
     order = lambda frame: sorted(map(tuple, frame.select("path", "ext", "language", "mime", "batch", "segments").collect()), key=str)
     assert order(N.file_requests(files, 4)) == order(N.request_batches(exploded, 4))
+
+
+def test_the_service_gets_requests_some_at_a_time(spark, tmp_path):
+    """A batch of many requests is never held whole as Python objects."""
+    item = F.struct(
+        F.lit(0).alias("seg_no"), F.lit("s").alias("segment_id"), F.lit("k").alias("kind"), F.repeat(F.lit("x"), 20_000).alias("text"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("cache_key"),
+    )
+    requests = spark.range(0, 1_000, 1, 1).select(F.col("id").cast("string").alias("path"), F.array(item).cast(N.SEGMENTS).alias("segments"))
+
+    def service(request):
+        import gc
+
+        held = sum(isinstance(o, dict) and o.get("path") is not None and "segments" in o for o in gc.get_objects())
+        if request["path"] == "999":
+            raise ValueError("no answer")
+        return str(held) if request["path"] in ("0", "500", "998") else type(request["segments"]).__name__
+
+    raw = {r.path: r.raw for r in N.call_enricher(requests, service).select("path", "raw").collect()}
+    assert len(raw) == 1_000 and raw["999"] is None and raw["1"] == "list"
+    assert all(0 < int(raw[p]) <= 64 for p in ("0", "500", "998"))
