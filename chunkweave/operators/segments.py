@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +37,8 @@ NO_CUTS = "array<struct<a:int,b:int>>"
 MEMBERS = T.ArrayType(
     T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 )
+_ARROW_MEMBERS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+TEXTS_AT_ONCE = 256
 
 
 def segment(path: Column, kind: Column | str, text: Column, start: Column, end: Column, symbol: Column) -> Column:
@@ -229,8 +231,8 @@ def _member_text(key: str, value: object) -> dict:
     return {"key": str(key), "value": json.dumps(value, ensure_ascii=False, indent=2)}
 
 
-@F.pandas_udf(MEMBERS)
-def json_members(content: pd.Series) -> pd.Series:
+@F.arrow_udf(MEMBERS)
+def json_members(content: pa.Array) -> pa.Array:
     """Members of a JSON object with indented values; null for anything else.
 
     Python's JSON reader and writer decide here what is valid and how a value is laid out.
@@ -247,7 +249,12 @@ def json_members(content: pd.Series) -> pd.Series:
             return None
         return found
 
-    return content.map(members)
+    # Some texts at a time: parsed, they take many times the room of the text.
+    parts = [
+        pa.array([members(text) for text in content.slice(at, TEXTS_AT_ONCE).to_pylist()], _ARROW_MEMBERS)
+        for at in range(0, len(content), TEXTS_AT_ONCE)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_MEMBERS)
 
 
 def json_segments(path: Column, content: Column, members: Column) -> Column:
