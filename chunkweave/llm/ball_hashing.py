@@ -45,11 +45,11 @@ SEED = 42
 BITS = 64
 PIECE = 1 << 20
 #: Variants that one task sorts at once: as a rule, and at most.
-USUAL_VARIANTS, MOST_VARIANTS = 1 << 21, 1 << 22
+USUAL_VARIANTS, MOST_VARIANTS = 1 << 19, 1 << 20
 MORE_BITS = 8
 #: Variants of a task, as a rule, one head after another; and most tasks (beyond, each takes more heads).
 TASK_VARIANTS, MOST_TASKS = 1 << 24, 20_000
-EMITTED = 1 << 20
+EMITTED = 1 << 18
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _DEALT = "level int, head long, prints binary, variants long"
@@ -146,6 +146,12 @@ def deal(level: int, head: np.ndarray, prints: np.ndarray, more: int, half: int)
                 yield level + more, int(heads[a].view(np.int64)), packed[a:b].tobytes(), n
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """Rows one by one: the packed fingerprints of a whole batch are not copied at once."""
+    for i in range(batch.num_rows):
+        yield [column[i].as_py() for column in batch.columns]
+
+
 def _dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64())
     columns = zip(*rows, strict=True) if rows else ([],) * 4
@@ -221,7 +227,7 @@ def dealt_variants(prints: DataFrame, number: int, radius: int) -> DataFrame:
 
     def again(batches):
         for batch in batches:
-            for level, head, packed, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for level, head, packed, _ in _rows(batch):
                 own = np.frombuffer(packed, dtype=np.uint64)
                 heads = np.full(len(own), head, dtype=np.int64).view(np.uint64)
                 yield from _dealt_batches(deal(level, heads, own, min(MORE_BITS, BITS - level), half))
@@ -255,7 +261,7 @@ def connections(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            for level, head, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for level, head, packed, _ in _rows(batch):
                 if (level, head) != key:
                     yield from flush()
                     key, held = (level, head), []

@@ -298,3 +298,18 @@ def test_word_pieces_keep_runs_together(monkeypatch):
         for _, buckets in target_resampling.feature_pieces(text.encode(), 3, target_resampling.Buckets(500)):
             found.update(buckets.tolist())
         assert found == Counter(plain_features(text, 3, 500))
+
+
+def test_the_largest_head_of_a_task_takes_bounded_memory():
+    """Near copies fill a head up to the most variants that a task takes."""
+    import tracemalloc
+
+    n = ball_hashing.MOST_VARIANTS // ball_hashing.ball_size(56, 2)
+    prints = np.unique(np.uint64(7 << 56) ^ ball_hashing.ball(40, 3)[:n])
+    ball_hashing.ball(56, 2)
+    tracemalloc.start()
+    met, least = ball_hashing.collisions(8, 7, prints, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(met) == n - 1 and (least == prints[0]).all()
+    assert peak < 100 << 20
