@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkweave.functions.arrays import rows_of, running_sums
-from chunkweave.functions.text import SPACE_SET, join_lines, let, lstrip, sha256, split_lines, strip
+from chunkweave.functions.text import ANY_SPACE, is_blank, join_lines, let, lstrip, sha256, split_lines, strip
 
 # Line patterns that open a segment.
-SPACE = f"[{SPACE_SET}]"
+SPACE = ANY_SPACE
 DEFINITION = rf"^{SPACE}*(def|class|function|fn|interface|type){SPACE}+([A-Za-z_](?U:\w*))"
 HEADING = rf"^(#{{1,6}}){SPACE}+(.+)$"
 JAVA_TYPE = rf"^{SPACE}*(public{SPACE}+|private{SPACE}+|protected{SPACE}+)?(class|interface|enum){SPACE}+((?U:\w+))"
@@ -146,9 +146,8 @@ def heading_segments(path: Column, content: Column, lead: bool = True) -> Column
 
 
 def _braces(text: Column) -> Column:
-    opened = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    closed = F.length(text) - F.length(F.replace(text, F.lit("}"), F.lit("")))
-    return opened - closed
+    without = lambda brace: F.length(F.replace(text, F.lit(brace), F.lit("")))
+    return without("}") - without("{")
 
 
 def java_segments(path: Column, content: Column) -> Column:
@@ -386,7 +385,7 @@ def brace_sections(content: Column, max_lines: int = CODE_BRACE_LINES) -> Column
         shapes = F.transform(
             lines,
             lambda line, i: F.struct(
-                i.alias("at"), (strip(line) == "").alias("blank"), _braces(line).alias("delta")
+                i.alias("at"), is_blank(line).alias("blank"), _braces(line).alias("delta")
             ),
         )
         state = F.struct(F.lit(0).alias("start"), F.lit(0).alias("depth"), F.array().cast(NO_CUTS).alias("done"))
@@ -426,8 +425,11 @@ def brace_sections(content: Column, max_lines: int = CODE_BRACE_LINES) -> Column
 
 def is_header_line(line: Column) -> Column:
     """Whether a line is a package, import or annotation line."""
-    s = strip(line)
-    return s.startswith("package ") | s.startswith("import ") | s.startswith("@")
+    return let(strip(line), _opens_header)
+
+
+def _opens_header(stripped: Column) -> Column:
+    return stripped.startswith("package ") | stripped.startswith("import ") | stripped.startswith("@")
 
 
 def file_header(content: Column, max_chars: int = 6000) -> Column:
@@ -437,24 +439,24 @@ def file_header(content: Column, max_chars: int = 6000) -> Column:
     other statement stops the header before it.
     """
 
-    def kind_of(line: Column) -> Column:
-        s = strip(line)
+    def kind_of(s: Column) -> Column:
         holds_type = None
         for word in TYPE_WORDS:
             test = F.contains(s, F.lit(word))
             holds_type = test if holds_type is None else holds_type | test
         return (
-            F.when(is_header_line(s), F.lit("head"))
+            F.when(_opens_header(s), F.lit("head"))
             .when(holds_type, F.lit("type"))
             .when((s != "") & ~s.startswith("//"), F.lit("other"))
             .otherwise(F.lit("skip"))
         )
 
     def build(lines: Column) -> Column:
+        filled = F.filter(F.transform(lines, lambda x, i: F.when(~is_blank(x), i)), lambda i: i.isNotNull())
+        return let(F.get(filled, F.lit(0)), lambda first: from_first(lines, first))
+
+    def from_first(lines: Column, first: Column) -> Column:
         n = F.size(lines)
-        first = F.get(
-            F.filter(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)), lambda i: i.isNotNull()), F.lit(0)
-        )
         opens_comment = lstrip(F.get(lines, first)).startswith("/*")
         closes = F.get(
             F.filter(
@@ -471,7 +473,7 @@ def file_header(content: Column, max_chars: int = 6000) -> Column:
             )
             tagged = F.transform(
                 F.slice(lines, start + 1, F.greatest(n - start, F.lit(0))),
-                lambda line, i: F.struct(i.alias("at"), kind_of(line).alias("kind"), line.alias("line")),
+                lambda line, i: F.struct(i.alias("at"), let(strip(line), kind_of).alias("kind"), line.alias("line")),
             )
 
             def assemble(rows: Column) -> Column:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -175,3 +176,12 @@ def test_code_chunks_keep_what_the_preamble_does_not(spark):
     assert texts["a.py"][0] == texts["b.py"][0] == "import x"  # the preamble
     assert any("LIMIT = 3" in t for t in texts["a.py"]) and any("def one" in t for t in texts["a.py"])
     assert sum("LIMIT" in t for t in texts["a.py"]) == 1 and len(texts["b.py"]) == 2 and texts["c.py"] == ["LIMIT = 3"]
+
+
+def test_header_of_a_long_comment_is_found_in_linear_time(spark):
+    comment = "/*\n" + "\n".join(f" * line {i}" for i in range(12000)) + "\n */"
+    text = comment + "\nimport a\nclass B {\nimport c\n"
+    began = time.monotonic()
+    found = spark.createDataFrame([(text,)], "t string").select(G.file_header(F.col("t"), 1 << 20).alias("h")).first().h
+    assert found == comment + "\nimport a\nclass B {"
+    assert time.monotonic() - began < 20
