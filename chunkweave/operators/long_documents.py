@@ -12,26 +12,31 @@ The folds of ``packing`` and ``constraints`` walk a document inside its row. Her
    every block learns where the chain really enters it and the number of its first part.
 4. Blocks write the parts that start in them.
 
+A document of one block needs none of this: such documents are dealt out whole, sorted, and each task writes
+their parts as it reads them, one after the other.
+
 Parts are those of the fold, whatever the size of blocks. A line without document or position belongs
 to no document. Of lines at equal positions the order is by text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkweave.functions.text import SPACE_CHARS, SPACE_SET, rstrip, word_count
+from chunkweave.functions.text import ANY_SPACE, SPACE_CHARS, rstrip, word_count
 from chunkweave.operators.constraints import MAX_CHUNK_TOKENS
 from chunkweave.operators.packing import _budget
 from chunkweave.sources.tables import stored
 
 BLOCK_LINES = 1 << 16
+BLOCK_CHARS = 1 << 23
 FAN = 256
 #: Where the chain enters or leaves a block if it waits for the next line with text.
 WAITING = -1
@@ -55,12 +60,11 @@ class Rule:
     first: int = 0  # how the chain enters a document
 
 
-def _numbered(lines: DataFrame, sizes: dict[str, Column]) -> DataFrame:
+def _numbered(lines: DataFrame, sizes: list[str]) -> DataFrame:
     """``(doc, at, text, sizes...)`` with the number of each line in its document."""
-    kept = lines.where(F.col("doc").isNotNull() & F.col("position").isNotNull())
     runs = stored(
-        kept.repartitionByRange("doc", "position", "text").sortWithinPartitions("doc", "position", "text")
-        .select("doc", "text", *[size.alias(name) for name, size in sizes.items()])
+        lines.repartitionByRange("doc", "position", "text").sortWithinPartitions("doc", "position", "text")
+        .select("doc", "text", *sizes)
         .withColumn("place", F.monotonically_increasing_id()),
         "long-lines",
     )
@@ -170,10 +174,79 @@ def _entries(maps: DataFrame, first: int, fan: int) -> DataFrame:
     return grouped.cogroup(above.withColumnRenamed("block", "group").groupBy("doc", "group")).applyInArrow(_entered, _ENTRY)
 
 
+_PARTS = "doc string, ord long, text string"
+
+
+def _part_rows(docs: list[str], numbers: list[int], texts: list[str]) -> pa.Table:
+    return pa.table({"doc": pa.array(docs, pa.string()), "ord": pa.array(numbers, pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def _chain(lines, begin, nxt, here: int, n_own: int, n_before: int) -> Iterator[str]:
+    """The parts that start from ``here`` on among a block's own lines, ``n_before`` lines at hand before them."""
+    while here < n_own:
+        end = len(lines) if nxt[here] == WAITING else int(nxt[here])
+        yield "\n".join(lines[int(begin[here]) : end]).strip(SPACE_CHARS)
+        here = n_own if nxt[here] == WAITING else end - n_before
+
+
+def _entry(rule_starts, sizes: dict[str, np.ndarray], own: np.ndarray, enters: int) -> int:
+    """The place among the own lines at which the chain enters."""
+    if enters != WAITING:
+        return enters
+    open_lines = np.flatnonzero(rule_starts(sizes)[own])
+    return int(open_lines[0]) if len(open_lines) else len(own)
+
+
+def _whole_parts(lines: DataFrame, rule: Rule) -> DataFrame:
+    """The parts of documents of at most one block. A task holds a batch of lines and the one document that
+    the batch leaves open."""
+    names, ends, starts, first = list(rule.sizes), rule.ends, rule.starts, rule.first
+
+    def written(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in chain(tables, [None]):
+            rows = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            rows = rows.combine_chunks()
+            of = rows.column("doc").to_pylist()
+            edges = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+            if batch is not None:  # the last document may go on
+                left = rows.slice(edges[-2])
+                edges.pop()
+            texts, sizes = rows.column("text").slice(0, edges[-1]).to_pylist(), _arrays(rows, names)
+            docs, numbers, parts = [], [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                mine, own = {name: values[a:b] for name, values in sizes.items()}, np.arange(b - a)
+                begin, nxt = ends(mine, own)
+                made = list(_chain(texts[a:b], begin, nxt, _entry(starts, mine, own, first), b - a, 0))
+                docs += [of[a]] * len(made)
+                numbers += range(len(made))
+                parts += made
+            yield from _part_rows(docs, numbers, parts).to_batches()
+
+    dealt = lines.repartition("doc").sortWithinPartitions("doc", "position", "text")
+    return dealt.select("doc", "text", *names).mapInArrow(written, _PARTS)
+
+
 def _parts(lines: DataFrame, rule: Rule, block_lines: int, fan: int) -> DataFrame:
     size = max(block_lines, rule.before, rule.after)
+    kept = lines.where(F.col("doc").isNotNull() & F.col("position").isNotNull())
+    sized = stored(kept.select("doc", "position", "text", *[value.alias(name) for name, value in rule.sizes.items()]), "long-sized")
+    large = stored(
+        sized.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+        .where((F.col("n") > size) | (F.col("chars") > BLOCK_CHARS)).select("doc"),
+        "long-documents",
+    )
+    if large.isEmpty():
+        return _whole_parts(sized, rule)
+    whole = _whole_parts(sized.join(large, "doc", "left_anti"), rule)
+    return whole.unionByName(_block_parts(sized.join(large, "doc", "left_semi"), rule, size, fan))
+
+
+def _block_parts(lines: DataFrame, rule: Rule, size: int, fan: int) -> DataFrame:
     doors = rule.after + 1
-    numbered = stored(_numbered(lines, rule.sizes), "long-numbered")
+    numbered = stored(_numbered(lines, list(rule.sizes)), "long-numbered")
     names, ends, starts = list(rule.sizes), rule.ends, rule.starts  # the rule itself holds columns
 
     def linked(table: pa.Table, block: int):
@@ -194,24 +267,15 @@ def _parts(lines: DataFrame, rule: Rule, block_lines: int, fan: int) -> DataFram
         numbers, texts = [], []
         if table.num_rows and ways.num_rows:
             table, sizes, own, begin, nxt = linked(table, key[1].as_py())
-            here, number = ways.column("enters")[0].as_py(), ways.column("number")[0].as_py()
-            if here == WAITING:
-                open_lines = np.flatnonzero(starts(sizes)[own])
-                here = int(open_lines[0]) if len(open_lines) else len(own)
-            lines = table.column("text")
-            while here < len(own):
-                end = len(lines) if nxt[here] == WAITING else int(nxt[here])
-                text = "\n".join(lines[int(begin[here]) : end].to_pylist()).strip(SPACE_CHARS)
-                numbers.append(number)
-                texts.append(text)
-                number += 1
-                here = len(own) if nxt[here] == WAITING else end - int(own[0])
-        return pa.table({"doc": pa.array([key[0].as_py()] * len(numbers), pa.string()), "ord": pa.array(numbers, pa.int64()), "text": pa.array(texts, pa.string())})
+            here = _entry(starts, sizes, own, ways.column("enters")[0].as_py())
+            texts = list(_chain(table.column("text").to_pylist(), begin, nxt, here, len(own), int(own[0]) if len(own) else 0))
+            numbers = [ways.column("number")[0].as_py() + i for i in range(len(texts))]
+        return _part_rows([key[0].as_py()] * len(numbers), numbers, texts)
 
     maps = stored(_blocks(numbered, rule, size, names).groupBy("doc", "block").applyInArrow(mapped, _MAP), "long-maps")
     entries = stored(_entries(maps, rule.first, fan), "long-entries")
     blocks = _blocks(numbered, rule, size, ["text", *names]).groupBy("doc", "block")
-    return blocks.cogroup(entries.groupBy("doc", "block")).applyInArrow(written, "doc string, ord long, text string")
+    return blocks.cogroup(entries.groupBy("doc", "block")).applyInArrow(written, _PARTS)
 
 
 def pack_long_lines(
@@ -265,7 +329,7 @@ def split_long_lines(
     sizes = {
         "length": F.length(text).cast("long"),
         "last": last.cast("long"),
-        "lead": F.length(F.regexp_extract(text, f"^[{SPACE_SET}]*", 0)).cast("long"),
+        "lead": F.length(F.regexp_extract(text, f"^{ANY_SPACE}*", 0)).cast("long"),
     }
     rule = Rule(sizes, 0, limit + 1, ends, lambda sizes: sizes["last"] > 0, first=WAITING)
     return _parts(lines.where(text.isNotNull()), rule, block_lines, fan)

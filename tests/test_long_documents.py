@@ -87,3 +87,11 @@ def test_one_file_split_over_tasks(spark, tmp_path):
         spark.conf.set(key, before)
     whole = spark.createDataFrame([("\n".join(texts),)], "text string")
     assert [r.text for r in found] == whole.select(micro_split(F.col("text"), target_tokens=100, overlap_tokens=20).alias("p")).first().p
+
+
+def test_documents_of_one_block_are_no_groups(spark):
+    lines = spark.range(3000).selectExpr("cast(id div 10 AS string) AS doc", "id AS position", "concat('line ', id) AS text")
+    parts = split_long_lines(lines, 8)
+    assert "InArrow" in (plan := parts._jdf.queryExecution().executedPlan().toString())
+    assert "FlatMap" not in plan
+    assert parts.count() > 300 and parts.where("doc = '7' AND ord = 0").first().text.startswith("line 70\n")
