@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from chunkweave.functions.versions import compare_keys, version_key, version_parts
+from chunkweave.functions.versions import compare_keys, sort_text, version_key, version_parts
 from chunkweave.operators import catalogue as C
 from chunkweave.operators import integrity as I
 
@@ -189,3 +189,19 @@ def test_an_empty_first_upload_does_not_use_up_the_version(spark):
     rows = [(1, "a", "2.0", 0), (2, "a", "2.0", 5), (3, "a", "2.0", 7), (4, "a", "1.0", 3), (5, "b", "1.0", 0), (6, "c", "1.0", None)]
     found = C.publish(current, spark.createDataFrame(rows, "upload_id int, name string, version string, size_bytes int"))
     assert {r.upload_id: r.outcome for r in found.collect()} == {1: "empty", 2: "created", 3: "repeated", 4: "conflict", 5: "empty", 6: "created"}
+
+
+def test_short_keys_sort_as_the_keys_do(spark):
+    odd = ["", "a", "a\x00", "a\x00b", "a\x01", "a\x01\x01", "a\x02", "ab", "A-rc", "1..2", "1-rc1-x", "1-rc1-x.1", "1-x-beta-3", "-", "1-\x00", None]
+    frame = spark.createDataFrame([(v,) for v in [*ASCENDING, *odd]], "v string").select(version_key(F.col("v")).alias("key"))
+    pairs = frame.withColumn("text", sort_text(F.col("key")))
+    other = pairs.selectExpr("key AS key2", "text AS text2")
+    wrong = pairs.crossJoin(other).where("(key < key2) != (text < text2) OR (key = key2) != (text = text2)")
+    assert wrong.count() == 0
+
+
+def test_latest_versions_sort_short_rows(spark):
+    latest = C.latest_versions(spark.createDataFrame([("a", "1.10"), ("a", "1.9")], "name string, version string"))
+    assert latest.first().version == "1.10"
+    shuffled = [line for line in latest._jdf.queryExecution().toString().splitlines() if "AS vkey" in line]
+    assert shuffled and "concat(" in shuffled[0]  # text, not an array of structs
