@@ -125,3 +125,38 @@ def test_nulls_ties_and_many_versions_of_one_path(spark, job):
     job([(None, ".md", "y"), ("hot", ".md", "0")])
     assert current(spark, job.out) == [("", "y", 2), ("hot", "0", 2), ("t", "same", 1)]
     assert spark.read.parquet(f"{job.out}/paths").count() == 7
+
+
+def test_paths_of_one_bucket_share_a_call_and_only_theirs_are_looked_up(monkeypatch):
+    import pandas as pd
+
+    class Map(dict):
+        asked = []
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):
+            self.asked.append(key)
+            return self.get(key)
+
+        updateValue = dict.__setitem__
+
+    state = I.Generations()
+    state.last = Map()
+    rows = pd.DataFrame([(3, f"p{i}", None, "x") for i in range(50)] + [(3, None, None, None), (3, "p0", ".md", "y")], columns=["bucket", "path", "ext", "content"])
+    first = pd.concat(state.handleInputRows((3,), iter([rows[:20], rows[20:]]), None))
+    assert len(first) == 51 == len(state.last) and set(first.generation) == {1} and not Map.asked
+    assert first.previous.isna().all() and first.set_index("path").content["p0"] == "y"
+    again = pd.DataFrame([(3, "p0", ".md", "z"), (3, "p1", None, "x")], columns=rows.columns)
+    second = list(state.handleInputRows((3,), iter([again]), None))
+    assert [frame.to_dict("records") for frame in second] == [[{"path": "p0", "ext": ".md", "content": "z", "generation": 2, "previous": 1}]]
+    assert sorted(Map.asked) == [("p0",), ("p1",)]
+
+
+def test_a_batch_stores_what_it_changed_and_settings_are_put_back(spark, job):
+    job([("a", ".md", "one")])
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", None) is None
+    from pathlib import Path
+
+    assert list(Path(job.out).parent.glob("ck/state/0/*/*.changelog"))
