@@ -205,3 +205,31 @@ def test_latest_versions_sort_short_rows(spark):
     assert latest.first().version == "1.10"
     shuffled = [line for line in latest._jdf.queryExecution().toString().splitlines() if "AS vkey" in line]
     assert shuffled and "concat(" in shuffled[0]  # text, not an array of structs
+
+
+def test_a_version_of_many_packages_is_keyed_once(spark, monkeypatch):
+    keyed, key_of = spark.sparkContext.accumulator(0), C.version_key
+
+    @F.udf("string")
+    def counted(version):
+        keyed.add(1)
+        return version
+
+    monkeypatch.setattr(C, "version_key", lambda column: key_of(counted(column)))
+    rows = spark.range(300).selectExpr("concat('p', id % 100) AS name", "element_at(array('1.10', '1.9', null), CAST(id DIV 100 + 1 AS INT)) AS version")
+    latest = C.latest_versions(rows).collect()
+    assert keyed.value == 3 and len(latest) == 100 and {r.version for r in latest} == {"1.10"}
+    pins = spark.createDataFrame([("p1", "1.9", None)], "name string, pinned string, active string")
+    left = rows.where("version IS NOT NULL").exceptAll(C.prune_plan(rows.where("version IS NOT NULL"), pins)).collect()
+    assert keyed.value == 5 and sorted(r.version for r in left) == ["1.10"] * 100 + ["1.9"]
+
+
+def test_publishing_without_overwriting_leaves_stored_rows_as_they_are(spark):
+    stored = spark.createDataFrame([(1, "a", "1.0", 5), (2, None, None, 5)], "id bigint, name string, version string, size_bytes bigint")
+    incoming = spark.createDataFrame(
+        [(7, "a", "1.0", 6), (8, "a", "2.0", 6), (9, "a", "2.0", 7), (10, "b", "1.0", 0)], "upload_id bigint, name string, version string, size_bytes bigint"
+    )
+    after = C.published(stored, incoming)
+    assert sorted(r.id for r in after.collect()) == [1, 2, 8]
+    assert "LeftAnti" not in after._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in C.published(stored, incoming, overwrite=True).collect()) == [2, 7, 8]
