@@ -12,6 +12,7 @@ from chunkweave.operators import enrichment as N
 from chunkweave.operators import segments as G
 from chunkweave.plans import inputs as In
 from chunkweave.plans.chunk_checks import SP, _sql_merge, _sql_split
+from chunkweave.sources.tables import stored
 
 MODEL, PROMPT = "model-a", "v1"
 MAX_TOKENS, MIN_TOKENS, PER_REQUEST = 120, 20, 4
@@ -27,11 +28,6 @@ def segments(spark, folder):
     return G.explode_segments(G.segments_by_kind(files))
 
 
-def old_file_cache(spark, folder):
-    before = In.with_source_hash(In.earlier(In.sources(spark, folder)))
-    return before.select("path", "source_hash", F.lit("cached").alias("segments"))
-
-
 def demo_service(request: dict) -> str:
     """A deterministic stand-in for the enrichment service.
 
@@ -79,30 +75,51 @@ def dispatched_segments(spark, folder):
     )
 
 
+def _file_hits(now, before):
+    found = N.reuse_segments(now, before.select("path", "source_hash", F.lit("cached").alias("segments")))
+    return found.select("path", F.col("cached_segments").isNotNull().alias("file_hit"))
+
+
 def file_cache(spark, folder):
     """Files whose segments an earlier run already holds."""
-    files = In.with_source_hash(In.sources(spark, folder))
-    found = N.reuse_segments(files, old_file_cache(spark, folder))
-    return found.select("path", F.col("cached_segments").isNotNull().alias("file_hit"))
+    now = In.with_source_hash(In.sources(spark, folder))
+    return _file_hits(now, In.with_source_hash(In.earlier(In.sources(spark, folder))))
 
 
 def segment_keys(spark, folder):
     return segments(spark, folder).select("path", "seg_no", N.segment_cache_key(MODEL, PROMPT).alias("cache_key"))
 
 
+def _both_builds(spark, folder):
+    """The files of now and of the earlier build; they are made once."""
+    now = stored(In.with_source_hash(In.sources(spark, folder)), "sources")
+    return now, In.with_source_hash(In.earlier(now.drop("source_hash")))
+
+
+def _keyed_segments(files):
+    known = G.segments_by_kind(N.classify(files).where("is_supported_text"))
+    return G.explode_segments(known).select("path", "source_hash", "seg_no", N.segment_cache_key(MODEL, PROMPT).alias("cache_key"))
+
+
+def _segment_hits(now, before):
+    """Segments of now with whether the earlier build had their key. A file that did not change had the segments
+    it has, so only the others are cut again as they were."""
+    same = ["path", "source_hash"]
+    keyed = stored(_keyed_segments(now), "segments")
+    unchanged = keyed.join(before.select(*same), same, "left_semi").select("cache_key")
+    changed = _keyed_segments(before.join(now.select(*same), same, "left_anti")).select("cache_key")
+    old = unchanged.union(changed).distinct().withColumn("hit", F.lit(True))
+    return keyed.join(old, "cache_key", "left").select("path", "seg_no", "cache_key", F.col("hit").isNotNull().alias("segment_hit"))
+
+
 def cached_segments(spark, folder):
     """Segments with whether an enrichment under the same key is cached."""
-    files = N.classify(In.with_source_hash(In.earlier(In.sources(spark, folder)))).where("is_supported_text")
-    old = G.explode_segments(G.segments_by_kind(files)).select(N.segment_cache_key(MODEL, PROMPT).alias("cache_key"))
-    now = segments(spark, folder).withColumn("cache_key", N.segment_cache_key(MODEL, PROMPT))
-    return now.join(
-        old.distinct().withColumn("hit", F.lit(True)), "cache_key", "left"
-    ).select("path", "seg_no", "cache_key", F.col("hit").isNotNull().alias("segment_hit"))
+    return _segment_hits(*_both_builds(spark, folder))
 
 
 def enrichment_counts(spark, folder):
-    hits = file_cache(spark, folder)
-    rows = cached_segments(spark, folder).join(hits, "path")
+    now, before = _both_builds(spark, folder)
+    rows = _segment_hits(now, before).join(_file_hits(now, before), "path")
     return N.enrichment_counts(rows, PER_REQUEST)
 
 

@@ -198,3 +198,21 @@ def test_the_service_gets_requests_some_at_a_time(spark, tmp_path):
     raw = {r.path: r.raw for r in N.call_enricher(requests, service).select("path", "raw").collect()}
     assert len(raw) == 1_000 and raw["999"] is None and raw["1"] == "list"
     assert all(0 < int(raw[p]) <= 64 for p in ("0", "500", "998"))
+
+
+def test_unchanged_files_are_not_cut_into_segments_twice(spark, monkeypatch):
+    from chunkweave.plans import enrich_checks as Q
+    from chunkweave.plans import inputs as In
+
+    def files(*rows):
+        return In.with_source_hash(spark.createDataFrame([(path, ".txt", text) for path, text in rows], "path string, ext string, content string"))
+
+    cut, keyed = [], Q._keyed_segments
+    monkeypatch.setattr(Q, "_keyed_segments", lambda rows: cut.append(sorted(r.path for r in rows.collect())) or keyed(rows))
+    now = files(("a.txt", "one\n\ntwo"), ("b.txt", "three\n\nfour"), ("new.txt", "five"))
+    before = files(("a.txt", "one\n\ntwo"), ("b.txt", "three\n\nedited"), ("gone.txt", "six"))
+    hits = {(r.path, r.seg_no): r.segment_hit for r in Q._segment_hits(now, before).collect()}
+    assert cut == [["a.txt", "b.txt", "new.txt"], ["b.txt", "gone.txt"]]
+    old = {r.cache_key for r in keyed(before).collect()}
+    assert hits == {(r.path, r.seg_no): r.cache_key in old for r in keyed(now).collect()}
+    assert {path for (path, _), hit in hits.items() if hit} >= {"a.txt"} and not hits["new.txt", 0]
